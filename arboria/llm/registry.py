@@ -5,6 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 _MODULES = {
+    "op5_ngram_join": "ngram_join",
     "op8_token_store": "token_store",
 }
 
