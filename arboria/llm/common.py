@@ -250,8 +250,3 @@ class Committed:
         self.out.close()
         self.fs.move(self.tmp, self.final)
 
-
-def read_file(folder: str, name: str) -> bytes:
-    fs, root = file_system(folder)
-    with fs.open_input_stream(f"{root}/{name}") as f:
-        return f.read()

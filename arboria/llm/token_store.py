@@ -142,7 +142,7 @@ class Encoder:
         self._forget()
 
     #: Slots of the memory of units: a unit's ids stay at its hash's slot until another unit takes that.
-    SLOTS = 1 << 21
+    SLOTS = 1 << 20
 
     def _forget(self) -> None:
         self.key, self.base, self.n = np.zeros(self.SLOTS, np.uint64), np.zeros(self.SLOTS, np.int32), np.zeros(self.SLOTS, np.int32)
@@ -216,7 +216,7 @@ def encode(docs: DataFrame, vocabulary: str, end: int = 0) -> DataFrame:
         dtype = "<u2" if enc.width == 2 else "<u4"
         for batch in batches:
             buf, off = C.flat(batch.column(1))
-            for a, b in C.chunks(off, 1 << 22):
+            for a, b in C.chunks(off):
                 ids, o = enc.batch(buf[off[a] : off[b]], off[a : b + 1] - off[a])
                 raw = pa.py_buffer(ids.astype(dtype).tobytes())
                 ends = pa.py_buffer((o * enc.width).astype(np.int64).tobytes())
@@ -229,7 +229,7 @@ def encode(docs: DataFrame, vocabulary: str, end: int = 0) -> DataFrame:
 # ---- shard files -----------------------------------------------------------------------------------------------
 
 
-def write_store(docs: DataFrame, folder: str, vocabulary: str, end: int = 0, shard_chars: int = 64 << 20) -> DataFrame:
+def write_store(docs: DataFrame, folder: str, vocabulary: str, end: int = 0, shard_chars: int = 32 << 20) -> DataFrame:
     """Writes the shard files of `docs` and returns the manifest: shard, file, n_docs, n_ids, bytes."""
     spark = docs.sparkSession
     wide = encoder(vocabulary, end).width
@@ -281,21 +281,28 @@ def write_store(docs: DataFrame, folder: str, vocabulary: str, end: int = 0, sha
 
 
 class Shard:
-    """One shard file: ids(i) is document i's, found by two selects."""
-
-    def __init__(self, data: bytes):
-        total, nb, nk, low, self.nulls, wide, magic = struct.unpack_from(FOOTER, data, len(data) - struct.calcsize(FOOTER))
+    """One shard file, read by ranges: ids(i) is document i's, found by two selects."""
+
+    def __init__(self, folder: str, name: str):
+        fs, root = C.file_system(folder)
+        self.file = fs.open_input_file(f"{root}/{name}")
+        foot = struct.calcsize(FOOTER)
+        end = self.file.size() - foot
+        total, nb, nk, self.low, self.nulls, self.wide, magic = struct.unpack(FOOTER, self.file.read_at(foot, end))
         if magic != MAGIC:
             raise ValueError("not a shard file")
-        self.array = np.frombuffer(data, "<u2" if wide == 2 else "<u4", total)
-        at = total * wide
-        self.bounds, self.keys, self.low = EliasFano.load(data[at : at + nb]), EliasFano.load(data[at + nb : at + nb + nk]), low
+        self.bounds = EliasFano.load(self.file.read_at(nb, total * self.wide))
+        self.keys = EliasFano.load(self.file.read_at(nk, total * self.wide + nb))
 
     def __len__(self) -> int:
         return self.bounds.n - 1
 
+    def span(self, a: int, b: int) -> np.ndarray:
+        """Ids from place a to b of the whole array."""
+        return np.frombuffer(self.file.read_at((b - a) * self.wide, a * self.wide), "<u2" if self.wide == 2 else "<u4")
+
     def ids(self, i: int) -> np.ndarray:
-        return self.array[self.bounds.select(i) : self.bounds.select(i + 1)]
+        return self.span(self.bounds.select(i), self.bounds.select(i + 1))
 
     def doc_ids(self) -> list[int | None]:
         return [None] * self.nulls + (self.keys.all() + self.low).tolist()
@@ -311,16 +318,19 @@ def read_store(spark: SparkSession, folder: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             for name, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                s = Shard(C.read_file(folder, name))
-                b = s.bounds.all()
-                raw = memoryview(s.array.astype("<u4").tobytes())
-                crc = [zlib.crc32(raw[4 * x : 4 * y]) for x, y in zip(b[:-1].tolist(), b[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(s.doc_ids(), pa.int64()), pa.array(b[:-1] + base), pa.array(np.diff(b)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                s = Shard(folder, name)
+                bounds, docs = s.bounds.all(), s.doc_ids()
+                for a, b in C.chunks(bounds):
+                    at = bounds[a : b + 1]
+                    raw = memoryview(s.span(int(at[0]), int(at[-1])).astype("<u4").tobytes())
+                    cut = (4 * (at - at[0])).tolist()
+                    crc = [zlib.crc32(raw[x:y]) for x, y in zip(cut[:-1], cut[1:], strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(docs[a:b], pa.int64()), pa.array(at[:-1] + base), pa.array(np.diff(at)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return based.repartition(n, "file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def token_store(docs: DataFrame, vocabulary: str | None = None, end: int = 0, shard_chars: int = 64 << 20) -> DataFrame:
+def token_store(docs: DataFrame, vocabulary: str | None = None, end: int = 0, shard_chars: int = 32 << 20) -> DataFrame:
     """Writes the token store of `docs` to the shared folder and returns what its files hold."""
     import public_tokenizers
 
