@@ -6,7 +6,10 @@ from importlib import import_module
 
 _MODULES = {
     "op5_ngram_join": "ngram_join",
+    "op7_decontaminate": "decontaminate",
     "op8_token_store": "token_store",
+    "op9_mixing": "mixing",
+    "op10_quality_rules": "quality",
 }
 
 
