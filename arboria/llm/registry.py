@@ -5,6 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 _MODULES = {
+    "op1_context_mixing": "context_mixing",
     "op5_ngram_join": "ngram_join",
     "op7_decontaminate": "decontaminate",
     "op8_token_store": "token_store",
