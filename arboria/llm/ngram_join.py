@@ -6,10 +6,12 @@ classes A, B link when 100 |A & B| >= percent |A | B|.
 1. Blocks of documents learn, through `tally`, in how many documents each of their shingles stands.  Shingles
    are ordered by that count, then hash: rare first.  A partner shares one of the first n - ceil(t n) + 1, and a
    shingle that stands in one document has no partner, so only shared shingles of the prefix are looked at.
-2. Prefix shingles join, under the length filter, the positional filter (what can still be shared after this
-   place) and the suffix filter (the rest of both sets, counted in eight ranges of the hash).  First each class
-   meets only the leader of its band of sizes in each shingle's group, which already merges groups of copies;
-   then classes of *different* components meet.  So a group of n copies gives about n pairs, not n * n.
+2. Prefix shingles join, under the length filter, the positional filter (what of the shared shingles can still
+   be in both before and after this place), the suffix filter (the shared shingles after it, counted in eight
+   ranges of the hash) and a parity sketch of all shared shingles, whose differing bits bound the difference.
+   First each class meets only the leader of its band of sizes in each shingle's group, the class whose shingles
+   stand in most documents, which merges groups of copies; then classes of *different* components meet.  So a
+   group of n copies gives about n pairs, not n * n.
 3. Each pair is verified once, on the shared shingles of both.  Components come from contraction.
 
 Every link either is found or runs inside a component, so components are those of all links.
@@ -34,7 +36,11 @@ from .components import components
 
 BLOCK = 6 << 20  # characters of text in a block
 SUFFIX_RANGES = 8
-_DOC = "doc_id long, n_shingles long, node long, prefix array<struct<tok:long,pos:int,suf:long>>, shared array<long>"
+SKETCH = 4  # longs of the parity sketch
+_BITS = [f"p{k}" for k in range(SKETCH)]
+_PREFIX = "tok:long,pos:int,suf:long"
+_SIDE = ["node", "n", "s", *_BITS]
+_DOC = "doc_id long, n_shingles long, node long, typical int, prefix array<struct<" + _PREFIX + ">>, sketch array<long>, shared array<long>"
 
 
 def _sets(t: pa.Table, k: int) -> list[np.ndarray]:
@@ -58,18 +64,24 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1
 
 
+def _sketch(shared: np.ndarray) -> list[int]:
+    """For each of 256 cells whether an odd number of the hashes falls in it."""
+    odd = np.bincount(((shared >> np.uint64(20)) & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(">i8").tolist()
+
+
 def _describe(sets, counts: np.ndarray, offsets: np.ndarray, percent: int):
-    """node, prefix and shared of each document; counts: of its shingles' documents, as tally.steps has them."""
+    """node, typical, prefix, sketch and shared of each document; counts: of its shingles' documents, as tally.steps has them."""
     for i, h in enumerate(sets):
         n = len(h)
         if not n:
-            yield None, None, None
+            yield (None,) * 5
             continue
         node = int.from_bytes(hashlib.blake2b(h.tobytes(), digest_size=8).digest(), "little", signed=True)
         q = counts[offsets[i] : offsets[i + 1]]
         alone, p = int((q == 1).sum()), prefix_length(n, percent)
         if alone >= p:
-            yield node, None, None
+            yield node, None, None, None, None
             continue
         shared, q = h[q > 1], q[q > 1]
         order = np.lexsort((shared, q))
@@ -80,8 +92,8 @@ def _describe(sets, counts: np.ndarray, offsets: np.ndarray, percent: int):
         take = min(p - alone, len(shared))
         after = np.minimum(left[-1] - left[1 : take + 1], 127)
         packed = (after << (8 * np.arange(SUFFIX_RANGES))).sum(axis=1)
-        prefix = [{"tok": t, "pos": alone + j, "suf": s} for j, (t, s) in enumerate(zip(in_order[:take].view(np.int64).tolist(), packed.tolist(), strict=True))]
-        yield node, prefix, shared.view(np.int64)
+        prefix = [{"tok": t, "pos": j, "suf": s} for j, (t, s) in enumerate(zip(in_order[:take].view(np.int64).tolist(), packed.tolist(), strict=True))]
+        yield node, int(1000 * int(q.astype(np.int64).sum()) // n), prefix, _sketch(shared), shared.view(np.int64)
 
 
 def _signed(docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -102,24 +114,28 @@ def _signed(docs: DataFrame, k: int, percent: int) -> DataFrame:
         every = _keys(sets, bits)
         counts = tally.in_order(replies, np.uint8)[np.searchsorted(np.unique(every), every)] if len(every) else np.zeros(0, np.uint8)
         offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64)
-        node, prefix, shared = zip(*_describe(sets, counts, offsets, percent), strict=True) if sets else ((), (), ())
-        schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("prefix", pa.list_(pa.struct([("tok", pa.int64()), ("pos", pa.int32()), ("suf", pa.int64())]))), ("shared", pa.list_(pa.int64()))])
-        return pa.table([t.column("doc_id"), pa.array(np.diff(offsets)), pa.array(node, pa.int64()), pa.array(prefix, schema.field("prefix").type), pa.array(shared, schema.field("shared").type)], schema=schema)
+        longs, places = pa.list_(pa.int64()), pa.list_(pa.struct([("tok", pa.int64()), ("pos", pa.int32()), ("suf", pa.int64())]))
+        kinds = {"node": pa.int64(), "typical": pa.int32(), "prefix": places, "sketch": longs, "shared": longs}
+        found = list(zip(*_describe(sets, counts, offsets, percent), strict=True)) or [()] * len(kinds)
+        columns = [pa.array(c, kind) for c, kind in zip(found, kinds.values(), strict=True)]
+        return pa.table([t.column("doc_id"), pa.array(np.diff(offsets)), *columns], ["doc_id", "n_shingles", *kinds])
 
     replies = tally.answered(dealt.groupBy("m").applyInArrow(asks, tally.ASKED), tally.steps)
     return C.stash(dealt.groupBy("m").cogroup(replies.groupBy("m")).applyInArrow(signs, _DOC), "signed") if spark else None
 
 
 def _may_link(percent: int):
-    """The length, positional and suffix filters on rows x, y of one prefix shingle."""
+    """The length, positional, suffix and sketch filters on rows x, y of one prefix shingle."""
     small, large = F.least("x_n", "y_n"), F.greatest("x_n", "y_n")
     need = F.ceil(F.lit(percent) * (F.col("x_n") + F.col("y_n")) / F.lit(100 + percent))
     before = F.least("x_pos", "y_pos") + 1
-    rest = F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos")) - 1
+    rest = F.least(F.col("x_s") - F.col("x_pos"), F.col("y_s") - F.col("y_pos")) - 1
     byte = lambda c, j: F.shiftright(F.col(c), 8 * j).bitwiseAND(F.lit(127))
     both = [F.when(F.least(byte("x_suf", j), byte("y_suf", j)) == 127, F.lit(1 << 30)).otherwise(F.least(byte("x_suf", j), byte("y_suf", j))) for j in range(SUFFIX_RANGES)]
     suffix = sum(both[1:], both[0])
-    return (small * 100 >= large * percent) & (before + rest >= need) & (before + suffix >= need)
+    differ = [F.bit_count(F.col(f"x_{p}").bitwiseXOR(F.col(f"y_{p}"))) for p in _BITS]
+    sketch = F.col("x_s") + F.col("y_s") - sum(differ[1:], differ[0])
+    return (small * 100 >= large * percent) & (before + rest >= need) & (before + suffix >= need) & (sketch >= 2 * need)
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -133,17 +149,22 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (and node, the class) of each document."""
     signed = _signed(docs, k, percent)
     found = signed.where("prefix is not null")
-    nodes = C.stash(found.groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix"), F.first("shared").alias("shared")), "nodes")
+    keep = ["typical", "prefix", "sketch", "shared"]
+    nodes = C.stash(found.groupBy("node").agg(F.first("n_shingles").alias("n"), *[F.first(c).alias(c) for c in keep]), "nodes")
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.12))).cast("int")
-    tokens = nodes.select("node", "n", band.alias("band"), F.inline("prefix"))
+    bits = [F.col("sketch")[k].alias(p) for k, p in enumerate(_BITS)]
+    tokens = nodes.select("node", F.col("n").cast("int").alias("n"), F.size("shared").alias("s"), "typical", *bits, band.alias("band"), F.inline("prefix"))
     group = tokens.groupBy("tok").agg(F.count("*").alias("c"))
     tokens = C.stash(tokens.join(group.where("c > 1").select("tok"), "tok", "left_semi"), "tokens")
 
-    x = tokens.select("tok", "band", *[F.col(c).alias(f"x_{c}") for c in ("node", "n", "pos", "suf")])
-    leaders = tokens.groupBy("tok", "band").agg(F.min(F.struct("node", "n", "pos", "suf")).alias("y"))
-    leaders = C.stash(leaders.select("tok", "band", *[F.col(f"y.{c}").alias(f"y_{c}") for c in ("node", "n", "pos", "suf")]), "leaders")
-    tried = x.join(leaders, ["tok", "band"]).where("x_node > y_node").where(_may_link(percent))
-    tried = C.stash(tried.select(F.col("y_node").alias("a"), F.col("x_node").alias("b")).distinct(), "pairs")
+    def side(rows: DataFrame, x: str, *others) -> DataFrame:
+        return rows.select("tok", *others, *[F.col(c).alias(f"{x}_{c}") for c in (*_SIDE, "pos", "suf")])
+
+    first = ["typical", "node", *(c for c in (*_SIDE, "pos", "suf") if c != "node")]
+    leaders = tokens.groupBy("tok", "band").agg(F.max(F.struct(*first)).alias("y"), F.count("*").alias("c")).where("c > 1")
+    leaders = C.stash(side(leaders.select("tok", "band", "y.*"), "y", "band"), "leaders")
+    tried = side(tokens, "x", "band").join(leaders, ["tok", "band"]).where("x_node <> y_node").where(_may_link(percent))
+    tried = C.stash(tried.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct(), "pairs")
     links = C.stash(_verified(tried, nodes, percent), "links")
 
     merged = components(links)
@@ -151,8 +172,7 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     placed = C.stash(placed, "placed")
     open_ = placed.groupBy("tok").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("tok")
     placed = C.stash(placed.join(open_, "tok", "left_semi"), "open")
-    x = placed.select("tok", *[F.col(c).alias(f"x_{c}") for c in ("node", "n", "pos", "suf", "label")])
-    y = placed.select("tok", *[F.col(c).alias(f"y_{c}") for c in ("node", "n", "pos", "suf", "label")])
+    x, y = side(placed, "x", F.col("label").alias("x_label")), side(placed, "y", F.col("label").alias("y_label"))
     more = x.join(y, "tok").where("x_node < y_node and x_label <> y_label").where(_may_link(percent))
     more = more.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more = C.stash(_verified(C.stash(more, "pairs"), nodes, percent), "links")
