@@ -240,7 +240,7 @@ class Committed:
         self.fs, root = file_system(folder)
         self.final, self.tmp = f"{root}/{name}", f"{root}/_tmp/{name}.{uuid.uuid4().hex}"
         self.fs.create_dir(f"{root}/_tmp", recursive=True)
-        self.out, self.size = self.fs.open_output_stream(self.tmp), 0
+        self.out, self.size = self.fs.open_output_stream(self.tmp, compression=None), 0
 
     def write(self, data) -> None:
         self.out.write(data)

@@ -6,7 +6,9 @@ from importlib import import_module
 
 _MODULES = {
     "op1_context_mixing": "context_mixing",
+    "op3_warc": "warc",
     "op5_ngram_join": "ngram_join",
+    "op6_license_scan": "license_scan",
     "op7_decontaminate": "decontaminate",
     "op8_token_store": "token_store",
     "op9_mixing": "mixing",
