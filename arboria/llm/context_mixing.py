@@ -147,8 +147,30 @@ class Model:
         self.closing = np.full(256, -np.inf)
         self.closing[ends] = path - np.logaddexp.reduce(path)
 
+    #: Slots of the memory of grams: a gram's nats stay at its hash's slot until another gram takes that.
+    SLOTS = 1 << 20
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("key", "value")}
+
     def nats(self, g: np.ndarray) -> np.ndarray:
-        """Natural logarithm of each gram's last byte's probability."""
+        """Natural logarithm of each gram's last byte's probability; those seen lately are remembered."""
+        if not hasattr(self, "key"):
+            self.key, self.value = np.full(self.SLOTS, 2**63, np.uint64), np.zeros(self.SLOTS)
+        slot = ((g * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+        out = self.value[slot]
+        miss = np.flatnonzero(self.key[slot] != g)
+        if len(miss):
+            one, first, back = np.unique(g[miss], return_index=True, return_inverse=True)
+            mixed = self._mixed(one)
+            out[miss] = mixed[back]
+            at = slot[miss[first]]
+            last = np.zeros(len(one), bool)
+            last[len(one) - 1 - np.unique(at[::-1], return_index=True)[1]] = True  # one gram a slot
+            self.key[at[last]], self.value[at[last]] = one[last], mixed[last]
+        return out
+
+    def _mixed(self, g: np.ndarray) -> np.ndarray:
         out = np.zeros(len(g), np.float64)
         for a in range(0, len(g), 1 << 15):
             some = g[a : a + (1 << 15)]
@@ -360,8 +382,7 @@ def score_documents(docs: DataFrame, folds: int = 10, slot_bits: int = 20) -> Da
             cols[1].append(add(c > 0, w).astype(np.int64) + end_known)
             cols[2].append(add(np.log10(c + 0.1) - floor, w) + end_score)
             g, e = grams(low, o)
-            one, back = np.unique(g, return_inverse=True)
-            nats = refined(g, e, m.nats(one)[back])
+            nats = refined(g, e, m.nats(g))
             known = np.log(np.maximum(c, 1)) - np.log(max(1, n - ends_)) + m.closing[(g[after + np.repeat(np.arange(b - a), np.diff(w))] & np.uint64(255)).astype(np.int64)]
             cols[3].append(with_words(nats, e, first, after, w, np.where(c > 0, known, -np.inf)) / np.log(10))
             cols[4].append(np.diff(e))
