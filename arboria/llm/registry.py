@@ -6,6 +6,7 @@ from importlib import import_module
 
 _MODULES = {
     "op1_context_mixing": "context_mixing",
+    "op2_html_extract": "html_extract",
     "op3_warc": "warc",
     "op5_ngram_join": "ngram_join",
     "op6_license_scan": "license_scan",
