@@ -8,6 +8,7 @@ _MODULES = {
     "op1_context_mixing": "context_mixing",
     "op2_html_extract": "html_extract",
     "op3_warc": "warc",
+    "op4_line_dedup": "line_dedup",
     "op5_ngram_join": "ngram_join",
     "op6_license_scan": "license_scan",
     "op7_decontaminate": "decontaminate",
