@@ -71,7 +71,7 @@ def _stops(sized: DataFrame, plan: DataFrame, seed: str) -> DataFrame:
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = 3, seed: str = "mix-1", carry=("doc_id",)) -> DataFrame:
     """row (a struct of the carried columns), size, source_size, target, taken of each document."""
     narrow = docs.select(F.struct(*carry).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words().alias("size"))
-    narrow_only = tuple(carry) == ("doc_id",)
+    narrow_only = [str(c) for c in carry] == ["doc_id"]
     sized = C.stash(narrow if narrow_only else narrow.drop("row"), "sized")
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1

@@ -40,7 +40,7 @@ SKETCH = 4  # longs of the parity sketch
 _BITS = [f"p{k}" for k in range(SKETCH)]
 _PREFIX = "tok:long,pos:int,suf:long"
 _SIDE = ["node", "n", "s", *_BITS]
-_DOC = "doc_id long, n_shingles long, node long, typical int, prefix array<struct<" + _PREFIX + ">>, sketch array<long>, shared array<long>"
+_DOC = "doc_id long, h long, n_shingles long, node long, typical int, prefix array<struct<" + _PREFIX + ">>, sketch array<long>, shared array<long>"
 
 
 def _sets(t: pa.Table, k: int) -> list[np.ndarray]:
@@ -98,12 +98,11 @@ def _describe(sets, counts: np.ndarray, offsets: np.ndarray, percent: int):
 
 def _signed(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """A row for each document, with its class and, where it may have partners, prefix and shared shingles."""
-    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), C.text_bytes())
     size = rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     blocks = max(1, -(-size // BLOCK))
     bits = tally.bucket_bits(size // 5)
-    dealt = rows.withColumn("m", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).repartition(max(1, blocks), "m")
+    dealt = rows.withColumns({"h": F.xxhash64("text"), "m": F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))}).repartition(blocks, "m")
 
     def asks(t: pa.Table) -> pa.Table:
         keys, many = np.unique(_keys(_sets(t, k), bits), return_counts=True)
@@ -118,10 +117,10 @@ def _signed(docs: DataFrame, k: int, percent: int) -> DataFrame:
         kinds = {"node": pa.int64(), "typical": pa.int32(), "prefix": places, "sketch": longs, "shared": longs}
         found = list(zip(*_describe(sets, counts, offsets, percent), strict=True)) or [()] * len(kinds)
         columns = [pa.array(c, kind) for c, kind in zip(found, kinds.values(), strict=True)]
-        return pa.table([t.column("doc_id"), pa.array(np.diff(offsets)), *columns], ["doc_id", "n_shingles", *kinds])
+        return pa.table([t.column("doc_id"), t.column("h"), pa.array(np.diff(offsets)), *columns], ["doc_id", "h", "n_shingles", *kinds])
 
     replies = tally.answered(dealt.groupBy("m").applyInArrow(asks, tally.ASKED), tally.steps)
-    return C.stash(dealt.groupBy("m").cogroup(replies.groupBy("m")).applyInArrow(signs, _DOC), "signed") if spark else None
+    return C.stash(dealt.groupBy("m").cogroup(replies.groupBy("m")).applyInArrow(signs, _DOC), "signed")
 
 
 def _may_link(percent: int):
@@ -146,7 +145,10 @@ def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (and node, the class) of each document."""
+    """doc_id, h (xxhash64 of the text's bytes), n_shingles, component_id and label, the component, of each document.
+
+    label is null for a document without words, which is linked with nothing.
+    """
     signed = _signed(docs, k, percent)
     found = signed.where("prefix is not null")
     keep = ["typical", "prefix", "sketch", "shared"]
@@ -182,8 +184,24 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     classes = classes.join(labels.withColumnRenamed("v", "node"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     classes = C.stash(classes, "classes")
     least = classes.groupBy("label").agg(F.min("least").alias("component_id"))
-    of = C.stash(classes.join(least, "label").select("node", "component_id"), "classes")
-    return signed.join(of, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "node")
+    of = C.stash(classes.join(least, "label").select("node", "label", "component_id"), "classes")
+    return signed.join(of, "node", "left").select("doc_id", "h", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "label")
+
+
+def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one document of each component: the smallest doc_id (null first), of equal ones the smallest text hash.
+
+    Rows alike in doc_id and text are one document; documents without words all stay.
+    """
+    found = C.stash(ngram_join(docs, k, percent).select("doc_id", "h", "label").where("label is not null"), "found")
+    first = found.groupBy("label").agg(F.min(F.struct("doc_id", "h")).alias("first"))
+    gone = found.join(first, "label").where(~F.struct("doc_id", "h").eqNullSafe(F.col("first")))
+    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("h").alias("gone_h")).distinct()
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(C.text_bytes()).alias("h"))
+    kept = packed.join(C.stash(gone, "gone"), F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("h") == F.col("gone_h")), "left_anti")
+    if not found.groupBy("doc_id", "h").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["id", "h"])
+    return kept.select("row.*")
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,75 @@
-"""Documents to a token store: quality rules, near duplicates, decontamination, mixing, token ids."""
+"""Documents to a token store in five stages, each of which works on all that the one before it kept.
 
+quality rules       rejected documents go: those that fail the base rule, and those of rejected hosts
+near duplicates     one document of each component of the n-gram Jaccard join stays
+decontamination     documents with benchmark windows in a twentieth of their words or more go
+mixing              documents are repeated, or left out, until sources stand at their targets; the one document at
+                    which a source's fraction ends is cut after the words still missing
+token ids           the mix is encoded and written as a token store, and the result is read from its files
+
+A stage's result is written to the shared folder and read again as the next one's documents.  All stages but the
+last return the columns of documents, whatever else these hold.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from arboria.llm import common, decontaminate, mixing, ngram_join, quality, token_store
+
+#: The tokenizer, the near-duplicate closure and the drawn repetitions have no SQL; a brute-force test stands for it.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def _carried(docs: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    rejected = quality.host_rates(quality.annotated(docs)).where(F.col("rate") > 0.8).select(F.col("host").alias("bad"))
+    rows = quality.annotated(docs, carry=_carried(docs)).where(~F.col("base_failed"))
+    return rows.join(rejected, rows["host"].eqNullSafe(F.col("bad")), "left_anti").select("row.*")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.deduplicated(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    judged = decontaminate.decontaminate(docs, common.table(spark, sf_dir, "benchmark"), carry=_carried(docs))
+    return judged.where(~F.col("contaminated")).select("row.*")
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    rows = mixing.mix(docs, carry=_carried(docs)).where(F.col("taken") > 0)
+    rows = rows.withColumns({"whole": F.floor(F.col("taken") / F.col("size")), "rest": F.col("taken") % F.col("size")})
+    copies = F.sequence(F.lit(1), (F.col("whole") + (F.col("rest") > 0).cast("long")).cast("int"))
+    rows = rows.select("row", "whole", "rest", F.explode(copies).alias("copy"))
+    pieces = F.split("row.text", "(?<=[^\\x20\\x09-\\x0D])(?=[\\x20\\x09-\\x0D])")
+    text = F.when(F.col("copy") > F.col("whole"), F.array_join(F.slice(pieces, 1, F.col("rest").cast("int")), "")).otherwise(F.col("row.text"))
+    changed = {"text": text}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return token_store.token_store(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("near duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("mixing", mixed_sources),
+    ("token ids", token_ids),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage, over all documents of sf_dir."""
+    docs = common.table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = common.stash(stage(spark, docs, sf_dir), "stage")
+    return STAGES[-1][1](spark, docs, sf_dir)
