@@ -10,7 +10,7 @@ line (near) stands earlier, by doc_id and line number of the first occurrence; a
 2. A line of length n is cut into edits + 1 segments.  Within `edits` of another line at least one segment stands in
    that unharmed, at a place the lengths bound (multi-match-aware windows).  Blocks of lines learn through `tally`
    which of their length-and-place-aware keys any other line has; few have, and only those become join rows.
-3. Candidates under the length filter and a bigram sketch are verified once a pair, by banded bit-parallel edit
+3. Candidates under the length filter and a parity sketch of bigrams are verified once a pair, by banded bit-parallel edit
    distance.
 
 Defined results: a null text has no lines; a null doc_id comes first; rows of one doc_id and line number are not
@@ -103,7 +103,7 @@ class Lines:
         return C.mix64((self.sum[start + length] - self.sum[start]) * C._powers[1][start] + length.astype(np.uint64))
 
     def sketch(self) -> np.ndarray:
-        """Which of 64 cells the bigrams of each line fall in."""
+        """For each of 64 cells whether an odd number of the line's bigrams falls in it; an edit changes four at most."""
         if not len(self.points):
             return np.zeros(len(self.n), np.uint64)
         pair = C.mix64(self.points[:-1] * np.uint64(1 << 21) + self.points[1:]) >> np.uint64(58) if len(self.points) > 1 else np.zeros(0, np.uint64)
@@ -112,7 +112,7 @@ class Lines:
         bits[last[self.n > 0]] = 0  # no bigram over the end of a line
         out = np.zeros(len(self.n), np.uint64)
         some = self.n > 0
-        out[some] = np.bitwise_or.reduceat(bits, self.at[some])
+        out[some] = np.bitwise_xor.reduceat(bits, self.at[some])
         return out
 
     def keys(self, edits: int, min_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
