@@ -12,6 +12,12 @@ from . import extract as X
 EMITTING = ("class", "function", "block")
 
 
+def first_targets(both: DataFrame) -> DataFrame:
+    """Of a reference's (node_id, ref) targets one: another file's (to_rel, rel) before the own file's, then by to_ord, to."""
+    first = Window.partitionBy("node_id", "ref").orderBy(F.col("to_rel") == F.col("rel"), "to_ord", "to")
+    return both.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+
+
 def resolved(symbols: DataFrame) -> DataFrame:
     """from, to, type, label of each reference that names a definition.
 
@@ -34,9 +40,9 @@ def resolved(symbols: DataFrame) -> DataFrame:
     both = refs.join(targets, "ref").where(F.col("to") != F.col("node_id"))
     outside = (F.col("is_db") & (F.col("to_lang") == "sql")) | (F.col("is_edge") & (F.col("to_lang") == "jsts") & X.is_edge_path(F.col("to_rel")))
     both = both.where(F.when(F.col("is_db") | F.col("is_edge"), outside).otherwise(F.col("to_lang") == F.col("lang")))
-    first = Window.partitionBy("node_id", "ref").orderBy(F.col("to_rel") == F.col("rel"), "to_ord", "to")
+    both = first_targets(both)
     kind = F.when(F.col("is_db") | F.col("is_edge") | (F.col("exact") & F.col("given")), "syntax_dependency").otherwise("dependency")
-    direct = both.withColumn("n", F.row_number().over(first)).where("n = 1").select(F.col("node_id").alias("from"), "to", kind.alias("type"), F.col("ref").alias("label"))
+    direct = both.select(F.col("node_id").alias("from"), "to", kind.alias("type"), F.col("ref").alias("label"))
 
     words = src.select("node_id", "lang", F.explode(F.array_except(X.string_tokens(F.col("snippet")), F.array_union("db", "edge"))).alias("ref"))
     over = words.join(targets, "ref").where((F.col("to") != F.col("node_id")) & (F.col("to_lang") != F.col("lang")))
