@@ -27,7 +27,7 @@ def expanded(seeds: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
         rows = s.join(some, "seed").join(width, "id")
         return rows.select("query_id", "rank", F.lit(part).alias("part"), "span", "ord", "id", "score", F.lit(role).alias("role"), F.col("seed").alias("origin"), F.col("type").alias("link_type"), "label")
 
-    four = links.withColumn("_n", F.row_number().over(Window.partitionBy("from").orderBy("ord"))).where(F.col("_n") <= 4).where(F.col("type") != SYNTAX)
+    four = links.withColumn("_n", F.row_number().over(Window.partitionBy("from").orderBy("ord", "to", "type", "label"))).where(F.col("_n") <= 4).where(F.col("type") != SYNTAX)
     others = s.join(four.select(F.col("from").alias("seed"), F.col("to").alias("id"), "type", "label", "ord"), "seed").join(width.select("id"), "id", "left_semi")
     others = others.select("query_id", "rank", F.lit(3).alias("part"), F.lit(0).alias("span"), "ord", "id", F.greatest(F.lit(1), F.col("score") - 1).alias("score"), F.lit("callee").alias("role"), F.col("seed").alias("origin"), F.col("type").alias("link_type"), "label")
     every = own.unionByName(near("from", "to", 1, "callee")).unionByName(near("to", "from", 2, "caller")).unionByName(others)

@@ -58,7 +58,9 @@ def changes(spark: SparkSession, root: str, suffixes: tuple[str, ...] = (".py",)
 def debounced(events: DataFrame, key: str, at: str, seconds: float) -> DataFrame:
     """Of each path's changes those that no other follows within `seconds`: the last of each burst."""
     following = F.lead(at).over(Window.partitionBy(key).orderBy(at))
-    return events.where(following.isNull() | (F.unix_micros(following) - F.unix_micros(at) >= int(seconds * 1e6)))
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    rows = events.withColumn("_next", following)
+    return rows.where(F.col("_next").isNull() | (micros("_next") - micros(at) >= int(seconds * 1e6))).drop("_next")
 
 
 def settled(batch: DataFrame, key: str = "rel", at: str = "mtime") -> DataFrame:
