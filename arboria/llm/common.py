@@ -163,6 +163,13 @@ def text_bytes(name: str = "text"):
     return F.coalesce(F.col(name).cast("binary"), F.lit(b"")).alias(name)
 
 
+def with_row(rows: DataFrame, ddl: str):
+    """A schema of the column `row` of rows, whatever names that holds, and the columns of a DDL string."""
+    from pyspark.sql.types import StructField, StructType
+
+    return StructType([StructField("row", rows.schema["row"].dataType), *StructType.fromDDL(ddl).fields])
+
+
 # ---- range shards --------------------------------------------------------------------------------------------
 
 

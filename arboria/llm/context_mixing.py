@@ -140,8 +140,8 @@ class Model:
     def __init__(self, n0: np.ndarray, n1: np.ndarray, weights: np.ndarray, bits: int):
         self.n0, self.n1, self.weights, self.bits = n0, n1, weights, bits
         ends = np.flatnonzero(~C.NOT_SPACE | (np.arange(256) == 0))
-        one = np.log(unpacked(n1[:256]) + 0.5) - np.log(unpacked(n0[:256]) + unpacked(n1[:256]) + 1)
-        zero = np.log(unpacked(n0[:256]) + 0.5) - np.log(unpacked(n0[:256]) + unpacked(n1[:256]) + 1)
+        no, yes = (unpacked(n[:256]).astype(np.float64) for n in (n0, n1))
+        one, zero = np.log((yes + 0.5) / (no + yes + 1)), np.log((no + 0.5) / (no + yes + 1))
         path = [sum((one if b >> (7 - d) & 1 else zero)[1 << d | b >> (8 - d)] for d in range(8)) for b in ends.tolist()]
         #: Natural logarithm of the shares of the bytes that may follow a word.
         self.closing = np.full(256, -np.inf)

@@ -158,8 +158,6 @@ def _pass(rows: DataFrame, index: Index) -> DataFrame:
     """rows (row, text) with n_words, n_hit, spans (binary pairs of 64-bit places) and items of one benchmark block."""
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast(index)
-    kind = rows.schema["row"].dataType.simpleString()
-
     def run(batches):
         ix = shared.value
         for batch in batches:
@@ -179,11 +177,11 @@ def _pass(rows: DataFrame, index: Index) -> DataFrame:
                     items[d] = sorted({i for j in np.unique(win[x:y]).tolist() for i in ix.windows.items[j] if i is not None})
                 yield pa.RecordBatch.from_arrays([batch.column("row").slice(a, b - a), pa.array(np.diff(w)), pa.array(n_hit), pa.array(spans, pa.binary()), pa.array(items, pa.list_(pa.string()))], ["row", "n_words", "n_hit", "spans", "items"])
 
-    return rows.mapInArrow(run, f"row {kind}, n_words long, n_hit long, spans binary, items array<string>")
+    return rows.mapInArrow(run, C.with_row(rows, "n_words long, n_hit long, spans binary, items array<string>"))
 
 
 def _merged(parts: list[DataFrame]) -> DataFrame:
-    """The blocks' rows of each document as one; documents equal in every carried column keep their number."""
+    """The blocks' rows of each document as one; documents equal in all carried columns and text keep their number."""
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
@@ -199,23 +197,24 @@ def _merged(parts: list[DataFrame]) -> DataFrame:
                 hits.append(int((ends - np.maximum(s[:, 0], np.concatenate([[0], ends[:-1]]))).clip(0).sum()) if len(s) else 0)
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("n_words"), pa.array(hits, pa.int64()), batch.column("items"), batch.column("c")], ["row", "n_words", "n_hit", "items", "c"])
 
-    kind = one.schema["row"].dataType.simpleString()
-    out = one.mapInArrow(run, f"row {kind}, n_words long, n_hit long, items array<string>, c long")
+    out = one.mapInArrow(run, C.with_row(one, "n_words long, n_hit long, items array<string>, c long"))
     return out.select("row", "n_words", "n_hit", "items", F.explode(F.sequence(F.lit(1), (F.col("c") / len(parts)).cast("int")))).drop("col")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_words: int = 1_000_000, carry=("doc_id",)) -> DataFrame:
     """row (a struct of the carried columns), n_words, n_hit, n_items, items_sha256, contaminated of each document."""
-    rows = docs.select(F.struct(*carry).alias("row"), C.text_bytes())
+    row = F.struct(*carry)
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), C.text_bytes()).where("octet_length(text) > 0")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // (6 * block_words)))
-    parts = []
+    if blocks > 1:  # a document's rows of all blocks are put together by what is carried and its text
+        row = F.struct(row.alias("row"), F.xxhash64(C.text_bytes()).alias("h"))
+    rows, parts = docs.select(row.alias("row"), C.text_bytes()), []
     for k in range(blocks):
         some = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else items
         windows = Windows([(r.item_id, bytes(r.text)) for r in some.toLocalIterator()], window)
         parts.append(_pass(rows, windows.index(_counted(docs, windows.shingles()))))
-    out = parts[0] if blocks == 1 else _merged(parts)
+    out = parts[0] if blocks == 1 else _merged(parts).withColumn("row", F.col("row.row"))
     sha = F.sha2(F.array_join(F.array_sort("items"), ","), 256)
     bad = (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
     return out.select("row", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), sha.alias("items_sha256"), bad.alias("contaminated"))

@@ -163,7 +163,6 @@ _OUT = {"n_words": pa.int64(), "n_base": pa.int64(), "first_word": pa.int64(), "
 def license_scan(docs: DataFrame, carry=("doc_id",)) -> DataFrame:
     """row (a struct of the carried columns), the columns of scan() and the spans in blank-joined words."""
     rows = docs.select(F.struct(*carry).alias("row"), C.text_bytes())
-    kind = rows.schema["row"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
@@ -173,7 +172,7 @@ def license_scan(docs: DataFrame, carry=("doc_id",)) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("row"), *(pa.array(c, k) for c, k in zip(cols, _OUT.values(), strict=True))], ["row", *_OUT])
 
     schema = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<start:int,end:int,label:string>>"
-    return rows.mapInArrow(run, f"row {kind}, {schema}")
+    return rows.mapInArrow(run, C.with_row(rows, schema))
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
