@@ -516,7 +516,7 @@ def upsert_splice(spark, d):
 
 
 @query("""WITH e AS (SELECT event_id, user_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS nx FROM events)
-SELECT event_id FROM e WHERE nx IS NULL OR epoch_us(nx) - epoch_us(ts) >= 3600 * 1000000""")
+SELECT event_id FROM e WHERE nx IS NULL OR epoch_us(nx) - epoch_us(ts) >= 3600000000::BIGINT""")
 def debounce_changes(spark, d):
     return watch.debounced(_t(spark, d, "events"), "user_id", "ts", 3600).select("event_id")
 
