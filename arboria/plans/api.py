@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions import text as T
 from ..operators import embed, view
-from ..sources import scan, store
+from ..sources import scan, store, work
 from . import context, index
 
 
@@ -36,9 +36,7 @@ def resolve_root(asked: str | None, active: str | None, indexed: list[str]) -> R
 class Engine:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.store = spark, store.Store(spark, path)
-
-    def _kept(self, df: DataFrame, name: str) -> DataFrame:
-        return df.persist()
+        self._kept = work.keeper(f"{self.store.path}/_work")
 
     def nodes(self) -> DataFrame | None:
         return self.store.read("nodes")
@@ -55,7 +53,7 @@ class Engine:
         root = root.rstrip("/")
         if reset:
             self.store.reset()
-        files = scan.scan(self.spark, root, max_files).persist()
+        files = self._kept(scan.scan(self.spark, root, max_files), "scan")
         old = self.nodes()
         cache = None
         if old is not None and "embedding" in old.columns:
@@ -121,7 +119,7 @@ class Engine:
         one = one.withColumns({"id": T.concept_id(F.col("title"), F.col("summary")), "node_type": F.lit("concept"), "zoom_threshold": F.lit(20.0), "embedding": embed.hash_embedding(text)})
         old = self.nodes()
         nodes = one if old is None else store.spliced(old, one, one, "id")
-        concepts = nodes.where("node_type = 'concept'").persist()
+        concepts = self._kept(nodes.where("node_type = 'concept'"), "concepts")
         places = embed.projected(concepts.select("id", "embedding")).select("id", F.col("x").alias("px"), F.col("y").alias("py"))
         nodes = nodes.join(places, "id", "left")
         for c, p in (("x", "px"), ("y", "py")):

@@ -107,10 +107,10 @@ def graph(scanned: DataFrame, root: str, max_symbols: int = K.MAX_SYMBOLS, keep=
     """The graph of scanned files (from sources.scan).  keep() materialises what several later steps read."""
     files = keep(scanned.where("outcome = 'kept'"), "files")
     symbols = keep(_symbols(files, max_symbols), "symbols")
-    nodes = layout.placed(with_children(tree(files, symbols, root)))
+    nodes = layout.placed(keep(with_children(keep(tree(files, symbols, root), "tree")), "described"))
     nodes = nodes.withColumns({c: F.col(s) for c, s in (("semantic_x", "x"), ("semantic_y", "y"), ("fixed_x", "x"), ("fixed_y", "y"))})
     described = _described(symbols)
-    nodes = nodes.join(described.withColumnRenamed("node_id", "id"), "id", "left")
+    nodes = keep(nodes.join(described.withColumnRenamed("node_id", "id"), "id", "left"), "placed")
     if vectors:
         own = embed.embedding_text(F.col("title"), F.col("node_type"), F.col("rel"), F.col("signature"), F.col("doc"), F.col("summary"))
         nodes, _ = embed.embedded(nodes.withColumn("embed_text", own), cache)
