@@ -123,6 +123,17 @@ def lowered(buf: np.ndarray) -> np.ndarray:
     return LOWER[buf]
 
 
+def tidy() -> None:
+    """Gives memory that a Python worker has freed back to the system; idle workers count against their executor."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 # ---- folders -------------------------------------------------------------------------------------------------
 
 

@@ -176,6 +176,7 @@ def _pass(rows: DataFrame, index: Index) -> DataFrame:
                     n_hit[d], spans[d] = int((merged[:, 1] - merged[:, 0]).sum()), merged.astype("<i8").tobytes()
                     items[d] = sorted({i for j in np.unique(win[x:y]).tolist() for i in ix.windows.items[j] if i is not None})
                 yield pa.RecordBatch.from_arrays([batch.column("row").slice(a, b - a), pa.array(np.diff(w)), pa.array(n_hit), pa.array(spans, pa.binary()), pa.array(items, pa.list_(pa.string()))], ["row", "n_words", "n_hit", "spans", "items"])
+        C.tidy()
 
     return rows.mapInArrow(run, C.with_row(rows, "n_words long, n_hit long, spans binary, items array<string>"))
 

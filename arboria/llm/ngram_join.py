@@ -106,6 +106,7 @@ def _signed(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
     def asks(t: pa.Table) -> pa.Table:
         keys, many = np.unique(_keys(_sets(t, k), bits), return_counts=True)
+        C.tidy()
         return tally.ask(t.column("m")[0].as_py(), keys, many, bits)
 
     def signs(t: pa.Table, replies: pa.Table) -> pa.Table:
@@ -117,6 +118,8 @@ def _signed(docs: DataFrame, k: int, percent: int) -> DataFrame:
         kinds = {"node": pa.int64(), "typical": pa.int32(), "prefix": places, "sketch": longs, "shared": longs}
         found = list(zip(*_describe(sets, counts, offsets, percent), strict=True)) or [()] * len(kinds)
         columns = [pa.array(c, kind) for c, kind in zip(found, kinds.values(), strict=True)]
+        del sets, every, counts, found
+        C.tidy()
         return pa.table([t.column("doc_id"), t.column("h"), pa.array(np.diff(offsets)), *columns], ["doc_id", "h", "n_shingles", *kinds])
 
     replies = tally.answered(dealt.groupBy("m").applyInArrow(asks, tally.ASKED), tally.steps)

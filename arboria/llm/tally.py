@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from . import common as C
+
 ASKED = "m long, b int, keys binary, counts binary"
 
 
@@ -47,6 +49,8 @@ def answered(asked: DataFrame, encode, schema: str = "m long, b int, reply binar
         _, total, back, ends = totals(t)
         coded = encode(total)[back]
         parts = [coded[x:y].tobytes() for x, y in zip([0, *ends[:-1]], ends, strict=True)]
+        del total, back, coded
+        C.tidy()
         return pa.table([t.column("m"), t.column("b"), pa.array(parts, pa.binary())], ["m", "b", "reply"])
 
     return asked.groupBy("b").applyInArrow(run, schema)

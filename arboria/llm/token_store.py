@@ -222,6 +222,7 @@ def encode(docs: DataFrame, vocabulary: str, end: int = 0) -> DataFrame:
                 ends = pa.py_buffer((o * enc.width).astype(np.int64).tobytes())
                 blob = pa.Array.from_buffers(pa.large_binary(), b - a, [None, ends, raw]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), blob], ["doc_id", "ids"])
+        C.tidy()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), C.text_bytes()).mapInArrow(run, "doc_id long, ids binary")
 
@@ -273,6 +274,7 @@ def write_store(docs: DataFrame, folder: str, vocabulary: str, end: int = 0, sha
                 keys.append(batch.column(0).slice(a, b - a))
         if out is not None:
             rows.append(close())
+        C.tidy()
         cols = list(zip(*rows, strict=True)) or [[]] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["shard", "file", "n_docs", "n_ids", "bytes"])
 
