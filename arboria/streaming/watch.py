@@ -18,26 +18,30 @@ from ..sources import scan
 TEMPORARY = ("~", ".tmp", ".swp", ".part")
 
 
+def latest(files: list[tuple[str, int]]) -> int:
+    return max((at for _, at in files), default=0)
+
+
 class _Reader(SimpleDataSourceStreamReader):
-    def __init__(self, root: str, suffixes: tuple[str, ...]):
-        self.root, self.suffixes = root, suffixes
+    def __init__(self, root: str, suffixes: tuple[str, ...], since: str | None):
+        self.root, self.suffixes, self.since = root, suffixes, since
 
     def _now(self) -> list[tuple[str, int]]:
         return [(rel, at) for rel, _, at in scan.listed(self.root, self.suffixes) if not rel.endswith(TEMPORARY)]
 
     def initialOffset(self) -> dict:
-        return {"at": max((at for _, at in self._now()), default=0)}
+        return {"at": int(self.since) if self.since else latest(self._now())}
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
         rows = [r for r in self._now() if r[1] > start["at"]]
-        return iter(rows), {"at": max((at for _, at in rows), default=start["at"])}
+        return iter(rows), {"at": max(latest(rows), start["at"])}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
         return iter([r for r in self._now() if start["at"] < r[1] <= end["at"]])
 
 
 class FileChanges(DataSource):
-    """Format "file_changes": rel, mtime (ns) of files modified since the last batch.  Options: path, suffixes."""
+    """Format "file_changes": rel, mtime (ns) of files modified since the last batch.  Options: path, suffixes, since (ns)."""
 
     @classmethod
     def name(cls) -> str:
@@ -47,12 +51,14 @@ class FileChanges(DataSource):
         return "rel string, mtime long"
 
     def simpleStreamReader(self, schema) -> _Reader:
-        return _Reader(self.options["path"], tuple(self.options.get("suffixes", ".py").split(",")))
+        return _Reader(self.options["path"], tuple(self.options.get("suffixes", ".py").split(",")), self.options.get("since"))
 
 
 def changes(spark: SparkSession, root: str, suffixes: tuple[str, ...] = (".py",)) -> DataFrame:
+    """Changes from now on: what the tree holds at this call is the baseline."""
     spark.dataSource.register(FileChanges)
-    return spark.readStream.format("file_changes").option("path", root).option("suffixes", ",".join(suffixes)).load()
+    since = latest([(rel, at) for rel, _, at in scan.listed(root, suffixes)])
+    return spark.readStream.format("file_changes").option("path", root).option("suffixes", ",".join(suffixes)).option("since", str(since or 1)).load()
 
 
 def debounced(events: DataFrame, key: str, at: str, seconds: float) -> DataFrame:
