@@ -106,7 +106,7 @@ s AS (SELECT vec_id::VARCHAR AS id, title, (CASE WHEN contains(title, 'label') T
    + 3 AS score, list_dot_product(e, qe) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(qe, qe))) AS sem FROM v, q),
 b AS (SELECT *, greatest(0.0, score / (max(score) OVER ())::DOUBLE + 5.0 * greatest(sem, 0.0)) AS bl FROM s),
 r AS (SELECT *, row_number() OVER (ORDER BY round(bl, 4) DESC, title, id) AS rank FROM b)
-SELECT rank::INT AS rank, id, score::INT AS score, round(bl, 3) AS blended FROM r WHERE rank <= 20""")
+SELECT rank::INT AS rank, id, score::INT AS score, round(round(bl, 4), 3) AS blended FROM r WHERE rank <= 20""")
 def hybrid_blend(spark, d):
     v = _t(spark, d, "embeddings").select("vec_id", F.concat(F.lit("label "), F.col("label").cast("string")).alias("title"), "embedding")
     nodes = v.select(F.col("vec_id").cast("string").alias("id"), "title", F.lit("").alias("summary"), F.lit("").alias("detail_content"), F.lit("symbol").alias("node_type"), F.lit("").alias("source_path"), F.lit("r").alias("index_root"), F.lit(1.0).alias("zoom_threshold"), "embedding")
