@@ -21,6 +21,7 @@ of the input are ignored.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from functools import lru_cache
@@ -131,6 +132,7 @@ class Encoder:
     """Token ids of whole batches; `end` closes each document.  Exactly what encode() gives for each text."""
 
     def __init__(self, path: str, end: int = 0):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a thread a core would keep an allocator's arena each
         from tokenizers import Tokenizer
 
         self.tok, self.end = Tokenizer.from_file(path), end
@@ -146,11 +148,21 @@ class Encoder:
 
     def _forget(self) -> None:
         self.key, self.base, self.n = np.zeros(self.SLOTS, np.uint64), np.zeros(self.SLOTS, np.int32), np.zeros(self.SLOTS, np.int32)
-        self.flat = np.zeros(0, np.uint32)
+        self.flat, self.used = np.zeros(self.SLOTS, np.uint16 if self.width == 2 else np.uint32), 0
+
+    def _remember(self, ids: np.ndarray) -> int:
+        """Puts ids at the end of `flat`, which doubles where it is full, and says where they begin."""
+        at, self.used = self.used, self.used + len(ids)
+        if self.used > len(self.flat):
+            grown = np.zeros(max(2 * len(self.flat), self.used), self.flat.dtype)
+            grown[:at] = self.flat[:at]
+            self.flat = grown
+        self.flat[at : self.used] = ids
+        return at
 
     def _look_up(self, h: np.ndarray, data: np.ndarray, a: np.ndarray, b: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where in `flat` the ids of each unit begin, and how many; units not remembered are encoded."""
-        if len(self.flat) > 8 * self.SLOTS:
+        if self.used > 8 * self.SLOTS:
             self._forget()
         slot = (h & np.uint64(self.SLOTS - 1)).astype(np.int64)
         base, n = self.base[slot], self.n[slot]
@@ -159,8 +171,7 @@ class Encoder:
             _, first, back = np.unique(h[miss], return_index=True, return_inverse=True)
             one = miss[first]
             ids, at, counts = self._units(data.tobytes(), a[one], b[one], plain[one])
-            at = (len(self.flat) + at).astype(np.int32)
-            self.flat = np.concatenate([self.flat, ids])
+            at = (self._remember(ids) + at).astype(np.int32)
             self.key[slot[one]], self.base[slot[one]], self.n[slot[one]] = h[one], at, counts
             same = self.key[slot[one]] == h[one]  # of units for one slot, numpy keeps the last in each array
             self.base[slot[one[same]]], self.n[slot[one[same]]] = at[same], counts[same]
@@ -173,7 +184,7 @@ class Encoder:
         together = np.flatnonzero(plain)
         if len(together):
             texts = [b"".join(data[x:y] for x, y in zip(a[some].tolist(), b[some].tolist(), strict=True)).decode() for some in np.array_split(together, len(together) // 4096 + 1)]
-            ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)])
+            ids = np.concatenate([np.array(e.ids, np.uint32) for text in texts for e in self.tok.encode_batch_fast([text], add_special_tokens=False)])
             at = np.flatnonzero(self.opens[ids])
             if len(at) == len(together) and at[0] == 0:
                 base[together], counts[together] = at, np.diff(np.append(at, len(ids)))
