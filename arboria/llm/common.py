@@ -174,6 +174,18 @@ def text_bytes(name: str = "text"):
     return F.coalesce(F.col(name).cast("binary"), F.lit(b"")).alias(name)
 
 
+def short_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Whole texts go to Python and back in Arrow batches of about `most` bytes, where the session has larger ones.
+
+    A batch stands in the JVM's direct memory (twice while a vector grows) and in Python at once, for each task, and
+    rows that carry their text hold it twice.  The setting stays with the session; a smaller one is kept.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)))
+    if now <= 0 or now > most:
+        spark.conf.set(key, str(most))
+
+
 def with_row(rows: DataFrame, ddl: str):
     """A schema of the column `row` of rows, whatever names that holds, and the columns of a DDL string."""
     from pyspark.sql.types import StructField, StructType

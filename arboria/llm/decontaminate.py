@@ -204,6 +204,7 @@ def _merged(parts: list[DataFrame]) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_words: int = 1_000_000, carry=("doc_id",)) -> DataFrame:
     """row (a struct of the carried columns), n_words, n_hit, n_items, items_sha256, contaminated of each document."""
+    C.short_batches(docs.sparkSession)
     row = F.struct(*carry)
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), C.text_bytes()).where("octet_length(text) > 0")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -98,6 +98,7 @@ def _describe(sets, counts: np.ndarray, offsets: np.ndarray, percent: int):
 
 def _signed(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """A row for each document, with its class and, where it may have partners, prefix and shared shingles."""
+    C.short_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), C.text_bytes())
     size = rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     blocks = max(1, -(-size // BLOCK))

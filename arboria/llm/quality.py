@@ -84,6 +84,7 @@ def annotated(docs: DataFrame, host: str = "source", carry=("doc_id",)) -> DataF
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("host"), *counts], ["row", "host", *(c.split()[0] for c in _COUNTS.split(", "))])
         C.tidy()
 
+    C.short_batches(docs.sparkSession)
     rows = docs.select(F.struct(*carry).alias("row"), F.col(host).cast("string").alias("host"), C.text_bytes())
     return rows.mapInArrow(run, C.with_row(rows, f"host string, {_COUNTS}")).withColumn("base_failed", base_failed())
 

@@ -235,6 +235,7 @@ def encode(docs: DataFrame, vocabulary: str, end: int = 0) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), blob], ["doc_id", "ids"])
         C.tidy()
 
+    C.short_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), C.text_bytes()).mapInArrow(run, "doc_id long, ids binary")
 
 
