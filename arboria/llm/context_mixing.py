@@ -1,18 +1,19 @@
 """Language-model scoring by logistic context mixing [operator 1].
 
 The model gives each byte of a lower-cased text, and a closing zero byte, as eight binary decisions.  Predictors
-of orders 0 to 4 (the bytes before, hashed with the decision's place in the byte's tree) each hold counts of
+of orders 0 to 4 (the bytes before, with the decision's place in the byte's tree) each hold counts of
 zeros and ones; a decision's probability is the logistic mix of their log-odds, by weights that a gate picks:
 the decision's depth and how much the two longest contexts have seen.
 
-Gathering, over all training texts (crc32(doc_id) mod `folds` is not 0): every task counts its five-byte grams
-and sends the distinct ones, so what is gathered grows with the corpus; a gram's last two context bytes choose
-the bucket that adds it up, and a bucket owns its slots of all hashed tables.  A bucket then learns weights
-online: mini-batches of its grams in hash order, each predicted with its own occurrence left out, each followed
-by a gradient step; the buckets' weights are averaged by the grams they saw.  Tables and weights have a fixed size
-(`slot_bits`), so they are broadcast.
+Gathering, over all training texts (crc32(doc_id) mod `folds` is not 0): every block of texts asks with its distinct
+five-byte grams and how often its training texts hold them.  A gram's last two context bytes choose the bucket that
+adds it up, so a bucket has all of its contexts of order 2 and more: it counts them exactly and apart, and there are
+more buckets and more counts the more text there is.  A bucket learns weights online: mini-batches of its grams in
+hash order, each predicted with its own occurrence left out, each followed by a gradient step; the buckets' weights
+are averaged by the grams they saw.  Only the weights and the counts of orders 0 and 1 (65,792 decisions, 64 bits
+each) are broadcast; a bucket mixes each of its grams once and answers the blocks that asked.
 
-Scoring: a block's distinct grams are mixed once.  Each text then is refined as it goes: a match predictor, the
+Scoring: each text then is refined as it goes: a match predictor, the
 byte that followed the last equal six bytes of the same text, is mixed in with a rate that follows its hits and
 misses in the text so far; and a word with the white space (or end) after it, which the bytes give one way, the
 corpus's count of that word gives another, mixed in at the rate at which that was better in the text so far.  All
@@ -31,6 +32,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,7 +40,6 @@ from . import common as C
 from . import tally
 
 ORDERS = 5
-BUCKETS = 64
 GATES = 4
 BLOCK = 6 << 20
 _MATCH = 6  # bytes of context of the match predictor
@@ -65,9 +66,14 @@ def grams(low: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return g[keep][: int(ends[-1])], ends
 
 
-def bucket_of(g: np.ndarray) -> np.ndarray:
-    """By the last two context bytes, which all contexts of order 2 and more hold."""
-    return (C.mix64((g >> np.uint64(8)) & np.uint64(0xFFFF)) >> np.uint64(58)).astype(np.int64)
+def bucket_of(g: np.ndarray, bits: int = 6) -> np.ndarray:
+    """By the last two context bytes, which all contexts of order 2 and more hold; 2^bits buckets."""
+    return (C.mix64((g >> np.uint64(8)) & np.uint64(0xFFFF)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def bucket_bits(size: int) -> int:
+    """A bucket for each 32 MB of text, 64 at least; no more than there are pairs of bytes."""
+    return min(16, max(6, (size >> 25).bit_length()))
 
 
 def _slots(g: np.ndarray, bits: int) -> np.ndarray:
@@ -110,22 +116,58 @@ def start_weights() -> np.ndarray:
     return w
 
 
-def learn_weights(g: np.ndarray, counts: np.ndarray, n0: np.ndarray, n1: np.ndarray, slots: np.ndarray, passes: int = 2) -> np.ndarray:
+def low_counts(pairs: np.ndarray) -> np.ndarray:
+    """Zeros and ones (2, 65792) of the decisions of orders 0 and 1, from the count of each byte after each byte (65536)."""
+    p = pairs.reshape(256, 256)
+    every = np.concatenate([p.sum(axis=0)[None], p])
+    out = np.zeros((2, 257, 256), np.int64)
+    for depth in range(8):
+        out[:, :, 1 << depth : 2 << depth] = every.reshape(257, 1 << depth, 2, -1).sum(axis=3).transpose(2, 0, 1)
+    return out.reshape(2, -1)
+
+
+class Nodes:
+    """Counts of zeros and ones in the contexts of a bucket's grams (distinct, all that the bucket has)."""
+
+    def __init__(self, g: np.ndarray, counts: np.ndarray, low: np.ndarray, bits: int | None = None):
+        self.g, self.low, self.orders = g, low, []
+        for k in range(2, ORDERS):
+            key = g & np.uint64((1 << 8 * (k + 1)) - 1)
+            if bits is not None:
+                key = C.mix64((key >> np.uint64(8)) * np.uint64(2 * k + 1) + np.uint64(k)) >> np.uint64(64 - max(1, bits - 6)) << np.uint64(8) | (key & np.uint64(255))
+            order = np.argsort(key, kind="stable")
+            self.orders.append((order, key[order], counts[order].astype(np.float64)))
+
+    def counts(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """(orders, grams) of each gram's decision at a depth: a run of equal context and bits before it."""
+        out = np.zeros((2, ORDERS, len(self.g)), np.float32)
+        node = (1 << depth) | ((self.g & np.uint64(255)) >> np.uint64(8 - depth)).astype(np.int64)
+        out[:, 0] = self.low[:, node]
+        out[:, 1] = self.low[:, 256 + ((self.g >> np.uint64(8)) & np.uint64(255)).astype(np.int64) * 256 + node]
+        for k, (order, key, n) in enumerate(self.orders, 2):
+            run = np.concatenate([[0], np.cumsum(np.diff(key >> np.uint64(8 - depth)) != 0)]) if len(key) else np.zeros(0, np.int64)
+            bit = (key >> np.uint64(7 - depth)) & np.uint64(1)
+            for b in range(2):
+                out[b, k, order] = np.bincount(run, weights=n * (bit == b))[run] if len(key) else 0
+        return out[0], out[1]
+
+
+def learn_weights(g: np.ndarray, counts: np.ndarray, nodes: Nodes, passes: int = 2) -> np.ndarray:
     """Online: a gradient step after each mini-batch of grams, every occurrence left out of its own prediction."""
     w = start_weights()
     order = np.argsort(C.mix64(g))
     byte = (g & np.uint64(255)).astype(np.int64)
-    steps = 0
-    for _ in range(passes):
-        for a in range(0, len(g), 2048):
-            some = order[a : a + 2048]
-            rate = 0.5 / (1 + steps / 40) ** 0.5
-            steps += 1
-            mass = np.minimum(counts[some], 50).astype(np.float32)
-            for depth in range(8):
-                s = slots[:, some, depth]
+    for depth in range(8):
+        n0, n1 = nodes.counts(depth)
+        steps = 0
+        for _ in range(passes):
+            for a in range(0, len(g), 2048):
+                some = order[a : a + 2048]
+                rate = 0.5 / (1 + steps / 40) ** 0.5
+                steps += 1
+                mass = np.minimum(counts[some], 50).astype(np.float32)
                 bit = ((byte[some] >> (7 - depth)) & 1).astype(np.float32)
-                x, gate = _inputs(np.maximum(n0[s] - (1 - bit), 0), np.maximum(n1[s] - bit, 0))
+                x, gate = _inputs(np.maximum(n0[:, some] - (1 - bit), 0), np.maximum(n1[:, some] - bit, 0))
                 p = _logistic((w[depth][gate] * x.T).sum(axis=1))
                 step = ((bit - p) * mass)[:, None] * x.T
                 total = np.bincount(gate, weights=mass, minlength=3 * GATES) + 1e-9
@@ -135,67 +177,40 @@ def learn_weights(g: np.ndarray, counts: np.ndarray, n0: np.ndarray, n1: np.ndar
 
 
 class Model:
-    """Counts of all slots, and the weights; `nats` are a gram's decisions together."""
+    """Weights and counts of slots: those of orders 0 and 1 alone, the others being a bucket's, or all of them."""
 
-    def __init__(self, n0: np.ndarray, n1: np.ndarray, weights: np.ndarray, bits: int):
+    def __init__(self, n0: np.ndarray, n1: np.ndarray, weights: np.ndarray, bits: int | None):
         self.n0, self.n1, self.weights, self.bits = n0, n1, weights, bits
         ends = np.flatnonzero(~C.NOT_SPACE | (np.arange(256) == 0))
-        no, yes = (unpacked(n[:256]).astype(np.float64) for n in (n0, n1))
+        no, yes = (n[:256].astype(np.float64) for n in (n0, n1))
         one, zero = np.log((yes + 0.5) / (no + yes + 1)), np.log((no + 0.5) / (no + yes + 1))
         path = [sum((one if b >> (7 - d) & 1 else zero)[1 << d | b >> (8 - d)] for d in range(8)) for b in ends.tolist()]
         #: Natural logarithm of the shares of the bytes that may follow a word.
         self.closing = np.full(256, -np.inf)
         self.closing[ends] = path - np.logaddexp.reduce(path)
 
-    #: Slots of the memory of grams: a gram's nats stay at its hash's slot until another gram takes that.
-    SLOTS = 1 << 20
-
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("key", "value")}
-
     def nats(self, g: np.ndarray) -> np.ndarray:
-        """Natural logarithm of each gram's last byte's probability; those seen lately are remembered."""
-        if not hasattr(self, "key"):
-            self.key, self.value = np.full(self.SLOTS, 2**63, np.uint64), np.zeros(self.SLOTS)
-        slot = ((g * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
-        out = self.value[slot]
-        miss = np.flatnonzero(self.key[slot] != g)
-        if len(miss):
-            one, first, back = np.unique(g[miss], return_index=True, return_inverse=True)
-            mixed = self._mixed(one)
-            out[miss] = mixed[back]
-            at = slot[miss[first]]
-            last = np.zeros(len(one), bool)
-            last[len(one) - 1 - np.unique(at[::-1], return_index=True)[1]] = True  # one gram a slot
-            self.key[at[last]], self.value[at[last]] = one[last], mixed[last]
-        return out
+        """Natural logarithm of each gram's last byte's probability, by a model that has the slots of all orders."""
+        slots = _slots(g, self.bits)
+        return self._mixed(g, lambda depth: (self.n0[slots[:, :, depth]].astype(np.float32), self.n1[slots[:, :, depth]].astype(np.float32)))
+
+    def bucket_nats(self, g: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The same of all distinct grams of a bucket, with their counts in training texts."""
+        return self._mixed(g, Nodes(g, counts, np.stack([self.n0, self.n1]), self.bits).counts)
 
-    def _mixed(self, g: np.ndarray) -> np.ndarray:
+    def _mixed(self, g: np.ndarray, counts) -> np.ndarray:
         out = np.zeros(len(g), np.float64)
-        for a in range(0, len(g), 1 << 15):
-            some = g[a : a + (1 << 15)]
-            slots = _slots(some, self.bits)
-            byte = (some & np.uint64(255)).astype(np.int64)
-            for depth in range(8):
-                s = slots[:, :, depth]
-                x, gate = _inputs(unpacked(self.n0[s]), unpacked(self.n1[s]))
+        byte = (g & np.uint64(255)).astype(np.int64)
+        for depth in range(8):
+            n0, n1 = counts(depth)
+            for a in range(0, len(g), 1 << 15):
+                some = slice(a, a + (1 << 15))
+                x, gate = _inputs(n0[:, some], n1[:, some])
                 dot = (self.weights[depth][gate] * x.T).sum(axis=1).clip(-20, 20)
-                out[a : a + len(some)] -= np.logaddexp(0, np.where((byte >> (7 - depth)) & 1, -dot, dot))
+                out[some] -= np.logaddexp(0, np.where((byte[some] >> (7 - depth)) & 1, -dot, dot))
         return out
 
 
-def packed(n: np.ndarray) -> np.ndarray:
-    """Counts on one byte: exact below 64, then twelve steps to each doubling."""
-    return np.where(n < 64, n, np.minimum(255, 64 + np.round(12 * np.log2(np.maximum(n, 64) / 64)))).astype(np.uint8)
-
-
-_UNPACKED = np.where(np.arange(256) < 64, np.arange(256), 64 * 2.0 ** ((np.arange(256) - 64) / 12)).astype(np.float32)
-
-
-def unpacked(b: np.ndarray) -> np.ndarray:
-    return _UNPACKED[b]
-
-
 # ---- gathering -------------------------------------------------------------------------------------------------
 
 
@@ -209,63 +224,93 @@ def _gram_counts(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray
     return distinct, np.bincount(back, weights=np.concatenate([p[1] for p in parts]) if parts else None, minlength=len(distinct)).astype(np.int64)
 
 
-def gather(docs: DataFrame, folds: int, bits: int) -> Model:
-    """The model of all training documents; the driver gets tables of a fixed size."""
+def ask_grams(m: int, parts: list[tuple[np.ndarray, np.ndarray]], bits: int) -> pa.Table:
+    """A block's distinct grams and their counts in its training texts, by bucket; bucket k is -1 - k."""
+    g, n = _gram_counts(parts)
+    b = bucket_of(g, bits)
+    order = np.argsort(b, kind="stable")
+    edges = np.searchsorted(b[order], np.arange((1 << bits) + 1))
+    cut = [(-1 - k, order[x:y]) for k, (x, y) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if x < y]
+    return pa.table([
+        pa.array([m] * len(cut), pa.int64()), pa.array([k for k, _ in cut], pa.int32()),
+        pa.array([_six(g[i]) for _, i in cut], pa.binary()), pa.array([n[i].astype("<u4").tobytes() for _, i in cut], pa.binary()),
+    ], ["m", "b", "keys", "counts"])
+
+
+def _asked_grams(t) -> tuple[np.ndarray, np.ndarray]:
+    return _of_six(b"".join(t.column("keys").to_pylist())), np.frombuffer(b"".join(t.column("counts").to_pylist()), "<u4")
+
+
+def gather(asked: DataFrame, slot_bits: int | None) -> Model:
+    """Of what blocks asked: counts of orders 0 and 1, and the weights."""
 
-    def count(batches):
-        parts, size = [], 0
+    def pairs(batches):
+        total = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            buf, off = C.flat(batch.column("text"))
-            train = ~held_out(batch.column("doc_id").to_pylist(), folds)
-            for a, b in C.chunks(off):
-                g, ends = grams(C.lowered(buf[off[a] : off[b]]), off[a : b + 1] - off[a])
-                g = g[np.repeat(train[a:b], np.diff(ends))]
-                distinct, n = np.unique(g, return_counts=True)
-                parts.append((distinct, n))
-                size += len(distinct)
-                if size > 3_000_000:
-                    parts = [_gram_counts(parts)]
-                    size = len(parts[0][0])
-        g, n = _gram_counts(parts)
-        b = bucket_of(g)
-        order = np.argsort(b, kind="stable")
-        edges = np.searchsorted(b[order], np.arange(BUCKETS + 1))
-        rows = [(k, order[x:y]) for k, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if x < y]
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([_six(g[i]) for _, i in rows], pa.binary()), pa.array([n[i].astype("<u4").tobytes() for _, i in rows], pa.binary())], ["b", "grams", "counts"])
+            g, n = _asked_grams(batch)
+            total += np.bincount((g & np.uint64(0xFFFF)).astype(np.int64), weights=n, minlength=1 << 16).astype(np.int64)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some], pa.int64())], ["pair", "n"])
+
+    count = np.zeros(1 << 16, np.int64)
+    for r in asked.select("keys", "counts").mapInArrow(pairs, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        count[r.pair] = r.n
+    low = low_counts(count)
+    shared = asked.sparkSession.sparkContext.broadcast(low)
 
     def learn(t: pa.Table) -> pa.Table:
-        parts = [(_of_six(g), np.frombuffer(n, "<u4")) for g, n in zip(t.column("grams").to_pylist(), t.column("counts").to_pylist(), strict=True)]
-        g, counts = _gram_counts(parts)
-        n0, n1 = np.zeros(table_size(bits), np.float32), np.zeros(table_size(bits), np.float32)
-        slots = _slots(g, bits)
-        bit = ((g & np.uint64(255)).astype(np.int64)[:, None] >> (7 - np.arange(8))) & 1
-        for k in range(ORDERS):
-            s, one = slots[k].reshape(-1), np.repeat(counts, 8) * bit.reshape(-1)
-            np.add.at(n1, s, one.astype(np.float32))
-            np.add.at(n0, s, (np.repeat(counts, 8) - one).astype(np.float32))
-        w = learn_weights(g, counts, n0, n1, slots)
-        bucket, inner, low = int(t.column("b")[0].as_py()), bits - 6, 256 + 65536
-        own = [slice(low + (k << bits) + (bucket << inner), low + (k << bits) + ((bucket + 1) << inner)) for k in range(ORDERS - 2)]
-        small = b"".join(x[:low].astype("<f4").tobytes() for x in (n0, n1))
-        hashed = b"".join(packed(x[s]).tobytes() for x in (n0, n1) for s in own)
-        return pa.table([pa.array([bucket], pa.int32()), pa.array([small], pa.binary()), pa.array([hashed], pa.binary()), pa.array([w.tobytes()], pa.binary()), pa.array([len(g)], pa.int64())], ["b", "small", "hashed", "weights", "seen"])
-
-    sent = docs.mapInArrow(count, "b int, grams binary, counts binary")
-    rows = sent.groupBy("b").applyInArrow(learn, "b int, small binary, hashed binary, weights binary, seen long").collect()
-    low, inner = 256 + 65536, bits - 6
-    small, tables = np.zeros(2 * low, np.float64), np.zeros((2, table_size(bits)), np.uint8)
+        g, n = _gram_counts([_asked_grams(t)])
+        g, n = g[n > 0], n[n > 0]
+        w = learn_weights(g, n, Nodes(g, n, shared.value, slot_bits))
+        C.tidy()
+        return pa.table([t.column("b").slice(0, 1), pa.array([w.tobytes()], pa.binary()), pa.array([len(g)], pa.int64())], ["b", "weights", "seen"])
+
     weights, seen = np.zeros(start_weights().size), 0
-    for r in sorted(rows, key=lambda r: r.b):
-        small += np.frombuffer(r.small, "<f4")
-        part = np.frombuffer(r.hashed, np.uint8).reshape(2, ORDERS - 2, 1 << inner)
-        for k in range(ORDERS - 2):
-            at = low + (k << bits) + (r.b << inner)
-            tables[:, at : at + (1 << inner)] = part[:, k]
+    for r in sorted(asked.groupBy("b").applyInArrow(learn, "b int, weights binary, seen long").collect(), key=lambda r: r.b):
         weights += np.frombuffer(r.weights, np.float32).astype(np.float64) * r.seen
         seen += r.seen
-    tables[:, :low] = packed(small).reshape(2, low)
     w = (weights / seen).astype(np.float32).reshape(start_weights().shape) if seen else start_weights()
-    return Model(tables[0], tables[1], w, bits)
+    return Model(low[0], low[1], w, slot_bits)
+
+
+def answered_grams(asked: DataFrame, model) -> DataFrame:
+    """Each block's grams with their nats, 32 bits each, after them."""
+
+    def run(t: pa.Table) -> pa.Table:
+        every, n = _asked_grams(t)
+        g, back = np.unique(every, return_inverse=True)
+        nats = model.value.bucket_nats(g, np.bincount(back, weights=n, minlength=len(g)).astype(np.int64)).astype("<f4")[back]
+        keys = t.column("keys").to_pylist()
+        ends = np.cumsum([len(k) // 5 for k in keys]).tolist()
+        parts = [k + nats[x:y].tobytes() for k, x, y in zip(keys, [0, *ends[:-1]], ends, strict=True)]
+        del every, n, g, back, nats
+        C.tidy()
+        return pa.table([t.column("m"), t.column("b"), pa.array(parts, pa.binary())], ["m", "b", "reply"])
+
+    return asked.groupBy("b").applyInArrow(run, "m long, b int, reply binary")
+
+
+class Answers:
+    """Nats of a block's grams; most are found by the hash's slot, the others by search."""
+
+    def __init__(self, replies: list[bytes]):
+        cut = [len(r) // 9 * 5 for r in replies]
+        g = _of_six(b"".join(r[:c] for r, c in zip(replies, cut, strict=True)))
+        order = np.argsort(g)
+        self.g = g[order]
+        self.value = np.frombuffer(b"".join(r[c:] for r, c in zip(replies, cut, strict=True)), "<f4").astype(np.float64)[order]
+        self.shift = np.uint64(64 - max(1, (4 * len(g)).bit_length()))
+        self.at = np.zeros(1 << (64 - int(self.shift)), np.int32)
+        self.at[self._slot(self.g)] = np.arange(len(g), dtype=np.int32)
+
+    def _slot(self, g: np.ndarray) -> np.ndarray:
+        return ((g * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def nats(self, g: np.ndarray) -> np.ndarray:
+        at = self.at[self._slot(g)]
+        miss = np.flatnonzero(self.g[at] != g)
+        at[miss] = np.searchsorted(self.g, g[miss])
+        return self.value[at]
 
 
 def _six(g: np.ndarray) -> bytes:
@@ -329,14 +374,16 @@ def with_words(nats: np.ndarray, e: np.ndarray, starts: np.ndarray, ends: np.nda
     return np.diff(upto[e]) + np.diff(np.concatenate([[0], np.cumsum(gain)])[w])
 
 
-def score_documents(docs: DataFrame, folds: int = 10, slot_bits: int = 20) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte of each document."""
+def score_documents(docs: DataFrame, folds: int = 10, slot_bits: int | None = 20) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte of each document.
+
+    slot_bits: folds a bucket's contexts of an order on 2^(slot_bits - 6), for a small model; None keeps all apart.
+    """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), C.text_bytes())
-    model = spark.sparkContext.broadcast(gather(rows, folds, slot_bits))
     size = rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     blocks = max(1, -(-size // BLOCK))
-    bits = tally.bucket_bits(size // 6)
+    bits, spread = tally.bucket_bits(size // 6), bucket_bits(size)
     dealt = rows.withColumn("m", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).repartition(blocks, "m")
 
     def tokens(t: pa.Table):
@@ -349,12 +396,27 @@ def score_documents(docs: DataFrame, folds: int = 10, slot_bits: int = 20) -> Da
 
     def asks(t: pa.Table) -> pa.Table:
         train = ~held_out(t.column("doc_id").to_pylist(), folds)
-        parts = [(h, np.repeat(train[a:b], np.diff(w))) for a, b, _, _, h, w, _, _ in tokens(t)]
+        parts, seen, size = [], [], 0
+        for a, b, low, o, h, w, _, _ in tokens(t):
+            parts.append((h, np.repeat(train[a:b], np.diff(w))))
+            g, e = grams(low, o)
+            ours = np.repeat(train[a:b], np.diff(e))
+            seen.append(np.unique(g[ours], return_counts=True))
+            others = np.unique(g[~ours])
+            seen.append((others, np.zeros(len(others), np.int64)))
+            size += len(seen[-2][0]) + len(others)
+            if size > 3_000_000:
+                seen = [_gram_counts(seen)]
+                size = len(seen[0][0])
         h = np.concatenate([p[0] for p in parts]) >> np.uint64(32 - bits)
         distinct, back = np.unique(h, return_inverse=True)
-        return tally.ask(t.column("m")[0].as_py(), distinct, np.bincount(back, weights=np.concatenate([p[1] for p in parts]), minlength=len(distinct)), bits)
+        m = t.column("m")[0].as_py()
+        words = tally.ask(m, distinct, np.bincount(back, weights=np.concatenate([p[1] for p in parts]), minlength=len(distinct)), bits)
+        return pa.concat_tables([words, ask_grams(m, seen, spread)])
 
-    asked = C.stash(dealt.groupBy("m").applyInArrow(asks, tally.ASKED), "asked")
+    both = C.stash(dealt.groupBy("m").applyInArrow(asks, tally.ASKED), "asked")
+    asked, asked_grams = both.where("b >= 0"), both.where("b < 0")
+    model = spark.sparkContext.broadcast(gather(asked_grams, slot_bits))
 
     def summed(t: pa.Table) -> pa.Table:
         _, total, _, _ = tally.totals(t)
@@ -365,14 +427,15 @@ def score_documents(docs: DataFrame, folds: int = 10, slot_bits: int = 20) -> Da
     v, n = int(v or 0) + (ends_ > 0), int(n or 0) + ends_
     floor = np.log10(n + 0.1 * (v + 1))
     end_known, end_score = ends_ > 0, float(np.log10(ends_ + 0.1) - floor)
-    replies = tally.answered(asked, lambda total: total.astype("<i8"))
+    replies = tally.answered(asked, lambda total: total.astype("<i8")).union(answered_grams(asked_grams, model))
 
     def scores(t: pa.Table, r: pa.Table) -> pa.Table:
-        m = model.value
+        closing, of_words = model.value.closing, pc.greater_equal(r.column("b"), 0)
+        answers = Answers(r.filter(pc.invert(of_words)).column("reply").to_pylist())
         out_ids = held_out(t.column("doc_id").to_pylist(), folds)
         parts = list(tokens(t))
         every = np.concatenate([p[4] for p in parts]) >> np.uint64(32 - bits) if parts else np.zeros(0, np.uint64)
-        counts = tally.in_order(r, "<i8")
+        counts = tally.in_order(r.filter(of_words), "<i8")
         distinct = np.unique(every)
         cols = [[] for _ in range(5)]
         for a, b, low, o, h, w, first, after in parts:
@@ -382,8 +445,8 @@ def score_documents(docs: DataFrame, folds: int = 10, slot_bits: int = 20) -> Da
             cols[1].append(add(c > 0, w).astype(np.int64) + end_known)
             cols[2].append(add(np.log10(c + 0.1) - floor, w) + end_score)
             g, e = grams(low, o)
-            nats = refined(g, e, m.nats(g))
-            known = np.log(np.maximum(c, 1)) - np.log(max(1, n - ends_)) + m.closing[(g[after + np.repeat(np.arange(b - a), np.diff(w))] & np.uint64(255)).astype(np.int64)]
+            nats = refined(g, e, answers.nats(g))
+            known = np.log(np.maximum(c, 1)) - np.log(max(1, n - ends_)) + closing[(g[after + np.repeat(np.arange(b - a), np.diff(w))] & np.uint64(255)).astype(np.int64)]
             cols[3].append(with_words(nats, e, first, after, w, np.where(c > 0, known, -np.inf)) / np.log(10))
             cols[4].append(np.diff(e))
         tokens_, known, base, score, size_ = (np.concatenate(x) for x in cols)

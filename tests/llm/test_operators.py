@@ -103,6 +103,22 @@ def test_grams_hold_the_bytes_before():
     assert ends.tolist() == [0, 7, 8, 11]
 
 
+def test_counts_of_orders_0_and_1_have_no_top():
+    """Shares stay right in contexts that a corpus of many GB has more than four million times."""
+    pairs = np.zeros((256, 256), np.int64)
+    pairs[ord("e"), ord(" ")], pairs[ord("e"), ord("\n")], pairs[ord("a"), ord("b")] = 5_046_884_000, 95_512_000, 3
+    n0, n1 = context_mixing.low_counts(pairs.reshape(-1))
+    closing = np.exp(context_mixing.Model(n0, n1, context_mixing.start_weights(), 14).closing)
+    assert abs(closing[10] / closing[32] - 95_512 / 5_046_884) < 1e-6
+    for k in range(8):  # every decision on the way to a line feed
+        node, want = (1 << k) | (10 >> (8 - k)), [sum(n for c, n in ((32, 5_046_884_000), (10, 95_512_000), (98, 3)) if c >> (8 - k) == 10 >> (8 - k) and c >> (7 - k) & 1 == b) for b in (0, 1)]
+        assert [n0[node], n1[node]] == want
+    g = np.array([int.from_bytes(b"abcd" + c, "big") for c in (b"e", b"f")], np.uint64)
+    # e (01100101) and f (01100110) part at the seventh bit
+    n0, n1 = context_mixing.Nodes(g, np.array([60_000_000, 3_000_000_000]), np.zeros((2, 65_792), np.int64)).counts(6)
+    assert np.allclose(n1[2:] / n0[2:], 50)
+
+
 # ---- 2 ---------------------------------------------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style></head><body><header><a href="/">Site</a></header>
