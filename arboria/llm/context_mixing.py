@@ -374,7 +374,7 @@ def with_words(nats: np.ndarray, e: np.ndarray, starts: np.ndarray, ends: np.nda
     return np.diff(upto[e]) + np.diff(np.concatenate([[0], np.cumsum(gain)])[w])
 
 
-def score_documents(docs: DataFrame, folds: int = 10, slot_bits: int | None = 20) -> DataFrame:
+def score_documents(docs: DataFrame, folds: int = 10, slot_bits: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte of each document.
 
     slot_bits: folds a bucket's contexts of an order on 2^(slot_bits - 6), for a small model; None keeps all apart.

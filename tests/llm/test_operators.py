@@ -119,6 +119,33 @@ def test_counts_of_orders_0_and_1_have_no_top():
     assert np.allclose(n1[2:] / n0[2:], 50)
 
 
+def test_contexts_are_kept_apart_however_many():
+    """40,000 contexts of a bucket, more than the 16,384 slots it once had: counts are those of each context alone."""
+    assert context_mixing.score_documents.__defaults__[1] is None
+    rng = np.random.default_rng(5)
+    g = np.unique((rng.integers(0, 40_000, 90_000).astype(np.uint64) << np.uint64(24)) | np.uint64(0x656E00) | rng.integers(97, 105, 90_000).astype(np.uint64))
+    counts = rng.integers(0, 9, len(g))
+    want = defaultdict(lambda: [0, 0])
+    for x, n in zip(g.tolist(), counts.tolist(), strict=True):
+        for k in range(2, 5):
+            for depth in range(8):
+                want[k, x >> 8 & (1 << 8 * k) - 1, depth, (x & 255) >> (8 - depth)][x >> (7 - depth) & 1] += n
+    nodes = context_mixing.Nodes(g, counts, np.zeros((2, 65_792), np.int64))
+    for depth in (0, 5, 7):
+        got = np.stack(nodes.counts(depth))
+        for i in range(0, len(g), 7):
+            for k in range(2, 5):
+                x = int(g[i])
+                assert got[:, k, i].tolist() == want[k, x >> 8 & (1 << 8 * k) - 1, depth, (x & 255) >> (8 - depth)]
+
+
+def test_buckets_grow_with_the_corpus():
+    assert context_mixing.bucket_bits(10 << 20) == 6 and context_mixing.bucket_bits(30 << 30) == 10
+    g = np.arange(1 << 16, dtype=np.uint64) << np.uint64(8)
+    b = context_mixing.bucket_of(g, 10)
+    assert len(np.unique(b)) == 1024 and np.array_equal(b, context_mixing.bucket_of(g | np.uint64(0x7F000000AA), 10))
+
+
 # ---- 2 ---------------------------------------------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style></head><body><header><a href="/">Site</a></header>
