@@ -97,7 +97,7 @@ def search_ranked(spark, d):
 
 @query(_search_sql("SELECT item_id AS query_id, left(text, 40) AS query FROM benchmark", 5))
 def search_batch(spark, d):
-    q = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.left("text", F.lit(40)).alias("query"), F.lit(None).cast("string").alias("root"))
+    q = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.lit(None).cast("string").alias("root"))
     return search.search(scan.documents_as_nodes(_t(spark, d, "documents")), q, limit=5)
 
 
@@ -136,8 +136,8 @@ def _any_sql(col: str, words) -> str:
 @query(f"""SELECT doc_id, greatest(0.0, least(1.0, 0.5 + (CASE WHEN {_any_sql("lower(left(text, 200))", K.BROAD_HINTS)} THEN 0.35 ELSE 0.0 END)
   - (CASE WHEN {_any_sql("lower(left(text, 200))", K.DETAIL_HINTS)} THEN 0.35 ELSE 0.0 END) + (CASE WHEN n_chars >= 9000 THEN 0.1 ELSE 0.0 END)))::DOUBLE AS zoom FROM documents WHERE lang = 'en'""")
 def query_zoom(spark, d):
-    docs = _t(spark, d, "documents").where("lang = 'en'")
-    return docs.select("doc_id", S.query_zoom(F.left("text", F.lit(200)), F.col("n_chars")).cast("double").alias("zoom"))
+    docs = _t(spark, d, "documents")
+    return docs.select("doc_id", S.query_zoom(F.col("text"), F.col("n_chars")).cast("double").alias("zoom"))
 
 
 @query(f"""WITH {FILES_SQL}, h AS (SELECT doc_id, rel, lower(rel || ' ' || text) AS x FROM files)
@@ -176,8 +176,8 @@ def line_stats(spark, d):
 @query(r"""WITH s AS (SELECT doc_id, list_filter(string_split(left(text, 2000), chr(10)), lambda x: trim(x) <> '')[1:5] AS l FROM documents WHERE lang = 'en')
 SELECT doc_id, len(l) > 0 AND list_sum(list_transform(l, lambda x: length(x))) > 500 * len(l) AS minified FROM s""")
 def minified_sniff(spark, d):
-    docs = _t(spark, d, "documents").where("lang = 'en'")
-    return docs.select("doc_id", scan.minified(F.lit("a/b.js"), F.left("text", F.lit(2000)).cast("binary")).alias("minified"))
+    docs = _t(spark, d, "documents")
+    return docs.select("doc_id", scan.minified(F.lit("a/b.js"), F.col("text").cast("binary")).alias("minified"))
 
 
 @query(f"""WITH {FILES_SQL}, g AS (SELECT rel, sha1(text) AS sha1, octet_length(encode(text)) AS size, row_number() OVER (ORDER BY source, lang, doc_id || '.txt') AS ord, contains(text, chr(0)) AS nul FROM files)
@@ -220,7 +220,7 @@ def _risk_sql(col: str) -> str:
 
 @query(f"SELECT doc_id, {_risk_sql('lower(text)')}::INT AS risk FROM documents WHERE lang <> 'xx'")
 def risk_score(spark, d):
-    return _t(spark, d, "documents").where("lang <> 'xx'").select("doc_id", S.risk_score(F.col("text")).cast("int").alias("risk"))
+    return _t(spark, d, "documents").select("doc_id", S.risk_score(F.col("text")).cast("int").alias("risk"))
 
 
 @query(f"""WITH {FILES_SQL}, r AS (SELECT source, lang, {_risk_sql("lower(text)")}::INT AS risk FROM files)
@@ -262,7 +262,7 @@ n AS (SELECT doc_id, CASE WHEN l[len(l)] = '' THEN l[1:len(l) - 1] ELSE l END AS
 h AS (SELECT *, lead(no) OVER (PARTITION BY doc_id ORDER BY no) AS nx FROM x WHERE regexp_matches(line, '^#{1,4}\s+.*\S'))
 SELECT doc_id::VARCHAR AS rel, trim(regexp_extract(line, '^#{1,4}\s+(.*)$', 1)) AS name, no::INT AS line_start, greatest(no, coalesce(nx, n + 1) - 1)::INT AS line_end FROM h""")
 def markdown_sections(spark, d):
-    docs = _t(spark, d, "documents").where("lang = 'en'")
+    docs = _t(spark, d, "documents")
     files = docs.select(F.col("doc_id").cast("string").alias("rel"), F.regexp_replace("text", r"(^|\n)(Th)", "$1## $2").alias("text"))
     return extract.markdown_sections(files).select("rel", "name", "line_start", "line_end")
 
@@ -272,7 +272,7 @@ n AS (SELECT doc_id, CASE WHEN l[len(l)] = '' THEN l[1:len(l) - 1] ELSE l END AS
 SELECT doc_id::VARCHAR AS rel, left(trim(regexp_replace(string_split(trim(line), '(')[1], 'def |class |function ', '', 'g')), 80) AS name, no::INT AS line_start, least(n, no + 24)::INT AS line_end
 FROM x WHERE regexp_matches(trim(line), '^(def |class |function )')""")
 def named_blocks(spark, d):
-    docs = _t(spark, d, "documents").where("lang = 'en'")
+    docs = _t(spark, d, "documents")
     files = docs.select(F.col("doc_id").cast("string").alias("rel"), F.regexp_replace("text", r"(^|\n)(Th)", "$1def $2").alias("text"))
     return extract.named_blocks(files).select("rel", "name", "line_start", "line_end")
 
@@ -281,7 +281,7 @@ def named_blocks(spark, d):
 SELECT doc_id, list_sort(list_distinct(list_filter(regexp_extract_all(x, '\b([A-Za-z_][A-Za-z0-9_]*)\s*\(', 1), lambda w: NOT list_contains([{_list(K.REFERENCE_STOPWORDS)}], lower(w)))
   || regexp_extract_all(x, '\bextends\s+([A-Za-z_$][\w$]*)', 1))) AS refs FROM t""")
 def call_refs(spark, d):
-    docs = _t(spark, d, "documents").where("lang = 'en'")
+    docs = _t(spark, d, "documents")
     x = F.replace(F.replace(F.col("text"), F.lit(" of "), F.lit("( ")), F.lit(" by "), F.lit(" extends "))
     return docs.select("doc_id", extract.references(x).alias("refs"))
 
@@ -295,7 +295,7 @@ def string_tokens(spark, d):
 @query(rf"""SELECT doc_id, list_sort(list_distinct(list_filter(regexp_extract_all(text, '(?i)\b(?:FROM|JOIN|INTO|UPDATE)\s+(?:ONLY\s+)?"?([A-Za-z_][\w$]*)', 1),
   lambda w: length(w) >= 3 AND NOT list_contains([{_list(K.BRIDGE_STOPWORDS)}], lower(w))))) AS tables FROM documents WHERE lang = 'en'""")
 def table_refs(spark, d):
-    return _t(spark, d, "documents").where("lang = 'en'").select("doc_id", extract.table_references(F.col("text")).alias("tables"))
+    return _t(spark, d, "documents").select("doc_id", extract.table_references(F.col("text")).alias("tables"))
 
 
 @query("""WITH b AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k FROM documents), c AS (SELECT * FROM b WHERE k <= 100)
@@ -307,7 +307,7 @@ def symbol_budget(spark, d):
 @query()
 def py_symbols(spark, d):
     """Python scopes of generated modules, a module for each document."""
-    docs = _t(spark, d, "documents").where("lang = 'en'")
+    docs = _t(spark, d, "documents")
     name = F.regexp_extract(F.lower("text"), "([a-z]{3,})", 1)
     text = F.concat(F.lit("import os\nclass C_"), name, F.lit("(Base):\n    def run(self):\n        self.a = helper(1)\n        return f_"), F.col("doc_id").cast("string"), F.lit("()\n\ndef f_"), F.col("doc_id").cast("string"), F.lit("():\n    return helper(2)\n"))
     return extract.python_symbols(docs.select(F.concat(F.col("doc_id").cast("string"), F.lit(".py")).alias("rel"), text.alias("text")))
@@ -469,7 +469,7 @@ f AS (SELECT source, 0::BIGINT AS k, 0::BIGINT AS used, []::BIGINT[] AS taken FR
  FROM f JOIN x ON x.source = f.source AND x.k = f.k + 1)
 SELECT source, used, array_to_string(taken, ',') AS taken FROM f WHERE k = (SELECT max(k) FROM x WHERE x.source = f.source)""")
 def pack_greedy(spark, d):
-    docs = _t(spark, d, "documents").where("source is not null")
+    docs = _t(spark, d, "documents")
     return pack.greedy(docs, "source", ["doc_id"], "n_chars", 20000).select("source", "used", F.array_join(F.col("taken").cast("array<string>"), ",").alias("taken"))
 
 
@@ -566,7 +566,7 @@ def graph_only(spark, d):
 
 @query()
 def hash_embed(spark, d):
-    docs = _t(spark, d, "documents").select("doc_id", embed.hash_embedding(F.left("text", F.lit(500))).alias("v"))
+    docs = _t(spark, d, "documents").select("doc_id", embed.hash_embedding(F.col("text")).alias("v"))
     return docs.select("doc_id", F.size("v").alias("size"), F.round(S.dot(F.col("v"), F.col("v")), 6).alias("norm"))
 
 
