@@ -110,8 +110,8 @@ SELECT rank::INT AS rank, id, score::INT AS score, round(round(bl, 4), 3) AS ble
 def hybrid_blend(spark, d):
     v = _t(spark, d, "embeddings").select("vec_id", F.concat(F.lit("label "), F.col("label").cast("string")).alias("title"), "embedding")
     nodes = v.select(F.col("vec_id").cast("string").alias("id"), "title", F.lit("").alias("summary"), F.lit("").alias("detail_content"), F.lit("symbol").alias("node_type"), F.lit("").alias("source_path"), F.lit("r").alias("index_root"), F.lit(1.0).alias("zoom_threshold"), "embedding")
-    q = v.where("vec_id = 0").select(F.lit(0).cast("long").alias("query_id"), F.lit("label 3").alias("query"), F.lit(None).cast("string").alias("root"), F.col("embedding").alias("query_embedding"))
-    return search.search(nodes, q, limit=20, semantic=True).select("rank", "id", "score", F.round("blended", 3).alias("blended"))
+    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.lit("label 3").alias("query"), F.lit(None).cast("string").alias("root"), F.col("embedding").alias("query_embedding"))
+    return search.search(nodes, q, limit=20, semantic=True).select("query_id", "rank", "id", "score", F.round("blended", 3).alias("blended"))
 
 
 @query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), p AS (
@@ -120,7 +120,7 @@ def hybrid_blend(spark, d):
 SELECT query_id, id, rank::INT AS rank, round(c, 6) AS cosine FROM r WHERE rank <= 10""")
 def vector_topk(spark, d):
     v = _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    q = v.where("id < 10").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+    q = v.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_embedding"))
     return search.vector_topk(v, q, 10).select("query_id", "id", "rank", F.round("cosine", 6).alias("cosine"))
 
 
@@ -363,7 +363,7 @@ SELECT query_id, id, score::BIGINT AS score, origin, row_number() OVER (PARTITIO
 def expand_callers_callees(spark, d):
     orders = _t(spark, d, "orders")
     w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
-    seeds = orders.where("o_custkey < 40").withColumn("rank", F.row_number().over(w)).where("rank <= 3")
+    seeds = orders.withColumn("rank", F.row_number().over(w)).where("rank <= 3")
     seeds = seeds.select(F.col("o_custkey").alias("query_id"), "rank", F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("id"), (100 - F.col("rank")).cast("long").alias("score"))
     parts = _t(spark, d, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), F.lit(0).alias("line_start"), F.col("p_size").alias("line_end"))
     nodes = parts.union(orders.select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")), F.lit(0), F.lit(0)))
@@ -483,7 +483,7 @@ def context_pack(spark, d):
     w = Window.partitionBy("h").orderBy("id")
     chain = first.withColumn("to", F.lead("id").over(w)).where("to is not null")
     edges = chain.select(F.col("id").alias("from"), "to", F.lit("syntax_dependency").alias("type"), F.lit("line").alias("label"), F.xxhash64("id").alias("ord"))
-    q = _t(spark, d, "benchmark").where("item_id < 20").select(F.col("item_id").alias("query_id"), F.left("text", F.lit(40)).alias("query"), F.lit(3000).alias("budget"), F.lit(None).cast("string").alias("root"))
+    q = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.lit(3000).alias("budget"), F.lit(None).cast("string").alias("root"))
     out = context.contexts(nodes, edges, files.select("rel", "text"), q, semantic=False)
     return out.select("query_id", "budget", "used", "selected_count", F.length("compiled_context").alias("chars"))
 
@@ -540,9 +540,9 @@ SELECT g.query_id, round(coalesce(hits, 0) / n, 6) AS recall, round(coalesce(1 /
 def mrr_ndcg(spark, d):
     v = _t(spark, d, "embeddings")
     vectors = v.select(F.col("vec_id").alias("id"), "embedding")
-    q = vectors.where("id < 20").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+    q = vectors.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_embedding"))
     ranked = search.vector_topk(vectors, q, 10)
-    gold = v.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "label").join(v.select(F.col("vec_id").alias("id"), "label"), "label").where("id <> query_id").select("query_id", "id")
+    gold = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label").join(v.select(F.col("vec_id").alias("id"), "label"), "label").where("id <> query_id").select("query_id", "id")
     rows = evaluate.metrics(ranked, gold, 10)
     return rows.select("query_id", F.round("recall", 6).alias("recall"), F.round("mrr", 6).alias("mrr"), "hit", F.round("ndcg", 6).alias("ndcg"))
 

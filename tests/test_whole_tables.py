@@ -54,3 +54,22 @@ def test_texts_are_read_whole(spark, small, monkeypatch):
 
     monkeypatch.setattr(embed, "hash_embedding", lambda c: F.array(F.length(c).cast("double")))
     assert {r.doc_id: r.norm for r in rows(spark, small, "hash_embed")}[5] == 9002.0**2
+
+
+def test_vector_searches_take_every_fiftieth_row(spark, small):
+    e = {r.vec_id: np.array(r.embedding, float) for r in spark.read.parquet(f"{small}/embeddings.parquet").collect()}
+    cos = lambda a, b: e[a] @ e[b] / np.linalg.norm(e[a]) / np.linalg.norm(e[b])
+    best = {q: sorted((k for k in e if k != q), key=lambda k: -cos(q, k))[:10] for q in (0, 50, 100)}
+    got = rows(spark, small, "vector_topk")
+    assert {(r.query_id, r["rank"], r.id) for r in got} == {(q, n, k) for q, ks in best.items() for n, k in enumerate(ks, 1)}
+    recall = {q: sum(k % 5 == q % 5 for k in ks) / sum(k % 5 == q % 5 and k != q for k in e) for q, ks in best.items()}
+    assert {r.query_id: r.recall for r in rows(spark, small, "mrr_ndcg")} == {q: round(x, 6) for q, x in recall.items()}
+    blend = rows(spark, small, "hybrid_blend")
+    assert sorted({r.query_id for r in blend}) == [0, 50, 100] and len(blend) == 60
+    assert {q: next(r.id for r in blend if r.query_id == q and r["rank"] == 1) for q in best} == {q: str(q) for q in best}
+
+
+def test_all_customers_and_items_are_queries(spark, small):
+    assert {r.query_id for r in rows(spark, small, "expand_callers_callees")} == set(range(1, 61))
+    packed = rows(spark, small, "context_pack")
+    assert sorted(r.query_id for r in packed) == list(range(25))
