@@ -184,7 +184,7 @@ def minified_sniff(spark, d):
 SELECT CASE WHEN nul THEN 'binary' WHEN n > 1 THEN 'duplicate' ELSE 'kept' END AS outcome, count(*) AS n, sum(size)::BIGINT AS bytes
 FROM (SELECT *, row_number() OVER (PARTITION BY sha1, nul ORDER BY ord) AS n FROM g WHERE ord <= 600) GROUP BY 1""")
 def scan_gate(spark, d):
-    rows = scan.gated(scan.documents_as_files(_t(spark, d, "documents")).select("rel", "content"))
+    rows = scan.gated(scan.documents_as_files(_t(spark, d, "documents")).select("rel", "content"), max_files=None)
     return rows.groupBy("outcome").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
 
 

@@ -85,20 +85,23 @@ def has_nul(content: Column) -> Column:
     return F.locate("\0", content.cast("string")) > 0
 
 
-def gated(raw: DataFrame, max_files: int = K.MAX_FILES, max_bytes: int = K.MAX_FILE_BYTES) -> DataFrame:
+def gated(raw: DataFrame, max_files: int | None = K.MAX_FILES, max_bytes: int = K.MAX_FILE_BYTES) -> DataFrame:
     """rel, walk, size, sha1, truncated, text and outcome (kept, binary, duplicate) of the first files of a walk.
 
-    Order: minified files are not files of the walk; then the first `max_files`; then binary ones go, long ones are
+    Order: minified files are not files of the walk; then the first `max_files` (None: all); then binary ones go, long ones are
     cut, and of equal contents the first in walk order stays.
     """
     walk = Window.orderBy("walk")
     rows = raw.where(~minified(F.col("rel"), F.col("content"))).withColumn("walk", walk_key("rel"))
-    names = rows.select("rel", "walk").withColumn("ord", F.row_number().over(walk)).where(F.col("ord") <= max_files)
-    rows = rows.drop("walk").join(names, "rel")
+    if max_files is None:
+        rows = rows.withColumn("ord", F.row_number().over(walk))
+    else:
+        names = rows.select("rel", "walk").withColumn("ord", F.row_number().over(walk)).where(F.col("ord") <= max_files)
+        rows = rows.drop("walk").join(names, "rel").withColumn("walk", walk_key("rel"))
     cut = F.substring("content", 1, max_bytes)
     rows = rows.withColumns({"binary": has_nul(F.col("content")), "size": F.octet_length("content"), "cut": cut})
     rows = rows.withColumn("sha1", F.sha1("cut"))
-    first = F.row_number().over(Window.partitionBy("sha1", "binary").orderBy("ord"))
+    first = F.row_number().over(Window.partitionBy("sha1", "binary").orderBy("walk"))
     outcome = F.when(F.col("binary"), "binary").when(first > 1, "duplicate").otherwise("kept")
     text = F.make_valid_utf8(F.col("cut").cast("string"))
     return rows.select("rel", "ord", F.col("size").cast("long").alias("size"), "sha1", (F.col("size") > max_bytes).alias("truncated"), text.alias("text"), outcome.alias("outcome"))

@@ -73,3 +73,18 @@ def test_all_customers_and_items_are_queries(spark, small):
     assert {r.query_id for r in rows(spark, small, "expand_callers_callees")} == set(range(1, 61))
     packed = rows(spark, small, "context_pack")
     assert sorted(r.query_id for r in packed) == list(range(25))
+
+
+def test_every_file_is_gated(spark, tmp_path):
+    docs = [(k, f"text {k % 700}" + ("\0" if k % 100 == 0 else ""), "en", "a", 1) for k in range(1500)]
+    put(spark, str(tmp_path), "documents", docs, "doc_id long, text string, lang string, source string, n_chars long")
+    want, seen = {}, set()
+    for _, text, *_ in sorted(docs, key=lambda r: f"{r[0]}.txt"):
+        outcome = "binary" if "\0" in text else "duplicate" if text in seen else "kept"
+        seen.add(text)
+        n, size = want.get(outcome, (0, 0))
+        want[outcome] = n + 1, size + len(text)
+    assert {r.outcome: (r.n, r.bytes) for r in rows(spark, str(tmp_path), "scan_gate")} == want
+    files = scan.documents_as_files(spark.read.parquet(f"{tmp_path}/documents.parquet")).select("rel", "content")
+    assert scan.gated(files).count() == K.MAX_FILES and scan.gated(files, max_files=70).count() == 70
+    assert {r.rel: r.outcome for r in scan.gated(files, max_files=1500).collect()} == {r.rel: r.outcome for r in scan.gated(files, max_files=None).collect()}
