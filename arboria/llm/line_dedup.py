@@ -3,7 +3,9 @@
 Lines are what stands between line feeds, without ASCII white space at both ends; lines without a word are left
 alone.  Two different lines link when both have `min_chars` code points or more and are at most `edits` apart
 (insertions, deletions, substitutions of code points).  A line is a duplicate when an equal line (exact) or a linked
-line (near) stands earlier, by doc_id and line number of the first occurrence; all others are kept.
+line (near) stands earlier, by doc_id and line number of the first occurrence; all others are kept.  Lines that links connect
+are a class, by the smallest of their hashes; each duplicate comes with its class and the place it repeats (the first
+of the equal line, or of the earliest line linked to it), each document with the text of its kept lines.
 
 1. Tasks send each distinct line of a chunk once, with its first place, so a line that a third of all documents
    hold costs a row a chunk.
@@ -13,7 +15,7 @@ line (near) stands earlier, by doc_id and line number of the first occurrence; a
 3. Candidates under the length filter and a parity sketch of bigrams are verified once a pair, by banded bit-parallel edit
    distance.
 
-Defined results: a null text has no lines; a null doc_id comes first; rows of one doc_id and line number are not
+Defined results: a null text has no lines, and an empty kept text; lines without a word stay in it; a null doc_id comes first; rows of one doc_id and line number are not
 later than each other; an empty table gives no rows.
 """
 
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 from . import tally
+from .components import components
 
 BLOCK = 6 << 20
 _FIRST = -(2**63)
@@ -190,7 +193,7 @@ def _block(t: pa.Table, edits: int, min_chars: int):
 
 
 def line_dedup(docs: DataFrame, edits: int = 2, min_chars: int = 24) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Occurrences (doc_id, lid, no), lines (lid, d, no) and links (a, b) between lines."""
+    """Occurrences (doc_id, text, lines: lid, no), lines (lid, d, no) and links (a, b) between lines."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), C.text_bytes())
     size = rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     blocks = max(1, -(-size // BLOCK))
@@ -210,7 +213,7 @@ def line_dedup(docs: DataFrame, edits: int = 2, min_chars: int = 24) -> tuple[Da
                 part = batch.slice(a, 512)
                 first, own = _chunk_lines(part.column("text").to_pylist(), part.column("doc_id").to_pylist())
                 ids = _ids(list(first)).tolist()
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([[{"lid": ids[k], "no": no} for k, no in x] for x in own], pa.list_(pa.struct([("lid", pa.int64()), ("no", pa.int64())])))], ["doc_id", "lines"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), pa.array([[{"lid": ids[k], "no": no} for k, no in x] for x in own], pa.list_(pa.struct([("lid", pa.int64()), ("no", pa.int64())])))], ["doc_id", "text", "lines"])
 
     dealt = rows.mapInArrow(split, "lid long, d long, no long, line binary").withColumn("m", F.pmod("lid", F.lit(blocks))).repartition(blocks, "m")
 
@@ -248,17 +251,34 @@ def line_dedup(docs: DataFrame, edits: int = 2, min_chars: int = 24) -> tuple[Da
 
     both = pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "a_text", "b_text")
     links = C.stash(both.mapInArrow(verify, "a long, b long, ok boolean").where("ok").select("a", "b"), "links")
-    return rows.mapInArrow(occur, "doc_id long, lines array<struct<lid:long,no:long>>"), lines.select("lid", "d", "no"), links
+    return rows.mapInArrow(occur, "doc_id long, text binary, lines array<struct<lid:long,no:long>>"), lines.select("lid", "d", "no"), links
 
 
-def duplicates(docs: DataFrame, edits: int = 2, min_chars: int = 24) -> DataFrame:
-    """doc_id, n_lines, n_exact, n_near, n_links of each document; links are counted at a line's first occurrence."""
+_COUNTS = ["doc_id", "n_lines", "n_exact", "n_near", "n_links", "n_kept"]
+_DUPLICATES = "duplicates array<struct<no:long,kind:string,first_doc_id:long,first_no:long,class_id:long>>"
+
+
+def _without(batches):
+    """Documents with their texts less the lines whose numbers are in `duplicates`."""
+    for batch in batches:
+        texts = []
+        for text, nos in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist(), strict=True):
+            if nos:
+                gone = set(nos)
+                text = b"\n".join(x for no, x in enumerate(text.split(b"\n")) if no not in gone)
+            texts.append(text)
+        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()) if c == "text" else batch.column(c) for c in [*_COUNTS, "duplicates", "text"]], [*_COUNTS, "duplicates", "text"])
+
+
+def _judged(docs: DataFrame, edits: int, min_chars: int) -> tuple[DataFrame, DataFrame]:
+    """rid, counts and duplicate lines of each document, and the texts by rid."""
     found, lines, links = line_dedup(docs, edits, min_chars)
     rows = C.stash(found.withColumn("rid", F.monotonically_increasing_id()), "occurrences")
     place = lambda c: lines.select(F.col("lid").alias(c), F.struct("d", "no").alias(f"{c}_at"))
     both = links.join(place("a"), "a").join(place("b"), "b")
-    ends = both.select(F.col("a").alias("lid"), (F.col("b_at") < F.col("a_at")).alias("late")).union(both.select("b", F.col("a_at") < F.col("b_at")))
-    near = ends.groupBy("lid").agg(F.count("*").alias("links"), F.max("late").alias("late"))
+    end = lambda c, o: both.select(F.col(c).alias("lid"), F.when(F.col(f"{o}_at") < F.col(f"{c}_at"), F.col(f"{o}_at")).alias("before"))
+    near = end("a", "b").union(end("b", "a")).groupBy("lid").agg(F.count("*").alias("links"), F.min("before").alias("before"))
+    near = near.join(components(links).select(F.col("v").alias("lid"), F.col("label").alias("class_id")), "lid")
     each = rows.select("rid", "doc_id", F.inline_outer("lines"))
     # only lines that stand more than once or have a link need their first place
     often = each.where("lid is not null").groupBy("lid").agg(F.count("*").alias("c")).where("c > 1").select("lid")
@@ -266,13 +286,30 @@ def duplicates(docs: DataFrame, edits: int = 2, min_chars: int = 24) -> DataFram
     facts = C.stash(facts.withColumnRenamed("no", "first_no"), "facts")
     out = each.join(facts, "lid", "left")
     here = F.coalesce("doc_id", F.lit(_FIRST))
-    later = (F.col("d") < here) | ((F.col("d") == here) & (F.col("first_no") < F.col("no")))
-    first = F.col("lid").isNotNull() & ~F.coalesce(later, F.lit(False))
+    later = F.coalesce((F.col("d") < here) | ((F.col("d") == here) & (F.col("first_no") < F.col("no"))), F.lit(False))
+    first = F.col("lid").isNotNull() & ~later
+    late = first & F.col("before").isNotNull()
     count = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
     links_here = F.sum(F.when(first, F.coalesce("links", F.lit(0))).otherwise(0)).cast("long")
-    sums = out.groupBy("rid", "doc_id").agg(count(F.col("lid").isNotNull()).alias("n_lines"), count(F.coalesce(later, F.lit(False))).alias("n_exact"), count(first & F.coalesce("late", F.lit(False))).alias("n_near"), links_here.alias("n_links"))
-    return sums.drop("rid").withColumn("n_kept", F.col("n_lines") - F.col("n_exact") - F.col("n_near"))
+    doc = F.when(later, F.col("d")).otherwise(F.col("before.d"))
+    line = F.struct("no", F.when(later, "exact").otherwise("near").alias("kind"), F.nullif(doc, F.lit(_FIRST)).alias("first_doc_id"), F.when(later, F.col("first_no")).otherwise(F.col("before.no")).alias("first_no"), F.coalesce("class_id", "lid").alias("class_id"))
+    sums = out.groupBy("rid", "doc_id").agg(count(F.col("lid").isNotNull()).alias("n_lines"), count(later).alias("n_exact"), count(late).alias("n_near"), links_here.alias("n_links"), F.array_sort(F.collect_list(F.when(later | late, line))).alias("duplicates"))
+    return sums.withColumn("n_kept", F.col("n_lines") - F.col("n_exact") - F.col("n_near")), rows.select("rid", "text")
+
+
+def duplicates(docs: DataFrame, edits: int = 2, min_chars: int = 24) -> DataFrame:
+    """doc_id, n_lines, n_exact, n_near, n_links, n_kept of each document; links are counted at a line's first occurrence."""
+    return _judged(docs, edits, min_chars)[0].select(*_COUNTS)
+
+
+def deduplicated(docs: DataFrame, edits: int = 2, min_chars: int = 24) -> DataFrame:
+    """The columns of duplicates(), the duplicate lines (by number, from 0), and the text of the lines kept."""
+    judged, texts = _judged(docs, edits, min_chars)
+    rows = judged.join(texts, "rid").select(*_COUNTS, "duplicates", F.col("duplicates.no").alias("gone"), "text")
+    C.short_batches(docs.sparkSession)
+    out = rows.mapInArrow(_without, f"{', '.join(f'{c} long' for c in _COUNTS)}, {_DUPLICATES}, text binary")
+    return out.withColumn("text", F.col("text").cast("string"))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicates(C.table(spark, sf_dir, "documents"))
+    return deduplicated(C.table(spark, sf_dir, "documents"))

@@ -311,6 +311,48 @@ def test_lines_of_documents(spark, sf, table):
     check_lines(table, line_dedup.duplicates(C.table(spark, sf, "documents")).collect())
 
 
+def check_kept_lines(rows, got):
+    """Each duplicate's class and the place it repeats, and the texts without them."""
+    first, text = {}, {}
+    for i, t, *_ in rows:
+        for no, x in enumerate((t or "").encode().split(b"\n")):
+            if x.strip():
+                at = (-(2**63) if i is None else i, no)
+                first[x.strip()] = min(first.get(x.strip(), at), at)
+    long = [x for x in first if len(x.decode()) >= 24]
+    near, group = defaultdict(set), {x: {x} for x in first}
+    for k, x in enumerate(long):
+        for y in long[:k]:
+            if abs(len(x.decode()) - len(y.decode())) <= 2 and line_dedup.within(x.decode(), y.decode(), 2):
+                near[x].add(y)
+                near[y].add(x)
+                group[x] |= group[y]
+                for z in group[x]:
+                    group[z] = group[x]
+    ident = dict(zip(first, line_dedup._ids(list(first)).tolist(), strict=True))
+    want = []
+    for i, t, *_ in rows:
+        gone, kept = [], []
+        for no, x in enumerate((t or "").encode().split(b"\n")):
+            line, at = x.strip(), (-(2**63) if i is None else i, no)
+            before = min((first[y] for y in near[line] if first[y] < first[line]), default=None) if line else None
+            if line and (first[line] < at or before):
+                kind, place = ("exact", first[line]) if first[line] < at else ("near", before)
+                gone.append((no, kind, None if place[0] == -(2**63) else place[0], place[1], min(ident[y] for y in group[line])))
+            else:
+                kept.append(x)
+        want.append((i, gone, b"\n".join(kept).decode()))
+    same([(r.doc_id, [tuple(x) for x in r.duplicates], r.text) for r in got], want)
+    assert all(r.n_exact + r.n_near == len(r.duplicates) for r in got)
+    return sum(len(x[1]) for x in want)
+
+
+def test_duplicate_lines_and_kept_texts(spark, sf, docs, rows, no_docs, table):
+    assert check_kept_lines(rows, line_dedup.deduplicated(docs).collect()) >= 4
+    check_kept_lines(table, line_dedup.op4_line_dedup(spark, sf).collect())
+    assert line_dedup.deduplicated(no_docs).collect() == []
+
+
 # ---- 5 ---------------------------------------------------------------------------------------------------------
 
 
