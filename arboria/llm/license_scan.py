@@ -2,7 +2,8 @@
 
 A text is lower-cased and read as words joined by single blanks, so that line breaks, comment signs and
 punctuation don't matter.  Rules are regexes over that, in order of priority: a tag, a grant ("licensed under
-the ..."), the terms' title, a notice, a plain mention.  A rule is tried only if its keyword is in the text, and
+the ..."), the terms' title, a notice, a plain mention (six forms for each name, generated), and phrases of licence
+bodies, notices and warranty clauses that carry no name (written by hand).  A rule is tried only if its keyword is in the text, and
 none if no text root is.  Of the detections one that lies within another of the same or a higher priority is
 suppressed ("general public license" within "lesser general public license"); equal spans go to the earlier rule.
 
@@ -25,12 +26,12 @@ from . import common as C
 
 BASE = (((b"mit", b"license"), "mit"), ((b"apache", b"license"), "apache"), ((b"general", b"public", b"license"), "gpl"))
 
-#: label: the licence's name as a regex over blank-joined words, and a keyword without which it can't match.
+#: label: the licence's name as a regex over blank-joined words, and a keyword (or some) without which it can't match.
 FAMILIES = {
     "mit": (r"(?:the )?mit(?: x11)?(?: open source)?", b"mit"),
     "mit-0": (r"mit no attribution", b"no attribution"),
     "x11": (r"x11", b"x11"),
-    "isc": (r"isc|internet systems consortium", b"is"),
+    "isc": (r"isc|internet systems consortium", (b"isc", b"internet systems consortium")),
     "apache-1.1": (r"apache(?: software)?(?: license)?(?: version)? 1 1", b"apache"),
     "apache-2.0": (r"apache(?: software)?(?: license)?(?: version| v)? ?2(?: 0)?", b"apache"),
     "bsd-2-clause": (r"(?:simplified|freebsd|2 clause|two clause) bsd|bsd(?: 2| two)(?: clause)", b"bsd"),
@@ -93,13 +94,131 @@ FORMS = (
     (r"licen[sc]e (?:type )?(?:{0})", b"licen", 0.8),
     (r"(?:{0}) licen[sc]e(?:d)?", b"licen", 0.6),
 )
-_ROOTS = (b"licen", b"spdx", b"under", b"terms of")
+#: Phrases of licence texts, each its own keyword.
+SIGNATURES = {
+    "mit": """permission is hereby granted free of charge to any person obtaining a copy of this software
+to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense
+to use copy modify merge publish distribute sublicense and or sell copies of the software
+the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software
+in no event shall the authors or copyright holders be liable for any claim damages or other liability
+permission is hereby granted free of charge to any person obtaining a copy""",
+    "x11": """except as contained in this notice the name of the x consortium shall not be used in advertising
+in no event shall the x consortium be liable for any claim damages or other liability""",
+    "isc": """permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted
+permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted
+permission to use copy modify and or distribute this software
+the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness
+in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits""",
+    "bsd": """redistribution and use in source and binary forms with or without modification
+redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer
+redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer
+this software is provided by the copyright holders and contributors as is and any express or implied warranties
+this software is provided by the author as is and any express or implied warranties
+this software is provided by the regents and contributors as is and any express or implied warranties
+in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages
+in no event shall the copyright owner or contributors be liable for any direct indirect incidental special exemplary or consequential damages""",
+    "bsd-3-clause": """may be used to endorse or promote products derived from this software without specific prior written permission
+neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products
+neither the name of the university nor the names of its contributors may be used to endorse or promote products""",
+    "bsd-4-clause": """all advertising materials mentioning features or use of this software must display the following acknowledgement""",
+    "apache-1.1": """the end user documentation included with the redistribution if any must include the following acknowledgment this product includes software developed by the apache software foundation
+products derived from this software may not be called apache nor may apache appear in their name""",
+    "apache-2.0": """you may not use this file except in compliance with the license
+unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis
+without warranties or conditions of any kind either express or implied
+each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license
+you must give any other recipients of the work or derivative works a copy of this license
+you must cause any modified files to carry prominent notices stating that you changed the files
+www apache org licenses license 2 0""",
+    "gpl": """this program is free software you can redistribute it and or modify it under the terms of the gnu general public license
+the licenses for most software are designed to take away your freedom to share and change it
+everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed
+you should have received a copy of the gnu general public license along with this program
+this program is distributed in the hope that it will be useful but without any warranty""",
+    "gpl-2.0": """activities other than copying distribution and modification are not covered by this license they are outside its scope
+you may copy and distribute verbatim copies of the program s source code as you receive it in any medium
+if the modified program normally reads commands interactively when run you must cause it when started running for such interactive use
+you are not required to accept this license since you have not signed it
+write to the free software foundation inc 51 franklin street fifth floor boston
+write to the free software foundation inc 59 temple place""",
+    "gpl-3.0": """the gnu general public license is a free copyleft license for software and other kinds of works
+to propagate a work means to do anything with it that without permission would make you directly or secondarily liable for infringement
+you may convey verbatim copies of the program s source code as you receive it in any medium
+you may not propagate or modify a covered work except as expressly provided under this license
+no covered work shall be deemed part of an effective technological measure""",
+    "lgpl": """this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license
+this library is free software you can redistribute it and or modify it under the terms of the gnu library general public license
+you should have received a copy of the gnu lesser general public license along with this library
+this library is distributed in the hope that it will be useful but without any warranty""",
+    "lgpl-2.1": """you may opt to apply the terms of the ordinary gnu general public license instead of this license to a given copy of the library""",
+    "lgpl-3.0": """this version of the gnu lesser general public license incorporates the terms and conditions of version 3 of the gnu general public license
+you may convey a covered work under sections 3 and 4 of this license without being bound by section 3 of the gnu gpl""",
+    "agpl-3.0": """your modified version must prominently offer all users interacting with it remotely through a computer network
+the gnu affero general public license is a free copyleft license for software and other kinds of works specifically designed to ensure cooperation with the community""",
+    "fdl": """permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license
+with no invariant sections no front cover texts and no back cover texts""",
+    "mpl-1.1": """the contents of this file are subject to the mozilla public license version 1 1
+software distributed under the license is distributed on an as is basis without warranty of any kind either express or implied see the license for the specific language governing rights and limitations""",
+    "mpl-2.0": """this source code form is subject to the terms of the mozilla public license v 2 0
+if a copy of the mpl was not distributed with this file you can obtain one at
+this source code form is incompatible with secondary licenses""",
+    "epl-1.0": """the accompanying program is provided under the terms of this eclipse public license""",
+    "epl-2.0": """this program and the accompanying materials are made available under the terms of the eclipse public license 2 0""",
+    "cddl-1.0": """this software is subject to the terms of the common development and distribution license
+when distributing covered code include this cddl header notice in each file""",
+    "cpl-1.0": """the accompanying program is provided under the terms of this common public license""",
+    "artistic": """the intent of this document is to state the conditions under which a package may be copied such that the copyright holder maintains some semblance of artistic control
+you may make and give away verbatim copies of the source form of the standard version of this package without restriction""",
+    "artistic-2.0": """this license establishes the terms under which a given free software package may be copied modified distributed and or redistributed""",
+    "zlib": """this software is provided as is without any express or implied warranty
+in no event will the authors be held liable for any damages arising from the use of this software
+permission is granted to anyone to use this software for any purpose including commercial applications
+the origin of this software must not be misrepresented you must not claim that you wrote the original software
+altered source versions must be plainly marked as such and must not be misrepresented as being the original software
+this notice may not be removed or altered from any source distribution""",
+    "libpng": """the png reference library is supplied as is
+the contributing authors and group 42 inc disclaim all warranties expressed or implied""",
+    "boost-1.0": """permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation
+unless such copies or derivative works are solely in the form of machine executable object code generated by a source language processor""",
+    "unlicense": """this is free and unencumbered software released into the public domain
+anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary
+we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors""",
+    "wtfpl": """everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed
+you just do what the fuck you want to""",
+    "cc0-1.0": """affirmer hereby overtly fully permanently irrevocably and unconditionally waives abandons and surrenders all of affirmer s copyright and related rights
+to the extent possible under law the author s have dedicated all copyright and related and neighboring rights to this software to the public domain""",
+    "python-2.0": """psf hereby grants licensee a nonexclusive royalty free world wide license to reproduce analyze test perform and or display publicly
+psf is making python available to licensee on an as is basis""",
+    "php-3.01": """products derived from this software may not be called php nor may php appear in their name
+this product includes php software freely available from""",
+    "ruby": """you may make and give away verbatim copies of the source form of the software without restriction provided that you duplicate all of the original copyright notices""",
+    "openssl": """this product includes software developed by the openssl project for use in the openssl toolkit
+products derived from this software may not be called openssl nor may openssl appear in their names
+this product includes cryptographic software written by eric young""",
+    "postgresql": """permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted
+in no event shall the university of california be liable to any party for direct indirect special incidental or consequential damages including lost profits""",
+    "ofl-1.1": """permission is hereby granted free of charge to any person obtaining a copy of the font software
+neither the font software nor any of its individual components in original or modified versions may be sold by itself
+the font software is provided as is without warranty of any kind""",
+    "bsl-1.1": """the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use of the licensed work""",
+    "sspl-1.0": """if you make the functionality of the program or a modified version available to third parties as a service you must make the service source code available""",
+    "elastic-2.0": """you may not provide the software to third parties as a hosted or managed service where the service provides users with access to any substantial set of the features""",
+}
+_ROOTS = (b"licen", b"spdx", b"under", b"terms of", b"permi", b"warrant", b"redistribut", b"software", b"copy", b"copies", b"liable", b"library", b"propagate", b"disclaim", b"notice", b"invariant", b"interacting", b"covered work", b"altered", b"source code", b"heirs", b"waives", b"interactively", b"endorse or promote", b"what the fuck")
 
 
 @cache
-def rules() -> list[tuple[re.Pattern, str, int, float, tuple[bytes, bytes]]]:
-    """Every form for every family, in order: pattern, label, priority, weight, keywords."""
-    return [(re.compile(rf"\b(?:{form.format(name)})\b"), label, p, weight, (own, key)) for p, (form, own, weight) in enumerate(FORMS) for label, (name, key) in FAMILIES.items()]
+def signatures() -> list[tuple[bytes, str]]:
+    """Phrase and label, longest phrases first, so that one within another is suppressed."""
+    return sorted(((phrase.encode(), label) for label, phrases in SIGNATURES.items() for phrase in phrases.split("\n")), key=lambda x: (-len(x[0]), x[0]))
+
+
+@cache
+def rules() -> list[tuple[re.Pattern, str, int, float, tuple[tuple[bytes, ...], tuple[bytes, ...]]]]:
+    """Every form for every family, then the signatures, in order: pattern, label, priority, weight, two sets of keywords, one of each being needed."""
+    some = lambda k: k if isinstance(k, tuple) else (k,)
+    made = [(re.compile(rf"\b(?:{form.format(name)})\b"), label, p, weight, (some(own), some(key))) for p, (form, own, weight) in enumerate(FORMS) for label, (name, key) in FAMILIES.items()]
+    return made + [(re.compile(rf"\b{phrase.decode()}\b"), label, len(FORMS), 0.9, ((phrase,), (phrase,))) for phrase, label in signatures()]
 
 
 def detections(text: bytes, gated: bool = True) -> list[tuple[int, int, int, str, float]]:
@@ -115,7 +234,7 @@ def detections(text: bytes, gated: bool = True) -> list[tuple[int, int, int, str
 
     decoded, found = None, []
     for pattern, label, priority, weight, keys in rules():
-        if gated and not (there(keys[0]) and there(keys[1])):
+        if gated and not all(any(map(there, k)) for k in keys):
             continue
         decoded = text.decode("utf-8", "replace") if decoded is None else decoded
         found += [(m.start(), m.end(), priority, label, weight) for m in pattern.finditer(decoded)]

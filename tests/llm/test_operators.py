@@ -440,6 +440,20 @@ def test_rules():
     assert license_scan.suppressed([inner, outer]) == [outer]
 
 
+def test_licence_bodies_without_a_name():
+    of = lambda t: license_scan.scan(t.encode())[5:7]
+    assert of("Permission is hereby granted, free of charge, to any person obtaining\n# a copy of this software") == ("mit", 0.9)
+    assert of("Redistribution and use in source and binary forms, with or without\n * modification, are permitted") == ("bsd", 0.9)
+    assert of("Permission to use, copy, modify, and/or distribute this software for any purpose") == ("isc", 0.9)
+    assert of("This software is provided 'as-is', without any express or implied warranty.") == ("zlib", 0.9)
+    assert of("Permission is hereby granted, free of charge, to any person obtaining a copy of the Font Software") == ("ofl-1.1", 0.9)
+    assert of("Released under the Internet Systems Consortium licence")[0] == "isc"
+    for phrase, label in license_scan.signatures():
+        got = license_scan.detections(phrase)
+        assert got == license_scan.detections(phrase, gated=False) and label in {d[3] for d in got}, phrase
+    assert len({p for p, _ in license_scan.signatures()}) == len(license_scan.signatures())
+
+
 # ---- 7 ---------------------------------------------------------------------------------------------------------
 
 
