@@ -4,7 +4,7 @@ quality rules       rejected documents go: those that fail the base rule, and th
 near duplicates     one document of each component of the n-gram Jaccard join stays
 decontamination     documents with benchmark windows in a twentieth of their words or more go
 mixing              documents are repeated, or left out, until sources stand at their targets; the one document at
-                    which a source's fraction ends is cut after the words still missing
+                    which a source's fraction ends is taken whole or not at all, whichever is nearer
 token ids           the mix is encoded and written as a token store, and the result is read from its files
 
 A stage's result is written to the shared folder and read again as the next one's documents.  All stages but the
@@ -43,15 +43,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = mixing.mix(docs, carry=_carried(docs)).where(F.col("taken") > 0)
-    rows = rows.withColumns({"whole": F.floor(F.col("taken") / F.col("size")), "rest": F.col("taken") % F.col("size")})
-    copies = F.sequence(F.lit(1), (F.col("whole") + (F.col("rest") > 0).cast("long")).cast("int"))
-    rows = rows.select("row", "whole", "rest", F.explode(copies).alias("copy"))
-    pieces = F.split("row.text", "(?<=[^\\x20\\x09-\\x0D])(?=[\\x20\\x09-\\x0D])")
-    text = F.when(F.col("copy") > F.col("whole"), F.array_join(F.slice(pieces, 1, F.col("rest").cast("int")), "")).otherwise(F.col("row.text"))
-    changed = {"text": text}
-    if "n_chars" in docs.columns:
-        changed["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
-    return rows.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    # a part of a document is taken as all of it or nothing, whichever is nearer
+    copies = F.floor(F.col("taken") / F.col("size")) + (2 * (F.col("taken") % F.col("size")) >= F.col("size")).cast("long")
+    rows = rows.withColumn("copies", copies.cast("int")).where("copies > 0")
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -61,6 +61,20 @@ def test_mixing_repeats_and_cuts(spark, sf):
     assert max(Counter(r.doc_id for r in out).values()) <= 3
 
 
+def test_mixing_keeps_texts_whole(spark, sf):
+    rows = [(i, f"s{i % 3}", " ".join(f"w{i}_{k}\n" for k in range(5 + 40 * (i % 7)))) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("n_chars", F.length("text"))
+    out, full = P.mixed_sources(spark, docs, sf).collect(), {i: t for i, _, t in rows}
+    assert all(r.text == full[r.doc_id] and r.n_chars == len(r.text) for r in out)
+    got, goal, size = defaultdict(int), {}, {i: len(t.split()) for i, _, t in rows}
+    for r in out:
+        got[r.source] += size[r.doc_id]
+    for r in P.mixing.mix(docs, carry=("doc_id", "source")).collect():
+        goal[r.row.source] = r.target
+    longest = max(size.values())
+    assert all(abs(got[s] - t) <= longest / 2 + 1 for s, t in goal.items())
+
+
 @pytest.fixture(scope="module")
 def stages(spark, sf):
     docs, out = C.table(spark, sf, "documents"), []
