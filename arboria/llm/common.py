@@ -7,14 +7,18 @@ single longer document is its own chunk).
 
 from __future__ import annotations
 
+import hashlib
+import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 CHUNK = 1 << 20
 
@@ -29,8 +33,9 @@ LOWER[65:91] += 32
 ALNUM_TEXT = bytes(int(LOWER[i]) if ALNUM[LOWER[i]] else 32 for i in range(256))
 
 _B = 0x9E3779B97F4A7C15
-_T = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: The first k bytes of a little-endian word, k from 0 to 8.
+FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_STEPS = 16
 
 
 def mix64(h: np.ndarray) -> np.ndarray:
@@ -40,24 +45,37 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _grow(n: int) -> None:
-    if len(_powers[0]) <= n:
-        size = max(CHUNK, n) + 1
-        for k, b in enumerate((_B, pow(_B, -1, 2**64))):
-            a = np.full(size, b, np.uint64)
-            a[0] = 1
-            _powers[k] = np.cumprod(a)
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of a buffer on as one number; zeros follow its end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
 
 
 def word_hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the spans of a byte buffer, alike for equal bytes wherever they stand."""
-    n = len(low)
-    if not n or not len(starts):
-        return np.zeros(len(starts), np.uint64)
-    _grow(n)
-    c = np.zeros(n + 1, np.uint64)
-    np.cumsum(_T[low] * _powers[0][:n], out=c[1:])
-    return mix64((c[ends] - c[starts]) * _powers[1][starts] + (ends - starts).astype(np.uint64))
+    """64-bit hashes of the spans of a byte buffer, alike for equal bytes wherever they stand.
+
+    Eight bytes are mixed in a step (one step tells all words of a length up to eight apart); spans of over
+    128 bytes are hashed by a digest.  Where bytes must be the same, callers compare the bytes or 128-bit digests.
+    """
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    wide, length = eights(low), ends - starts
+    h = mix64(length.astype(np.uint64) * np.uint64(_B))
+    h = mix64(h ^ (wide[starts] & FIRST[np.minimum(length, 8)]))
+    some = np.arange(len(starts))
+    for k in range(1, _STEPS):
+        some = some[length[some] > 8 * k]
+        if not len(some):
+            return h
+        h[some] = mix64(h[some] * np.uint64(_B) ^ (wide[starts[some] + 8 * k] & FIRST[np.minimum(length[some] - 8 * k, 8)]))
+    for i in some[length[some] > 8 * _STEPS].tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(low[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return h
+
+
+def digest(data: bytes) -> bytes:
+    """Stands for the bytes themselves: 128 bits."""
+    return hashlib.blake2b(data, digest_size=16).digest()
 
 
 def flat(column) -> tuple[np.ndarray, np.ndarray]:
@@ -138,10 +156,15 @@ def tidy() -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; only where that is unset, one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset a single-machine session (master local or local[n]) gets a folder of its own; a cluster has to name one.
+    """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = "file:///tmp/checkpoints/arboria"
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that driver and executors share")
+        d = "file://" + tempfile.mkdtemp(prefix="arboria-")
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)
@@ -156,13 +179,16 @@ def stash(df: DataFrame, name: str, **options) -> DataFrame:
     """Cuts the lineage by a written table in the shared folder: a lost executor costs no recomputation."""
     path = new_dir(df.sparkSession, name)
     df.write.options(compression="zstd", **options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stashed = path
+    return out
 
 
-def drop_dir(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def drop(*stashed: DataFrame) -> None:
+    """Deletes stashes, once all that is read from them has been written."""
+    for df in stashed:
+        p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stashed)
+        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -188,64 +214,85 @@ def short_batches(spark: SparkSession, most: int = 4 << 20) -> None:
 
 def with_row(rows: DataFrame, ddl: str):
     """A schema of the column `row` of rows, whatever names that holds, and the columns of a DDL string."""
-    from pyspark.sql.types import StructField, StructType
-
     return StructType([StructField("row", rows.schema["row"].dataType), *StructType.fromDDL(ddl).fields])
 
 
+def per_text(measure, ddl: str):
+    """A function of a binary column to a struct column; measure: an Arrow array to arrays of the struct's fields.
+
+    Only the texts go to Python, in Arrow batches; all other columns of a row wait for it in the JVM.  It is marked
+    as not deterministic so that the optimizer evaluates it once, wherever the struct is used.
+    """
+    names = [f.name for f in StructType.fromDDL(ddl).fields]
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.StructArray.from_arrays(measure(texts), names)
+        tidy()
+
+    return F.arrow_udf(run, ddl).asNondeterministic()
+
+
 # ---- range shards --------------------------------------------------------------------------------------------
 
+#: Most shards that a key is cut into: their bounds (8 bytes each) are broadcast.
+MOST_SHARDS = 1 << 24
+#: Most tasks that shards are dealt to; a task writes its shards one after another.
+MOST_TASKS = 20_000
 
-def range_bounds(df: DataFrame, key: str, weight, target: int, bins: int = 4096, most: int = 8) -> list[int]:
-    """Upper bounds (exclusive) of contiguous ranges of a long key, of about `target` weight each.
 
-    They depend on the rows alone, not on how these are dealt out.  The driver gets at most `bins` sums a
-    round, and a bin that alone is heavier than `target` is split again in the next round.
+def running(rows: DataFrame, order, weight: str) -> DataFrame:
+    """rows with `before`, the sum of `weight` over rows of smaller keys; a key stands in one row.
+
+    Sums run in tasks over ranges of the key; the driver gets a sum a task.  They depend on the rows alone.  The result
+    reads a stash (for drop()), and has the sum of all as `_total`.
+    """
+    dealt = stash(rows.repartitionByRange(order).withColumn("_p", F.spark_partition_id()), "dealt")
+    total, offsets = 0, []
+    for r in sorted(dealt.groupBy("_p").agg(F.sum(weight).alias("w")).collect(), key=lambda r: r[0]):
+        offsets.append((r[0], total))
+        total += r.w
+    offsets = rows.sparkSession.createDataFrame(offsets, "_p int, _offset long")
+    upto = F.sum(weight).over(Window.partitionBy("_p").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    summed = dealt.join(F.broadcast(offsets), "_p").withColumn("before", F.col("_offset") + F.coalesce(upto, F.lit(0)))
+    summed = summed.drop("_p", "_offset")
+    summed._stashed, summed._total = dealt._stashed, total
+    return summed
+
+
+def range_bounds(df: DataFrame, key: str, weight, target: int) -> np.ndarray:
+    """Upper bounds (exclusive) of contiguous ranges of a long key, of `target` weight each and less than a key's more.
+
+    A key's range is the sum of the weights before it, by `target`, so ranges depend on the rows alone and not on how
+    these are dealt out.  The driver gets the bounds, eight bytes each, MOST_SHARDS at most.
     """
-    low, high, total = df.agg(F.min(key), F.max(key), F.sum(weight)).first()
-    if low is None or not total:
-        return []
-    todo, done = [(int(low), int(high) + 1)], []
-    for _ in range(most):
-        if not todo:
-            break
-        each = max(2, bins // len(todo))
-        cases, sums = [], {}
-        for i, (a, b) in enumerate(todo):
-            step = max(1, -(-(b - a) // each))
-            cases.append((i, a, b, step))
-        pick = None
-        for i, a, b, step in cases:
-            inside = (F.col(key) >= a) & (F.col(key) < b)
-            made = F.struct(F.lit(i).alias("i"), F.floor((F.col(key) - F.lit(a)) / F.lit(step)).cast("long").alias("b"))
-            pick = F.when(inside, made) if pick is None else pick.when(inside, made)
-        rows = df.groupBy(pick.alias("g")).agg(F.sum(weight).alias("w")).where("g is not null").select("g.i", "g.b", "w").collect()
-        for r in rows:
-            sums[r.i, r.b] = r.w
-        todo = []
-        for (i, bin_), w in sums.items():
-            _, a, b, step = cases[i]
-            x, y = a + bin_ * step, min(b, a + (bin_ + 1) * step)
-            if w > target and y - x > 1 and len(todo) < bins // 2:
-                todo.append((x, y))
-            else:
-                done.append((x, y, w))
-    done = sorted([*done, *((a, b, target) for a, b in todo)])
-    bounds, run = [], 0
-    for x, _, w in done:
-        if run and run + w > target:
-            bounds.append(x)
-            run = 0
-        run += w
-    return bounds
-
-
-def shard_of(key: str, bounds: list[int]):
+    keyed = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.sum(weight).cast("long").alias("w"))
+    summed = running(keyed, F.col("k").asc(), "w")
+    if summed._total // target >= MOST_SHARDS:
+        raise ValueError(f"a target of {target} makes {summed._total // target + 1} shards, more than {MOST_SHARDS}; take a larger one")
+    first = summed.groupBy(F.expr(f"before div {int(target)}").alias("shard")).agg(F.min("k").alias("k")).toArrow()
+    drop(summed)
+    return np.sort(first.column("k").to_numpy())[1:].astype(np.int64)
+
+
+def shard_of(spark: SparkSession, key: str, bounds: np.ndarray):
     """The number of the range of `bounds` that a key is in; null is in the first."""
-    if not bounds:
+    if not len(bounds):
         return F.lit(0)
-    array = F.array(*[F.lit(b).cast("long") for b in bounds])
-    return F.coalesce(F.size(F.filter(array, lambda b: b <= F.col(key))), F.lit(0))
+    shared = spark.sparkContext.broadcast(bounds)
+
+    def run(keys: pa.Array) -> pa.Array:
+        filled = pc.fill_null(keys, -(2**63)).to_numpy(zero_copy_only=False)
+        return pa.array(np.searchsorted(shared.value, filled, "right").astype(np.int32))
+
+    return F.arrow_udf(run, "int")(F.col(key).cast("long"))
+
+
+def dealt_to_shards(rows: DataFrame, shards: int, *order) -> DataFrame:
+    """Rows sorted by `shard` and then `order`, neighbouring shards in one task where there are more than MOST_TASKS."""
+    tasks = min(shards, MOST_TASKS)
+    task = F.floor(F.col("shard").cast("long") * tasks / F.lit(shards)).cast("int")
+    return rows.repartitionById(tasks, task).sortWithinPartitions("shard", *order)
 
 
 # ---- files that executors write --------------------------------------------------------------------------------
@@ -280,3 +327,11 @@ class Committed:
         self.out.close()
         self.fs.move(self.tmp, self.final)
 
+
+def swept(folder: str) -> None:
+    """Removes what attempts that lost left under temporary names, once the manifest stands."""
+    from pyarrow import fs
+
+    system, root = file_system(folder)
+    if system.get_file_info(f"{root}/_tmp").type == fs.FileType.Directory:
+        system.delete_dir(f"{root}/_tmp")

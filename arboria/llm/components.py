@@ -17,20 +17,23 @@ def _renamed(edges: DataFrame, parents: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """v, label for each end of the links (a long, b long): label is the smallest v of the component.
+    """v, label for each end of the links (a, b of one type): label is the smallest v of the component.
 
     Each round hooks every vertex to its smallest neighbour, halves the paths twice, and goes on with the links
     between different parents, of which there are ever fewer; then the rounds' maps are applied in turn.
     """
     edges = C.stash(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "edges")
-    labels = edges.select(F.col("a").alias("v")).union(edges.select("b")).distinct().withColumn("label", F.col("v"))
+    labels = C.stash(edges.select(F.col("a").alias("v")).union(edges.select("b")).distinct().withColumn("label", F.col("v")), "labels")
     while not edges.isEmpty():
-        parents = edges.groupBy(F.col("b").alias("v")).agg(F.min("a").alias("p"))
+        parents = C.stash(edges.groupBy(F.col("b").alias("v")).agg(F.min("a").alias("p")), "parents")
         for _ in range(2):
-            parents = C.stash(parents, "parents")
             up = parents.select(F.col("v").alias("p"), F.col("p").alias("pp"))
-            parents = parents.join(up, "p", "left").select("v", F.coalesce("pp", "p").alias("p"))
-        parents = C.stash(parents, "parents")
-        edges = C.stash(_renamed(edges, parents), "edges")
-        labels = C.stash(labels.join(parents.select(F.col("v").alias("label"), "p"), "label", "left").select("v", F.coalesce("p", "label").alias("label")), "labels")
+            shorter = C.stash(parents.join(up, "p", "left").select("v", F.coalesce("pp", "p").alias("p")), "parents")
+            C.drop(parents)
+            parents = shorter
+        fewer = C.stash(_renamed(edges, parents), "edges")
+        moved = C.stash(labels.join(parents.select(F.col("v").alias("label"), "p"), "label", "left").select("v", F.coalesce("p", "label").alias("label")), "labels")
+        C.drop(edges, labels, parents)
+        edges, labels = fewer, moved
+    C.drop(edges)
     return labels

@@ -20,14 +20,14 @@ def bucket_bits(keys: int) -> int:
     return max(6, (max(1, keys) >> 22).bit_length())
 
 
-def ask(m: int, keys: np.ndarray, counts: np.ndarray, bits: int) -> pa.Table:
-    """keys: sorted distinct, of 32 + bits bits."""
+def ask(m: int, keys: np.ndarray, counts: np.ndarray, bits: int, first: int = 0) -> pa.Table:
+    """keys: sorted distinct, of 32 + bits bits; first: the number of the first bucket."""
     b = (keys >> np.uint64(32)).astype(np.int64)
     edges = np.concatenate([[0], np.flatnonzero(np.diff(b)) + 1, [len(b)]]) if len(b) else np.zeros(1, np.int64)
     low, many = keys.astype(np.uint32), counts.astype(np.uint32)
     cut = list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
     return pa.table([
-        pa.array([m] * len(cut), pa.int64()), pa.array(b[edges[:-1]], pa.int32()),
+        pa.array([m] * len(cut), pa.int64()), pa.array(b[edges[:-1]] + first, pa.int32()),
         pa.array([low[x:y].tobytes() for x, y in cut], pa.binary()), pa.array([many[x:y].tobytes() for x, y in cut], pa.binary()),
     ], ["m", "b", "keys", "counts"])
 
@@ -66,3 +66,8 @@ def steps(total: np.ndarray) -> np.ndarray:
     """Counts on one byte, in order: exact below 128, then 8 steps to each doubling."""
     big = np.maximum(total, 1)
     return np.where(total < 128, total, np.minimum(255, 128 + np.floor(8 * (np.log2(big) - 7)))).astype(np.uint8)
+
+
+def unstepped(coded: np.ndarray) -> np.ndarray:
+    """The least counts that steps() gives these codes."""
+    return np.where(coded < 128, coded, np.ceil(np.exp2(7 + (coded.astype(np.float64) - 128) / 8))).astype(np.int64)
