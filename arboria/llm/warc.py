@@ -96,8 +96,8 @@ def write_warc(pages: DataFrame, folder: str, shard_bytes: int = 64 << 20, roll_
     many = narrow.where(F.col("n") >= least).groupBy("digest").agg(F.max("page_id").alias("to"), F.count("*").alias("c")).where("c > 1").select("digest", "to")
     marks = narrow.where(F.col("n") >= least).join(many, "digest").select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "digest", F.lit(0).alias("kind"), "to")
     both = rows.withColumns({"kind": F.lit(1), "to": F.lit(None).cast("long")}).unionByName(marks.distinct())
-    both = both.withColumn("shard", C.shard_of("page_id", bounds)).repartitionById(len(bounds) + 1, F.col("shard"))
-    both = both.sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "digest", "kind", F.col("url").asc_nulls_first())
+    both = both.withColumn("shard", C.shard_of(pages.sparkSession, "page_id", bounds))
+    both = C.dealt_to_shards(both, len(bounds) + 1, F.col("page_id").asc_nulls_first(), "digest", "kind", F.col("url").asc_nulls_first())
 
     def run(batches):
         roll, done, mark, seen = None, [], None, False
@@ -123,6 +123,8 @@ def write_warc(pages: DataFrame, folder: str, shard_bytes: int = 64 << 20, roll_
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["shard", "file", "n_records", "bytes", "sha256"])
 
     both.mapInArrow(run, _MANIFEST).write.parquet(f"{folder}/_manifest")
+    C.swept(folder)
+    C.drop(narrow)
     return pages.sparkSession.read.parquet(f"{folder}/_manifest")
 
 
