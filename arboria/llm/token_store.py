@@ -8,11 +8,13 @@ and ids are written in ascending doc_id order as shard files.  A shard file is
     Elias-Fano code of the doc_ids, less the smallest
     a fixed footer: lengths, smallest doc_id, documents without doc_id, id width, magic
 
-so a reader finds document i by two selects, with no table of 64-bit offsets.
+so a reader finds document i by two selects, from samples of the code, with no table of 64-bit offsets; whole files
+are read in runs of documents, each between two selects.
 
 How texts are cut: a single space or line feed between two characters that are surely not white space always
 starts a new piece for the tokenizer, whatever stands around it, so a text is the sequence of its units cut
-there.  Each distinct unit of a batch is encoded once; numpy puts the ids of all occurrences together.
+there.  Each distinct unit of a batch is encoded once, its bytes being compared with those of the units known; numpy
+puts the ids of all occurrences together.
 
 Defined results: a null text is empty (only the end id); null doc_ids come first; repeated rows are all
 written; rows of one doc_id are ordered by their ids; an empty table gives no files and no rows; other columns
@@ -77,22 +79,41 @@ class EliasFano:
             out |= ((self.low[at >> 3] >> (at & 7)) & 1).astype(np.int64) << k
         return out
 
-    def select(self, i: int) -> int:
-        """Value i: the place of the i-th one among the high bits, from the nearest sample on, and the low bits."""
+    def _sampled(self) -> np.ndarray:
+        """(byte, ones before in that byte) of every EVERY-th one among the high bits: eight bytes for EVERY values."""
+        out, before, piece = [], 0, 1 << 14
+        for a in range(0, len(self.high), piece):
+            ones = np.bitwise_count(self.high[a : a + piece])
+            upto = np.cumsum(ones, dtype=np.uint32)
+            want = np.arange(-(-before // self.EVERY) * self.EVERY, before + int(upto[-1]), self.EVERY, dtype=np.int64) - before
+            byte = np.searchsorted(upto, want, "right")
+            out.append(np.stack([byte + a, want - (upto[byte] - ones[byte])], axis=1).astype(np.uint32))
+            before += int(upto[-1])
+        return np.concatenate(out) if out else np.zeros((0, 2), np.uint32)
+
+    def values(self, a: int, b: int) -> np.ndarray:
+        """Values a to b (exclusive): the ones from the nearest sample on among the high bits, and the low bits."""
+        b = min(b, self.n)
+        if a >= b:
+            return np.zeros(0, np.int64)
         if self._samples is None:
-            counts = np.cumsum(np.unpackbits(self.high).reshape(-1, 8).sum(axis=1, dtype=np.int64)) if len(self.high) else np.zeros(0, np.int64)
-            self._samples = np.searchsorted(counts, np.arange(0, self.n, self.EVERY), "right")
-            self._before = np.concatenate([[0], counts])
-        byte = int(self._samples[i // self.EVERY])
-        while self._before[byte + 1] <= i:
-            byte += 1
-        ones = np.flatnonzero(np.unpackbits(self.high[byte : byte + 1], bitorder="little"))
-        at = byte * 8 + int(ones[i - int(self._before[byte])])
-        return ((at - i) << self.low_bits) | int(self._low(np.array([i]))[0])
+            self._samples = self._sampled()
+        byte, skip = (int(x) for x in self._samples[a // self.EVERY])
+        skip += a % self.EVERY
+        parts, found = [], -skip
+        while found < b - a:
+            piece = self.high[byte : byte + 512]
+            if not len(piece):
+                raise ValueError("a boundary code is cut off")
+            ones = np.flatnonzero(np.unpackbits(piece, bitorder="little"))
+            parts.append(ones[max(0, -found) : max(0, b - a - found)] + byte * 8)
+            byte, found = byte + len(piece), found + len(ones)
+        i = np.arange(a, b)
+        return ((np.concatenate(parts) - i) << self.low_bits) | self._low(i)
 
-    def all(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        return ((ones - np.arange(self.n)) << self.low_bits) | self._low(np.arange(self.n))
+    def select(self, i: int) -> int:
+        """Value i."""
+        return int(self.values(i, i + 1)[0])
 
 
 # ---- encoding --------------------------------------------------------------------------------------------------
@@ -143,12 +164,16 @@ class Encoder:
             self.opens[i] = t.startswith("Ġ") or t == "Ċ"
         self._forget()
 
-    #: Slots of the memory of units: a unit's ids stay at its hash's slot until another unit takes that.
+    #: Slots of the memory of units: a unit's ids stay at its hash's slot until the memory is full and begins anew.
     SLOTS = 1 << 20
+    #: Eights of bytes of the units in slots, compared byte by byte; longer units are remembered by themselves.
+    LANES = 3
 
     def _forget(self) -> None:
-        self.key, self.base, self.n = np.zeros(self.SLOTS, np.uint64), np.zeros(self.SLOTS, np.int32), np.zeros(self.SLOTS, np.int32)
+        self.lanes = np.zeros((self.LANES, self.SLOTS), np.uint64)
+        self.size, self.base, self.n = np.zeros(self.SLOTS, np.uint8), np.zeros(self.SLOTS, np.int32), np.zeros(self.SLOTS, np.int32)
         self.flat, self.used = np.zeros(self.SLOTS, np.uint16 if self.width == 2 else np.uint32), 0
+        self.long: dict[bytes, tuple[int, int]] = {}
 
     def _remember(self, ids: np.ndarray) -> int:
         """Puts ids at the end of `flat`, which doubles where it is full, and says where they begin."""
@@ -160,23 +185,51 @@ class Encoder:
         self.flat[at : self.used] = ids
         return at
 
-    def _look_up(self, h: np.ndarray, data: np.ndarray, a: np.ndarray, b: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _look_up(self, buf: np.ndarray, a: np.ndarray, b: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where in `flat` the ids of each unit begin, and how many; units not remembered are encoded."""
-        if self.used > 8 * self.SLOTS:
+        if self.used > 8 * self.SLOTS or len(self.long) > self.SLOTS // 8:
             self._forget()
+        base, n, size = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64), b - a
+        wide, data = C.eights(buf), buf.tobytes()
+        some = np.flatnonzero(size <= 8 * self.LANES)
+        lanes = np.zeros((self.LANES, len(some)), np.uint64)
+        for k in range(self.LANES):
+            more = size[some] > 8 * k
+            at = some[more]
+            lanes[k, more] = wide[a[at] + 8 * k] & C.FIRST[np.minimum(size[at] - 8 * k, 8)]
+        h = size[some].astype(np.uint64)
+        for lane in lanes:
+            h = C.mix64(h * np.uint64(0x9E3779B97F4A7C15) ^ lane)
         slot = (h & np.uint64(self.SLOTS - 1)).astype(np.int64)
-        base, n = self.base[slot], self.n[slot]
-        miss = np.flatnonzero((self.key[slot] != h) | (n == 0))
+        known = (self.n[slot] > 0) & (self.size[slot] == size[some])
+        for k in range(self.LANES):
+            known &= self.lanes[k, slot] == lanes[k]
+        base[some], n[some] = self.base[slot], self.n[slot]
+        miss = np.flatnonzero(~known)
         if len(miss):
-            _, first, back = np.unique(h[miss], return_index=True, return_inverse=True)
-            one = miss[first]
-            ids, at, counts = self._units(data.tobytes(), a[one], b[one], plain[one])
-            at = (self._remember(ids) + at).astype(np.int32)
-            self.key[slot[one]], self.base[slot[one]], self.n[slot[one]] = h[one], at, counts
-            same = self.key[slot[one]] == h[one]  # of units for one slot, numpy keeps the last in each array
-            self.base[slot[one[same]]], self.n[slot[one[same]]] = at[same], counts[same]
-            base[miss], n[miss] = at[back], counts[back]
-        return base.astype(np.int64), n.astype(np.int64)
+            key = [size[some[miss]], *lanes[:, miss]]
+            order = np.lexsort(key)
+            fresh = np.ones(len(order), bool)
+            fresh[1:] = np.logical_or.reduce([x[order][1:] != x[order][:-1] for x in key])
+            back = np.zeros(len(order), np.int64)
+            back[order] = np.cumsum(fresh) - 1
+            one = miss[order[fresh]]
+            ids, at, counts = self._units(data, a[some[one]], b[some[one]], plain[some[one]])
+            at += self._remember(ids)
+            base[some[miss]], n[some[miss]] = at[back], counts[back]
+            taken, keep = np.unique(slot[one], return_index=True)  # of several units for a slot one is remembered
+            one = one[keep]
+            self.lanes[:, taken], self.size[taken], self.base[taken], self.n[taken] = lanes[:, one], size[some[one]], at[keep], counts[keep]
+        rest = np.flatnonzero(size > 8 * self.LANES)
+        if len(rest):
+            texts = [data[x:y] for x, y in zip(a[rest].tolist(), b[rest].tolist(), strict=True)]
+            fresh = {x: k for k, x in enumerate(texts) if x not in self.long}
+            one = rest[list(fresh.values())]
+            ids, at, counts = self._units(data, a[one], b[one], plain[one])
+            at += self._remember(ids)
+            self.long |= zip(fresh, zip(at.tolist(), counts.tolist(), strict=True), strict=True)
+            base[rest], n[rest] = np.array([self.long[x] for x in texts], np.int64).T
+        return base, n
 
     def _units(self, data: bytes, a: np.ndarray, b: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of distinct units, and for each where they begin and how many they are."""
@@ -201,8 +254,7 @@ class Encoder:
         docs = len(offsets) - 1
         starts, plain = _cuts(buf, offsets) if len(buf) else (np.zeros(0, np.int64), np.zeros(0, bool))
         ends = np.append(starts[1:], len(buf)) if len(starts) else starts
-        h = C.word_hashes(buf, starts, ends)
-        base, n = self._look_up(h, buf, starts, ends, plain)
+        base, n = self._look_up(buf, starts, ends, plain)
         unit_doc = np.searchsorted(offsets, starts, "right") - 1
         per = np.bincount(unit_doc, weights=n, minlength=docs).astype(np.int64) + 1 if docs else np.zeros(0, np.int64)
         out_off = np.concatenate([[0], np.cumsum(per)])
@@ -246,10 +298,9 @@ def write_store(docs: DataFrame, folder: str, vocabulary: str, end: int = 0, sha
     """Writes the shard files of `docs` and returns the manifest: shard, file, n_docs, n_ids, bytes."""
     spark = docs.sparkSession
     wide = encoder(vocabulary, end).width
-    bounds = C.range_bounds(docs, "doc_id", F.coalesce(F.length("text"), F.lit(0)) + 1, shard_chars)
-    n = len(bounds) + 1
-    coded = encode(docs, vocabulary, end).withColumn("shard", C.shard_of("doc_id", bounds))
-    dealt = coded.repartitionById(n, F.col("shard")).sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids")
+    bounds = C.range_bounds(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", F.coalesce(F.length("text"), F.lit(0)) + 1, shard_chars)
+    coded = encode(docs, vocabulary, end).withColumn("shard", C.shard_of(spark, "doc_id", bounds))
+    dealt = C.dealt_to_shards(coded, len(bounds) + 1, F.col("doc_id").asc_nulls_first(), "ids")
 
     def run(batches):
         now, out, sizes, keys = None, None, [], []
@@ -291,6 +342,7 @@ def write_store(docs: DataFrame, folder: str, vocabulary: str, end: int = 0, sha
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["shard", "file", "n_docs", "n_ids", "bytes"])
 
     dealt.mapInArrow(run, "shard int, file string, n_docs long, n_ids long, bytes long").write.parquet(f"{folder}/_manifest")
+    C.swept(folder)
     return spark.read.parquet(f"{folder}/_manifest")
 
 
@@ -318,8 +370,11 @@ class Shard:
     def ids(self, i: int) -> np.ndarray:
         return self.span(self.bounds.select(i), self.bounds.select(i + 1))
 
-    def doc_ids(self) -> list[int | None]:
-        return [None] * self.nulls + (self.keys.all() + self.low).tolist()
+    def doc_ids(self, a: int = 0, b: int | None = None) -> list[int | None]:
+        """doc_ids of documents a to b (exclusive)."""
+        b = len(self) if b is None else b
+        nulls = max(0, min(b, self.nulls) - a)
+        return [None] * nulls + (self.keys.values(max(0, a - self.nulls), max(0, b - self.nulls)) + self.low).tolist()
 
 
 def read_store(spark: SparkSession, folder: str) -> DataFrame:
@@ -333,13 +388,15 @@ def read_store(spark: SparkSession, folder: str) -> DataFrame:
         for batch in batches:
             for name, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 s = Shard(folder, name)
-                bounds, docs = s.bounds.all(), s.doc_ids()
-                for a, b in C.chunks(bounds):
-                    at = bounds[a : b + 1]
-                    raw = memoryview(s.span(int(at[0]), int(at[-1])).astype("<u4").tobytes())
-                    cut = (4 * (at - at[0])).tolist()
-                    crc = [zlib.crc32(raw[x:y]) for x, y in zip(cut[:-1], cut[1:], strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(docs[a:b], pa.int64()), pa.array(at[:-1] + base), pa.array(np.diff(at)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                for first in range(0, len(s), EliasFano.EVERY):
+                    bounds = s.bounds.values(first, first + EliasFano.EVERY + 1)
+                    docs = s.doc_ids(first, first + len(bounds) - 1)
+                    for a, b in C.chunks(bounds):
+                        at = bounds[a : b + 1]
+                        raw = memoryview(s.span(int(at[0]), int(at[-1])).astype("<u4").tobytes())
+                        cut = (4 * (at - at[0])).tolist()
+                        crc = [zlib.crc32(raw[x:y]) for x, y in zip(cut[:-1], cut[1:], strict=True)]
+                        yield pa.RecordBatch.from_arrays([pa.array(docs[a:b], pa.int64()), pa.array(at[:-1] + base), pa.array(np.diff(at)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return based.repartition(n, "file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
