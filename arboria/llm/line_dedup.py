@@ -1,17 +1,18 @@
 """Near-duplicate lines by a segment-partition edit join [operator 4].
 
 Lines are what stands between line feeds, without ASCII white space at both ends; lines without a word are left
-alone.  Two different lines link when both have `min_chars` code points or more and are at most `edits` apart
+alone.  A line is known by a 128-bit digest of its bytes.  Two different lines link when both have `min_chars` code points or more and are at most `edits` apart
 (insertions, deletions, substitutions of code points).  A line is a duplicate when an equal line (exact) or a linked
 line (near) stands earlier, by doc_id and line number of the first occurrence; all others are kept.  Lines that links connect
-are a class, by the smallest of their hashes; each duplicate comes with its class and the place it repeats (the first
+are a class, by the smallest of their digests; each duplicate comes with its class and the place it repeats (the first
 of the equal line, or of the earliest line linked to it), each document with the text of its kept lines.
 
-1. Tasks send each distinct line of a chunk once, with its first place, so a line that a third of all documents
-   hold costs a row a chunk.
+1. Tasks send each distinct line of a chunk once, with its first place, and add those up before the shuffle, so a
+   line that a third of all documents hold costs a row a task, and blocks of lines get it once.
 2. A line of length n is cut into edits + 1 segments.  Within `edits` of another line at least one segment stands in
    that unharmed, at a place the lengths bound (multi-match-aware windows).  Blocks of lines learn through `tally`
    which of their length-and-place-aware keys any other line has; few have, and only those become join rows.
+   The rows of a key that more than MEET lines have are cut into parts, which meet the others in tasks of their own.
 3. Candidates under the length filter and a parity sketch of bigrams are verified once a pair, by banded bit-parallel edit
    distance.
 
@@ -31,6 +32,8 @@ from . import tally
 from .components import components
 
 BLOCK = 6 << 20
+#: About as many lines of a key meet all others of that key in a task.
+MEET = 2000
 _FIRST = -(2**63)
 
 
@@ -90,33 +93,40 @@ def segments(n: np.ndarray, parts: int) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def sketch(line: str) -> int:
+    """For each of 64 cells whether an odd number of the line's bigrams falls in it; an edit changes four at most."""
+    points = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    cell = C.mix64(points[:-1] * np.uint64(1 << 21) + points[1:]) >> np.uint64(58)
+    return int(np.bitwise_xor.reduce(np.uint64(1) << cell).view(np.int64)) if len(cell) else 0
+
+
+_BASE = 0x9E3779B97F4A7C15
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _grow(n: int) -> None:
+    """Powers of the base and of its inverse, up to n."""
+    if len(_powers[0]) <= n:
+        size = max(C.CHUNK, n) + 1
+        for k, b in enumerate((_BASE, pow(_BASE, -1, 2**64))):
+            a = np.full(size, b, np.uint64)
+            a[0] = 1
+            _powers[k] = np.cumprod(a)
+
+
 class Lines:
-    """Code points of many lines one after another."""
+    """Rolling hashes of the code points of many lines one after another; they only find candidates."""
 
     def __init__(self, texts: list[str]):
         self.n = np.array([len(t) for t in texts], np.int64)
         self.at = np.concatenate([[0], np.cumsum(self.n)])[:-1].astype(np.int64)
-        self.points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        h = C.mix64(self.points + np.uint64(7))
-        C._grow(len(h))
-        self.sum = np.zeros(len(h) + 1, np.uint64)
-        np.cumsum(h * C._powers[0][: len(h)], out=self.sum[1:])
+        points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        _grow(len(points))
+        self.sum = np.zeros(len(points) + 1, np.uint64)
+        np.cumsum(points * _powers[0][: len(points)], out=self.sum[1:])
 
     def hash(self, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-        return C.mix64((self.sum[start + length] - self.sum[start]) * C._powers[1][start] + length.astype(np.uint64))
-
-    def sketch(self) -> np.ndarray:
-        """For each of 64 cells whether an odd number of the line's bigrams falls in it; an edit changes four at most."""
-        if not len(self.points):
-            return np.zeros(len(self.n), np.uint64)
-        pair = C.mix64(self.points[:-1] * np.uint64(1 << 21) + self.points[1:]) >> np.uint64(58) if len(self.points) > 1 else np.zeros(0, np.uint64)
-        bits = np.append(np.uint64(1) << pair, np.uint64(0))
-        last = self.at + self.n - 1
-        bits[last[self.n > 0]] = 0  # no bigram over the end of a line
-        out = np.zeros(len(self.n), np.uint64)
-        some = self.n > 0
-        out[some] = np.bitwise_xor.reduceat(bits, self.at[some])
-        return out
+        return C.mix64((self.sum[start + length] - self.sum[start]) * _powers[1][start] + length.astype(np.uint64))
 
     def keys(self, edits: int, min_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """line, key, and whether it is one of the line's own segments (else a substring to look up)."""
@@ -163,37 +173,27 @@ def _chunk_lines(column, doc_ids: list) -> tuple[dict[bytes, list], list[tuple]]
     return first, docs
 
 
-def _ids(lines: list[bytes]) -> np.ndarray:
-    data = np.frombuffer(b"".join(lines), np.uint8)
-    ends = np.cumsum([len(x) for x in lines]).astype(np.int64)
-    return C.word_hashes(data, np.concatenate([[0], ends[:-1]]).astype(np.int64), ends).view(np.int64)
-
-
 def _block(t: pa.Table, edits: int, min_chars: int):
-    """Of a block: ids, first places, texts of its distinct lines, sketch, and keys without repetition within a line."""
-    ids = t.column("lid").to_numpy()
-    order = np.lexsort((t.column("no").to_numpy(), t.column("d").to_numpy(), ids))
-    pick = order[np.concatenate([[True], np.diff(ids[order]) != 0])] if len(order) else order
-    some = t.take(pa.array(pick))
-    texts = [x.decode("utf-8", "replace") for x in some.column("line").to_pylist()]
+    """Of a block of distinct lines: texts, code points, and keys without repetition within a line."""
+    texts = [x.decode("utf-8", "replace") for x in t.column("line").to_pylist()]
     parts, size, a = [], 0, 0
     for b, x in enumerate(texts, 1):
         size += len(x)
         if size > C.CHUNK or b == len(texts):
             lines = Lines(texts[a:b])
             line, key, own = lines.keys(edits, min_chars)
-            parts.append((line + a, key, own, lines.sketch(), lines.n))
+            parts.append((line + a, key, own, lines.n))
             a, size = b, 0
-    line, key, own, sketch, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    line, key, own, n = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.lexsort((~own, key, line))
     line, key, own = line[order], key[order], own[order]
     fresh = np.ones(len(line), bool)
     fresh[1:] = (line[1:] != line[:-1]) | (key[1:] != key[:-1])
-    return some, texts, sketch, n, line[fresh], key[fresh], own[fresh]
+    return texts, n, line[fresh], key[fresh], own[fresh]
 
 
 def line_dedup(docs: DataFrame, edits: int = 2, min_chars: int = 24) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Occurrences (doc_id, text, lines: lid, no), lines (lid, d, no) and links (a, b) between lines."""
+    """Occurrences (doc_id, text, lines: lid, no), lines (lid, d, no, ...) and links (a, b) between lines, by digest; the last two are stashes."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), C.text_bytes())
     size = rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     blocks = max(1, -(-size // BLOCK))
@@ -205,42 +205,50 @@ def line_dedup(docs: DataFrame, edits: int = 2, min_chars: int = 24) -> tuple[Da
             for a, b in C.chunks(off, 4 * C.CHUNK):
                 first, _ = _chunk_lines(batch.column("text").slice(a, b - a).to_pylist(), batch.column("doc_id").slice(a, b - a).to_pylist())
                 lines = list(first)
-                yield pa.RecordBatch.from_arrays([pa.array(_ids(lines), pa.int64()), pa.array([x[1] for x in first.values()], pa.int64()), pa.array([x[2] for x in first.values()], pa.int64()), pa.array(lines, pa.binary())], ["lid", "d", "no", "line"])
+                yield pa.RecordBatch.from_arrays([pa.array([C.digest(x) for x in lines], pa.binary()), pa.array([x[1] for x in first.values()], pa.int64()), pa.array([x[2] for x in first.values()], pa.int64()), pa.array(lines, pa.binary())], ["lid", "d", "no", "line"])
 
     def occur(batches):
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
                 first, own = _chunk_lines(part.column("text").to_pylist(), part.column("doc_id").to_pylist())
-                ids = _ids(list(first)).tolist()
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), pa.array([[{"lid": ids[k], "no": no} for k, no in x] for x in own], pa.list_(pa.struct([("lid", pa.int64()), ("no", pa.int64())])))], ["doc_id", "text", "lines"])
+                ids = [C.digest(x) for x in first]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), pa.array([[{"lid": ids[k], "no": no} for k, no in x] for x in own], pa.list_(pa.struct([("lid", pa.binary()), ("no", pa.int64())])))], ["doc_id", "text", "lines"])
 
-    dealt = rows.mapInArrow(split, "lid long, d long, no long, line binary").withColumn("m", F.pmod("lid", F.lit(blocks))).repartition(blocks, "m")
+    each = rows.mapInArrow(split, "lid binary, d long, no long, line binary")
+    dealt = each.groupBy("lid").agg(F.min(F.struct("d", "no")).alias("at"), F.first("line").alias("line"))
+    distinct = C.stash(dealt.select("lid", "at.d", "at.no", "line", F.pmod(F.xxhash64("lid"), F.lit(blocks)).alias("m")), "distinct")
+    dealt = distinct.repartition(blocks, "m")
 
     def asks(t: pa.Table) -> pa.Table:
-        *_, key, _ = _block(t, edits, min_chars)
+        key = _block(t, edits, min_chars)[3]
         keys, counts = np.unique(key >> np.uint64(32 - bits), return_counts=True)
         return tally.ask(t.column("m")[0].as_py(), keys, counts, bits)
 
     def places(t: pa.Table, replies: pa.Table) -> pa.Table:
-        some, texts, sketch, n, line, key, own = _block(t, edits, min_chars)
+        texts, n, line, key, own = _block(t, edits, min_chars)
         short = key >> np.uint64(32 - bits)
-        many = tally.in_order(replies, np.uint8)[np.searchsorted(np.unique(short), short)] > 1 if len(key) else np.zeros(0, bool)
-        line, key, own = line[many], key[many].view(np.int64), own[many]
+        held = tally.unstepped(tally.in_order(replies, np.uint8))[np.searchsorted(np.unique(short), short)] if len(key) else np.zeros(0, np.int64)
+        many = held > 1
+        line, key, own, parts = line[many], key[many].view(np.int64), own[many], -(-held[many] // MEET)
         edges = np.searchsorted(line, np.arange(len(texts) + 1)).tolist()
-        keys = [None if x == y else [{"key": k, "own": o} for k, o in zip(key[x:y].tolist(), own[x:y].tolist(), strict=True)] for x, y in zip(edges, edges[1:], strict=False)]
-        kept = [t if k else None for t, k in zip(texts, keys, strict=True)]
-        return pa.table([some.column("lid"), some.column("d"), some.column("no"), pa.array(n, pa.int64()), pa.array(sketch.view(np.int64)), pa.array(kept, pa.string()), pa.array(keys, pa.list_(pa.struct([("key", pa.int64()), ("own", pa.bool_())])))], ["lid", "d", "no", "n", "sketch", "text", "keys"])
+        keys = [None if x == y else [{"key": k, "own": o, "parts": p} for k, o, p in zip(key[x:y].tolist(), own[x:y].tolist(), parts[x:y].tolist(), strict=True)] for x, y in zip(edges, edges[1:], strict=False)]
+        kept = [x if k else None for x, k in zip(texts, keys, strict=True)]
+        cells = [sketch(x) if x is not None else None for x in kept]
+        return pa.table([t.column("lid"), t.column("d"), t.column("no"), pa.array(n, pa.int64()), pa.array(cells, pa.int64()), pa.array(kept, pa.string()), pa.array(keys, pa.list_(pa.struct([("key", pa.int64()), ("own", pa.bool_()), ("parts", pa.int32())])))], ["lid", "d", "no", "n", "sketch", "text", "keys"])
 
     replies = tally.answered(dealt.groupBy("m").applyInArrow(asks, tally.ASKED), tally.steps)
-    lines = dealt.groupBy("m").cogroup(replies.groupBy("m")).applyInArrow(places, "lid long, d long, no long, n long, sketch long, text string, keys array<struct<key:long,own:boolean>>")
+    lines = dealt.groupBy("m").cogroup(replies.groupBy("m")).applyInArrow(places, "lid binary, d long, no long, n long, sketch long, text string, keys array<struct<key:long,own:boolean,parts:int>>")
     lines = C.stash(lines, "lines")
+    C.drop(distinct)
 
     keys = lines.where("keys is not null").select("lid", "n", "sketch", F.inline("keys"))
-    x = keys.where("own").select("key", F.col("lid").alias("x"), F.col("n").alias("x_n"), F.col("sketch").alias("x_s"))
-    y = keys.select("key", F.col("lid").alias("y"), F.col("n").alias("y_n"), F.col("sketch").alias("y_s"))
+    # rows of a key that very many lines have meet part by part
+    part = F.pmod(F.xxhash64("lid"), F.col("parts")).cast("int")
+    x = keys.where("own").select("key", part.alias("part"), F.col("lid").alias("x"), F.col("n").alias("x_n"), F.col("sketch").alias("x_s"))
+    y = keys.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("lid").alias("y"), F.col("n").alias("y_n"), F.col("sketch").alias("y_s"))
     near = F.bit_count(F.col("x_s").bitwiseXOR(F.col("y_s"))) <= 4 * edits
-    pairs = x.join(y, "key").where((F.col("x") != F.col("y")) & (F.col("y_n") - F.col("x_n")).between(0, edits) & near)
+    pairs = x.join(y, ["key", "part"]).where((F.col("x") != F.col("y")) & (F.col("y_n") - F.col("x_n")).between(0, edits) & near)
     pairs = C.stash(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
     text = lambda c: lines.where("text is not null").select(F.col("lid").alias(c), F.col("text").alias(f"{c}_text"))
 
@@ -250,12 +258,13 @@ def line_dedup(docs: DataFrame, edits: int = 2, min_chars: int = 24) -> tuple[Da
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
 
     both = pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "a_text", "b_text")
-    links = C.stash(both.mapInArrow(verify, "a long, b long, ok boolean").where("ok").select("a", "b"), "links")
-    return rows.mapInArrow(occur, "doc_id long, text binary, lines array<struct<lid:long,no:long>>"), lines.select("lid", "d", "no"), links
+    links = C.stash(both.mapInArrow(verify, "a binary, b binary, ok boolean").where("ok").select("a", "b"), "links")
+    C.drop(pairs)
+    return rows.mapInArrow(occur, "doc_id long, text binary, lines array<struct<lid:binary,no:long>>"), lines, links
 
 
 _COUNTS = ["doc_id", "n_lines", "n_exact", "n_near", "n_links", "n_kept"]
-_DUPLICATES = "duplicates array<struct<no:long,kind:string,first_doc_id:long,first_no:long,class_id:long>>"
+_DUPLICATES = "duplicates array<struct<no:long,kind:string,first_doc_id:long,first_no:long,class_id:string>>"
 
 
 def _without(batches):
@@ -278,12 +287,14 @@ def _judged(docs: DataFrame, edits: int, min_chars: int) -> tuple[DataFrame, Dat
     both = links.join(place("a"), "a").join(place("b"), "b")
     end = lambda c, o: both.select(F.col(c).alias("lid"), F.when(F.col(f"{o}_at") < F.col(f"{c}_at"), F.col(f"{o}_at")).alias("before"))
     near = end("a", "b").union(end("b", "a")).groupBy("lid").agg(F.count("*").alias("links"), F.min("before").alias("before"))
-    near = near.join(components(links).select(F.col("v").alias("lid"), F.col("label").alias("class_id")), "lid")
+    labels = components(links)
+    near = near.join(labels.select(F.col("v").alias("lid"), F.col("label").alias("class_id")), "lid")
     each = rows.select("rid", "doc_id", F.inline_outer("lines"))
     # only lines that stand more than once or have a link need their first place
     often = each.where("lid is not null").groupBy("lid").agg(F.count("*").alias("c")).where("c > 1").select("lid")
-    facts = lines.join(often.union(near.select("lid")).distinct(), "lid", "left_semi").join(near, "lid", "left")
+    facts = lines.select("lid", "d", "no").join(often.union(near.select("lid")).distinct(), "lid", "left_semi").join(near, "lid", "left")
     facts = C.stash(facts.withColumnRenamed("no", "first_no"), "facts")
+    C.drop(lines, links, labels)
     out = each.join(facts, "lid", "left")
     here = F.coalesce("doc_id", F.lit(_FIRST))
     later = F.coalesce((F.col("d") < here) | ((F.col("d") == here) & (F.col("first_no") < F.col("no"))), F.lit(False))
@@ -292,7 +303,7 @@ def _judged(docs: DataFrame, edits: int, min_chars: int) -> tuple[DataFrame, Dat
     count = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
     links_here = F.sum(F.when(first, F.coalesce("links", F.lit(0))).otherwise(0)).cast("long")
     doc = F.when(later, F.col("d")).otherwise(F.col("before.d"))
-    line = F.struct("no", F.when(later, "exact").otherwise("near").alias("kind"), F.nullif(doc, F.lit(_FIRST)).alias("first_doc_id"), F.when(later, F.col("first_no")).otherwise(F.col("before.no")).alias("first_no"), F.coalesce("class_id", "lid").alias("class_id"))
+    line = F.struct("no", F.when(later, "exact").otherwise("near").alias("kind"), F.nullif(doc, F.lit(_FIRST)).alias("first_doc_id"), F.when(later, F.col("first_no")).otherwise(F.col("before.no")).alias("first_no"), F.lower(F.hex(F.coalesce("class_id", "lid"))).alias("class_id"))
     sums = out.groupBy("rid", "doc_id").agg(count(F.col("lid").isNotNull()).alias("n_lines"), count(later).alias("n_exact"), count(late).alias("n_near"), links_here.alias("n_links"), F.array_sort(F.collect_list(F.when(later | late, line))).alias("duplicates"))
     return sums.withColumn("n_kept", F.col("n_lines") - F.col("n_exact") - F.col("n_near")), rows.select("rid", "text")
 
