@@ -6,8 +6,9 @@ containment the necessary prefix of a window is one shingle: its rarest.
 1. How often each of the benchmark's shingles (three words, fewer in shorter windows) stands in all documents is
    counted; a window with a shingle that stands nowhere stands nowhere either.
 2. Each window left is indexed under its rarest shingle.  Documents probe that index; a window that would begin
-   before or end after the document is passed over (length and positional bounds), the rest is compared word by
-   word.  Overlapping occurrences are merged before hit words are counted.
+   before or end after the document is passed over (length and positional bounds), the rest is compared by the
+   hashes of its words and then, word by word, by their bytes.  Overlapping occurrences are merged before hit words
+   are counted.
 
 The benchmark reaches the executors in blocks of at most about `block_words` words, each a pass over all
 documents; that bounds the index whatever the size of the benchmark, and nothing of it is left out.
@@ -29,12 +30,15 @@ SHINGLE = 3
 _FILTER = 1 << 20
 
 
-def _words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    low = C.lowered(buf)
+def _words(low: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     s, e, w = C.spans(low, off, C.ALNUM)
     return C.word_hashes(low, s, e), w
 
 
+def _bytes_of_words(text: bytes) -> list[bytes]:
+    return text.translate(C.ALNUM_TEXT).split()
+
+
 def _grams(words: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all runs of k words of the buffer, over the borders of documents too."""
     n = max(0, len(words) - k + 1)
@@ -64,16 +68,30 @@ class Windows:
     """The distinct windows of a block of items, by their number of words."""
 
     def __init__(self, items: list[tuple[str | None, bytes]], window: int):
-        found: dict[bytes, set] = {}
+        found: dict[bytes, int] = {}
+        self.items: list[set] = []
+        self.text: list[tuple[list[bytes], int]] = []  # words of an item, and where in them the window begins
+        self.words: list[np.ndarray] = []
         for name, text in items:
-            words, _ = _words(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
-            for i in range(max(1, len(words) - window + 1) if len(words) else 0):
-                found.setdefault(words[i : i + window].tobytes(), set()).add(name)
-        self.items = list(found.values())
-        self.length = np.array([len(x) // 8 for x in found], np.int64)
-        self.words = [np.frombuffer(x, np.uint64) for x in found]
+            own = _bytes_of_words(text)
+            joined = b" ".join(own)
+            words, _ = _words(np.frombuffer(joined, np.uint8), np.array([0, len(joined)]))
+            for i in range(max(1, len(own) - window + 1) if own else 0):
+                at = found.setdefault(b" ".join(own[i : i + window]), len(found))
+                if at == len(self.items):
+                    self.items.append(set())
+                    self.text.append((own, i))
+                    self.words.append(words[i : i + window])
+                self.items[at].add(name)
+        self.length = np.array([len(x) for x in self.words], np.int64)
         self.grams = [_grams(w, min(SHINGLE, len(w))) for w in self.words]
 
+    def stands(self, win: int, words: list[bytes], at: int) -> bool:
+        """Whether the window's own words stand at a place of a list of words."""
+        own, i = self.text[win]
+        n = int(self.length[win])
+        return words[at : at + n] == own[i : i + n]
+
     def shingles(self) -> dict[int, np.ndarray]:
         """Sorted distinct shingles by their number of words."""
         out = {}
@@ -107,8 +125,8 @@ class Index:
             distinct, first = np.unique(key, return_index=True)
             self.by[k] = Lookup(distinct), np.append(first, len(rows)), np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
 
-    def occurrences(self, words: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """document, place among all words, window of each occurrence."""
+    def occurrences(self, low: np.ndarray, off: np.ndarray, words: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """document, place among all words, window of each occurrence, by document and place."""
         out = [(np.zeros(0, np.int64),) * 3]
         for k, (lookup, first, window, shift) in self.by.items():
             at, key = lookup.find(_grams(words, k))
@@ -124,13 +142,22 @@ class Index:
                 todo = ok & (j < length)
                 ok[todo] = words[start[todo] + j] == self.padded[win[todo], j]
             out.append((doc[ok], start[ok], win[ok]))
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
-
-
-def _batches(batch):
-    buf, off = C.flat(batch.column("text"))
+        doc, start, win = (np.concatenate(x) for x in zip(*out, strict=True))
+        order = np.lexsort((win, start, doc))
+        doc, start, win = doc[order], start[order], win[order]
+        sure, now, own = np.zeros(len(doc), bool), -1, []
+        for i, (d, a, k) in enumerate(zip(doc.tolist(), start.tolist(), win.tolist(), strict=True)):
+            if d != now:
+                now, own = d, _bytes_of_words(low[off[d] : off[d + 1]].tobytes())
+            sure[i] = self.windows.stands(k, own, a - int(w[d]))
+        return doc[sure], start[sure], win[sure]
+
+
+def _batches(column):
+    buf, off = C.flat(column)
     for a, b in C.chunks(off):
-        yield a, b, *_words(buf[off[a] : off[b]], off[a : b + 1] - off[a])
+        low, o = C.lowered(buf[off[a] : off[b]]), off[a : b + 1] - off[a]
+        yield a, b, low, o, *_words(low, o)
 
 
 def _counted(docs: DataFrame, every: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
@@ -139,7 +166,7 @@ def _counted(docs: DataFrame, every: dict[int, np.ndarray]) -> dict[int, np.ndar
     def run(batches):
         found = {k: (Lookup(v), np.zeros(len(v), np.int64)) for k, v in every.items()}
         for batch in batches:
-            for _, _, words, w in _batches(batch):
+            for *_, words, w in _batches(batch.column("text")):
                 for k, (lookup, n) in found.items():
                     at, key = lookup.find(_grams(words, k))
                     inside = at + k <= w[np.searchsorted(w, at, "right")] if len(at) else at > 0
@@ -154,31 +181,31 @@ def _counted(docs: DataFrame, every: dict[int, np.ndarray]) -> dict[int, np.ndar
     return out
 
 
-def _pass(rows: DataFrame, index: Index) -> DataFrame:
-    """rows (row, text) with n_words, n_hit, spans (binary pairs of 64-bit places) and items of one benchmark block."""
-    spark = rows.sparkSession
+_FOUND = "n_words long, n_hit long, spans binary, items array<string>"
+
+
+def _found(spark: SparkSession, index: Index):
+    """A function of texts to _FOUND, of one benchmark block; spans: binary pairs of 64-bit places."""
     shared = spark.sparkContext.broadcast(index)
-    def run(batches):
-        ix = shared.value
-        for batch in batches:
-            for a, b, words, w in _batches(batch):
-                doc, start, win = ix.occurrences(words, w)
-                n_hit, spans, items = np.zeros(b - a, np.int64), [b""] * (b - a), [[]] * (b - a)
-                order = np.lexsort((start, doc))
-                doc, start, win = doc[order], start[order], win[order]
-                edges = [0, *(np.flatnonzero(np.diff(doc)) + 1).tolist(), len(doc)] if len(doc) else [0]
-                for x, y in zip(edges, edges[1:], strict=False):
-                    d = int(doc[x])
-                    s = start[x:y] - w[d]
-                    ends = np.maximum.accumulate(s + ix.windows.length[win[x:y]])
-                    fresh = np.concatenate([[True], s[1:] > ends[:-1]])
-                    merged = np.stack([s[fresh], ends[np.append(np.flatnonzero(fresh)[1:] - 1, len(s) - 1)]], axis=1)
-                    n_hit[d], spans[d] = int((merged[:, 1] - merged[:, 0]).sum()), merged.astype("<i8").tobytes()
-                    items[d] = sorted({i for j in np.unique(win[x:y]).tolist() for i in ix.windows.items[j] if i is not None})
-                yield pa.RecordBatch.from_arrays([batch.column("row").slice(a, b - a), pa.array(np.diff(w)), pa.array(n_hit), pa.array(spans, pa.binary()), pa.array(items, pa.list_(pa.string()))], ["row", "n_words", "n_hit", "spans", "items"])
-        C.tidy()
-
-    return rows.mapInArrow(run, C.with_row(rows, "n_words long, n_hit long, spans binary, items array<string>"))
+
+    def run(texts: pa.Array) -> list[pa.Array]:
+        ix, n_words = shared.value, np.zeros(len(texts), np.int64)
+        n_hit, spans, items = np.zeros(len(texts), np.int64), [b""] * len(texts), [[]] * len(texts)
+        for a, b, low, o, words, w in _batches(texts):
+            n_words[a:b] = np.diff(w)
+            doc, start, win = ix.occurrences(low, o, words, w)
+            edges = [0, *(np.flatnonzero(np.diff(doc)) + 1).tolist(), len(doc)] if len(doc) else [0]
+            for x, y in zip(edges, edges[1:], strict=False):
+                d = int(doc[x])
+                s = start[x:y] - w[d]
+                ends = np.maximum.accumulate(s + ix.windows.length[win[x:y]])
+                fresh = np.concatenate([[True], s[1:] > ends[:-1]])
+                merged = np.stack([s[fresh], ends[np.append(np.flatnonzero(fresh)[1:] - 1, len(s) - 1)]], axis=1)
+                n_hit[a + d], spans[a + d] = int((merged[:, 1] - merged[:, 0]).sum()), merged.astype("<i8").tobytes()
+                items[a + d] = sorted({i for j in np.unique(win[x:y]).tolist() for i in ix.windows.items[j] if i is not None})
+        return [pa.array(n_words), pa.array(n_hit), pa.array(spans, pa.binary()), pa.array(items, pa.list_(pa.string()))]
+
+    return C.per_text(run, _FOUND)
 
 
 def _merged(parts: list[DataFrame]) -> DataFrame:
@@ -211,11 +238,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, block
     blocks = max(1, -(-size // (6 * block_words)))
     if blocks > 1:  # a document's rows of all blocks are put together by what is carried and its text
         row = F.struct(row.alias("row"), F.xxhash64(C.text_bytes()).alias("h"))
-    rows, parts = docs.select(row.alias("row"), C.text_bytes()), []
+    parts = []
     for k in range(blocks):
         some = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else items
         windows = Windows([(r.item_id, bytes(r.text)) for r in some.toLocalIterator()], window)
-        parts.append(_pass(rows, windows.index(_counted(docs, windows.shingles()))))
+        found = _found(docs.sparkSession, windows.index(_counted(docs, windows.shingles())))
+        parts.append(docs.select(row.alias("row"), found(C.text_bytes()).alias("found")).select("row", "found.*"))
     out = parts[0] if blocks == 1 else _merged(parts).withColumn("row", F.col("row.row"))
     sha = F.sha2(F.array_join(F.array_sort("items"), ","), 256)
     bad = (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
