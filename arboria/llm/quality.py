@@ -2,14 +2,16 @@
 
 Each text gets counts and the base rule; these and three softer rules say whether a document failed.  Failures
 are added up by host (for documents: their source), an empirical beta prior is fitted to the hosts' rates by
-moments, and each host's rate is shrunk towards it: few documents say little, many speak for themselves.  Hosts
-whose shrunk rate is above `host_rate` are rejected, and the verdict goes back to their documents.
+moments, and each host's rate is shrunk towards it: few documents say little, many speak for themselves.  Hosts of
+which by that four in five documents fail (a shrunk rate above `host_rate`) are rejected, and the verdict goes back to their
+documents, with the numbers that it follows from.
 
 Hot hosts: counts are added up before the shuffle, so a host with a third of all rows sends one row a task.  The
 verdict table is joined on narrow rows; only Spark's own run-time size check makes it a broadcast.
 
 Defined results: null text has no words (so the base rule fails); null host is a host of its own; repeated rows
-give a row each; an empty table gives no rows; other columns are carried along untouched by `annotated`.
+give a row each; an empty table gives no rows; other columns are carried along untouched by `annotated`, and of no
+concern elsewhere, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 WINDOW = 5
+#: Hosts with a higher shrunk rate of failures are rejected.
+HOST_RATE = 0.8
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
@@ -77,40 +81,43 @@ def any_failed():
 
 def annotated(docs: DataFrame, host: str = "source", carry=("doc_id",)) -> DataFrame:
     """row (a struct of the carried columns), host and the counts of each document."""
-
-    def run(batches):
-        for batch in batches:
-            counts = [pa.array(x) for x in text_counts(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("host"), *counts], ["row", "host", *(c.split()[0] for c in _COUNTS.split(", "))])
-        C.tidy()
-
     C.short_batches(docs.sparkSession)
-    rows = docs.select(F.struct(*carry).alias("row"), F.col(host).cast("string").alias("host"), C.text_bytes())
-    return rows.mapInArrow(run, C.with_row(rows, f"host string, {_COUNTS}")).withColumn("base_failed", base_failed())
+    counts = C.per_text(lambda texts: [pa.array(x) for x in text_counts(texts)], _COUNTS)
+    rows = docs.select(F.struct(*carry).alias("row"), F.col(host).cast("string").alias("host"), counts(C.text_bytes()).alias("counts"))
+    return rows.select("row", "host", "counts.*").withColumn("base_failed", base_failed())
+
 
+def host_rates(rows: DataFrame, most: float = 100.0) -> DataFrame:
+    """host, host_docs, host_failures and host_rate, the shrunk rate, of each host, from annotated rows.
 
-def host_rates(rows: DataFrame) -> DataFrame:
-    """host, n, failures and the shrunk rate of each host, from annotated rows."""
-    hosts = C.stash(rows.groupBy("host").agg(F.count("*").alias("n"), F.sum(any_failed().cast("long")).alias("failures")), "hosts")
-    rate = F.col("failures") / F.col("n")
-    n, failures, var, inverse = hosts.agg(F.sum("n"), F.sum("failures"), F.var_pop(rate), F.avg(1 / F.col("n"))).first()
+    The prior weighs one document at least and `most` at most; where hosts differ no more than chance makes them,
+    that is `most`.
+    """
+    hosts = C.stash(rows.groupBy("host").agg(F.count("*").alias("host_docs"), F.sum(any_failed().cast("long")).alias("host_failures")), "hosts")
+    rate = F.col("host_failures") / F.col("host_docs")
+    n, failures, var, inverse = hosts.agg(F.sum("host_docs"), F.sum("host_failures"), F.var_pop(rate), F.avg(1 / F.col("host_docs"))).first()
     mean = (failures or 0) / n if n else 0.0
     between = (var or 0.0) - mean * (1 - mean) * (inverse or 0.0)
-    weight = min(1e6, max(1.0, mean * (1 - mean) / between - 1)) if between > 0 else 1e6
-    return hosts.withColumn("rate", (F.col("failures") + F.lit(weight * mean)) / (F.col("n") + F.lit(weight)))
+    weight = min(most, max(1.0, mean * (1 - mean) / between - 1)) if between > 0 else most
+    return hosts.withColumn("host_rate", (F.col("host_failures") + F.lit(weight * mean)) / (F.col("host_docs") + F.lit(weight)))
+
+
+def judged(rows: DataFrame, host_rate: float = HOST_RATE) -> DataFrame:
+    """Annotated rows (a stash) with the facts about their host, and kept."""
+    hosts = host_rates(rows)
+    out = rows.join(hosts.withColumnRenamed("host", "host_"), F.col("host").eqNullSafe(F.col("host_")), "left").drop("host_")
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("host_rate") <= host_rate))
 
 
-def quality_rules(docs: DataFrame, host: str = "source", host_rate: float = 0.8, carry=("doc_id",)) -> DataFrame:
-    """row, host, the counts, base_failed and kept of each document."""
-    rows = C.stash(annotated(docs, host, carry), "quality")
-    bad = host_rates(rows).where(F.col("rate") > host_rate).select(F.col("host").alias("bad"), F.lit(True).alias("rejected"))
-    out = rows.join(bad, rows["host"].eqNullSafe(bad["bad"]), "left")
-    return out.withColumn("kept", ~F.col("base_failed") & F.col("rejected").isNull()).drop("bad", "rejected")
+def quality_rules(docs: DataFrame, host: str = "source", host_rate: float = HOST_RATE, carry=("doc_id",)) -> DataFrame:
+    """row, host, the counts, base_failed, host_docs, host_failures, host_rate and kept of each document."""
+    return judged(C.stash(annotated(docs, host, carry), "quality"), host_rate)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules(C.table(spark, sf_dir, "documents"))
-    return out.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    counts = [c.split()[0] for c in _COUNTS.split(", ")]
+    return out.select("row.doc_id", *counts, "base_failed", "host_docs", "host_failures", F.round("host_rate", 9).alias("host_rate"), "kept")
 
 
 ORACLE_SQL = r"""
@@ -141,10 +148,10 @@ WITH d AS (
 ), prior AS (
   SELECT sum(failures) / sum(n) AS mean, var_pop(failures / n) - sum(failures) / sum(n) * (1 - sum(failures) / sum(n)) * avg(1.0::DOUBLE / n) AS between_ FROM hosts
 ), weighted AS (
-  SELECT mean, CASE WHEN between_ > 0 THEN least(1e6, greatest(1.0, mean * (1 - mean) / between_ - 1)) ELSE 1e6 END AS weight FROM prior
-), bad AS (
-  SELECT source FROM hosts, weighted WHERE (failures + weight * mean) / (n + weight) > 0.8
+  SELECT mean, CASE WHEN between_ > 0 THEN least(100.0, greatest(1.0, mean * (1 - mean) / between_ - 1)) ELSE 100.0 END AS weight FROM prior
+), rates AS (
+  SELECT source, n, failures, (failures + weight * mean) / (n + weight) AS rate FROM hosts, weighted
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT EXISTS (SELECT 1 FROM bad WHERE bad.source IS NOT DISTINCT FROM f.source) AS kept FROM f
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n AS host_docs, failures::BIGINT AS host_failures,
+       round(rate, 9) AS host_rate, NOT base_failed AND rate <= 0.8 AS kept FROM f JOIN rates ON rates.source IS NOT DISTINCT FROM f.source
 """
