@@ -10,8 +10,8 @@ classes A, B link when 100 |A & B| >= percent |A | B|.
    be in both before and after this place), the suffix filter (the shared shingles after it, counted in eight
    ranges of the hash) and a parity sketch of all shared shingles, whose differing bits bound the difference.
    First each class meets only the leader of its band of sizes in each shingle's group, the class whose shingles
-   stand in most documents, which merges groups of copies; then classes of *different* components meet.  So a
-   group of n copies gives about n pairs, not n * n.
+   stand in most documents, which merges groups of copies; then classes of *different* components meet, in cells
+   of MEET by MEET rows where a group is larger.  So a group of n copies gives about n pairs, not n * n.
 3. Each pair is verified once, on the shared shingles of both.  Components come from contraction.
 
 Every link either is found or runs inside a component, so components are those of all links.
@@ -153,10 +153,11 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     label is null for a document without words, which is linked with nothing.
     """
-    signed = _signed(docs, k, percent)
-    found = signed.where("prefix is not null")
+    wide = _signed(docs, k, percent)
     keep = ["typical", "prefix", "sketch", "shared"]
-    nodes = C.stash(found.groupBy("node").agg(F.first("n_shingles").alias("n"), *[F.first(c).alias(c) for c in keep]), "nodes")
+    nodes = C.stash(wide.where("prefix is not null").groupBy("node").agg(F.first("n_shingles").alias("n"), *[F.first(c).alias(c) for c in keep]), "nodes")
+    signed = C.stash(wide.select("doc_id", "h", "n_shingles", "node"), "classed")
+    C.drop(wide)
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.12))).cast("int")
     bits = [F.col("sketch")[k].alias(p) for k, p in enumerate(_BITS)]
     tokens = nodes.select("node", F.col("n").cast("int").alias("n"), F.size("shared").alias("s"), "typical", *bits, band.alias("band"), F.inline("prefix"))
@@ -176,22 +177,49 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     merged = components(links)
     placed = tokens.join(merged.withColumnRenamed("v", "node"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     placed = C.stash(placed, "placed")
-    open_ = placed.groupBy("tok").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("tok")
-    placed = C.stash(placed.join(open_, "tok", "left_semi"), "open")
-    x, y = side(placed, "x", F.col("label").alias("x_label")), side(placed, "y", F.col("label").alias("y_label"))
-    more = x.join(y, "tok").where("x_node < y_node and x_label <> y_label").where(_may_link(percent))
-    more = more.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = C.stash(_verified(C.stash(more, "pairs"), nodes, percent), "links")
-    labels = components(links.select("a", "b").unionByName(more)) if not more.isEmpty() else merged
+    open_ = C.stash(_open(placed), "open")
+    some = C.stash(_meetings(placed, open_), "meetings")
+    C.drop(tokens, leaders, placed, open_)
+    x, y = (side(some.where(which), c, "cell", F.col("label").alias(f"{c}_label"), F.col("part").alias(f"{c}_part")) for c, which in (("x", "ours"), ("y", "theirs")))
+    more = x.join(y, ["tok", "cell"]).where("(x_part <> y_part or x_node < y_node) and x_label <> y_label").where(_may_link(percent))
+    more = C.stash(more.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct(), "pairs")
+    fresh = C.stash(_verified(more.join(tried, ["a", "b"], "left_anti"), nodes, percent), "links")
+    labels = merged
+    if not fresh.isEmpty():
+        labels = components(links.select("a", "b").unionByName(fresh))
+        C.drop(merged)
+    C.drop(nodes, some, tried, links, more, fresh)
 
     classes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     classes = classes.join(labels.withColumnRenamed("v", "node"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     classes = C.stash(classes, "classes")
     least = classes.groupBy("label").agg(F.min("least").alias("component_id"))
     of = C.stash(classes.join(least, "label").select("node", "label", "component_id"), "classes")
+    C.drop(labels, classes)
     return signed.join(of, "node", "left").select("doc_id", "h", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "label")
 
 
+#: Rows of a shingle that meet in one task; the rows of a larger group are cut into so many for either side.
+MEET = 1000
+
+
+def _open(placed: DataFrame) -> DataFrame:
+    """Shingles whose group still holds different components, and into how many parts its rows are cut."""
+    open_ = placed.groupBy("tok").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("c"))
+    return open_.where("l < h").select("tok", F.ceil(F.col("c") / MEET).cast("int").alias("parts"))
+
+
+def _meetings(placed: DataFrame, open_: DataFrame) -> DataFrame:
+    """Rows of open groups in the cells in which they meet: the rows of `part` there are the one side, the others the other.
+
+    A group of one part has one cell.  Of a larger group any two parts have a cell, and each part has one of its own,
+    so that no cell has more than about MEET times MEET pairs and no pair is in two.
+    """
+    rows = placed.join(open_, "tok").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("long"))
+    each = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct((F.least(F.col("part"), o) * F.col("parts") + F.greatest(F.col("part"), o)).alias("cell"), (F.col("part") <= o).alias("ours"), (F.col("part") >= o).alias("theirs")))
+    return rows.select(*placed.columns, "part", F.inline(each))
+
+
 def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """docs with one document of each component: the smallest doc_id (null first), of equal ones the smallest text hash.
 
@@ -205,6 +233,7 @@ def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     kept = packed.join(C.stash(gone, "gone"), F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("h") == F.col("gone_h")), "left_anti")
     if not found.groupBy("doc_id", "h").count().where("count > 1").isEmpty():
         kept = kept.dropDuplicates(["id", "h"])
+    C.drop(found)
     return kept.select("row.*")
 
 
