@@ -4,10 +4,12 @@ Sources share the words of all documents by weight.  No source may be read more
 would be is clamped there and its excess goes to the others by weight, again until nothing is above.  A source's
 target then is so many whole repetitions of its documents and a fraction of one more; the fraction is drawn in
 the order of a seeded hash of doc_id, up to the very document with which the target is reached, of which only
-the words still missing are taken.
+the words still missing are taken (`mix`).  Where no document may be cut (`mix_whole`), of the `around` documents before
+the stop and as many from there on those are taken whose sizes add up nearest to what is missing.
 
-Only a row a source and sums over sources reach the driver or one task; a source's place in the hash order where
-drawing stops is found from 65,536 sums a source and then among the documents of one such bin.
+Only sums over sources reach the driver, and no task needs all sources.  A source's place in the hash order where
+drawing stops is found in steps of 256: from as many sums a source, from as many of the bin that holds the stop, and
+then among the documents of the last such bin.
 
 Defined results: null text has size 0 and takes nothing; the null source comes last and is one source; rows of
 one doc_id in one source share a place in the order, and at the stop share what is left by size; an empty table
@@ -16,6 +18,7 @@ gives no rows.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -52,47 +55,113 @@ def water_filling(sources: DataFrame, epochs: int) -> DataFrame:
     return sources.withColumn("target", F.when(over, cap.cast("double")).otherwise(share.cast("double")))
 
 
+def _drawn(sized: DataFrame, seed: str) -> DataFrame:
+    return sized.where("size > 0").select("source", "doc_id", "size", draw(seed).alias("u"))
+
+
 def _stops(sized: DataFrame, plan: DataFrame, seed: str) -> DataFrame:
     """Where drawing a source's fraction stops: place u_stop, doc_id id_stop, words rest still to take there of `held`."""
-    need = plan.select("source", "part")
-    marked = sized.where("size > 0").select("source", "doc_id", "size", draw(seed).alias("u")).withColumn("bin", F.shiftright("u", 36))
-    bins = marked.groupBy("source", "bin").agg(F.sum("size").alias("s"))
-    upto = F.sum("s").over(Window.partitionBy("source").orderBy("bin"))
-    same = lambda a, b: a["source"].eqNullSafe(b["source"])
-    bins = bins.withColumn("upto", upto)
-    at = bins.join(need, same(bins, need)).where("upto - s <= part and part < upto").select(bins["source"].alias("src"), F.col("bin").alias("at"), (F.col("part") - (F.col("upto") - F.col("s"))).alias("part"))
-    at = C.stash(at, "bins")
-    inside = marked.join(at, marked["source"].eqNullSafe(at["src"]) & (F.col("bin") == F.col("at"))).groupBy("src", "u", "doc_id", "part").agg(F.sum("size").alias("held"))
+    left = C.stash(_drawn(sized, seed), "drawn")
+    at, steps = plan.select(F.col("source").alias("src"), F.lit(0).cast("long").alias("at"), "part"), []
+    for shift in (44, 36):  # of 52 bits
+        same = F.col("source").eqNullSafe(F.col("src")) & (F.shiftright("u", shift + 8) == F.col("at"))
+        sums = left.join(at, same).groupBy("src", "part", F.shiftright("u", shift).alias("bin")).agg(F.sum("size").alias("s"))
+        sums = sums.withColumn("upto", F.sum("s").over(Window.partitionBy("src").orderBy("bin")))
+        at = C.stash(sums.where("upto - s <= part and part < upto").select("src", F.col("bin").alias("at"), (F.col("part") - F.col("upto") + F.col("s")).alias("part")), "bins")
+        steps.append(at)
+    inside = left.join(at, F.col("source").eqNullSafe(F.col("src")) & (F.shiftright("u", 36) == F.col("at"))).groupBy("src", "u", "doc_id", "part").agg(F.sum("size").alias("held"))
     run = F.sum("held").over(Window.partitionBy("src").orderBy("u", F.col("doc_id").asc_nulls_first()))
     inside = inside.withColumn("run", run).where("run - held <= part and part < run")
-    return inside.select("src", F.col("u").alias("u_stop"), F.col("doc_id").alias("id_stop"), (F.col("part") - F.col("run") + F.col("held")).alias("rest"), "held")
+    stops = C.stash(inside.select("src", F.col("u").alias("u_stop"), F.col("doc_id").alias("id_stop"), (F.col("part") - F.col("run") + F.col("held")).alias("rest"), "held"), "stops")
+    C.drop(left, *steps)
+    return stops
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = 3, seed: str = "mix-1", carry=("doc_id",)) -> DataFrame:
-    """row (a struct of the carried columns), size, source_size, target, taken of each document."""
+def _earlier():
+    """Whether a document stands before the one where its source's drawing stops."""
+    number = lambda c: F.coalesce(c, F.lit(-(2**63)))
+    return F.coalesce((F.col("u") < F.col("u_stop")) | ((F.col("u") == F.col("u_stop")) & (number("doc_id") < number("id_stop"))), F.lit(False))
+
+
+def _planned(docs: DataFrame, weights: tuple[int, ...], epochs: int, seed: str, carry) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents (row, doc_id, source, size, u), sizes alone, and a row a source: src, source_size, target, whole, stop."""
     narrow = docs.select(F.struct(*carry).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words().alias("size"))
     narrow_only = [str(c) for c in carry] == ["doc_id"]
     sized = C.stash(narrow if narrow_only else narrow.drop("row"), "sized")
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*[F.lit(w).cast("long") for w in weights]), (rank % len(weights) + 1).cast("int"))
-    plan = water_filling(C.stash(sources.withColumn("weight", weight), "sources"), epochs)
+    ranked = C.running(sources.withColumn("one", F.lit(1).cast("long")), F.col("source").asc_nulls_last(), "one")
+    weight = F.element_at(F.array(*[F.lit(w).cast("long") for w in weights]), (F.col("before") % len(weights) + 1).cast("int"))
+    plan = water_filling(C.stash(ranked.select("source", "source_size", weight.alias("weight")), "sources"), epochs)
     goal = F.floor("target")
     plan = plan.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(goal / F.col("source_size"))).otherwise(0).cast("long"))
     plan = C.stash(plan.withColumn("part", (goal - F.col("whole") * F.col("source_size")).cast("long")), "plan")
+    C.drop(ranked)
     stops = _stops(sized, plan, seed)
     plan = plan.join(stops, plan["source"].eqNullSafe(stops["src"]), "left").drop("src")
-    plan = C.stash(plan.withColumnRenamed("source", "src"), "plan")
+    return (sized if narrow_only else narrow).withColumn("u", draw(seed)), sized, C.stash(plan.withColumnRenamed("source", "src"), "plan")
 
-    rows = (sized if narrow_only else narrow).withColumn("u", draw(seed))
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = 3, seed: str = "mix-1", carry=("doc_id",)) -> DataFrame:
+    """row (a struct of the carried columns), size, source_size, target, taken of each document."""
+    rows, _, plan = _planned(docs, weights, epochs, seed, carry)
     out = rows.join(plan, rows["source"].eqNullSafe(plan["src"]))
-    earlier = (F.col("u") < F.col("u_stop")) | ((F.col("u") == F.col("u_stop")) & F.coalesce(F.coalesce(F.col("doc_id"), F.lit(-(2**63))) < F.coalesce(F.col("id_stop"), F.lit(-(2**63))), F.lit(False)))
     here = (F.col("u") == F.col("u_stop")) & F.col("doc_id").eqNullSafe(F.col("id_stop"))
-    extra = F.when(here, F.floor(F.col("size") * F.col("rest") / F.col("held"))).when(earlier, F.col("size")).otherwise(0)
+    extra = F.when(here, F.floor(F.col("size") * F.col("rest") / F.col("held"))).when(_earlier(), F.col("size")).otherwise(0)
     taken = F.when(F.col("size") > 0, F.col("size") * F.col("whole") + extra).otherwise(0).cast("long")
     return out.select("row", "size", "source_size", "target", taken.alias("taken"))
 
 
+def nearest_subset(sizes: list[int], goal: int) -> list[int]:
+    """Numbers of the items whose sizes add up nearest to the goal; of two such sums the smaller."""
+    sums, steps, most = 1, [], (1 << (goal + max(sizes, default=0) + 1)) - 1  # bit k: k is a sum of some items
+    for n in sizes:
+        steps.append(sums)
+        sums |= (sums << n) & most
+    below = (sums & ((1 << (goal + 1)) - 1)).bit_length() - 1
+    above = sums >> (goal + 1)
+    above = goal + (above & -above).bit_length() if above else None
+    left, out = below if above is None or goal - below <= above - goal else above, []
+    for i in range(len(sizes) - 1, -1, -1):
+        if not steps[i] >> left & 1:  # not without this one
+            out.append(i)
+            left -= sizes[i]
+    return out[::-1]
+
+
+_AROUND = "src string, picks array<struct<u:long,id:long>>, u_first long, id_first long"
+
+
+def _picked(t: pa.Table) -> pa.Table:
+    """Of the documents around a source's stop those that its mix takes, and the first of them all."""
+    rows = sorted(t.to_pylist(), key=lambda r: (r["u"], -(2**63) if r["doc_id"] is None else r["doc_id"]))
+    goal = rows[0]["rest"] + sum(r["held"] for r in rows if r["before"])
+    picks = [{"u": rows[i]["u"], "id": rows[i]["doc_id"]} for i in nearest_subset([r["held"] for r in rows], goal)]
+    kind = pa.list_(pa.struct([("u", pa.int64()), ("id", pa.int64())]))
+    return pa.table([pa.array([rows[0]["src"]], pa.string()), pa.array([picks], kind), pa.array([rows[0]["u"]], pa.int64()), pa.array([rows[0]["doc_id"]], pa.int64())], ["src", "picks", "u_first", "id_first"])
+
+
+def mix_whole(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = 3, seed: str = "mix-1", carry=("doc_id",), around: int = 16) -> DataFrame:
+    """row, and copies: how often the mix takes each document, of which none is cut.
+
+    A document that shares its doc_id with others of its source is taken with them.
+    """
+    rows, sized, plan = _planned(docs, weights, epochs, seed, carry)
+    left = _drawn(sized, seed).join(plan.where("rest > 0").select("src", "u_stop", "id_stop", "rest"), F.col("source").eqNullSafe(F.col("src")))
+    held = left.groupBy("src", "rest", "u", "doc_id", _earlier().alias("before")).agg(F.sum("size").alias("held"))
+    near = []
+    for before, order in ((True, [F.desc("u"), F.col("doc_id").desc_nulls_last()]), (False, [F.asc("u"), F.col("doc_id").asc_nulls_first()])):
+        n = F.row_number().over(Window.partitionBy("src").orderBy(*order))
+        near.append(held.where(F.col("before") == before).withColumn("n", n).where(F.col("n") <= around).drop("n"))
+    picked = near[0].union(near[1]).groupBy("src").applyInArrow(_picked, _AROUND).withColumnRenamed("src", "src_")
+    plan = C.stash(plan.join(picked, F.col("src").eqNullSafe(F.col("src_")), "left").drop("src_"), "plan")
+    out = rows.join(plan, rows["source"].eqNullSafe(plan["src"])).where("size > 0")
+    number = lambda c: F.coalesce(c, F.lit(-(2**63)))
+    first = (F.col("u") < F.col("u_first")) | ((F.col("u") == F.col("u_first")) & (number("doc_id") < number("id_first")))
+    among = (F.col("u") >= F.col("u_first")) & F.exists("picks", lambda x: (x["u"] == F.col("u")) & x["id"].eqNullSafe(F.col("doc_id")))
+    part = F.when(F.col("picks").isNull(), _earlier()).otherwise(first | among)
+    return out.select("row", (F.col("whole") + F.coalesce(part, F.lit(False)).cast("long")).cast("int").alias("copies"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(C.table(spark, sf_dir, "documents")).select("row.doc_id", "size", "source_size", "target", "taken")
 
