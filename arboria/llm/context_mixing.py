@@ -13,13 +13,16 @@ hash order, each predicted with its own occurrence left out, each followed by a
 are averaged by the grams they saw.  Only the weights and the counts of orders 0 and 1 (65,792 decisions, 64 bits
 each) are broadcast; a bucket mixes each of its grams once and answers the blocks that asked.
 
-Scoring: each text then is refined as it goes: a match predictor, the
-byte that followed the last equal six bytes of the same text, is mixed in with a rate that follows its hits and
-misses in the text so far; and a word with the white space (or end) after it, which the bytes give one way, the
-corpus's count of that word gives another, mixed in at the rate at which that was better in the text so far.  All
-of this looks at earlier bytes only, so `score` is a probability.
+A bucket gets what blocks ask in at most `fan` rows: where there are more blocks, `fan` neighbours' distinct grams are
+added up first, and again until that holds, and answers go down the same way.
 
-Unigram counts of words (the base score) come from `tally`: blocks ask for the counts of their words.
+Scoring: each text then is refined as it goes, in three steps.  A match predictor, the byte that followed the last
+equal six bytes of the same text, is mixed in with a rate that follows its hits and misses in the text so far.  A word
+with the white space (or end) after it, which the bytes give one way, the corpus's count of that word gives another,
+mixed in at the rate at which that was better in the text so far.  And so is a phrase: a text is cut after words that a
+hash of the word and the one before picks, one in eight, and how often the phrase follows the one before it in
+*other* training texts gives its probability (where these have the phrase before at all).  All of this looks at
+earlier bytes only, so `score` is a probability.
 
 Defined results: a null text is empty (one end token, one closing byte); a null doc_id counts as the empty
 string for crc32; repeated rows are scored, and learnt from, each; an empty table gives no rows; with no training
@@ -32,7 +35,6 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +44,8 @@ from . import tally
 ORDERS = 5
 GATES = 4
 BLOCK = 6 << 20
+FAN = 4096
+_PHRASES = 1 << 28  # buckets of phrases in tallies begin here
 _MATCH = 6  # bytes of context of the match predictor
 _SEEN = np.array([0.0, 1.0, 4.0])  # how much the longest contexts have seen
 
@@ -238,7 +242,38 @@ def ask_grams(m: int, parts: list[tuple[np.ndarray, np.ndarray]], bits: int) ->
 
 
 def _asked_grams(t) -> tuple[np.ndarray, np.ndarray]:
-    return _of_six(b"".join(t.column("keys").to_pylist())), np.frombuffer(b"".join(t.column("counts").to_pylist()), "<u4")
+    """Grams and counts of rows of one level; blocks' counts have four bytes, sums over blocks eight."""
+    keys, counts = b"".join(t.column("keys").to_pylist()), b"".join(t.column("counts").to_pylist())
+    g = _of_six(keys)
+    return g, np.frombuffer(counts, "<u8" if len(counts) == 8 * len(g) else "<u4").astype(np.int64)
+
+
+def _up(fan: int):
+    return F.floor(F.col("m") / F.lit(fan)).cast("long")
+
+
+def summed_grams(asked: DataFrame, fan: int) -> DataFrame:
+    """What `fan` neighbouring rows of a bucket ask, as one row."""
+
+    def run(t: pa.Table) -> pa.Table:
+        g, n = _gram_counts([_asked_grams(t)])
+        C.tidy()
+        return pa.table([t.column("up").slice(0, 1), t.column("b").slice(0, 1), pa.array([_six(g)], pa.binary()), pa.array([n.astype("<u8").tobytes()], pa.binary())], ["m", "b", "keys", "counts"])
+
+    return asked.withColumn("up", _up(fan)).groupBy("b", "up").applyInArrow(run, tally.ASKED)
+
+
+def answered_below(asked: DataFrame, replies: DataFrame, fan: int) -> DataFrame:
+    """Replies to what was summed by summed_grams(), as replies to the rows that it summed."""
+
+    def run(t: pa.Table, r: pa.Table) -> pa.Table:
+        known, parts = Answers(r.column("reply").to_pylist()), []
+        for k in t.column("keys").to_pylist():
+            parts.append(k + known.nats(_of_six(k)).astype("<f4").tobytes())
+        C.tidy()
+        return pa.table([t.column("m"), t.column("b"), pa.array(parts, pa.binary())], ["m", "b", "reply"])
+
+    return asked.withColumn("up", _up(fan)).groupBy("b", "up").cogroup(replies.groupBy("b", "m")).applyInArrow(run, "m long, b int, reply binary")
 
 
 def gather(asked: DataFrame, slot_bits: int | None) -> Model:
@@ -359,22 +394,73 @@ def refined(g: np.ndarray, ends: np.ndarray, nats: np.ndarray) -> np.ndarray:
     return np.log((1 - rate) * np.exp(nats) + rate * hit)
 
 
-def with_words(nats: np.ndarray, e: np.ndarray, starts: np.ndarray, ends: np.ndarray, w: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Nats of each text: of a word and the byte after it, that byte's by `word` and the bytes' own nats mixed.
+def _so_far(flag: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Of each item how many of the items before it in its text have the flag."""
+    c = np.concatenate([[0], np.cumsum(flag)])
+    return c[:-1] - np.repeat(c[offsets[:-1]], np.diff(offsets))
+
+
+def mixed_in(own: np.ndarray, known: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Nats of items with another's (nan: it says nothing) mixed in, at the rate at which that was better in its text so far."""
+    tried = ~np.isnan(known)
+    known = np.where(tried, known, -np.inf)
+    rate = (_so_far(known > own, offsets) + 1) / (_so_far(tried, offsets) + 2)
+    return np.where(tried, np.logaddexp(np.log1p(-rate) + own, np.log(rate) + known), own)
+
+
+class Phrases:
+    """Texts (as bytes with a closing zero each) cut after words that a hash of the word and the one before picks."""
+
+    def __init__(self, g: np.ndarray, e: np.ndarray, starts: np.ndarray, ends: np.ndarray, w: np.ndarray, words: np.ndarray):
+        doc = np.repeat(np.arange(len(w) - 1), np.diff(w))
+        before = np.concatenate([np.zeros(min(1, len(words)), np.uint64), words[:-1]])
+        before[w[:-1][np.diff(w) > 0]] = 0
+        last = C.mix64(before * np.uint64(3) + words) & np.uint64(7) == 0
+        self.ends = np.union1d(ends[last] + doc[last] + 1, e[1:])
+        self.starts = np.concatenate([[0], self.ends[:-1]]).astype(np.int64)
+        #: n+1 offsets of phrases by text, and the first word of each phrase.
+        self.offsets = np.searchsorted(self.starts, e)
+        self.first_word = np.searchsorted(starts + doc, self.starts)
+        own = C.word_hashes((g & np.uint64(255)).astype(np.uint8), self.starts, self.ends)
+        before = np.concatenate([np.zeros(min(1, len(own)), np.uint64), own[:-1]])
+        before[self.offsets[:-1]] = 0
+        #: Keys of the phrase before, and of that and the phrase.
+        self.context = C.mix64(before + np.uint64(0xA0761D6478BD642F))
+        self.pair = C.mix64(self.context * np.uint64(0x9E3779B97F4A7C15) ^ own)
+
+    def here(self, key: np.ndarray) -> np.ndarray:
+        """How often each phrase's key stands in its own text."""
+        doc = np.repeat(np.arange(len(self.offsets) - 1), np.diff(self.offsets))
+        order = np.lexsort((key, doc))
+        fresh = np.ones(len(key), bool)
+        fresh[1:] = (np.diff(doc[order]) != 0) | (key[order][1:] != key[order][:-1])
+        run = np.cumsum(fresh) - 1
+        out = np.zeros(len(key), np.int64)
+        out[order] = np.bincount(run)[run] if len(run) else run
+        return out
+
+    def known(self, context: np.ndarray, pair: np.ndarray, train: np.ndarray) -> np.ndarray:
+        """Nats of each phrase by counts in training texts, its own text's left out; nan where its context is in no other."""
+        ours = np.repeat(train, np.diff(self.offsets))
+        n = context - ours * self.here(self.context)
+        with np.errstate(divide="ignore"):
+            return np.where(n > 0, np.log(np.maximum(pair - ours * self.here(self.pair), 0)) - np.log(np.maximum(n, 0) + 0.5), np.nan)
+
+
+def text_nats(nats: np.ndarray, e: np.ndarray, starts: np.ndarray, ends: np.ndarray, w: np.ndarray, word: np.ndarray, phrases: Phrases, phrase: np.ndarray) -> np.ndarray:
+    """Nats of each text, from those of its bytes, of its words (with the byte after them) and of its phrases.
 
     word: natural logarithm of the corpus's share of each word, with that of the byte after it; -inf if unknown.
     """
     doc = np.repeat(np.arange(len(w) - 1), np.diff(w))
     upto = np.concatenate([[0], np.cumsum(nats)])
     own = upto[ends + doc + 1] - upto[starts + doc]
-    better = np.concatenate([[0], np.cumsum(word > own)])
-    at = np.arange(len(word))
-    rate = (better[:-1] - better[w[:-1]][doc] + 1) / (at - w[doc] + 2)
-    gain = np.logaddexp(np.log1p(-rate) + own, np.log(rate) + word) - own
-    return np.diff(upto[e]) + np.diff(np.concatenate([[0], np.cumsum(gain)])[w])
+    gain = np.concatenate([[0], np.cumsum(mixed_in(own, word, w) - own)])
+    own = upto[phrases.ends] - upto[phrases.starts] + np.diff(gain[np.append(phrases.first_word, len(own))])
+    return np.diff(np.concatenate([[0], np.cumsum(mixed_in(own, phrase, phrases.offsets))])[phrases.offsets])
 
 
-def score_documents(docs: DataFrame, folds: int = 10, slot_bits: int | None = None) -> DataFrame:
+def score_documents(docs: DataFrame, folds: int = 10, slot_bits: int | None = None, fan: int = FAN) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte of each document.
 
     slot_bits: folds a bucket's contexts of an order on 2^(slot_bits - 6), for a small model; None keeps all apart.
@@ -383,7 +469,7 @@ def score_documents(docs: DataFrame, folds: int = 10, slot_bits: int | None = No
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), C.text_bytes())
     size = rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     blocks = max(1, -(-size // BLOCK))
-    bits, spread = tally.bucket_bits(size // 6), bucket_bits(size)
+    bits, phrase_bits, spread = tally.bucket_bits(size // 6), tally.bucket_bits(size // 24), bucket_bits(size)
     dealt = rows.withColumn("m", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).repartition(blocks, "m")
 
     def tokens(t: pa.Table):
@@ -396,10 +482,12 @@ def score_documents(docs: DataFrame, folds: int = 10, slot_bits: int | None = No
 
     def asks(t: pa.Table) -> pa.Table:
         train = ~held_out(t.column("doc_id").to_pylist(), folds)
-        parts, seen, size = [], [], 0
-        for a, b, low, o, h, w, _, _ in tokens(t):
+        parts, phrases, seen, size = [], [], [], 0
+        for a, b, low, o, h, w, first, after in tokens(t):
             parts.append((h, np.repeat(train[a:b], np.diff(w))))
             g, e = grams(low, o)
+            p = Phrases(g, e, first, after, w, h)
+            phrases += [(key, np.repeat(train[a:b], np.diff(p.offsets))) for key in (p.context, p.pair)]
             ours = np.repeat(train[a:b], np.diff(e))
             seen.append(np.unique(g[ours], return_counts=True))
             others = np.unique(g[~ours])
@@ -408,15 +496,18 @@ def score_documents(docs: DataFrame, folds: int = 10, slot_bits: int | None = No
             if size > 3_000_000:
                 seen = [_gram_counts(seen)]
                 size = len(seen[0][0])
-        h = np.concatenate([p[0] for p in parts]) >> np.uint64(32 - bits)
-        distinct, back = np.unique(h, return_inverse=True)
-        m = t.column("m")[0].as_py()
-        words = tally.ask(m, distinct, np.bincount(back, weights=np.concatenate([p[1] for p in parts]), minlength=len(distinct)), bits)
-        return pa.concat_tables([words, ask_grams(m, seen, spread)])
+        m, tables = t.column("m")[0].as_py(), []
+        for some, k, first in ((parts, bits, 0), (phrases, phrase_bits, _PHRASES)):
+            distinct, back = np.unique(np.concatenate([p[0] for p in some]) >> np.uint64(32 - k), return_inverse=True)
+            tables.append(tally.ask(m, distinct, np.bincount(back, weights=np.concatenate([p[1] for p in some]), minlength=len(distinct)), k, first))
+        return pa.concat_tables([*tables, ask_grams(m, seen, spread)])
 
     both = C.stash(dealt.groupBy("m").applyInArrow(asks, tally.ASKED), "asked")
-    asked, asked_grams = both.where("b >= 0"), both.where("b < 0")
-    model = spark.sparkContext.broadcast(gather(asked_grams, slot_bits))
+    asked, asked_phrases, levels, n = both.where(f"b >= 0 and b < {_PHRASES}"), both.where(f"b >= {_PHRASES}"), [both.where("b < 0")], blocks
+    while n > fan:
+        levels.append(C.stash(summed_grams(levels[-1], fan), "asked"))
+        n = -(-n // fan)
+    model = spark.sparkContext.broadcast(gather(levels[-1], slot_bits))
 
     def summed(t: pa.Table) -> pa.Table:
         _, total, _, _ = tally.totals(t)
@@ -427,29 +518,39 @@ def score_documents(docs: DataFrame, folds: int = 10, slot_bits: int | None = No
     v, n = int(v or 0) + (ends_ > 0), int(n or 0) + ends_
     floor = np.log10(n + 0.1 * (v + 1))
     end_known, end_score = ends_ > 0, float(np.log10(ends_ + 0.1) - floor)
-    replies = tally.answered(asked, lambda total: total.astype("<i8")).union(answered_grams(asked_grams, model))
+    of_grams = answered_grams(levels[-1], model)
+    for level in levels[-2::-1]:
+        of_grams = answered_below(level, of_grams, fan)
+    replies = tally.answered(asked, lambda total: total.astype("<i8")).union(tally.answered(asked_phrases, lambda total: total.astype("<f4"))).union(of_grams)
 
     def scores(t: pa.Table, r: pa.Table) -> pa.Table:
-        closing, of_words = model.value.closing, pc.greater_equal(r.column("b"), 0)
-        answers = Answers(r.filter(pc.invert(of_words)).column("reply").to_pylist())
+        closing, b_ = model.value.closing, r.column("b").to_numpy()
+        answers = Answers(r.filter(pa.array(b_ < 0)).column("reply").to_pylist())
         out_ids = held_out(t.column("doc_id").to_pylist(), folds)
         parts = list(tokens(t))
-        every = np.concatenate([p[4] for p in parts]) >> np.uint64(32 - bits) if parts else np.zeros(0, np.uint64)
-        counts = tally.in_order(r.filter(of_words), "<i8")
-        distinct = np.unique(every)
+
+        def looked_up(keys: list[np.ndarray], counts: np.ndarray, k: int):
+            distinct = np.unique(np.concatenate(keys) >> np.uint64(32 - k)) if keys else np.zeros(0, np.uint64)
+            return lambda h: counts[np.searchsorted(distinct, h >> np.uint64(32 - k))] if len(h) else np.zeros(0, counts.dtype)
+
+        texts = [Phrases(*grams(low, o), first, after, w, h) for _, _, low, o, h, w, first, after in parts]
+        of_word = looked_up([p[4] for p in parts], tally.in_order(r.filter(pa.array((b_ >= 0) & (b_ < _PHRASES))), "<i8"), bits)
+        of_phrase = looked_up([x for p in texts for x in (p.context, p.pair)], tally.in_order(r.filter(pa.array(b_ >= _PHRASES)), "<f4"), phrase_bits)
         cols = [[] for _ in range(5)]
-        for a, b, low, o, h, w, first, after in parts:
-            c = counts[np.searchsorted(distinct, h >> np.uint64(32 - bits))] if len(h) else np.zeros(0, np.int64)
+        for (a, b, low, o, h, w, first, after), phrases in zip(parts, texts, strict=True):
+            c = of_word(h)
+            g, e = grams(low, o)
             add = lambda x, at: np.diff(np.concatenate([[0], np.cumsum(x)])[at])
             cols[0].append(np.diff(w) + 1)
             cols[1].append(add(c > 0, w).astype(np.int64) + end_known)
             cols[2].append(add(np.log10(c + 0.1) - floor, w) + end_score)
-            g, e = grams(low, o)
             nats = refined(g, e, answers.nats(g))
             known = np.log(np.maximum(c, 1)) - np.log(max(1, n - ends_)) + closing[(g[after + np.repeat(np.arange(b - a), np.diff(w))] & np.uint64(255)).astype(np.int64)]
-            cols[3].append(with_words(nats, e, first, after, w, np.where(c > 0, known, -np.inf)) / np.log(10))
+            phrase = phrases.known(of_phrase(phrases.context).astype(np.float64), of_phrase(phrases.pair).astype(np.float64), ~out_ids[a:b])
+            cols[3].append(text_nats(nats, e, first, after, w, np.where(c > 0, known, -np.inf), phrases, phrase) / np.log(10))
             cols[4].append(np.diff(e))
         tokens_, known, base, score, size_ = (np.concatenate(x) for x in cols)
+        C.tidy()
         return pa.table([t.column("doc_id"), pa.array(out_ids), pa.array(tokens_), pa.array(known), pa.array(np.full(len(out_ids), n)), pa.array(base), pa.array(score), pa.array(size_), pa.array(-score / np.log10(2) / size_)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte"])
 
     return dealt.groupBy("m").cogroup(replies.groupBy("m")).applyInArrow(scores, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double")
