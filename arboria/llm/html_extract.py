@@ -10,7 +10,8 @@ features, the expectations by the same messages).  The labelled pages are made h
 articles in many dresses, menus, headers, footers, sidebars, notices, adverts, forms and reader comments.
 
 Text: character references are decoded, white space within a block is one space, blocks are trimmed and joined
-by one line feed in page order; scripts, styles, templates and the head are never text.
+by one line feed in page order; scripts, styles, templates, choices and fields of forms, and the head are never text.
+What pages show where scripts or plug-ins are missing (noscript, object, canvas, iframe) and formulas are text like any.
 
 Defined results: a null page is empty; a page without kept blocks gives the empty string; unclosed and unknown
 elements are tolerated; page_id and url may be null; repeated rows give a row each; an empty table gives no rows.
@@ -34,13 +35,16 @@ from . import common as C
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*+)>|<[!?/][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-_RAW = {"script", "style", "textarea", "noscript", "template", "iframe", "svg", "math", "object", "select", "title", "xmp", "noembed", "canvas"}
-_INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "ruby", "rb", "rt", "rp", "nobr", "picture", "output"}
+#: Elements whose content is no text of the page: code, and what a reader picks or fills in.
+_RAW = {"script", "style", "textarea", "template", "select", "title"}
+#: Elements whose content has no markup.
+_LITERAL = {"xmp"}
+_INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "ruby", "rb", "rt", "rp", "nobr", "picture", "output", "math", "mi", "mn", "mo", "ms", "mtext", "mrow", "msup", "msub", "mfrac", "msqrt", "mroot", "mstyle", "semantics", "object", "canvas", "svg", "g", "text", "tspan", "audio", "video"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead"}, "tfoot": {"tr", "td", "th", "tbody"}}
 _SCOPE = {"ul", "ol", "dl", "table", "div", "section", "article", "body", "html", "#root", "aside", "nav", "main", "form"}
 
-_TAGS = ("article", "main", "section", "div", "p", "heading", "li", "list", "nav", "header", "footer", "aside", "form", "cell", "table", "quote", "pre", "figure", "page", "other")
+_TAGS = ("article", "main", "section", "div", "p", "heading", "li", "list", "nav", "header", "footer", "aside", "form", "cell", "table", "quote", "pre", "figure", "page", "head", "noscript", "other")
 _TAG = {"h1": "heading", "h2": "heading", "h3": "heading", "h4": "heading", "h5": "heading", "h6": "heading", "ul": "list", "ol": "list", "dl": "list", "dt": "li", "dd": "li", "td": "cell", "th": "cell", "tr": "table", "tbody": "table", "thead": "table", "tfoot": "table", "blockquote": "quote", "figcaption": "figure", "body": "page", "html": "page", "#root": "page", "fieldset": "form", "button": "form", "menu": "list", "dialog": "aside", "address": "footer"}
 #: Words in class, id or role, by what they tell.
 _HINTS = (
@@ -67,7 +71,6 @@ class Page:
         stack: list[tuple[str, int]] = [("#root", 0)]
         parts: list[str] = []
         linked = [0, 0]  # open links, characters in links
-        lower = None
 
         def flush() -> None:
             if parts:
@@ -97,15 +100,17 @@ class Page:
             if not name:
                 continue
             name = name.lower()
-            if not close and name in _RAW:
+            if not close and (name in _RAW or name in _LITERAL):
                 if rest.endswith("/"):
                     continue
-                if lower is None:
-                    lower = source.lower()
-                end = lower.find(f"</{name}", at)
-                end = len(source) if end < 0 else end
-                stop = source.find(">", end)
-                at = len(source) if stop < 0 else stop + 1
+                end = _end_of(name).search(source, at)
+                if name in _LITERAL:
+                    flush()
+                    self.push(stack, name, hints(rest) if rest else 0)
+                    parts.append(source[at : end.start() if end else len(source)])
+                    flush()
+                    stack.pop()
+                at = end.end() if end else len(source)
                 parts.append(" ")
                 continue
             if name in _VOID:
@@ -152,6 +157,12 @@ class Page:
         self.hint.append(hint)
 
 
+@cache
+def _end_of(name: str) -> re.Pattern:
+    """The end tag of an element without markup inside, and what is left of it where the page ends in it."""
+    return re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I | re.A)
+
+
 @cache
 def _hints_of(text: str) -> int:
     return sum(1 << k for k, r in enumerate(_HINT) if r.search(text))
@@ -174,7 +185,7 @@ def hints(attributes: str) -> int:
 # ---- the model -------------------------------------------------------------------------------------------------
 
 N_HINTS = 13
-N_FEATURES = 1 + len(_TAGS) + N_HINTS + 9
+N_FEATURES = 1 + len(_TAGS) + N_HINTS + 10
 _TAG_AT = {t: i for i, t in enumerate(_TAGS)}
 
 
@@ -218,6 +229,7 @@ class Batch:
         x[:, f + 6] = np.minimum(own[:, 2], 10) / 5
         x[:, f + 7] = own[:, 3] > 0
         x[:, f + 8] = np.minimum(depth, 10) / 10
+        x[1:, f + 9] = x[self.parent[1:], 1 + _TAG_AT["page"]] * (self.parent[1:] >= 0)
         self.x = x
 
     def marginals(self, unary: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -260,6 +272,10 @@ def fit(pages: list[Page], labels: list[list[int]], rounds: int = 300, rate: flo
     return theta[:-4], theta[-4:].reshape(2, 2)
 
 
+#: Elements that say nothing of their content.
+UNUSUAL = ["details", "center", "hgroup", "x-block"]
+
+
 # ---- labelled pages --------------------------------------------------------------------------------------------
 
 
@@ -300,6 +316,8 @@ def labelled(n: int, seed: int) -> list[tuple[str, list[str]]]:
         return el(r.choice(tags), inner, 0, r.choice(names), r.choice(["class", "class", "id"]))
 
     def few() -> str:
+        if r.random() < 0.1:
+            return el(r.choice(UNUSUAL), el("p", prose(1, 3), 0), 0)
         return r.choice([prose(1, 3), el("p", prose(1, 4), 0), el("h3", words(1, 4), 0) + el("p", prose(1, 3), 0), links(), el("h4", words(1, 3), 0) + links()])
 
     def sidebar() -> str:
@@ -309,6 +327,8 @@ def labelled(n: int, seed: int) -> list[tuple[str, list[str]]]:
         return box(["ad", "ads", "advert", "advertisement", "sponsored", "promo", "ad-slot", "banner-ad"], ["div", "div", "aside", "section", "p"], few() if r.random() < 0.5 else prose(1, 2))
 
     def notice() -> str:
+        if r.random() < 0.15:
+            return el("noscript", r.choice([prose(1, 1), el("p", prose(1, 2), 0), el("div", words(3, 12), 0)]), 0)
         return box(["cookie-notice", "cookie-banner", "consent", "gdpr", "newsletter", "subscribe-box", "popup", "modal", "notice", "alert"], ["div", "div", "section", "aside"], r.choice([prose(1, 3), el("p", prose(1, 3), 0)]) + (el("button", words(1, 2), 0) if r.random() < 0.5 else ""))
 
     def form() -> str:
@@ -349,9 +369,11 @@ def labelled(n: int, seed: int) -> list[tuple[str, list[str]]]:
                 out += el("div", p, 1)
             elif k < 0.89:
                 out += el("blockquote", el("p", p, 1) if r.random() < 0.5 else p, 1)
-            elif k < 0.93:
+            elif k < 0.91:
+                out += el(r.choice(UNUSUAL + ["noscript", "noscript"]), el("p", p, 1) if r.random() < 0.7 else p, 1)
+            elif k < 0.94:
                 out += el("ul", "".join(el("li", words(2, 14), 1) for _ in range(r.randint(1, 5))), 1)
-            elif k < 0.97:
+            elif k < 0.975:
                 out += el("h2", words(1, 7), 1)
             else:
                 out += r.choice([advert, share, notice, sidebar, form])()
@@ -378,7 +400,7 @@ def labelled(n: int, seed: int) -> list[tuple[str, list[str]]]:
     return pages
 
 
-_Y = re.compile(r'<[a-z0-9]+[^>]* data-y="([01])">')
+_Y = re.compile(r'<[a-z0-9-]+[^>]* data-y="([01])">')
 
 
 def training_pages(n: int = 400, seed: int = 11) -> tuple[list[Page], list[list[int]]]:
