@@ -3,12 +3,18 @@
 quality rules       rejected documents go: those that fail the base rule, and those of rejected hosts
 near duplicates     one document of each component of the n-gram Jaccard join stays
 decontamination     documents with benchmark windows in a twentieth of their words or more go
-mixing              documents are repeated, or left out, until sources stand at their targets; the one document at
-                    which a source's fraction ends is taken whole or not at all, whichever is nearer
+mixing              documents are repeated, or left out, until sources stand at their targets; all are taken whole, the
+                    last ones of a source being those that fit best
 token ids           the mix is encoded and written as a token store, and the result is read from its files
 
-A stage's result is written to the shared folder and read again as the next one's documents.  All stages but the
-last return the columns of documents, whatever else these hold.
+A stage's result is written to the shared folder and read again as the next one's documents, and deleted once that has
+been written too.  All stages but the last return the columns of documents, whatever else these hold.
+
+Defined results: a document without words (null, empty or blank text) goes with the base rule.  Of rows alike in doc_id
+and text the near duplicates keep one; of a component the smallest doc_id, null first; documents of equal doc_id and
+different texts are documents of their own.  A null source is a host and a source like any, the last one in the
+weights.  Extra columns, whatever their names, pass through all stages but the last.  An empty table gives no rows,
+and with an empty benchmark nothing is contaminated.  Texts are read whole, however long.
 """
 
 from __future__ import annotations
@@ -27,9 +33,9 @@ def _carried(docs: DataFrame) -> list:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rejected = quality.host_rates(quality.annotated(docs)).where(F.col("rate") > 0.8).select(F.col("host").alias("bad"))
-    rows = quality.annotated(docs, carry=_carried(docs)).where(~F.col("base_failed"))
-    return rows.join(rejected, rows["host"].eqNullSafe(F.col("bad")), "left_anti").select("row.*")
+    rows = common.stash(quality.annotated(docs, carry=_carried(docs)), "annotated")
+    rejected = quality.host_rates(rows).where(F.col("host_rate") > quality.HOST_RATE).select(F.col("host").alias("bad"))
+    return rows.where(~F.col("base_failed")).join(rejected, F.col("host").eqNullSafe(F.col("bad")), "left_anti").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,10 +48,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = mixing.mix(docs, carry=_carried(docs)).where(F.col("taken") > 0)
-    # a part of a document is taken as all of it or nothing, whichever is nearer
-    copies = F.floor(F.col("taken") / F.col("size")) + (2 * (F.col("taken") % F.col("size")) >= F.col("size")).cast("long")
-    rows = rows.withColumn("copies", copies.cast("int")).where("copies > 0")
+    rows = mixing.mix_whole(docs, carry=_carried(docs)).where("copies > 0")
     return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
@@ -65,6 +68,9 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage, over all documents of sf_dir."""
     docs = common.table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = common.stash(stage(spark, docs, sf_dir), "stage")
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        done = common.stash(stage(spark, docs, sf_dir), "stage")
+        if k:
+            common.drop(docs)
+        docs = done
     return STAGES[-1][1](spark, docs, sf_dir)
