@@ -12,6 +12,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -171,8 +172,30 @@ def shared_dir(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Deletes, at its end, the folders made within: for work whose result has by then been written elsewhere."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            delete(spark, path)
+
+
 def new_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/arboria-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/arboria-{name}-{uuid.uuid4().hex}"
+    if _scratch:
+        _scratch[-1].append(path)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def stash(df: DataFrame, name: str, **options) -> DataFrame:
@@ -187,8 +210,12 @@ def stash(df: DataFrame, name: str, **options) -> DataFrame:
 def drop(*stashed: DataFrame) -> None:
     """Deletes stashes, once all that is read from them has been written."""
     for df in stashed:
-        p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stashed)
-        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+        delete(df.sparkSession, df._stashed)
+
+
+def small(stashed: DataFrame, row_bytes: int, most: int = 32 << 20) -> DataFrame:
+    """A stash marked for broadcast if its rows, counted, take no more than `most` bytes; else as it is."""
+    return F.broadcast(stashed) if stashed.count() * row_bytes <= most else stashed
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -230,7 +230,8 @@ def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     gone = found.join(first, "label").where(~F.struct("doc_id", "h").eqNullSafe(F.col("first")))
     gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("h").alias("gone_h")).distinct()
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(C.text_bytes()).alias("h"))
-    kept = packed.join(C.stash(gone, "gone"), F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("h") == F.col("gone_h")), "left_anti")
+    # texts are moved only where the keys of those that go are too many for a broadcast
+    kept = packed.join(C.small(C.stash(gone, "gone"), 32), F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("h") == F.col("gone_h")), "left_anti")
     if not found.groupBy("doc_id", "h").count().where("count > 1").isEmpty():
         kept = kept.dropDuplicates(["id", "h"])
     C.drop(found)
