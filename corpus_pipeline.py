@@ -67,10 +67,12 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage, over all documents of sf_dir."""
-    docs = common.table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES[:-1]):
-        done = common.stash(stage(spark, docs, sf_dir), "stage")
-        if k:
-            common.drop(docs)
-        docs = done
+    docs, before = common.table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        done = common.new_dir(spark, "stage")
+        with common.scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(done)
+        if before:
+            common.delete(spark, before)
+        docs, before = spark.read.parquet(done), done
     return STAGES[-1][1](spark, docs, sf_dir)
