@@ -81,8 +81,36 @@ SCRIPT_DEFINITION = (
     r"(?U)^\s*(?:export\s+)?(?:async\s+)?(?:function|class)\s+([A-Za-z_$][\w$]*)",
     r"(?U)^\s*(?:export\s+)?(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?\(?[^=]*\)?\s*=>",
 )
+_C = (
+    (r"(?U)^\s*(?:typedef\s+)?(?:struct|union|enum(?:\s+class)?|class|namespace)\s+([A-Za-z_]\w*)\s*(?:final\s*)?(?::[^:;({][^;({]*)?(?:\{.*)?$", "class"),
+    (r"(?U)^\s*(?!(?:if|else|for|while|do|switch|case|return|catch|sizeof|typedef|using|delete|new|throw|goto)\b)(?:[A-Za-z_][\w:<>,*&~ \t]*[\s*&])([A-Za-z_~][\w:~]*)\s*\([^;{}]*\)\s*(?:(?:const|noexcept|override|final)\s*)*(?:->\s*[\w:<>*& ]+)?(?::[^;{]*)?(?:\{.*)?$", "function"),
+    (r"(?U)^([A-Za-z_]\w*::~?[A-Za-z_]\w*)\s*\([^;{}]*\)\s*(?::[^;{]*)?(?:\{.*)?$", "function"),
+)
+_JVM_WORDS = "public|protected|private|internal|static|final|abstract|sealed|partial|readonly|synchronized|virtual|override|async|native|default|unsafe|extern|strictfp|new"
+_CURLY = (
+    (rf"(?U)^\s*(?:@\w+(?:\([^)]*\))?\s+|(?:{_JVM_WORDS})\s+)*(?:class|interface|@interface|enum|struct|record)\s+([A-Za-z_]\w*)", "class"),
+    (rf"(?U)^\s*(?:@\w+(?:\([^)]*\))?\s+)*(?:(?:{_JVM_WORDS})\s+)+(?:<[^>]+>\s*)?(?:[\w.<>\[\],?]+\s+)?([A-Za-z_]\w*)\s*\([^;{{]*(?:\{{.*)?$", "function"),
+    (r"(?U)^\s*(?!(?:if|else|for|foreach|while|switch|case|return|catch|new|throw|using|lock)\b)[\w.<>\[\],?]+\s+([A-Za-z_]\w*)\s*\([^;{]*\)\s*(?:throws\s+[\w., ]+)?\{.*$", "function"),
+)
+_KOTLIN_WORDS = "public|private|internal|protected|open|abstract|sealed|data|inner|enum|annotation|value|inline|override|suspend|operator|infix|tailrec|external|actual|expect"
+_KOTLIN = (
+    (rf"(?U)^\s*(?:@\w+(?:\([^)]*\))?\s+|(?:{_KOTLIN_WORDS})\s+)*(?:class|interface|object)\s+([A-Za-z_]\w*)", "class"),
+    (rf"(?U)^\s*(?:@\w+(?:\([^)]*\))?\s+|(?:{_KOTLIN_WORDS})\s+)*fun\s+(?:<[^>]+>\s*)?(?:[\w.<>?]+\.)?([A-Za-z_]\w*)\s*\(", "function"),
+)
+_SWIFT_WORDS = "public|private|fileprivate|internal|open|final|indirect|static|class|override|mutating|nonmutating|convenience|required"
+_SWIFT = (
+    (r"(?U)^\s*(?:@\w+(?:\([^)]*\))?\s+)*(?:(?:public|private|fileprivate|internal|open|final|indirect)\s+)*(?:class|struct|enum|protocol|extension|actor)\s+(?!func\b|var\b)([A-Za-z_]\w*)", "class"),
+    (rf"(?U)^\s*(?:@\w+(?:\([^)]*\))?\s+)*(?:(?:{_SWIFT_WORDS})\s+)*func\s+([A-Za-z_]\w*)", "function"),
+)
+_PHP = (
+    (r"(?U)^\s*(?:(?:abstract|final|readonly)\s+)*(?:class|interface|trait|enum)\s+([A-Za-z_]\w*)", "class"),
+    (r"(?U)^\s*(?:(?:public|protected|private|static|abstract|final)\s+)*function\s+&?\s*([A-Za-z_]\w*)\s*\(", "function"),
+)
 DEFINITIONS = {
     ".go": ((r"(?U)^\s*func\s+(?:\([^)]*\)\s*)?([A-Za-z_]\w*)\s*\(", "function"), (r"(?U)^\s*type\s+([A-Za-z_]\w*)\s+(?:struct|interface)\b", "class")),
     ".rs": ((r"(?U)^\s*(?:pub\s+)?(?:async\s+)?(?:unsafe\s+)?fn\s+([A-Za-z_]\w*)", "function"), (r"(?U)^\s*(?:pub\s+)?(?:struct|enum|trait|impl|mod)\s+([A-Za-z_]\w*)", "class")),
     ".dart": ((r"(?U)^\s*(?:abstract\s+)?(?:class|mixin|extension|enum)\s+([A-Za-z_]\w*)", "class"), (r"(?U)^\s*(?:[A-Za-z_][\w<>,\s\?]*\s+)?([A-Za-z_]\w*)\s*\([^;{]*\)\s*(?:async\s*)?\{", "function")),
 }
+DEFINITIONS |= {suffix: _C for suffix in (".c", ".h", ".cc", ".cpp", ".cxx", ".c++", ".hpp", ".hh", ".hxx")}
+DEFINITIONS |= {".java": _CURLY, ".cs": _CURLY, ".kt": _KOTLIN, ".kts": _KOTLIN, ".swift": _SWIFT, ".php": _PHP}
+RUBY_DEFINITIONS = (("class", r"^\s*(?:class|module)\s+([A-Z]\w*(?:::\w+)*)"), ("function", r"^\s*def\s+(?:self\.)?([A-Za-z_]\w*[?!=]?)"))

@@ -29,13 +29,30 @@ def lexical_score(query: Column, words: Column, title: Column, summary: Column,
     return F.element_at(F.transform(F.array(fields), score), 1) + kind
 
 
-def source_rank(query: Column, path: Column) -> Column:
-    """Runtime paths before tests and documents, unless the query asks for those."""
-    asks = F.arrays_overlap(terms(query), F.array(*[F.lit(w) for w in K.TEST_DOC_WORDS]))
+def search_fields(title: Column, summary: Column, detail: Column, node_type: Column, path: Column) -> list[Column]:
+    """What lexical_score() looks at, lower-cased: t, p, h; points by kind; and the rank by path."""
+    path_, none = F.coalesce(path, F.lit("")), F.lit("")
+    text = F.lower(F.concat_ws(" ", title, F.coalesce(summary, none), F.left(F.coalesce(detail, none), F.lit(1200)), node_type, path_))
+    kind = F.when(node_type == "symbol", 3).when(node_type == "file", 2).otherwise(0)
+    return [F.lower(title).alias("t"), F.lower(path_).alias("p"), text.alias("h"), kind.alias("kind"), path_rank(path).alias("path_rank")]
+
+
+def asks_for_tests(query: Column) -> Column:
+    """Whether a query asks for tests or documents."""
+    return F.coalesce(F.arrays_overlap(terms(query), F.array(*[F.lit(w) for w in K.TEST_DOC_WORDS])), F.lit(False))
+
+
+def path_rank(path: Column) -> Column:
+    """Runtime paths before others, tests and documents after them."""
     p = F.concat(F.lit("/"), F.regexp_replace(F.lower(F.regexp_replace(F.coalesce(path, F.lit("")), r"\\", "/")), "^/+", ""))
     up = F.when(contains_any(p, K.RUNTIME_PATHS), 0.08).otherwise(0.0)
     down = F.when(contains_any(p, K.TEST_DOC_PATHS) | F.endswith(p, F.lit("/readme.md")) | F.endswith(p, F.lit("/readme.mdx")), 0.10).otherwise(0.0)
-    return F.when(F.coalesce(asks, F.lit(False)), 0.0).otherwise(up - down)
+    return up - down
+
+
+def source_rank(query: Column, path: Column) -> Column:
+    """Runtime paths before tests and documents, unless the query asks for those."""
+    return F.when(asks_for_tests(query), 0.0).otherwise(path_rank(path))
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -37,6 +38,22 @@ def hash_embedding(text: Column | str, size: int = K.EMBEDDING_SIZE) -> Column:
     return run(T.col(text))
 
 
+def model_embedding(load, size: int = 256):
+    """An embedder by a model: load() is called once a worker and gives a function of a list of texts to their vectors.
+
+    Texts reach it in lists of `size`; a blank text is embedded as 'empty concept'.
+    """
+
+    @F.pandas_udf("array<double>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = load()
+        for texts in batches:
+            whole = [t if t and t.strip() else "empty concept" for t in texts]
+            yield pd.Series([np.asarray(v, np.float64).tolist() for a in range(0, len(whole), size) for v in model(whole[a : a + size])])
+
+    return lambda text: run(T.col(text))
+
+
 def embedded(rows: DataFrame, cache: DataFrame | None = None, embedder=hash_embedding) -> tuple[DataFrame, DataFrame]:
     """rows (with embed_text) with their embedding, and the new cache rows (text_sha1, vector).
 

@@ -74,7 +74,7 @@ def _brace_parts(path: str, lines: list[str]) -> list[tuple[str, str, str]]:
 
 
 def forms(r) -> tuple:
-    """The forms of a candidate row: node fields, text of its file, role, origin_title, link_type, label, words."""
+    """The forms of a candidate row: node fields, text of its file and brace_contract of its lines, role, origin_title, link_type, label, words."""
     text = r.text if isinstance(r.text, str) else None
     lines, head, is_file = (text or "").splitlines(), header(r), r.node_type == "file"
     prefix = ""
@@ -88,7 +88,10 @@ def forms(r) -> tuple:
     full = f"{prefix}{head}\n{body}" if body else None
     tag = lambda word: f"{prefix.rstrip()} [{word}]\n" if prefix else ""
     stub = contract = line = None
-    sign, short, _, _ = X.described(r.source_path or "", lines, start, end) if text and not is_file else ("", "", "", "")
+    sign = short = ""
+    if text and not is_file:
+        known = X.described("\n".join(lines[max(1, start) - 1 : end])) if (r.source_path or "").lower().endswith(".py") else None
+        sign, short = known[:2] if known else ("", r.brace_contract or "")
     if r.role and not is_file:
         where = f"{r.source_path or '(memory)'}" + (f":{r.line_start}-{r.line_end}" if r.line_start and r.line_end else "")
         stub = (tag(f"{r.role}-contract") + f"### {r.title}\nsource: {where}" + (f"\n{sign}" if sign else ""))[: K.STUB_CHARS]

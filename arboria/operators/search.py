@@ -2,42 +2,49 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from ..functions import constants as K
 from ..functions import scoring as S
 from ..functions import text as T
+from . import matching
 
-#: Queries that meet all nodes in one pass; more are taken in blocks of so many, so what is broadcast stays small.
-QUERY_BLOCK = 1000
+#: Queries that meet all nodes in one pass; more are taken in blocks of so many, and of so many bytes, so what goes to
+#: every task stays small.
+QUERY_BLOCK, QUERY_BYTES = 1000, 8 << 20
+
+
+def blocks_of(queries: DataFrame) -> list[DataFrame]:
+    """queries (query_id, ...) in parts of about QUERY_BLOCK rows and QUERY_BYTES of text."""
+    size = F.sum(F.coalesce(F.octet_length("query"), F.lit(0))) if "query" in queries.columns else F.lit(0)
+    n, size = queries.agg(F.count("*"), size).first()
+    blocks = max(1, -(-n // QUERY_BLOCK), -(-(size or 0) // QUERY_BYTES))
+    return [queries] if blocks == 1 else [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k) for k in range(blocks)]
 
 
 def in_blocks(queries: DataFrame, run) -> DataFrame:
-    """run() for each block of queries (query_id, ...), one after another."""
-    n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
+    """run() for each block of queries, one after another."""
     out = None
-    for k in range(blocks):
-        some = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)
+    for some in blocks_of(queries):
         rows = run(F.broadcast(some))
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
-def scored(nodes: DataFrame, queries: DataFrame, semantic: bool = False) -> DataFrame:
-    """Every node in each query's root, with its lexical score, cosine and source rank.
+def scored(nodes: DataFrame, queries: DataFrame) -> DataFrame:
+    """Every node in each query's root with its lexical score, by column expressions: query_id, id, title, score.
 
-    nodes: id, title, summary, detail_content, node_type, source_path, index_root, zoom_threshold (and embedding).
-    queries: query_id, query, root (null: all) (and query_embedding).
+    nodes: id, title, summary, detail_content, node_type, source_path, index_root.  queries: query_id, query, root (null: all).
     """
 
     def run(some: DataFrame) -> DataFrame:
         some = some.withColumn("words", T.terms("query"))
         pairs = nodes.join(some, F.col("root").isNull() | (F.col("root") == F.col("index_root")))
         score = S.lexical_score(F.col("query"), F.col("words"), F.col("title"), F.col("summary"), F.col("detail_content"), F.col("node_type"), F.col("source_path"))
-        sem = S.cosine("embedding", "query_embedding") if semantic else F.lit(0.0)
-        return pairs.select("query_id", "id", "title", "zoom_threshold", score.alias("score"), sem.alias("semantic"), S.source_rank(F.col("query"), F.col("source_path")).alias("source_rank"))
+        return pairs.select("query_id", "id", "title", score.alias("score"))
 
     return in_blocks(queries, run)
 
@@ -45,14 +52,51 @@ def scored(nodes: DataFrame, queries: DataFrame, semantic: bool = False) -> Data
 def search(nodes: DataFrame, queries: DataFrame, limit: int = 12, semantic: bool = False, alpha: float = 5.0) -> DataFrame:
     """The best nodes of each query: query_id, rank, id, score, semantic, source_rank, blended.
 
-    Admitted are nodes with a score, or near enough by meaning; ties go by zoom threshold, title, id.  The best score
-    of a query is a sum per task before any shuffle, and only `limit` rows a task and query reach the ranking.
+    nodes: id, title, summary, detail_content, node_type, source_path, index_root, zoom_threshold (and embedding).
+    queries: query_id, query, root (null: all) (and query_embedding).
+
+    Admitted are nodes with a score, or near enough by meaning; ties go by zoom threshold, title, id.  A first pass over
+    the nodes gives the best score of each query, a second those nodes of each task that may be among the query's
+    `limit` best; only these are shuffled.
     """
-    rows = scored(nodes, queries, semantic).where((F.col("score") > 0) | (F.col("semantic") >= K.SEMANTIC_FLOOR))
-    best = rows.groupBy("query_id").agg(F.max("score").alias("best"))
-    rows = rows.join(best, "query_id").withColumn("blended", S.blended(F.col("score"), F.col("best"), F.col("semantic"), F.col("source_rank"), alpha))
+    limit = max(1, limit)
+    asked = queries.select("query_id", "query", F.lower("query").alias("low"), T.terms("query").alias("words"), "root", S.asks_for_tests(F.col("query")).alias("asks"), *(["query_embedding"] if semantic else []))
+    fields = nodes.select("id", "title", "zoom_threshold", "index_root", *S.search_fields(F.col("title"), F.col("summary"), F.col("detail_content"), F.col("node_type"), F.col("source_path")), *(["embedding"] if semantic else []))
+    out = None
+    for some in blocks_of(asked):
+        rows = _searched(fields, some, limit, semantic, alpha)
+        out = rows if out is None else out.unionByName(rows)
     order = Window.partitionBy("query_id").orderBy(F.round("blended", 4).desc(), "zoom_threshold", "title", "id")
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(1, limit)).select("query_id", "rank", "id", "score", "semantic", "source_rank", F.round("blended", 4).alias("blended"))
+    ranked = out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    return ranked.select("query_id", "rank", "id", "score", "semantic", "source_rank", F.round("blended", 4).alias("blended"))
+
+
+def _searched(fields: DataFrame, some: DataFrame, limit: int, semantic: bool, alpha: float) -> DataFrame:
+    spark = fields.sparkSession
+    rows = some.collect()
+    block = matching.Block(rows)
+    shared = spark.sparkContext.broadcast(block)
+
+    def best(batches):
+        found = matching.best_scores(shared.value, batches, semantic)
+        at = np.flatnonzero(found >= 0)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(found[at])], ["q", "best"])
+
+    for r in fields.mapInArrow(best, "q int, best long").groupBy("q").agg(F.max("best").alias("best")).collect():
+        block.best[r.q] = r.best
+    ready = spark.sparkContext.broadcast(block)
+
+    def top(batches):
+        found = matching.Top(ready.value, limit, alpha, semantic)
+        for batch in batches:
+            for i, j, score, cosine, rank, blended in found.of(batch):
+                own = [batch.column(c).take(pa.array(i)) for c in ("id", "title", "zoom_threshold")]
+                yield pa.RecordBatch.from_arrays([pa.array(j, pa.int32()), *own, pa.array(score, pa.int32()), pa.array(cosine), pa.array(rank), pa.array(blended)], ["q", "id", "title", "zoom_threshold", "score", "semantic", "source_rank", "blended"])
+
+    numbers = [StructField("score", IntegerType()), *(StructField(c, DoubleType()) for c in ("semantic", "source_rank", "blended"))]
+    schema = StructType([StructField("q", IntegerType()), *(fields.schema[c] for c in ("id", "title", "zoom_threshold")), *numbers])
+    ids = spark.createDataFrame([(k, r.query_id) for k, r in enumerate(rows)], StructType([StructField("q", IntegerType()), some.schema["query_id"]]))
+    return fields.mapInArrow(top, schema).join(F.broadcast(ids), "q").drop("q")
 
 
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import scoring as S
 from ..functions import text as T
+from ..sources import work
 
 LOCKED = "[zoom in to unlock]"
 
@@ -36,7 +37,7 @@ def streamed(nodes: DataFrame, x: float, y: float, zoom: float) -> DataFrame:
     near = F.col("distance") <= F.col("fov") * 1.12 + 0.06
     soon = (F.col("zoom") >= F.col("zoom_threshold") * _by(K.PREVIEW_GATES, 0.9)) & (F.col("distance") <= F.col("fov"))
     keep = F.when(F.col("node_type") == "project", F.col("distance") <= F.greatest(F.col("fov") * 1.2, F.lit(0.35))).otherwise(near & ((F.col("zoom") >= F.col("zoom_threshold")) | soon))
-    return rows.where(keep).withColumns({"locked": F.when(F.col("zoom") >= F.col("zoom_threshold"), 0).otherwise(1), "nearness": F.col("distance") / F.col("fov"), "type_rank": _by(K.TYPE_RANKS, 5)})
+    return rows.where(keep).withColumns({"locked": F.when(F.col("zoom") >= F.col("zoom_threshold"), 0).otherwise(1), "nearness": F.col("distance") / F.col("fov"), "type_rank": type_rank()})
 
 
 PRIORITY = ["locked", "nearness", "type_rank", "id"]
@@ -46,37 +47,57 @@ def stream_top(nodes: DataFrame, x: float, y: float, zoom: float, limit: int = K
     return streamed(nodes, x, y, zoom).orderBy(*PRIORITY).limit(limit)
 
 
-def with_links(top: DataFrame, nodes: DataFrame, links: DataFrame, zoom: float) -> tuple[DataFrame, DataFrame]:
+def type_rank() -> Column:
+    return _by(K.TYPE_RANKS, 5)
+
+
+def with_links(top: DataFrame, nodes: DataFrame, links: DataFrame, zoom: float, keep=lambda df, name: df, camera: tuple[float, float] | None = None) -> tuple[DataFrame, DataFrame]:
     """Ids of the streamed nodes with neighbours pulled in by links, and those links; none below the links' zoom.
 
     Links are taken in order: one that touches what is in view brings its other end in, up to a number of neighbours, and
-    what is brought in counts as in view for later links.  The fold runs over the links near the view only, in whose
-    order a link of the view's component can come to matter; that list and the ids are bounded by the stream's limits.
+    what is brought in counts as in view for later links.  So a node comes in with the first link after its neighbour
+    came in: earliest arrivals, found by rounds over the links that touch what is in view so far, until nothing changes.
+    Of a round only as many arrivals as may come in go on to the next, so a round's ends are bounded by the stream's
+    limits.  With a camera, what is in view at last is cut to the stream's limit, and links to what is left.
     """
     ids = top.select("id")
     if zoom < K.STREAM_LINK_ZOOM:
         return ids, links.limit(0)
-    real = links.join(nodes.select(F.col("id").alias("from")), "from", "left_semi").join(nodes.select(F.col("id").alias("to")), "to", "left_semi")
-    near, reach = None, ids
-    for _ in range(2):  # ends brought in may bring in more; two hops hold what the limits let in
-        touch = real.join(reach.withColumnRenamed("id", "from"), "from", "left_semi").unionByName(real.join(reach.withColumnRenamed("id", "to"), "to", "left_semi")).distinct()
-        reach = touch.select(F.col("from").alias("id")).union(touch.select("to")).union(ids).distinct()
-        near = touch
-    first = near.orderBy("ord").limit(50 * K.STREAM_LINKS)
-    state = first.agg(F.array_sort(F.collect_list(F.struct("ord", "from", "to", "type", "label"))).alias("ls")).crossJoin(ids.agg(F.collect_list("id").alias("ids")))
-    zero = F.struct(F.col("ids").alias("ids"), F.lit(0).alias("added"), F.array().cast("array<bigint>").alias("taken"))
-
-    def step(acc: Column, link: Column) -> Column:
-        a, b = F.array_contains(acc["ids"], link["from"]), F.array_contains(acc["ids"], link["to"])
-        new = F.when(a, link["to"]).otherwise(link["from"])
-        full = (F.size(acc["taken"]) >= K.STREAM_LINKS) | ~(a | b)
-        both = F.struct(acc["ids"].alias("ids"), acc["added"].alias("added"), F.concat(acc["taken"], F.array(link["ord"].cast("long"))).alias("taken"))
-        more = F.struct(F.concat(acc["ids"], F.array(new)).alias("ids"), (acc["added"] + 1).alias("added"), F.concat(acc["taken"], F.array(link["ord"].cast("long"))).alias("taken"))
-        return F.when(full, acc).when(a & b, both).when(acc["added"] >= K.STREAM_NEIGHBOURS, acc).otherwise(more)
-
-    out = state.select(F.aggregate("ls", zero, step).alias("s"))
-    kept = out.select(F.explode("s.taken").alias("ord"))
-    return out.select(F.explode("s.ids").alias("id")), first.join(kept, "ord", "left_semi")
+    place = F.struct("ord", "from", "to", "type", "label").alias("place")
+    real = links.where("`from` <> `to`").join(nodes.select(F.col("id").alias("from")), "from", "left_semi").join(nodes.select(F.col("id").alias("to")), "to", "left_semi")
+    real = real.select("*", place)
+    start = keep(ids.select("id", F.lit(None).cast(real.schema["place"].dataType).alias("since")), "seen")
+    seen, known = start, None
+    while True:
+        ends = []
+        for a, b in (("from", "to"), ("to", "from")):
+            touch = real.join(F.broadcast(seen.withColumnRenamed("id", a)), a).where("since is null or since < place")
+            ends.append(touch.select(F.col(b).alias("id"), "place"))
+        came = ends[0].unionByName(ends[1]).join(F.broadcast(start.select("id")), "id", "left_anti").groupBy("id").agg(F.min("place").alias("since"))
+        came = came.orderBy("since", "id").limit(K.STREAM_NEIGHBOURS)
+        rows = sorted(map(tuple, came.collect()), key=lambda r: r[0])
+        if rows == known:
+            break
+        known = rows
+        seen = start.unionByName(nodes.sparkSession.createDataFrame(rows, came.schema))
+    both = real
+    for end in ("from", "to"):
+        both = both.join(F.broadcast(seen.select(F.col("id").alias(end), F.col("since").alias(f"{end}_since"))), end)
+    first = lambda end: F.col(f"{end}_since").isNull() | (F.col(f"{end}_since") < F.col("place"))
+    there = lambda end: F.col(f"{end}_since").isNull() | (F.col(f"{end}_since") <= F.col("place"))
+    taken = keep(both.where((first("from") | first("to")) & there("from") & there("to")).orderBy("place").limit(K.STREAM_LINKS), "taken")
+    last = taken.agg(F.max("place").alias("last"), F.count("*").alias("n"))
+    full = F.col("n") >= K.STREAM_LINKS
+    inside = seen.crossJoin(F.broadcast(last)).where(F.col("since").isNull() | ~full | (F.col("since") <= F.col("last"))).select("id")
+    shown = taken.select(*links.columns)
+    if camera is not None:
+        x, y = camera
+        rows = _camera(nodes.join(F.broadcast(inside), "id", "left_semi"), x, y, zoom)
+        rows = rows.withColumns({"locked": F.when(F.col("zoom") >= F.col("zoom_threshold"), 0).otherwise(1), "nearness": F.col("distance") / F.col("fov"), "type_rank": type_rank()})
+        inside = keep(rows.orderBy(*PRIORITY).limit(K.STREAM_NODES).select("id"), "inside")
+        for end in ("from", "to"):
+            shown = shown.join(F.broadcast(inside.withColumnRenamed("id", end)), end, "left_semi")
+    return inside, shown.select(*links.columns)
 
 
 def node_view(nodes: DataFrame, x: float, y: float, zoom: float) -> DataFrame:
@@ -119,4 +140,4 @@ def status(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 def preorder(nodes: DataFrame) -> DataFrame:
     """Nodes in the order of a walk: parents before children, children by ordinal (path_ords, an array of them)."""
-    return nodes.withColumn("walk", F.row_number().over(Window.orderBy("path_ords", "id")))
+    return work.numbered(nodes, "walk", "path_ords", "id")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import text as T
+from . import work
 
 
 def _file_system(root: str):
@@ -53,7 +54,8 @@ def walk_key(rel: Column | str) -> Column:
 
 def read_tree(spark: SparkSession, root: str, suffixes: tuple[str, ...] = K.TEXT_SUFFIXES, only: list[str] | None = None) -> DataFrame:
     """rel, content of the files below root (or of those of `only` that are there)."""
-    rows = [(rel, size) for rel, size, _ in listed(root, suffixes) if only is None or rel in set(only)]
+    some = None if only is None else set(only)
+    rows = [(rel, size) for rel, size, _ in listed(root, suffixes) if some is None or rel in some]
     names = spark.createDataFrame(rows, "rel string, size long")
     parts = max(1, min(len(rows), sum(s for _, s in rows) // (16 << 20) + spark.sparkContext.defaultParallelism)) if rows else 1
 
@@ -85,32 +87,52 @@ def has_nul(content: Column) -> Column:
     return F.locate("\0", content.cast("string")) > 0
 
 
-def gated(raw: DataFrame, max_files: int | None = K.MAX_FILES, max_bytes: int = K.MAX_FILE_BYTES) -> DataFrame:
-    """rel, walk, size, sha1, truncated, text and outcome (kept, binary, duplicate) of the first files of a walk.
+#: What is known of a file without its text.
+FACTS = ["rel", "size", "sha1", "truncated", "binary", "minified", "preview", "line_count"]
+
+
+def previews(text: str) -> dict[str, Column]:
+    return {"preview": T.snippet(text, F.lit(1), F.lit(36), 2600), "line_count": T.line_count(text).cast("int")}
+
+
+def measured(raw: DataFrame, max_bytes: int = K.MAX_FILE_BYTES) -> DataFrame:
+    """FACTS and text of files (rel, content); a long file's text and digest are of its first `max_bytes` bytes."""
+    cut = F.substring("content", 1, max_bytes)
+    rows = raw.withColumns({"minified": minified(F.col("rel"), F.col("content")), "binary": has_nul(F.col("content")), "size": F.octet_length("content").cast("long"), "truncated": F.octet_length("content") > max_bytes, "sha1": F.sha1(cut), "text": F.make_valid_utf8(cut.cast("string"))})
+    return rows.withColumns(previews("text")).select(*FACTS, "text")
+
 
-    Order: minified files are not files of the walk; then the first `max_files` (None: all); then binary ones go, long ones are
-    cut, and of equal contents the first in walk order stays.
+def chosen(rows: DataFrame, max_files: int | None = K.MAX_FILES) -> DataFrame:
+    """The first files of a walk, with ord (from 1; none where all are taken) and outcome: kept, binary, duplicate.
+
+    Order: minified files are not files of the walk; then the first `max_files` (None: all); then binary ones go, and of
+    equal contents the first in walk order stays.
     """
-    walk = Window.orderBy("walk")
-    rows = raw.where(~minified(F.col("rel"), F.col("content"))).withColumn("walk", walk_key("rel"))
+    rows = rows.where(~F.col("minified"))
     if max_files is None:
-        rows = rows.withColumn("ord", F.row_number().over(walk))
+        rows = rows.withColumns({"walk": walk_key("rel"), "ord": F.lit(None).cast("int")})
     else:
-        names = rows.select("rel", "walk").withColumn("ord", F.row_number().over(walk)).where(F.col("ord") <= max_files)
-        rows = rows.drop("walk").join(names, "rel").withColumn("walk", walk_key("rel"))
-    cut = F.substring("content", 1, max_bytes)
-    rows = rows.withColumns({"binary": has_nul(F.col("content")), "size": F.octet_length("content"), "cut": cut})
-    rows = rows.withColumn("sha1", F.sha1("cut"))
+        names = rows.select("rel", walk_key("rel").alias("walk")).withColumn("ord", F.row_number().over(Window.orderBy("walk"))).where(F.col("ord") <= max_files)
+        rows = rows.join(names, "rel")
     first = F.row_number().over(Window.partitionBy("sha1", "binary").orderBy("walk"))
     outcome = F.when(F.col("binary"), "binary").when(first > 1, "duplicate").otherwise("kept")
-    text = F.make_valid_utf8(F.col("cut").cast("string"))
-    return rows.select("rel", "ord", F.col("size").cast("long").alias("size"), "sha1", (F.col("size") > max_bytes).alias("truncated"), text.alias("text"), outcome.alias("outcome"))
+    return rows.withColumn("outcome", outcome).drop("walk")
+
+
+def gated(raw: DataFrame, max_files: int | None = K.MAX_FILES, max_bytes: int = K.MAX_FILE_BYTES) -> DataFrame:
+    """rel, ord, size, sha1, truncated, text, preview, line_count and outcome of the first files of a walk."""
+    return chosen(measured(raw, max_bytes), max_files).drop("binary", "minified")
 
 
 def scan(spark: SparkSession, root: str, max_files: int = K.MAX_FILES, max_bytes: int = K.MAX_FILE_BYTES) -> DataFrame:
     return gated(read_tree(spark, root), max_files, max_bytes)
 
 
+def numbered_walk(files: DataFrame, name: str = "ord") -> DataFrame:
+    """files with their number in the walk of the whole tree."""
+    return work.numbered(files.withColumn("_walk", walk_key("rel")), name, "_walk").drop("_walk")
+
+
 # ---- tables as trees -------------------------------------------------------------------------------------------
 
 

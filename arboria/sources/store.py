@@ -1,9 +1,14 @@
 """A versioned Parquet store of nodes, links and caches.
 
-Nodes lie in 256 buckets of their source path, links in those of their first end.  A commit writes only the buckets
-whose fingerprint changed, into a directory of its version, and then replaces the pointer file CURRENT, by which
-readers find the directory of each bucket: a reader sees one whole version, whatever is being written, and a crash
-before the pointer leaves the last version.  The manifest has 256 entries a table, so the driver holds a bounded list.
+Nodes lie in buckets of their source path (256 of them, or 16 to the power `digits`), links in those of their first
+end, files and their symbols in those of the path.  A commit writes only the buckets whose fingerprint changed, into a
+directory of its version, and then replaces the pointer file CURRENT, by which readers find the directory of each bucket:
+a reader sees one whole version, whatever is being written, and a crash before the pointer leaves the last version.
+Directories that neither the current nor the last version reads are then removed.  The manifest has an entry a bucket and
+table, so the driver holds a bounded list.
+
+A file that can't be read is passed over, so a damaged bucket hides its own rows only; repair() finds such buckets, and
+the next commit writes them again.
 """
 
 from __future__ import annotations
@@ -13,13 +18,13 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-KEYS = {"nodes": "source_path", "links": "from"}
+KEYS = {"nodes": "source_path", "links": "from", "files": "rel", "symbols": "rel"}
 #: Fields that do not count as a change.
 UNSEEN = {"created_at", "updated_at"}
 
 
-def bucket(column: str):
-    return F.left(F.sha1(F.coalesce(F.col(f"`{column}`"), F.lit("")).cast("binary")), F.lit(2))
+def bucket(column: str, digits: int = 2):
+    return F.left(F.sha1(F.coalesce(F.col(f"`{column}`"), F.lit("")).cast("binary")), F.lit(digits))
 
 
 def fingerprints(rows: DataFrame) -> DataFrame:
@@ -51,8 +56,8 @@ def open_schema(schema) -> dict:
 
 
 class Store:
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, digits: int = 2):
+        self.spark, self.path, self.digits = spark, path.rstrip("/"), digits
         self._fs = spark._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
     def _p(self, name: str):
@@ -62,11 +67,11 @@ class Store:
 
     def manifest(self) -> dict:
         """Of the current version; an unreadable pointer is set aside and the store starts empty."""
-        empty = {"version": 0, "buckets": {}, "fingerprints": {}, "schemas": {}, "active_root": None}
+        empty = {"version": 0, "buckets": {}, "fingerprints": {}, "schemas": {}, "active_root": None, "limits": {}, "digits": self.digits}
         if not self._fs.exists(self._p("CURRENT")):
             return empty
         try:
-            return json.loads("".join(r.value for r in self.spark.read.text(f"{self.path}/CURRENT").collect()))
+            return empty | {"digits": 2} | json.loads("".join(r.value for r in self.spark.read.text(f"{self.path}/CURRENT").collect()))
         except ValueError:
             self._fs.rename(self._p("CURRENT"), self._p("CURRENT.corrupt"))
             return empty
@@ -88,18 +93,28 @@ class Store:
         from pyspark.sql.types import StructType
 
         m = manifest or self.manifest()
-        dirs = [f"{self.path}/{table}/v={v}/bucket={b}" for b, v in sorted(m["buckets"].get(table, {}).items())]
         if table not in m["schemas"]:
             return None
         schema = StructType.fromJson(m["schemas"][table])
-        return self.spark.read.schema(schema).parquet(*dirs) if dirs else self.spark.createDataFrame([], schema)
-
-    def commit(self, tables: dict[str, DataFrame], active_root: str | None = None) -> dict:
-        """Writes the changed buckets of whole tables and moves the pointer; says how many buckets were written."""
+        reader = self.spark.read.schema(schema).option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
+        of_version: dict[int, list[str]] = {}
+        for b, v in sorted(m["buckets"].get(table, {}).items()):
+            of_version.setdefault(v, []).append(b)
+        # one pattern a version; buckets that are not there are left out of it
+        globs = [f"{self.path}/{table}/v={v}/bucket={{{','.join(bs)}}}" for v, bs in of_version.items()]
+        there = [g for g in globs if self._fs.globStatus(self.spark._jvm.org.apache.hadoop.fs.Path(g))]
+        return reader.parquet(*there) if there else self.spark.createDataFrame([], schema)
+
+    def commit(self, tables: dict[str, DataFrame], active_root: str | None = None, limits: dict | None = None) -> dict:
+        """Writes the changed buckets of whole tables and moves the pointer; says how many buckets were written.
+
+        limits: of roots, by which they are indexed again.
+        """
         m = self.manifest()
+        before = json.loads(json.dumps(m["buckets"]))
         version, report = m["version"] + 1, {}
         for name, rows in tables.items():
-            keyed = rows.withColumn("bucket", bucket(KEYS[name]))
+            keyed = rows.withColumn("bucket", bucket(KEYS[name], m["digits"]))
             new = {r.bucket: r.fp for r in fingerprints(keyed).collect()}
             schema = open_schema(rows.schema)
             old = m["fingerprints"].get(name, {}) if m["schemas"].get(name) == schema else {}
@@ -111,12 +126,67 @@ class Store:
             m["fingerprints"][name], m["schemas"][name] = new, schema
             report[name] = len(dirty)
         m["version"], m["active_root"] = version, active_root or m["active_root"]
+        m["limits"] |= limits or {}
         self._point(m)
+        self._reap(before, m["buckets"])
         return report
 
+    def _reap(self, *alive: dict) -> None:
+        """Removes bucket directories that none of the given versions reads."""
+        for table in KEYS:
+            if not self._fs.exists(self._p(table)):
+                continue
+            read = {f"v={v}/bucket={b}" for buckets in alive for b, v in buckets.get(table, {}).items()}
+            for v in self._fs.listStatus(self._p(table)):
+                version, left = v.getPath().getName(), 0
+                for b in self._fs.listStatus(v.getPath()):
+                    name = b.getPath().getName()
+                    if name.startswith("bucket=") and f"{version}/{name}" not in read:
+                        self._fs.delete(b.getPath(), True)
+                    else:
+                        left += name.startswith("bucket=")
+                if not left:
+                    self._fs.delete(v.getPath(), True)
+
+    def repair(self) -> dict:
+        """Buckets whose rows are not those that were committed; they count as changed in the next commit."""
+        m, out = self.manifest(), {}
+        for name, known in m["fingerprints"].items():
+            rows = self.read(name, m)
+            now = {r.bucket: r.fp for r in fingerprints(rows.withColumn("bucket", bucket(KEYS[name], m["digits"]))).collect()}
+            out[name] = sorted(b for b, fp in known.items() if now.get(b) != fp)
+            m["fingerprints"][name] = {b: fp for b, fp in known.items() if now.get(b) == fp}
+        if any(out.values()):
+            self._point(m)
+        return out
+
+    def stats(self) -> dict:
+        """Buckets of the current version and their bytes."""
+        m, count, size = self.manifest(), 0, 0
+        for name, buckets in m["buckets"].items():
+            for b, v in buckets.items():
+                p = self._p(f"{name}/v={v}/bucket={b}")
+                if self._fs.exists(p):
+                    count, size = count + 1, size + self._fs.getContentSummary(p).getLength()
+        return {"path": self.path, "count": count, "bytes": size}
+
+    def migrated(self, document: str) -> dict:
+        """Takes over a graph that is one JSON document of nodes and links; a store that has rows stays as it is."""
+        if self.manifest()["buckets"]:
+            return {"status": "already_stored", "count": self.stats()["count"]}
+        whole = self.spark.read.option("multiLine", "true").json(document)
+        tables = {}
+        for name, key in (("nodes", "source_path"), ("links", "from")):
+            if name in whole.columns and "struct" in whole.schema[name].dataType.simpleString():
+                rows = whole.select(F.inline(name))
+                tables[name] = rows if key in rows.columns else rows.withColumn(key, F.lit(None).cast("string"))
+        self.commit(tables)
+        return {"status": "migrated", "from": "inline", "count": self.stats()["count"]}
+
     def reset(self) -> None:
         """Forgets everything, of all roots."""
-        self._point({"version": self.manifest()["version"] + 1, "buckets": {}, "fingerprints": {}, "schemas": {}, "active_root": None})
+        m = self.manifest()
+        self._point({"version": m["version"] + 1, "buckets": {}, "fingerprints": {}, "schemas": {}, "active_root": None, "limits": {}, "digits": m["digits"]})
 
 
 def other_roots(rows: DataFrame, root: str) -> DataFrame:

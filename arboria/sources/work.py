@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def keeper(folder: str):
@@ -16,3 +19,26 @@ def keeper(folder: str):
         return df.sparkSession.read.schema(df.schema).parquet(path)
 
     return keep
+
+
+def shared(spark: SparkSession):
+    """A keeper in the folder of spark.checkpoint.dir; only a single-machine session may do without that."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that driver and executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="arboria-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return keeper(folder)
+
+
+def numbered(rows: DataFrame, name: str, *order) -> DataFrame:
+    """rows with their number (from 1) in an order: tasks count ranges of it, and the driver gets a count a task."""
+    dealt = shared(rows.sparkSession)(rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "dealt")
+    before, offsets = 0, []
+    for r in sorted(dealt.groupBy("_p").count().collect(), key=lambda r: r[0]):
+        offsets.append((r[0], before))
+        before += r[1]
+    offsets = rows.sparkSession.createDataFrame(offsets, "_p int, _before long")
+    here = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
+    return dealt.join(F.broadcast(offsets), "_p").withColumn(name, here + F.col("_before")).drop("_p", "_before")

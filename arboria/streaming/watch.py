@@ -1,12 +1,16 @@
 """Watching a tree: a streaming source of changed files, debouncing, and incremental indexing.
 
-Spark's file source does not report a file again that has changed, so changes come from a Python data source whose
-offset is the latest modification time seen; the first offset is that of the tree as it is, so nothing is ingested at
-the start.  Each micro-batch goes through the same plan as a full index, for the changed files only.
+Spark's file source does not report a file again that has changed, so changes come from a Python data source.  It
+compares listings: a file is reported when it is new, gone, or has another modification time than at the last look, even
+an older one.  The first look is at the call, so nothing is ingested at the start.  A restarted stream, which has no last
+look, reports what was modified since its offset; the next ingest finds what is gone.  With a quiet time, a file is
+reported only once it has stayed as it is for that long, so a burst of writes is one change.  Each micro-batch's paths
+are ingested: only these files are read and parsed.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,30 +22,40 @@ from ..sources import scan
 TEMPORARY = ("~", ".tmp", ".swp", ".part")
 
 
-def latest(files: list[tuple[str, int]]) -> int:
+def latest(files) -> int:
     return max((at for _, at in files), default=0)
 
 
 class _Reader(SimpleDataSourceStreamReader):
-    def __init__(self, root: str, suffixes: tuple[str, ...], since: str | None):
-        self.root, self.suffixes, self.since = root, suffixes, since
+    def __init__(self, root: str, suffixes: tuple[str, ...], since: str | None, quiet: float):
+        self.root, self.suffixes, self.since, self.quiet = root, suffixes, since, int(quiet * 1e9)
+        self.known: dict[str, int] | None = None
 
-    def _now(self) -> list[tuple[str, int]]:
-        return [(rel, at) for rel, _, at in scan.listed(self.root, self.suffixes) if not rel.endswith(TEMPORARY)]
+    def _now(self) -> dict[str, int]:
+        return {rel: at for rel, _, at in scan.listed(self.root, self.suffixes) if not rel.endswith(TEMPORARY)}
 
     def initialOffset(self) -> dict:
-        return {"at": int(self.since) if self.since else latest(self._now())}
+        return {"at": int(self.since) if self.since else latest(self._now().items()), "n": 0}
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        rows = [r for r in self._now() if r[1] > start["at"]]
-        return iter(rows), {"at": max(latest(rows), start["at"])}
+        now = self._now()
+        if self.known is None:
+            self.known = {rel: at for rel, at in now.items() if at <= start["at"]}
+        ready = time.time_ns() - self.quiet
+        changed = [(rel, at) for rel, at in now.items() if self.known.get(rel) != at and at <= ready]
+        gone = [rel for rel in self.known if rel not in now]
+        for rel in gone:
+            del self.known[rel]
+        self.known.update(changed)
+        rows = [*changed, *((rel, start["at"]) for rel in gone)]
+        return iter(rows), {"at": max(latest(changed), start["at"]), "n": start.get("n", 0) + bool(rows)}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return iter([r for r in self._now() if start["at"] < r[1] <= end["at"]])
+        return iter([r for r in self._now().items() if start["at"] < r[1] <= end["at"]])
 
 
 class FileChanges(DataSource):
-    """Format "file_changes": rel, mtime (ns) of files modified since the last batch.  Options: path, suffixes, since (ns)."""
+    """Format "file_changes": rel, mtime (ns) of files new, modified or gone since the last batch.  Options: path, suffixes, since (ns), quiet (s)."""
 
     @classmethod
     def name(cls) -> str:
@@ -51,14 +65,14 @@ class FileChanges(DataSource):
         return "rel string, mtime long"
 
     def simpleStreamReader(self, schema) -> _Reader:
-        return _Reader(self.options["path"], tuple(self.options.get("suffixes", ".py").split(",")), self.options.get("since"))
+        return _Reader(self.options["path"], tuple(self.options.get("suffixes", ".py").split(",")), self.options.get("since"), float(self.options.get("quiet", "0")))
 
 
-def changes(spark: SparkSession, root: str, suffixes: tuple[str, ...] = (".py",)) -> DataFrame:
+def changes(spark: SparkSession, root: str, suffixes: tuple[str, ...] = (".py",), quiet: float = 0.0) -> DataFrame:
     """Changes from now on: what the tree holds at this call is the baseline."""
     spark.dataSource.register(FileChanges)
     since = latest([(rel, at) for rel, _, at in scan.listed(root, suffixes)])
-    return spark.readStream.format("file_changes").option("path", root).option("suffixes", ",".join(suffixes)).option("since", str(since or 1)).load()
+    return spark.readStream.format("file_changes").option("path", root).option("suffixes", ",".join(suffixes)).option("since", str(since or 1)).option("quiet", str(quiet)).load()
 
 
 def debounced(events: DataFrame, key: str, at: str, seconds: float) -> DataFrame:
@@ -74,7 +88,7 @@ def settled(batch: DataFrame, key: str = "rel", at: str = "mtime") -> DataFrame:
     return batch.groupBy(key).agg(F.max(at).alias(at))
 
 
-def watch(spark: SparkSession, root: str, ingest: Callable[[list[str]], dict], checkpoint: str, seconds: float = 1.0, said: Callable[[dict], None] | None = None):
+def watch(spark: SparkSession, root: str, ingest: Callable[[list[str]], dict], checkpoint: str, seconds: float = 1.0, said: Callable[[dict], None] | None = None, quiet: float = 0.0):
     """Starts a stream that hands each batch's changed paths to ingest(); a failure is said, not raised."""
 
     def each(batch: DataFrame, n: int) -> None:
@@ -88,4 +102,4 @@ def watch(spark: SparkSession, root: str, ingest: Callable[[list[str]], dict], c
         if said:
             said(event)
 
-    return changes(spark, root).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
+    return changes(spark, root, quiet=quiet).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
