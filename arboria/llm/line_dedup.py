@@ -192,8 +192,11 @@ def _block(t: pa.Table, edits: int, min_chars: int):
     return texts, n, line[fresh], key[fresh], own[fresh]
 
 
-def line_dedup(docs: DataFrame, edits: int = 2, min_chars: int = 24) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Occurrences (doc_id, text, lines: lid, no), lines (lid, d, no, ...) and links (a, b) between lines, by digest; the last two are stashes."""
+def line_dedup(docs: DataFrame, edits: int = 2, min_chars: int = 24) -> tuple[DataFrame, DataFrame]:
+    """Lines (lid, d, no, ...: digest, doc_id and number of the first place) and links (a, b) between lines; both are stashes.
+
+    min_chars = 0 links lines of any length, exactly, at the price of keys of one or no code point.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), C.text_bytes())
     size = rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     blocks = max(1, -(-size // BLOCK))
@@ -207,14 +210,6 @@ def line_dedup(docs: DataFrame, edits: int = 2, min_chars: int = 24) -> tuple[Da
                 lines = list(first)
                 yield pa.RecordBatch.from_arrays([pa.array([C.digest(x) for x in lines], pa.binary()), pa.array([x[1] for x in first.values()], pa.int64()), pa.array([x[2] for x in first.values()], pa.int64()), pa.array(lines, pa.binary())], ["lid", "d", "no", "line"])
 
-    def occur(batches):
-        for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                part = batch.slice(a, 512)
-                first, own = _chunk_lines(part.column("text").to_pylist(), part.column("doc_id").to_pylist())
-                ids = [C.digest(x) for x in first]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), pa.array([[{"lid": ids[k], "no": no} for k, no in x] for x in own], pa.list_(pa.struct([("lid", pa.binary()), ("no", pa.int64())])))], ["doc_id", "text", "lines"])
-
     each = rows.mapInArrow(split, "lid binary, d long, no long, line binary")
     dealt = each.groupBy("lid").agg(F.min(F.struct("d", "no")).alias("at"), F.first("line").alias("line"))
     distinct = C.stash(dealt.select("lid", "at.d", "at.no", "line", F.pmod(F.xxhash64("lid"), F.lit(blocks)).alias("m")), "distinct")
@@ -260,66 +255,86 @@ def line_dedup(docs: DataFrame, edits: int = 2, min_chars: int = 24) -> tuple[Da
     both = pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "a_text", "b_text")
     links = C.stash(both.mapInArrow(verify, "a binary, b binary, ok boolean").where("ok").select("a", "b"), "links")
     C.drop(pairs)
-    return rows.mapInArrow(occur, "doc_id long, text binary, lines array<struct<lid:binary,no:long>>"), lines, links
+    return lines, links
 
 
 _COUNTS = ["doc_id", "n_lines", "n_exact", "n_near", "n_links", "n_kept"]
-_DUPLICATES = "duplicates array<struct<no:long,kind:string,first_doc_id:long,first_no:long,class_id:string>>"
+_DUPLICATE = {"no": pa.int64(), "kind": pa.string(), "first_doc_id": pa.int64(), "first_no": pa.int64(), "class_id": pa.string()}
+_JUDGED = f"{', '.join(f'{c} long' for c in _COUNTS)}, duplicates array<struct<no:long,kind:string,first_doc_id:long,first_no:long,class_id:string>>, text string"
+
+
+def _judge(t: pa.Table, r: pa.Table) -> pa.Table:
+    """Counts, duplicate lines and kept text of each document of a block; r: what is known of lines that stand more than once or have links."""
+    fact = {x["lid"]: x for x in r.to_pylist()}
+    rows = []
+    for part in t.select(["doc_id", "text"]).to_batches(max_chunksize=256):
+        texts, ids = part.column("text").to_pylist(), part.column("doc_id").to_pylist()
+        first, docs = _chunk_lines(texts, ids)
+        digests = [C.digest(x) for x in first]
+        known = [fact.get(x) for x in digests]
+        for doc_id, text, own in zip(ids, texts, docs, strict=True):
+            here, n_links, gone = _FIRST if doc_id is None else doc_id, 0, []
+            for k, no in own:
+                f = known[k]
+                if f is None:
+                    continue
+                if (f["d"], f["no"]) < (here, no):
+                    kind, place = "exact", (f["d"], f["no"])
+                else:
+                    n_links += f["links"] or 0
+                    if f["before"] is None:
+                        continue
+                    kind, place = "near", (f["before"]["d"], f["before"]["no"])
+                gone.append({"no": no, "kind": kind, "first_doc_id": None if place[0] == _FIRST else place[0], "first_no": place[1], "class_id": (f["class_id"] or digests[k]).hex()})
+            kept = text.decode("utf-8", "replace")
+            if gone:
+                out = {x["no"] for x in gone}
+                kept = b"\n".join(x for no, x in enumerate(text.split(b"\n")) if no not in out).decode("utf-8", "replace")
+            n_exact = sum(x["kind"] == "exact" for x in gone)
+            rows.append((doc_id, len(own), n_exact, len(gone) - n_exact, n_links, len(own) - len(gone), gone, kept))
+    C.tidy()
+    kinds = [*[pa.int64()] * len(_COUNTS), pa.list_(pa.struct(list(_DUPLICATE.items()))), pa.string()]
+    return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [*_COUNTS, "duplicates", "text"])
 
 
-def _without(batches):
-    """Documents with their texts less the lines whose numbers are in `duplicates`."""
-    for batch in batches:
-        texts = []
-        for text, nos in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist(), strict=True):
-            if nos:
-                gone = set(nos)
-                text = b"\n".join(x for no, x in enumerate(text.split(b"\n")) if no not in gone)
-            texts.append(text)
-        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()) if c == "text" else batch.column(c) for c in [*_COUNTS, "duplicates", "text"]], [*_COUNTS, "duplicates", "text"])
+def deduplicated(docs: DataFrame, edits: int = 2, min_chars: int = 24) -> DataFrame:
+    """doc_id, n_lines, n_exact, n_near, n_links, n_kept, duplicates and the text of the lines kept, of each document.
+
+    Links are counted at a line's first occurrence; duplicates have the numbers of lines, from 0.  Blocks of documents ask
+    for what is known of their lines, so texts are moved once for this, and lines that say nothing new are not.
+    """
+    lines, links = line_dedup(docs, edits, min_chars)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), C.text_bytes())
+    blocks = max(1, -(-(rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0) // BLOCK))
+    dealt = rows.withColumn("m", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).repartition(blocks, "m")
 
+    def asks(t: pa.Table) -> pa.Table:
+        counts: dict[bytes, int] = {}
+        for part in t.select(["doc_id", "text"]).to_batches(max_chunksize=256):
+            first, own = _chunk_lines(part.column("text").to_pylist(), part.column("doc_id").to_pylist())
+            n = np.bincount(np.array([k for x in own for k, _ in x], np.int64), minlength=len(first)).tolist()
+            for x, c in zip(first, n, strict=True):
+                lid = C.digest(x)
+                counts[lid] = counts.get(lid, 0) + c
+        return pa.table([pa.array([t.column("m")[0].as_py()] * len(counts), pa.int64()), pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["m", "lid", "n"])
 
-def _judged(docs: DataFrame, edits: int, min_chars: int) -> tuple[DataFrame, DataFrame]:
-    """rid, counts and duplicate lines of each document, and the texts by rid."""
-    found, lines, links = line_dedup(docs, edits, min_chars)
-    rows = C.stash(found.withColumn("rid", F.monotonically_increasing_id()), "occurrences")
     place = lambda c: lines.select(F.col("lid").alias(c), F.struct("d", "no").alias(f"{c}_at"))
     both = links.join(place("a"), "a").join(place("b"), "b")
     end = lambda c, o: both.select(F.col(c).alias("lid"), F.when(F.col(f"{o}_at") < F.col(f"{c}_at"), F.col(f"{o}_at")).alias("before"))
     near = end("a", "b").union(end("b", "a")).groupBy("lid").agg(F.count("*").alias("links"), F.min("before").alias("before"))
     labels = components(links)
     near = near.join(labels.select(F.col("v").alias("lid"), F.col("label").alias("class_id")), "lid")
-    each = rows.select("rid", "doc_id", F.inline_outer("lines"))
-    # only lines that stand more than once or have a link need their first place
-    often = each.where("lid is not null").groupBy("lid").agg(F.count("*").alias("c")).where("c > 1").select("lid")
+    asked = C.stash(dealt.groupBy("m").applyInArrow(asks, "m long, lid binary, n long"), "asked")
+    often = asked.groupBy("lid").agg(F.sum("n").alias("n")).where("n > 1").select("lid")
     facts = lines.select("lid", "d", "no").join(often.union(near.select("lid")).distinct(), "lid", "left_semi").join(near, "lid", "left")
-    facts = C.stash(facts.withColumnRenamed("no", "first_no"), "facts")
-    C.drop(lines, links, labels)
-    out = each.join(facts, "lid", "left")
-    here = F.coalesce("doc_id", F.lit(_FIRST))
-    later = F.coalesce((F.col("d") < here) | ((F.col("d") == here) & (F.col("first_no") < F.col("no"))), F.lit(False))
-    first = F.col("lid").isNotNull() & ~later
-    late = first & F.col("before").isNotNull()
-    count = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
-    links_here = F.sum(F.when(first, F.coalesce("links", F.lit(0))).otherwise(0)).cast("long")
-    doc = F.when(later, F.col("d")).otherwise(F.col("before.d"))
-    line = F.struct("no", F.when(later, "exact").otherwise("near").alias("kind"), F.nullif(doc, F.lit(_FIRST)).alias("first_doc_id"), F.when(later, F.col("first_no")).otherwise(F.col("before.no")).alias("first_no"), F.lower(F.hex(F.coalesce("class_id", "lid"))).alias("class_id"))
-    sums = out.groupBy("rid", "doc_id").agg(count(F.col("lid").isNotNull()).alias("n_lines"), count(later).alias("n_exact"), count(late).alias("n_near"), links_here.alias("n_links"), F.array_sort(F.collect_list(F.when(later | late, line))).alias("duplicates"))
-    return sums.withColumn("n_kept", F.col("n_lines") - F.col("n_exact") - F.col("n_near")), rows.select("rid", "text")
+    known = C.stash(asked.select("m", "lid").join(facts, "lid"), "known")
+    C.drop(lines, links, labels, asked)
+    return dealt.groupBy("m").cogroup(known.groupBy("m")).applyInArrow(_judge, _JUDGED)
 
 
 def duplicates(docs: DataFrame, edits: int = 2, min_chars: int = 24) -> DataFrame:
-    """doc_id, n_lines, n_exact, n_near, n_links, n_kept of each document; links are counted at a line's first occurrence."""
-    return _judged(docs, edits, min_chars)[0].select(*_COUNTS)
-
-
-def deduplicated(docs: DataFrame, edits: int = 2, min_chars: int = 24) -> DataFrame:
-    """The columns of duplicates(), the duplicate lines (by number, from 0), and the text of the lines kept."""
-    judged, texts = _judged(docs, edits, min_chars)
-    rows = judged.join(texts, "rid").select(*_COUNTS, "duplicates", F.col("duplicates.no").alias("gone"), "text")
-    C.short_batches(docs.sparkSession)
-    out = rows.mapInArrow(_without, f"{', '.join(f'{c} long' for c in _COUNTS)}, {_DUPLICATES}, text binary")
-    return out.withColumn("text", F.col("text").cast("string"))
+    """doc_id, n_lines, n_exact, n_near, n_links, n_kept of each document."""
+    return deduplicated(docs, edits, min_chars).select(*_COUNTS)
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
