@@ -15,7 +15,7 @@ from ..functions import constants as K
 from ..functions import scoring as S
 from ..functions import text as T
 from ..operators import embed, evaluate, expand, extract, layout, links, pack, search, view
-from ..sources import scan, store
+from ..sources import scan, store, work
 from ..streaming import watch
 from . import context
 
@@ -95,27 +95,27 @@ def search_ranked(spark, d):
     return search.search(scan.documents_as_nodes(_t(spark, d, "documents")), q)
 
 
-@query(_search_sql("SELECT item_id AS query_id, left(text, 40) AS query FROM benchmark", 5))
+@query(_search_sql("SELECT item_id AS query_id, text AS query FROM benchmark", 5))
 def search_batch(spark, d):
     q = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.lit(None).cast("string").alias("root"))
     return search.search(scan.documents_as_nodes(_t(spark, d, "documents")), q, limit=5)
 
 
-@query("""WITH v AS (SELECT vec_id, 'label ' || label AS title, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT e AS qe FROM v WHERE vec_id = 0),
-s AS (SELECT vec_id::VARCHAR AS id, title, (CASE WHEN contains(title, 'label') THEN 12 ELSE 0 END) + (CASE WHEN contains(title, 'label 3') THEN 20 ELSE 0 END)
+@query("""WITH v AS (SELECT vec_id, 'label ' || label AS title, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT vec_id AS query_id, e AS qe FROM v WHERE vec_id % 50 = 0),
+s AS (SELECT query_id, vec_id::VARCHAR AS id, title, (CASE WHEN contains(title, 'label') THEN 12 ELSE 0 END) + (CASE WHEN contains(title, 'label 3') THEN 20 ELSE 0 END)
    + 3 AS score, list_dot_product(e, qe) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(qe, qe))) AS sem FROM v, q),
-b AS (SELECT *, greatest(0.0, score / (max(score) OVER ())::DOUBLE + 5.0 * greatest(sem, 0.0)) AS bl FROM s),
-r AS (SELECT *, row_number() OVER (ORDER BY round(bl, 4) DESC, title, id) AS rank FROM b)
-SELECT rank::INT AS rank, id, score::INT AS score, round(round(bl, 4), 3) AS blended FROM r WHERE rank <= 20""")
+b AS (SELECT *, greatest(0.0, score / (max(score) OVER (PARTITION BY query_id))::DOUBLE + 5.0 * greatest(sem, 0.0)) AS bl FROM s),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(bl, 4) DESC, title, id) AS rank FROM b)
+SELECT query_id, rank::INT AS rank, id, score::INT AS score, round(bl, 4) AS blended FROM r WHERE rank <= 20""")
 def hybrid_blend(spark, d):
     v = _t(spark, d, "embeddings").select("vec_id", F.concat(F.lit("label "), F.col("label").cast("string")).alias("title"), "embedding")
     nodes = v.select(F.col("vec_id").cast("string").alias("id"), "title", F.lit("").alias("summary"), F.lit("").alias("detail_content"), F.lit("symbol").alias("node_type"), F.lit("").alias("source_path"), F.lit("r").alias("index_root"), F.lit(1.0).alias("zoom_threshold"), "embedding")
     q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.lit("label 3").alias("query"), F.lit(None).cast("string").alias("root"), F.col("embedding").alias("query_embedding"))
-    return search.search(nodes, q, limit=20, semantic=True).select("query_id", "rank", "id", "score", F.round("blended", 3).alias("blended"))
+    return search.search(nodes, q, limit=20, semantic=True).select("query_id", "rank", "id", "score", "blended")
 
 
 @query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), p AS (
-  SELECT a.vec_id AS query_id, b.vec_id AS id, list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) AS c FROM v a, v b WHERE a.vec_id < 10 AND a.vec_id <> b.vec_id
+  SELECT a.vec_id AS query_id, b.vec_id AS id, list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) AS c FROM v a, v b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
 ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, id) AS rank FROM p)
 SELECT query_id, id, rank::INT AS rank, round(c, 6) AS cosine FROM r WHERE rank <= 10""")
 def vector_topk(spark, d):
@@ -133,8 +133,8 @@ def _any_sql(col: str, words) -> str:
     return "(" + " OR ".join(f"contains({col}, '{w}')" for w in words) + ")"
 
 
-@query(f"""SELECT doc_id, greatest(0.0, least(1.0, 0.5 + (CASE WHEN {_any_sql("lower(left(text, 200))", K.BROAD_HINTS)} THEN 0.35 ELSE 0.0 END)
-  - (CASE WHEN {_any_sql("lower(left(text, 200))", K.DETAIL_HINTS)} THEN 0.35 ELSE 0.0 END) + (CASE WHEN n_chars >= 9000 THEN 0.1 ELSE 0.0 END)))::DOUBLE AS zoom FROM documents WHERE lang = 'en'""")
+@query(f"""SELECT doc_id, greatest(0.0, least(1.0, 0.5 + (CASE WHEN {_any_sql("lower(text)", K.BROAD_HINTS)} THEN 0.35 ELSE 0.0 END)
+  - (CASE WHEN {_any_sql("lower(text)", K.DETAIL_HINTS)} THEN 0.35 ELSE 0.0 END) + (CASE WHEN n_chars >= 9000 THEN 0.1 ELSE 0.0 END)))::DOUBLE AS zoom FROM documents""")
 def query_zoom(spark, d):
     docs = _t(spark, d, "documents")
     return docs.select("doc_id", S.query_zoom(F.col("text"), F.col("n_chars")).cast("double").alias("zoom"))
@@ -154,7 +154,7 @@ def find_node(spark, d):
 SELECT doc_id, rel, sha1, ord::INT AS ord, row_number() OVER (PARTITION BY sha1 ORDER BY ord) = 1 AS kept FROM w""")
 def file_dedup(spark, d):
     files = scan.documents_as_files(_t(spark, d, "documents"))
-    rows = files.select("doc_id", "rel", F.sha1("content").alias("sha1"), F.row_number().over(Window.orderBy(scan.walk_key("rel"))).alias("ord"))
+    rows = scan.numbered_walk(files.select("doc_id", "rel", F.sha1("content").alias("sha1"))).withColumn("ord", F.col("ord").cast("int"))
     return rows.withColumn("kept", F.row_number().over(Window.partitionBy("sha1").orderBy("ord")) == 1)
 
 
@@ -173,7 +173,7 @@ def line_stats(spark, d):
     return docs.select("doc_id", T.line_count("text").cast("int").alias("line_count"), F.size(T.lines("text")).alias("n_lines"), longest.alias("longest"))
 
 
-@query(r"""WITH s AS (SELECT doc_id, list_filter(string_split(left(text, 2000), chr(10)), lambda x: trim(x) <> '')[1:5] AS l FROM documents WHERE lang = 'en')
+@query(r"""WITH s AS (SELECT doc_id, list_filter(string_split(left(text, 8192), chr(10)), lambda x: trim(x) <> '')[1:5] AS l FROM documents)
 SELECT doc_id, len(l) > 0 AND list_sum(list_transform(l, lambda x: length(x))) > 500 * len(l) AS minified FROM s""")
 def minified_sniff(spark, d):
     docs = _t(spark, d, "documents")
@@ -182,7 +182,7 @@ def minified_sniff(spark, d):
 
 @query(f"""WITH {FILES_SQL}, g AS (SELECT rel, sha1(text) AS sha1, octet_length(encode(text)) AS size, row_number() OVER (ORDER BY source, lang, doc_id || '.txt') AS ord, contains(text, chr(0)) AS nul FROM files)
 SELECT CASE WHEN nul THEN 'binary' WHEN n > 1 THEN 'duplicate' ELSE 'kept' END AS outcome, count(*) AS n, sum(size)::BIGINT AS bytes
-FROM (SELECT *, row_number() OVER (PARTITION BY sha1, nul ORDER BY ord) AS n FROM g WHERE ord <= 600) GROUP BY 1""")
+FROM (SELECT *, row_number() OVER (PARTITION BY sha1, nul ORDER BY ord) AS n FROM g) GROUP BY 1""")
 def scan_gate(spark, d):
     rows = scan.gated(scan.documents_as_files(_t(spark, d, "documents")).select("rel", "content"), max_files=None)
     return rows.groupBy("outcome").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
@@ -218,7 +218,7 @@ def _risk_sql(col: str) -> str:
     return "least(5, " + " + ".join(f"CASE WHEN contains({col}, '{w}') THEN {n} ELSE 0 END" for w, n in K.RISK_WEIGHTS.items()) + ")"
 
 
-@query(f"SELECT doc_id, {_risk_sql('lower(text)')}::INT AS risk FROM documents WHERE lang <> 'xx'")
+@query(f"SELECT doc_id, {_risk_sql('lower(text)')}::INT AS risk FROM documents")
 def risk_score(spark, d):
     return _t(spark, d, "documents").select("doc_id", S.risk_score(F.col("text")).cast("int").alias("risk"))
 
@@ -257,7 +257,7 @@ def snippets(spark, d):
 # ---- extraction ------------------------------------------------------------------------------------------------
 
 
-@query(r"""WITH t AS (SELECT doc_id, string_split(regexp_replace(text, '(^|\n)(Th)', '\1## \2', 'g'), chr(10)) AS l FROM documents WHERE lang = 'en'),
+@query(r"""WITH t AS (SELECT doc_id, string_split(regexp_replace(text, '(^|\n)(Th)', '\1## \2', 'g'), chr(10)) AS l FROM documents),
 n AS (SELECT doc_id, CASE WHEN l[len(l)] = '' THEN l[1:len(l) - 1] ELSE l END AS l FROM t), x AS (SELECT doc_id, len(l) AS n, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS no FROM n),
 h AS (SELECT *, lead(no) OVER (PARTITION BY doc_id ORDER BY no) AS nx FROM x WHERE regexp_matches(line, '^#{1,4}\s+.*\S'))
 SELECT doc_id::VARCHAR AS rel, trim(regexp_extract(line, '^#{1,4}\s+(.*)$', 1)) AS name, no::INT AS line_start, greatest(no, coalesce(nx, n + 1) - 1)::INT AS line_end FROM h""")
@@ -267,7 +267,7 @@ def markdown_sections(spark, d):
     return extract.markdown_sections(files).select("rel", "name", "line_start", "line_end")
 
 
-@query(r"""WITH t AS (SELECT doc_id, string_split(regexp_replace(text, '(^|\n)(Th)', '\1def \2', 'g'), chr(10)) AS l FROM documents WHERE lang = 'en'),
+@query(r"""WITH t AS (SELECT doc_id, string_split(regexp_replace(text, '(^|\n)(Th)', '\1def \2', 'g'), chr(10)) AS l FROM documents),
 n AS (SELECT doc_id, CASE WHEN l[len(l)] = '' THEN l[1:len(l) - 1] ELSE l END AS l FROM t), x AS (SELECT doc_id, len(l) AS n, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS no FROM n)
 SELECT doc_id::VARCHAR AS rel, left(trim(regexp_replace(string_split(trim(line), '(')[1], 'def |class |function ', '', 'g')), 80) AS name, no::INT AS line_start, least(n, no + 24)::INT AS line_end
 FROM x WHERE regexp_matches(trim(line), '^(def |class |function )')""")
@@ -277,7 +277,7 @@ def named_blocks(spark, d):
     return extract.named_blocks(files).select("rel", "name", "line_start", "line_end")
 
 
-@query(rf"""WITH t AS (SELECT doc_id, replace(replace(text, ' of ', '( '), ' by ', ' extends ') AS x FROM documents WHERE lang = 'en')
+@query(rf"""WITH t AS (SELECT doc_id, replace(replace(text, ' of ', '( '), ' by ', ' extends ') AS x FROM documents)
 SELECT doc_id, list_sort(list_distinct(list_filter(regexp_extract_all(x, '\b([A-Za-z_][A-Za-z0-9_]*)\s*\(', 1), lambda w: NOT list_contains([{_list(K.REFERENCE_STOPWORDS)}], lower(w)))
   || regexp_extract_all(x, '\bextends\s+([A-Za-z_$][\w$]*)', 1))) AS refs FROM t""")
 def call_refs(spark, d):
@@ -293,7 +293,7 @@ def string_tokens(spark, d):
 
 
 @query(rf"""SELECT doc_id, list_sort(list_distinct(list_filter(regexp_extract_all(text, '(?i)\b(?:FROM|JOIN|INTO|UPDATE)\s+(?:ONLY\s+)?"?([A-Za-z_][\w$]*)', 1),
-  lambda w: length(w) >= 3 AND NOT list_contains([{_list(K.BRIDGE_STOPWORDS)}], lower(w))))) AS tables FROM documents WHERE lang = 'en'""")
+  lambda w: length(w) >= 3 AND NOT list_contains([{_list(K.BRIDGE_STOPWORDS)}], lower(w))))) AS tables FROM documents""")
 def table_refs(spark, d):
     return _t(spark, d, "documents").select("doc_id", extract.table_references(F.col("text")).alias("tables"))
 
@@ -304,7 +304,9 @@ def symbol_budget(spark, d):
     return extract.budgeted(_t(spark, d, "documents").select("doc_id", "lang"), "lang", ["doc_id"], F.lit(100), 250)
 
 
-@query()
+@query(r"""WITH d AS (SELECT doc_id, doc_id || '.py' AS rel, 'C_' || regexp_extract(lower(text), '([a-z]{3,})', 1) AS c, 'f_' || doc_id AS f FROM documents WHERE text IS NOT NULL)
+SELECT rel, 'class' AS kind, c AS name, 2 AS line_start, 5 AS line_end, ['Base', f, 'helper'] AS refs, true AS exact FROM d
+UNION ALL SELECT rel, 'function', 'run', 3, 5, [f, 'helper'], true FROM d UNION ALL SELECT rel, 'function', f, 7, 8, ['helper'], true FROM d""")
 def py_symbols(spark, d):
     """Python scopes of generated modules, a module for each document."""
     docs = _t(spark, d, "documents")
@@ -352,7 +354,7 @@ def gold_sets(spark, d):
     return links.neighbours(_links(spark, d)).groupBy("id").agg(F.count("*").alias("n"), F.min("near").alias("first"), F.max("near").alias("last"))
 
 
-@query(f"""WITH {LINKS_SQL}, s AS (SELECT o_custkey AS query_id, 'o' || o_orderkey AS seed, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders WHERE o_custkey < 40),
+@query(f"""WITH {LINKS_SQL}, s AS (SELECT o_custkey AS query_id, 'o' || o_orderkey AS seed, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders),
 t AS (SELECT query_id, seed, rank, 100 - rank AS score FROM s WHERE rank <= 3), n AS (SELECT 'p' || p_partkey AS id, p_size AS span FROM part UNION ALL SELECT 'o' || o_orderkey, 0 FROM orders),
 four AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY ord, b, type, label) AS k FROM links) WHERE k <= 4 AND type <> 'syntax_dependency'),
 e AS (SELECT query_id, rank, 0 AS part, 0 AS span, 0 AS ord, '' AS label, seed AS id, score, NULL AS origin FROM t
@@ -449,7 +451,7 @@ def zoom_thresholds(spark, d):
 @query(f"""WITH {FILES_SQL} SELECT doc_id, row_number() OVER (ORDER BY source, lang, doc_id || '.txt')::INT AS walk FROM files""")
 def walk_order(spark, d):
     files = scan.documents_as_files(_t(spark, d, "documents"))
-    return view.preorder(files.withColumn("path_ords", scan.walk_key("rel")).withColumn("id", F.col("doc_id"))).select("doc_id", "walk")
+    return view.preorder(files.select("doc_id", scan.walk_key("rel").alias("path_ords"), F.col("doc_id").alias("id"))).select("doc_id", F.col("walk").cast("int").alias("walk"))
 
 
 @query("""SELECT count(*) AS nodes, count(DISTINCT source) AS roots, sum(CASE WHEN lang = 'en' THEN 1 ELSE 0 END)::BIGINT AS symbols, max(n_chars) AS longest FROM documents""")
@@ -466,8 +468,8 @@ def space_status(spark, d):
 @query("""WITH RECURSIVE x AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
 f AS (SELECT source, 0::BIGINT AS k, 0::BIGINT AS used, []::BIGINT[] AS taken FROM (SELECT DISTINCT source FROM documents)
  UNION ALL SELECT f.source, f.k + 1, CASE WHEN used + n_chars <= 20000 THEN used + n_chars ELSE used END, CASE WHEN used + n_chars <= 20000 THEN list_append(taken, doc_id) ELSE taken END
- FROM f JOIN x ON x.source = f.source AND x.k = f.k + 1)
-SELECT source, used, array_to_string(taken, ',') AS taken FROM f WHERE k = (SELECT max(k) FROM x WHERE x.source = f.source)""")
+ FROM f JOIN x ON x.source IS NOT DISTINCT FROM f.source AND x.k = f.k + 1)
+SELECT source, used, array_to_string(taken, ',') AS taken FROM f WHERE k = (SELECT max(k) FROM x WHERE x.source IS NOT DISTINCT FROM f.source)""")
 def pack_greedy(spark, d):
     docs = _t(spark, d, "documents")
     return pack.greedy(docs, "source", ["doc_id"], "n_chars", 20000).select("source", "used", F.array_join(F.col("taken").cast("array<string>"), ",").alias("taken"))
@@ -484,7 +486,7 @@ def context_pack(spark, d):
     chain = first.withColumn("to", F.lead("id").over(w)).where("to is not null")
     edges = chain.select(F.col("id").alias("from"), "to", F.lit("syntax_dependency").alias("type"), F.lit("line").alias("label"), F.xxhash64("id").alias("ord"))
     q = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.lit(3000).alias("budget"), F.lit(None).cast("string").alias("root"))
-    out = context.contexts(nodes, edges, files.select("rel", "text"), q, semantic=False)
+    out = context.contexts(nodes, edges, files.select("rel", "text"), q, semantic=False, keep=work.shared(spark))
     return out.select("query_id", "budget", "used", "selected_count", F.length("compiled_context").alias("chars"))
 
 
@@ -532,8 +534,8 @@ def latest_root(spark, d):
 
 @query("""WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), p AS (
   SELECT a.vec_id AS query_id, a.label AS la, b.label AS lb, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))), 9) DESC, b.vec_id) AS rank
-  FROM v a, v b WHERE a.vec_id < 20 AND a.vec_id <> b.vec_id
-), g AS (SELECT a.vec_id AS query_id, count(*) AS n FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id < 20 GROUP BY 1),
+  FROM v a, v b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+), g AS (SELECT a.vec_id AS query_id, count(*) AS n FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0 GROUP BY 1),
 h AS (SELECT query_id, count(*) AS hits, min(rank) AS first, sum(1 / log2(rank + 1.0)) AS dcg FROM p WHERE rank <= 10 AND la = lb GROUP BY 1)
 SELECT g.query_id, round(coalesce(hits, 0) / n, 6) AS recall, round(coalesce(1 / first, 0), 6) AS mrr, (coalesce(hits, 0) > 0)::INT AS hit,
        round(coalesce(dcg, 0) / (SELECT sum(1 / log2(i + 1.0)) FROM range(1, least(10, n) + 1) t(i)), 6) AS ndcg FROM g LEFT JOIN h ON g.query_id = h.query_id""")
@@ -567,7 +569,7 @@ def graph_only(spark, d):
 @query()
 def hash_embed(spark, d):
     docs = _t(spark, d, "documents").select("doc_id", embed.hash_embedding(F.col("text")).alias("v"))
-    return docs.select("doc_id", F.size("v").alias("size"), F.round(S.dot(F.col("v"), F.col("v")), 6).alias("norm"))
+    return docs.select("doc_id", F.size("v").alias("size"), F.round(S.dot(F.col("v"), F.col("v")), 6).alias("norm"), F.transform("v", lambda x: F.round(x, 9)).alias("vector"))
 
 
 @query()
