@@ -20,7 +20,7 @@ Scoring: each text then is refined as it goes, in three steps.  A match predicto
 equal six bytes of the same text, is mixed in with a rate that follows its hits and misses in the text so far.  A word
 with the white space (or end) after it, which the bytes give one way, the corpus's count of that word gives another,
 mixed in at the rate at which that was better in the text so far.  And so is a phrase: a text is cut after words that a
-hash of the word and the one before picks, one in eight, and how often the phrase follows the one before it in
+hash of the word and the one before picks, one in sixteen, and how often the phrase follows the one before it in
 *other* training texts gives its probability (where these have the phrase before at all).  All of this looks at
 earlier bytes only, so `score` is a probability.
 
@@ -415,7 +415,7 @@ class Phrases:
         doc = np.repeat(np.arange(len(w) - 1), np.diff(w))
         before = np.concatenate([np.zeros(min(1, len(words)), np.uint64), words[:-1]])
         before[w[:-1][np.diff(w) > 0]] = 0
-        last = C.mix64(before * np.uint64(3) + words) & np.uint64(7) == 0
+        last = C.mix64(before * np.uint64(3) + words) & np.uint64(15) == 0
         self.ends = np.union1d(ends[last] + doc[last] + 1, e[1:])
         self.starts = np.concatenate([[0], self.ends[:-1]]).astype(np.int64)
         #: n+1 offsets of phrases by text, and the first word of each phrase.
@@ -469,7 +469,7 @@ def score_documents(docs: DataFrame, folds: int = 10, slot_bits: int | None = No
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), C.text_bytes())
     size = rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     blocks = max(1, -(-size // BLOCK))
-    bits, phrase_bits, spread = tally.bucket_bits(size // 6), tally.bucket_bits(size // 24), bucket_bits(size)
+    bits, phrase_bits, spread = tally.bucket_bits(size // 6), tally.bucket_bits(size // 48), bucket_bits(size)
     dealt = rows.withColumn("m", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).repartition(blocks, "m")
 
     def tokens(t: pa.Table):
