@@ -147,6 +147,24 @@ def find_node(spark, d):
     return search.find_node(nodes, "12").select(F.col("id").cast("long").alias("doc_id"), "tier")
 
 
+@query(f"""SELECT query_id, rank, z.id, 'file: ' || rel AS title, score, blended, (doc_id % 7)::DOUBLE AS x, (doc_id % 5)::DOUBLE AS y, 11.5::DOUBLE AS zoom
+FROM ({_search_sql(" UNION ALL ".join(f"SELECT {i} AS query_id, '{w}' AS query" for i, w in enumerate(_WORDS)), 8)}) z JOIN (WITH {FILES_SQL} SELECT * FROM files) f ON f.doc_id::VARCHAR = z.id""")
+def zoom_query(spark, d):
+    """The best nodes of a query by words alone, and the camera for them."""
+    nodes = scan.documents_as_nodes(_t(spark, d, "documents")).withColumns({"x": (F.col("id").cast("long") % 7).cast("double"), "y": (F.col("id").cast("long") % 5).cast("double")})
+    q = spark.createDataFrame([(i, w, None) for i, w in enumerate(_WORDS)], "query_id long, query string, root string")
+    return context.zoomed(nodes, q).withColumns({"zoom": F.round("zoom", 6), "query_id": F.col("query_id").cast("int")})
+
+
+@query(f"""WITH {FILES_SQL} SELECT doc_id, array_to_string(list_filter(['file: ' || rel, 'file in ' || source || '/' || lang || '/' || doc_id, CASE WHEN doc_id % 3 = 0 THEN 'f(a)' END,
+  CASE WHEN doc_id % 3 = 1 THEN 'documented' END, CASE WHEN doc_id % 3 = 2 THEN 'a summary' END], lambda x: x IS NOT NULL), chr(10)) AS embed_text FROM files""")
+def embedding_texts(spark, d):
+    files = scan.documents_as_files(_t(spark, d, "documents"))
+    k = F.col("doc_id") % 3
+    text = embed.embedding_text(F.concat(F.lit("file: "), "rel"), F.lit("file"), F.col("rel"), F.when(k == 0, "f(a)").otherwise(""), F.when(k == 1, " documented ").otherwise(""), F.lit("a summary"))
+    return files.select("doc_id", text.alias("embed_text"))
+
+
 # ---- files -----------------------------------------------------------------------------------------------------
 
 
@@ -315,6 +333,62 @@ def py_symbols(spark, d):
     return extract.python_symbols(docs.select(F.concat(F.col("doc_id").cast("string"), F.lit(".py")).alias("rel"), text.alias("text")))
 
 
+def _modules(spark, d, suffix: str, lines: list) -> DataFrame:
+    """A generated module for each document: rel and text, lines being columns over doc_id and w, a word of its text."""
+    docs = _t(spark, d, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("i"), F.regexp_extract(F.lower("text"), "([a-z]{3,})", 1).alias("w"))
+    return docs.select(F.concat("i", F.lit(suffix)).alias("rel"), F.concat_ws("\n", *[F.expr(x) for x in lines]).alias("text"))
+
+
+#: The same documents in SQL.
+_MODULES_SQL = "d AS (SELECT doc_id::VARCHAR AS i, regexp_extract(lower(text), '([a-z]{3,})', 1) AS w FROM documents WHERE text IS NOT NULL)"
+_SYMBOL = ("rel", "kind", "name", "line_start", "line_end")
+
+
+@query(f"""WITH {_MODULES_SQL} SELECT i || '.ts' AS rel, 'function' AS kind, 'f_' || i AS name, 1 AS line_start, 3 AS line_end FROM d
+UNION ALL SELECT i || '.ts', 'class', 'K_' || w, 4, 8 FROM d UNION ALL SELECT i || '.ts', 'function', 'g_' || i, 9, 10 FROM d""")
+def script_symbols(spark, d):
+    files = _modules(spark, d, ".ts", ["'export async function f_' || i || '(a) {'", "'  if (a) { return ' || w || '(); }'", "'}'", "'class K_' || w || ' extends Base {'", "'  run() {'", "'    return 1; }'", "''", "'}'", "'export const g_' || i || ' = (x) => {'", "'}'"])
+    return extract.script_symbols(files).select(*_SYMBOL)
+
+
+_BRACED = {
+    ".go": ("func F_%s(a int) {", "type T_%s struct {"), ".rs": ("pub async fn F_%s(a: u8) {", "pub struct T_%s {"), ".dart": ("void F_%s(int a) {", "abstract class T_%s {"),
+    ".c": ("static int F_%s(char *a) {", "struct T_%s {"), ".hpp": ("auto F_%s(int a) -> int {", "class T_%s : public Base {"), ".java": ("public static int F_%s(int a) {", "public final class T_%s {"),
+    ".cs": ("internal async Task<int> F_%s(int a) {", "public sealed record T_%s {"), ".kt": ("suspend fun F_%s(a: Int) {", "data class T_%s {"), ".swift": ("public func F_%s(a: Int) {", "final class T_%s {"),
+    ".php": ("public static function F_%s($a) {", "trait T_%s {"),
+}
+
+
+@query(f"WITH {_MODULES_SQL}, s AS (SELECT unnest([{_list(_BRACED)}]) AS suffix) SELECT i || suffix AS rel, 'function' AS kind, 'F_' || i AS name, 1 AS line_start, 3 AS line_end FROM d, s UNION ALL SELECT i || suffix, 'class', 'T_' || i, 4, 7 FROM d, s")
+def brace_symbols(spark, d):
+    out = None
+    for suffix, heads in _BRACED.items():
+        one, two = (F"'{h.split('%s')[0]}' || i || '{h.split('%s')[1]}'" for h in heads)
+        files = _modules(spark, d, suffix, [one, "'  ' || w || ' {} '", "'}'", two, "'  // ' || w", "''", "'}'"])
+        rows = extract.brace_symbols(files).select(*_SYMBOL)
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query(f"WITH {_MODULES_SQL} SELECT i || '.rb' AS rel, 'class' AS kind, 'C' || i AS name, 1 AS line_start, 7 AS line_end FROM d UNION ALL SELECT i || '.rb', 'function', 'go_' || i || '?', 2, 6 FROM d")
+def ruby_symbols(spark, d):
+    return extract.ruby_symbols(_modules(spark, d, ".rb", ["'class C' || i", "'  def self.go_' || i || '?(a)'", "'    if a'", "'      ' || w", "'    end'", "'  end'", "'end'"])).select(*_SYMBOL)
+
+
+@query(f"""WITH {_MODULES_SQL} SELECT i || '.sql' AS rel, 'class' AS kind, 't_' || i AS name, 1 AS line_start, 2 AS line_end, []::VARCHAR[] AS refs FROM d
+UNION ALL SELECT i || '.sql', 'function', 'p_' || i, 3, 5, ['helper'] FROM d UNION ALL SELECT i || '.sql', 'class', 'v ' || i, 6, 6, [] FROM d""")
+def sql_objects(spark, d):
+    files = _modules(spark, d, ".sql", ["'CREATE TABLE IF NOT EXISTS public.t_' || i || ' (id int,'", "'  w text);'", "'CREATE OR REPLACE FUNCTION p_' || i || '() RETURNS int AS $x$'", "'  select helper(1); -- ' || w || ';'", "'$x$ LANGUAGE sql;'", "'CREATE VIEW \"v ' || i || '\" AS SELECT 1'"])
+    return extract.sql_symbols(files).select(*_SYMBOL, F.filter("refs", lambda x: ~x.isin("t_", "public")).alias("refs"))
+
+
+@query(f"WITH {_MODULES_SQL} SELECT 'x/supabase/functions/fn-' || i || '/index.ts' AS rel, 'function' AS kind, 'fn-' || i AS name, 1 AS line_start, 2 AS line_end, ['serve'] AS refs FROM d")
+def edge_functions(spark, d):
+    files = _modules(spark, d, "", ["'serve(() => {'", "'})'"]).withColumn("rel", F.concat(F.lit("x/supabase/functions/fn-"), "rel", F.lit("/index.ts")))
+    other = files.withColumn("rel", F.replace("rel", F.lit("index.ts"), F.lit("other.ts")))
+    return extract.edge_functions(files.union(other)).select(*_SYMBOL, "refs")
+
+
 # ---- links -----------------------------------------------------------------------------------------------------
 
 
@@ -329,6 +403,29 @@ def ref_resolution(spark, d):
     return links.first_targets(refs.join(defs, "ref").where("node_id <> to")).select("node_id", F.col("to").alias("to_id"))
 
 
+@query(f"""WITH {_MODULES_SQL}, n AS (SELECT i, lead(i) OVER (ORDER BY i) AS nx FROM d)
+SELECT 'py' || i AS "from", 'py' || nx AS "to", 'syntax_dependency' AS type, 'f_' || nx AS label FROM n WHERE nx IS NOT NULL
+UNION ALL SELECT 'py' || i, 'sql' || i, 'syntax_dependency', 'p_' || i FROM n UNION ALL SELECT 'py' || i, 'tab' || i, 'syntax_dependency', 't_' || i FROM n
+UNION ALL SELECT 'py' || i, 'edge' || i, 'syntax_dependency', 'fn-' || i FROM n UNION ALL SELECT 'ts' || i, 'py' || i, 'syntax_dependency', 'f_' || i FROM n WHERE length(i) > 1 -- literals have four characters or more
+UNION ALL SELECT 'ts' || i, 'tt' || i, 'dependency', 'h_' || i FROM n""")
+def link_resolution(spark, d):
+    """References to functions, procedures, tables and edge functions, and a string literal over languages, in generated modules."""
+    docs = _t(spark, d, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("i"))
+    docs = docs.withColumn("nx", F.lead("i").over(Window.orderBy("i")))
+    none = "cast(null as array<string>)"
+    kinds = [
+        ("py", "'a/' || i || '.py'", "function", "'f_' || i", "'c.rpc(''p_' || i || ''') c.from(''t_' || i || ''') c.functions.invoke(''fn-' || i || ''')'", "array('f_' || coalesce(nx, ''), 'unknown')", True),
+        ("sql", "'db/' || i || '.sql'", "function", "'p_' || i", "''", "array()", True), ("tab", "'db/' || i || '.sql'", "class", "'t_' || i", "''", "array()", True),
+        ("edge", "'supabase/functions/fn-' || i || '/index.ts'", "function", "'fn-' || i", "''", "array()", True),
+        ("ts", "'w/' || i || '.ts'", "function", "'k_' || i", "'h_' || i || '() // uses ''f_' || i || ''''", none, False), ("tt", "'w/z' || i || '.ts'", "function", "'h_' || i", "''", none, False),
+    ]
+    rows = None
+    for n, (kind, rel, what, name, snippet, refs, exact) in enumerate(kinds):
+        some = docs.select(F.concat(F.lit(kind), "i").alias("node_id"), F.expr(rel).alias("rel"), F.lit(what).alias("kind"), F.expr(name).alias("name"), F.lit(1).alias("line_start"), F.expr(snippet).alias("snippet"), F.expr(f"cast({refs} as array<string>)").alias("refs"), F.lit(exact).alias("exact"), F.struct(F.lit(n).alias("n"), "i").alias("ord"))
+        rows = some if rows is None else rows.unionByName(some)
+    return links.resolved(rows)
+
+
 @query(f"""WITH {LINKS_SQL} SELECT id, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree, count(*) AS degree FROM
 (SELECT a AS id, 1 AS o, 0 AS i FROM links UNION ALL SELECT b, 0, 1 FROM links) GROUP BY id""")
 def degree(spark, d):
@@ -462,6 +559,22 @@ def space_status(spark, d):
     return s.select(F.col("node_count").alias("nodes"), F.size("indexed_roots").cast("long").alias("roots"), F.col("symbol_count").alias("symbols")).crossJoin(docs.agg(F.max("n_chars").alias("longest")))
 
 
+@query(f"""WITH {_POINTS_SQL} SELECT count(*) AS rendered, count(*) FILTER (dist <= 0.4 AND t <= 5) AS visible, count(*) FILTER (dist <= 0.4) AS inside FROM v""")
+def view_counts(spark, d):
+    seen = view.node_view(_points(spark, d).withColumn("detail_content", F.lit("x")), 0.1, -0.05, 5.0)
+    return seen.agg(F.count("*").alias("rendered"), F.count_if("visible").alias("visible"), F.count_if(F.col("detail_state") != "outside_fov").alias("inside"))
+
+
+@query(f"""WITH {FILES_SQL}, r AS (SELECT DISTINCT source AS root FROM documents WHERE source IS NOT NULL UNION SELECT DISTINCT source || '/en' FROM documents WHERE source IS NOT NULL)
+SELECT rel AS path, (SELECT root FROM r WHERE starts_with(rel, root || '/') ORDER BY length(root) DESC LIMIT 1) AS root FROM files""")
+def owning_roots(spark, d):
+    from . import api
+
+    files = scan.documents_as_files(_t(spark, d, "documents"))
+    sources = [r.source for r in _t(spark, d, "documents").where("source is not null").select("source").distinct().collect()]
+    return api.owning_root(files.select(F.col("rel").alias("path")), [*sources, *(f"{x}/en" for x in sources)])
+
+
 # ---- packing ---------------------------------------------------------------------------------------------------
 
 
@@ -475,6 +588,38 @@ def pack_greedy(spark, d):
     return pack.greedy(docs, "source", ["doc_id"], "n_chars", 20000).select("source", "used", F.array_join(F.col("taken").cast("array<string>"), ",").alias("taken"))
 
 
+@query("""WITH RECURSIVE q AS (SELECT source AS query_id, least(12000, 3000 + 1000 * length(source))::INT AS budget, CASE WHEN length(source) % 2 = 0 THEN 0.85 ELSE 0.15 END::DOUBLE + CASE WHEN 3000 + 1000 * length(source) >= 9000 THEN 0.1 ELSE 0.0 END AS zoom FROM documents WHERE source IS NOT NULL GROUP BY source),
+p AS (SELECT query_id, budget, zoom, greatest(120, (budget / (3 + round_even(9 * zoom, 0)))::DECIMAL(20, 6)::DOUBLE // 1)::INT AS cap FROM q),
+c AS (SELECT source AS query_id, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS pos, '### d' || doc_id || chr(10) || text AS full_, doc_id % 2 = 0 AS via, doc_id % 11 = 0 AS critical,
+  CASE WHEN doc_id % 2 = 0 THEN left('### d' || doc_id || chr(10) || text, 250) END AS stub, CASE WHEN doc_id % 3 = 0 THEN left(text, 700) END AS contract, CASE WHEN doc_id % 2 = 0 THEN 'callee: d' || doc_id || ' - x' END AS line,
+  'callee: d' || doc_id AS bare FROM documents),
+f AS (SELECT query_id, 0::BIGINT AS k, 0::BIGINT AS used, false AS done, []::VARCHAR[] AS levels FROM p
+ UNION ALL SELECT query_id, k, CASE WHEN take THEN used + n ELSE used END, done OR budget - used < 120 OR (take AND used + n >= budget), CASE WHEN take THEN list_append(levels, doc_id || ':' || level) ELSE levels END FROM (
+  SELECT *, length(txt) AS n, NOT done AND budget - used >= 120 AND txt IS NOT NULL AND (used + length(txt) <= budget OR (pos = 1 AND level = 'full' AND length(txt) <= 1500)) AS take FROM (
+   SELECT *, CASE level WHEN 'full' THEN full_ WHEN 'short' THEN stub WHEN 'contract' THEN contract WHEN 'stub' THEN line WHEN 'bare' THEN bare END AS txt FROM (
+    SELECT *, CASE WHEN full_ IS NULL THEN 'none' WHEN length(full_) <= room THEN 'full' WHEN critical AND pos = 1 AND length(full_) <= 1500 THEN 'full' WHEN critical AND NOT via THEN 'none'
+      WHEN via AND length(stub) <= room THEN 'short' WHEN length(contract) <= room THEN 'contract' WHEN via AND length(line) <= room THEN 'stub' WHEN via AND length(bare) <= room THEN 'bare' WHEN pos = 1 AND length(full_) <= 1500 THEN 'full' ELSE 'none' END AS level FROM (
+     SELECT f.query_id, f.k + 1 AS k, used, done, levels, budget, c.*EXCLUDE (query_id), CASE WHEN pos = 1 OR critical OR zoom < 0.34 THEN budget - used ELSE least(budget - used, cap) END AS room
+     FROM f JOIN p ON p.query_id = f.query_id JOIN c ON c.query_id = f.query_id AND c.pos = f.k + 1)))))
+SELECT query_id, used::INT AS used, len(levels)::INT AS selected_count, replace(replace(array_to_string(levels, ','), ':short', ':contract'), ':bare', ':stub') AS levels FROM f WHERE k = (SELECT max(pos) FROM c WHERE c.query_id = f.query_id)""")
+def pack_ladder(spark, d):
+    """The fold of the context packer over all documents of a source: each in the densest of its forms that fits."""
+    docs = _t(spark, d, "documents").where("source is not null")
+    via = F.col("doc_id") % 2 == 0
+    title = F.concat(F.lit("d"), F.col("doc_id").cast("string"))
+    full = F.concat(F.lit("### "), title, F.lit("\n"), "text")
+    none = F.lit(None).cast("string")
+    forms = docs.select(
+        F.col("source").alias("query_id"), F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("pos"), F.col("doc_id").cast("string").alias("id"), F.lit(1).alias("score"), F.when(via, "callee").alias("role"),
+        F.lit("symbol").alias("node_type"), title.alias("title"), (F.col("doc_id") % 11 == 0).alias("critical"), full.alias("full"), F.when(via, F.left(full, F.lit(250))).alias("stub"), F.when(F.col("doc_id") % 3 == 0, F.left("text", F.lit(700))).alias("contract"),
+        F.when(via, F.concat(F.lit("callee: "), title, F.lit(" - x"))).alias("line"), none.alias("base"), F.array().cast("array<string>").alias("rest"), none.alias("demoted"),
+    )
+    size = F.length("source")
+    q = docs.select("source").distinct().select(F.col("source").alias("query_id"), F.when(size % 2 == 0, "overview").otherwise("bug").alias("query"), F.least(F.lit(12000), 3000 + 1000 * size).alias("budget"))
+    out = pack.packed(q, forms)
+    return out.select("query_id", "used", "selected_count", F.array_join(F.transform("selected", lambda x: F.concat(x["id"], F.lit(":"), x["level"])), ",").alias("levels"))
+
+
 @query()
 def context_pack(spark, d):
     """The flagship: benchmark items as queries over documents, linked by equal first lines, packed into 3000 characters."""
