@@ -33,8 +33,10 @@ def _carried(docs: DataFrame) -> list:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = common.stash(quality.annotated(docs, carry=_carried(docs)), "annotated")
-    rejected = quality.host_rates(rows).where(F.col("host_rate") > quality.HOST_RATE).select(F.col("host").alias("bad"))
+    # texts are measured twice, as a table of annotated rows would hold them all once more until the pipeline's end
+    rates = quality.host_rates(quality.annotated(docs))
+    rejected = rates.where(F.col("host_rate") > quality.HOST_RATE).select(F.col("host").alias("bad"))
+    rows = quality.annotated(docs, carry=_carried(docs))
     return rows.where(~F.col("base_failed")).join(rejected, F.col("host").eqNullSafe(F.col("bad")), "left_anti").select("row.*")
 
 
