@@ -361,13 +361,12 @@ _BRACED = {
 
 @query(f"WITH {_MODULES_SQL}, s AS (SELECT unnest([{_list(_BRACED)}]) AS suffix) SELECT i || suffix AS rel, 'function' AS kind, 'F_' || i AS name, 1 AS line_start, 3 AS line_end FROM d, s UNION ALL SELECT i || suffix, 'class', 'T_' || i, 4, 7 FROM d, s")
 def brace_symbols(spark, d):
-    out = None
+    modules = None
     for suffix, heads in _BRACED.items():
         one, two = (F"'{h.split('%s')[0]}' || i || '{h.split('%s')[1]}'" for h in heads)
         files = _modules(spark, d, suffix, [one, "'  ' || w || ' {} '", "'}'", two, "'  // ' || w", "''", "'}'"])
-        rows = extract.brace_symbols(files).select(*_SYMBOL)
-        out = rows if out is None else out.unionByName(rows)
-    return out
+        modules = files if modules is None else modules.unionByName(files)
+    return extract.brace_symbols(modules).select(*_SYMBOL)
 
 
 @query(f"WITH {_MODULES_SQL} SELECT i || '.rb' AS rel, 'class' AS kind, 'C' || i AS name, 1 AS line_start, 7 AS line_end FROM d UNION ALL SELECT i || '.rb', 'function', 'go_' || i || '?', 2, 6 FROM d")
