@@ -121,6 +121,11 @@ def rendered(candidates: DataFrame) -> DataFrame:
 # ---- the fold --------------------------------------------------------------------------------------------------
 
 
+def _let(value: Column, body) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _choice(c: Column, room: Column) -> Column:
     """(level, text) of the first form of the ladder that fits; null text if none does."""
     fits = lambda x: x.isNotNull() & (F.length(x) <= room)
@@ -151,13 +156,17 @@ def folded(candidates: Column, budget: Column, zoom: Column) -> Column:
     def step(acc: Column, c: Column) -> Column:
         left = budget - acc["used"]
         room = F.when((c["pos"] == 1) | c["critical"] | (zoom < 0.34), left).otherwise(F.least(left, cap))
-        pick = _choice(c, room)
+        return F.when(acc["done"], acc).when(left < K.LEAST_SECTION, stopped(acc)).otherwise(_let(_choice(c, room), lambda pick: with_pick(acc, c, pick)))
+
+    def stopped(acc: Column) -> Column:
+        return F.struct(acc["used"].alias("used"), F.lit(True).alias("done"), acc["items"].alias("items"))
+
+    def with_pick(acc: Column, c: Column, pick: Column) -> Column:
         n = F.length(pick["text"])
         taken = pick["text"].isNotNull() & ((acc["used"] + n <= budget) | ((c["pos"] == 1) & (pick["level"] == "full") & (n <= K.MICRO_FOCUS)))
         item = F.struct(c["pos"].cast("int").alias("pos"), c["id"].alias("id"), c["score"].cast("int").alias("score"), c["role"].alias("role"), pick["level"].alias("level"), pick["text"].alias("text"))
         grown = F.struct((acc["used"] + n).alias("used"), (acc["used"] + n >= budget).alias("done"), F.concat(acc["items"], F.array(item.cast(ITEM))).alias("items"))
-        stop = F.struct(acc["used"].alias("used"), F.lit(True).alias("done"), acc["items"].alias("items"))
-        return F.when(acc["done"], acc).when(left < K.LEAST_SECTION, stop).when(taken, grown).otherwise(acc)
+        return F.when(taken, grown).otherwise(acc)
 
     return F.aggregate(candidates, zero, step)
 
