@@ -18,6 +18,30 @@ _NEAR = 1.01e-4
 _CELLS = 4 << 20
 
 
+def as_vectors(given: list) -> list[np.ndarray]:
+    return [np.asarray(v, np.float64) if v is not None else np.zeros(0) for v in given]
+
+
+def cosines(vectors: list, asked: list[np.ndarray]) -> np.ndarray:
+    """(vectors, asked): over the dimensions that both have; 0 where a norm is 0 or a vector is missing."""
+    out = np.zeros((len(vectors), len(asked)))
+    of_size: dict[int, list[int]] = {}
+    for i, v in enumerate(vectors):
+        of_size.setdefault(0 if v is None else len(v), []).append(i)
+    asked_sizes: dict[int, list[int]] = {}
+    for j, v in enumerate(asked):
+        asked_sizes.setdefault(len(v), []).append(j)
+    for a, some in of_size.items():
+        for b, own in asked_sizes.items():
+            n = min(a, b)
+            if n:
+                x = np.array([vectors[i][:n] for i in some], np.float64)
+                y = np.array([asked[j][:n] for j in own])
+                norms = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)
+                out[np.ix_(some, own)] = np.divide(x @ y.T, norms, out=np.zeros_like(norms), where=norms > 0)
+    return out
+
+
 class Block:
     """Queries (low, words, root, asks, query_embedding) in numbers; pickles without its automaton."""
 
@@ -36,8 +60,7 @@ class Block:
         self.empty = np.array([r.low == "" for r in rows], bool)
         self.roots = [r.root for r in rows]
         self.asks = np.array([bool(r.asks) for r in rows], bool)
-        vectors = [getattr(r, "query_embedding", None) for r in rows]
-        self.vectors = [np.asarray(v, np.float64) if v is not None else np.zeros(0) for v in vectors]
+        self.vectors = as_vectors([getattr(r, "query_embedding", None) for r in rows])
         self.best = np.zeros(self.n, np.int64)
         self._find = None
 
@@ -76,23 +99,8 @@ class Block:
         return out
 
     def cosines(self, vectors: list) -> np.ndarray:
-        """(nodes, queries): over the dimensions that both have; 0 where a norm is 0 or a vector is missing."""
-        out = np.zeros((len(vectors), self.n))
-        of_size: dict[int, list[int]] = {}
-        for i, v in enumerate(vectors):
-            of_size.setdefault(0 if v is None else len(v), []).append(i)
-        query_sizes: dict[int, list[int]] = {}
-        for j, v in enumerate(self.vectors):
-            query_sizes.setdefault(len(v), []).append(j)
-        for a, some in of_size.items():
-            for b, asked in query_sizes.items():
-                n = min(a, b)
-                if n:
-                    x = np.array([vectors[i][:n] for i in some], np.float64)
-                    y = np.array([self.vectors[j][:n] for j in asked])
-                    norms = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)
-                    out[np.ix_(some, asked)] = np.divide(x @ y.T, norms, out=np.zeros_like(norms), where=norms > 0)
-        return out
+        """(nodes, queries)."""
+        return cosines(vectors, self.vectors)
 
     def inside(self, roots: list) -> np.ndarray:
         """(nodes, queries): whether a node's root is the query's, or that asks all."""
@@ -161,3 +169,40 @@ class Top:
             if out:
                 i, j = np.concatenate(out, axis=1)
                 yield a + i, j, score[i, j], cosine[i, j], rank[i, j], blended[i, j]
+
+
+#: Products of matrices and sums in order differ by less.
+_ROUNDING = 1e-9
+
+
+class Vectors:
+    """A block of queries by vector, each with its own id."""
+
+    def __init__(self, ids: list, vectors: list):
+        self.n, self.vectors = len(ids), as_vectors(vectors)
+        self.own: dict = {}
+        for j, x in enumerate(ids):
+            self.own.setdefault(x, []).append(j)
+
+
+class Nearest:
+    """Of ever more vectors those that may be among the k of greatest cosine to a query; all that tie with the last are."""
+
+    def __init__(self, block: Vectors, k: int):
+        self.block, self.best = block, np.full((k, block.n), -np.inf)
+
+    def of(self, batch):
+        """(row, query) arrays of a batch, 8192 pairs at most in each; rows are numbers in the batch."""
+        step = max(1, min(4096, _CELLS // max(1, self.block.n)))
+        for a in range(0, batch.num_rows, step):
+            part = batch.slice(a, step)
+            cosine = np.nan_to_num(cosines(part.column("embedding").to_pylist(), self.block.vectors), nan=0.0)
+            for i, x in enumerate(part.column("id").to_pylist()):
+                if x in self.block.own:
+                    cosine[i, self.block.own[x]] = -np.inf
+            k = len(self.best)
+            every = np.concatenate([self.best, cosine])
+            self.best = np.partition(every, len(every) - k, axis=0)[len(every) - k :]
+            i, j = np.nonzero((cosine >= self.best.min(axis=0) - _ROUNDING) & (cosine > -np.inf))
+            for c in range(0, len(i), 8192):
+                yield a + i[c : c + 8192], j[c : c + 8192]

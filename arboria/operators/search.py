@@ -100,15 +100,36 @@ def _searched(fields: DataFrame, some: DataFrame, limit: int, semantic: bool, al
 
 
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The k vectors (id, embedding) of greatest cosine for each query (query_id, query_embedding), itself left out."""
+    """The k vectors (id, embedding) of greatest cosine for each query (query_id, query_embedding), itself left out.
 
-    def run(some: DataFrame) -> DataFrame:
-        pairs = vectors.join(some, F.col("id") != F.col("query_id"))
-        rows = pairs.select("query_id", "id", S.cosine("embedding", "query_embedding").alias("cosine"))
-        order = Window.partitionBy("query_id").orderBy(F.col("cosine").desc(), "id")
-        return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    Each task takes matrix products of its vectors with a block of queries and hands on those that may be among a
+    query's k best; these alone are compared exactly and shuffled.  Equal cosines go by id.  A vector that is missing
+    or not of numbers has cosine 0; rows without an id and queries without one are left out.
+    """
+    schema = StructType([StructField("q", IntegerType()), vectors.schema["id"], vectors.schema["embedding"]])
+    given, out = vectors.where("id is not null").select("id", "embedding"), None
+    asked = queries.where("query_id is not null").select("query_id", "query_embedding", F.col("query_id").cast(vectors.schema["id"].dataType).alias("own"))
+    for some in blocks_of(asked):
+        rows = _nearest(given, some, k, schema)
+        out = rows if out is None else out.unionByName(rows)
+    order = Window.partitionBy("query_id").orderBy(F.col("cosine").desc(), "id")
+    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
-    return in_blocks(queries, run)
+
+def _nearest(given: DataFrame, some: DataFrame, k: int, schema: StructType) -> DataFrame:
+    spark = given.sparkSession
+    rows = some.collect()
+    shared = spark.sparkContext.broadcast(matching.Vectors([r.own for r in rows], [r.query_embedding for r in rows]))
+
+    def near(batches):
+        found = matching.Nearest(shared.value, k)
+        for batch in batches:
+            for i, j in found.of(batch):
+                yield pa.RecordBatch.from_arrays([pa.array(j, pa.int32()), *(batch.column(c).take(pa.array(i)) for c in ("id", "embedding"))], ["q", "id", "embedding"])
+
+    numbered = spark.createDataFrame([(n, r.query_id, r.query_embedding) for n, r in enumerate(rows)], StructType([StructField("q", IntegerType()), some.schema["query_id"], some.schema["query_embedding"]]))
+    pairs = given.mapInArrow(near, schema).join(F.broadcast(numbered), "q")
+    return pairs.select("query_id", "id", F.nanvl(S.cosine("embedding", "query_embedding"), F.lit(0.0)).alias("cosine"))
 
 
 def find_node(nodes: DataFrame, query: str) -> DataFrame:

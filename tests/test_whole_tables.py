@@ -88,3 +88,26 @@ def test_every_file_is_gated(spark, tmp_path):
     files = scan.documents_as_files(spark.read.parquet(f"{tmp_path}/documents.parquet")).select("rel", "content")
     assert scan.gated(files).count() == K.MAX_FILES and scan.gated(files, max_files=70).count() == 70
     assert {r.rel: r.outcome for r in scan.gated(files, max_files=1500).collect()} == {r.rel: r.outcome for r in scan.gated(files, max_files=None).collect()}
+
+
+def test_nearest_vectors_agree_with_all_pairs(spark, monkeypatch):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from arboria.functions import scoring as S
+    from arboria.operators import matching, search
+
+    monkeypatch.setattr(search, "QUERY_BLOCK", 7)
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(300)]
+    rows += [(i, rows[i % 3][1]) for i in range(300, 360)]  # copies, which tie
+    rows += [(5, rows[5][1]), (400, None), (401, []), (402, [0.0] * 6), (403, [1.0, None, 2.0]), (404, [float("nan")] * 6), (405, rows[9][1][:4]), (None, rows[0][1])]
+    vectors = spark.createDataFrame(rows, "id long, embedding array<float>").repartition(5)
+    queries = vectors.where("id % 20 = 0 or id is null or id = 5").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+    pairs = vectors.join(F.broadcast(queries), F.col("id") != F.col("query_id")).select("query_id", "id", F.nanvl(S.cosine("embedding", "query_embedding"), F.lit(0.0)).alias("cosine"))
+    want = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("cosine").desc(), "id"))).where("rank <= 4")
+    columns = ["query_id", "rank", "id", "cosine"]
+    assert sorted(search.vector_topk(vectors, queries, 4).select(*columns).collect()) == sorted(want.select(*columns).collect())
+    assert search.vector_topk(vectors, queries.limit(0), 4).count() == search.vector_topk(vectors.limit(0), queries, 4).count() == 0
+    block = matching.Vectors(list(range(4)), [[1.0, float(i)] for i in range(4)])
+    assert matching.cosines([[1.0, 0.0]], block.vectors)[0, 0] == 1.0
