@@ -240,3 +240,31 @@ def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(C.table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT rid, array_to_string(list_slice(w, i, i + 4), ' ') AS g
+  FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)
+), sets AS (
+  SELECT rid, count(*) AS n, list(g ORDER BY g) AS gs FROM s GROUP BY rid
+), node AS (
+  SELECT rid, n, min(rid) OVER (PARTITION BY gs) AS node FROM sets
+), t AS (
+  SELECT node, n, g FROM s JOIN node ON node.rid = s.rid AND node.node = s.rid
+), link AS (
+  SELECT a.node AS a, b.node AS b FROM t AS a JOIN t AS b ON a.g = b.g AND a.node < b.node
+  GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), ends AS (
+  SELECT a, b FROM link UNION ALL SELECT b, a FROM link
+), reach(node, other) AS (
+  SELECT DISTINCT node, node FROM node UNION SELECT reach.node, ends.b FROM reach JOIN ends ON ends.a = reach.other
+), least AS (
+  SELECT reach.node, min(doc_id) AS component_id FROM reach JOIN node ON node.node = reach.other JOIN d ON d.rid = node.rid GROUP BY reach.node
+)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(component_id, doc_id) AS component_id
+FROM d LEFT JOIN node ON node.rid = d.rid LEFT JOIN least ON least.node = node.node
+"""
