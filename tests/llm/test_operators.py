@@ -132,6 +132,104 @@ def test_model_beats_words_on_held_out_texts(spark, sf, table):
     assert sum(r.score for r in got if not r.held_out) > sum(r.base_score for r in got if not r.held_out)
 
 
+def plain_model_scores(rows):
+    """The model's score of each text, byte by byte from counts in dicts; only the learnt weights are the operator's own."""
+    held = [zlib.crc32(b"" if i is None else str(i).encode()) % 10 == 0 for i, _ in rows]
+    texts = [(t or "").encode().lower() + b"\0" for _, t in rows]
+    counts, held_grams = defaultdict(lambda: [0, 0]), Counter()
+    decisions = lambda t, at: [(k, t[at - k : at] if at >= k else b"\0" * (k - at) + t[:at], d, t[at] >> (8 - d)) for d in range(8) for k in range(5)]
+    for t, out in zip(texts, held, strict=True):
+        for at in range(0 if out else len(t)):
+            held_grams[int.from_bytes((b"\0" * 4 + t)[at : at + 5], "big")] += 1
+            for key in decisions(t, at):
+                counts[key][t[at] >> (7 - key[2]) & 1] += 1
+    g = np.array(sorted(held_grams), np.uint64)
+    n = np.array([held_grams[int(x)] for x in g], np.int64)
+    low = context_mixing.low_counts(np.bincount((g & np.uint64(0xFFFF)).astype(np.int64), weights=n, minlength=1 << 16).astype(np.int64))
+    total = np.zeros(context_mixing.start_weights().shape)
+    for b in range(64):
+        some = context_mixing.bucket_of(g) == b
+        total += some.sum() * context_mixing.learn_weights(g[some], n[some], context_mixing.Nodes(g[some], n[some], low)).astype(float) if some.any() else 0
+    weights = total / len(g)
+
+    def byte_nats(t, at):
+        out = 0.0
+        for d in range(8):
+            n0, n1 = zip(*(counts.get(key, (0, 0)) for key in decisions(t, at)[5 * d : 5 * d + 5]), strict=True)
+            seen = [sum(n0[k] + n1[k] >= x for x in (1, 4)) for k in (4, 3)]
+            dot = sum(w * math.log((b + 0.08) / (a + 0.08)) for w, a, b in zip(weights[d][4 * seen[0] + seen[1]], n0, n1, strict=True))
+            out -= math.log1p(math.exp(-max(-20, min(20, dot)) * (1 if t[at] >> (7 - d) & 1 else -1)))
+        return out
+
+    def mix(own, known):
+        better = tried = 0
+        out = []
+        for a, b in zip(own, known, strict=True):
+            if b is None:
+                out.append(a)
+                continue
+            rate = (better + 1) / (tried + 2)
+            out.append(math.log((1 - rate) * math.exp(a) + rate * math.exp(b)) if max(a, b) > -700 else np.logaddexp(math.log(1 - rate) + a, math.log(rate) + b))
+            better, tried = better + (b > a), tried + 1
+        return out
+
+    spans = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0d]+", t[:-1])] for t in texts]
+    words = Counter(t[a:b] for t, ws, out in zip(texts, spans, held, strict=True) if not out for a, b in ws)
+    every = sum(words.values())
+    ends = [0, *range(9, 14), 32]
+    share = {c: math.prod((counts.get((0, b"", d, c >> (8 - d)), (0, 0))[c >> (7 - d) & 1] + 0.5) / (sum(counts.get((0, b"", d, c >> (8 - d)), (0, 0))) + 1) for d in range(8)) for c in ends}
+    closing = {c: math.log(x / sum(share.values())) for c, x in share.items()}
+
+    def phrases(t, ws):
+        h = [int(C.word_hashes(np.frombuffer(t, np.uint8), np.array([a]), np.array([b]))[0]) for a, b in ws]
+        picked = C.mix64(np.array([(3 * p + q) % 2**64 for p, q in zip([0, *h], h, strict=False)], np.uint64)) & np.uint64(15) == 0
+        cut = sorted({b + 1 for (_, b), ok in zip(ws, picked, strict=True) if ok} | {len(t)})
+        return list(zip([0, *cut], cut, strict=False))
+
+    cuts = [phrases(t, ws) for t, ws in zip(texts, spans, strict=True)]
+    keys = [list(zip([None, *(t[a:b] for a, b in c)], (t[a:b] for a, b in c), strict=False)) for t, c in zip(texts, cuts, strict=True)]
+    out, used = [], 0
+    for i, (t, ws) in enumerate(zip(texts, spans, strict=True)):
+        last, hits, tried, nats = {}, 0, 0, []
+        for at in range(len(t)):
+            x = byte_nats(t, at)
+            before = t[at - 6 : at] if at >= 6 else None
+            if before in last:
+                rate, hit = (hits + 0.4) / (tried + 1.6), last[before] == t[at]
+                x, hits, tried = math.log((1 - rate) * math.exp(x) + rate * hit), hits + hit, tried + 1
+            if before:
+                last[before] = t[at]
+            nats.append(x)
+        own = [sum(nats[a : b + 1]) for a, b in ws]
+        known = [math.log(words[t[a:b]] / every) + closing[t[b]] if words[t[a:b]] else -math.inf for a, b in ws]
+        gain = [x - y for x, y in zip(mix(own, known), own, strict=True)]
+        whole = [sum(nats[a:b]) + sum(x for x, (s, _) in zip(gain, ws, strict=True) if a <= s < b) for a, b in cuts[i]]
+        others = [k for j, ks in enumerate(keys) if j != i and not held[j] for k in ks]
+        context, pair = Counter(c for c, _ in others), Counter(others)
+        said = [(math.log(pair[k]) if pair[k] else -math.inf) - math.log(context[k[0]] + 0.5) if context[k[0]] else None for k in keys[i]]
+        used += sum(x is not None and x > -math.inf for x in said)
+        out.append((rows[i][0], sum(mix(whole, said)) / math.log(10)))
+    return out, used
+
+
+def test_scores_by_plain_counting(spark):
+    import random
+
+    r = random.Random(11)
+    vocabulary = [f"{a}{b}" for a in ("Re", "mo", "ta", "xi", "über") for b in ("line", "set", "k", "ration", "中", "s,")]
+    sentence = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
+    shared = [sentence(50) for _ in range(2)]
+    rows = [(i, sentence(r.randrange(5, 30)) + ("\n" + shared[i % 2] if i % 3 == 0 else "")) for i in range(30)]
+    rows += [(40, None), (41, ""), (42, " \t\n "), (43, rows[0][1]), (44, "abcdefgh " * 12), (44, "abcdefgh " * 12), (None, "unseen word")]
+    want, used = plain_model_scores(rows)
+    got = context_mixing.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    key = lambda x: (x[0] is None, x[0] or 0, x[1])
+    got = sorted(((x.doc_id, x.score) for x in got), key=key)
+    assert used > 10
+    assert [x[0] for x in got] == [x[0] for x in sorted(want, key=key)]
+    assert all(abs(a - b) < 1e-3 * (1 + abs(b)) for (_, a), (_, b) in zip(got, sorted(want, key=key), strict=True)), list(zip(got, sorted(want, key=key), strict=True))
+
+
 def test_a_byte_model_is_a_distribution():
     rng, bits = np.random.default_rng(3), 12
     counts = [rng.integers(0, 90, context_mixing.table_size(bits)).astype(np.uint8) for _ in range(2)]
