@@ -723,10 +723,16 @@ def check_licenses(rows, got):
         for phrase, label in license_scan.BASE:
             places += [(k, label) for k in range(len(w) - len(phrase) + 1) if tuple(w[k : k + len(phrase)]) == phrase]
         base = sorted({x for _, x in places})
-        found = license_scan.detections(b" ".join(w), gated=False)
-        labels = sorted({*base, *(d[3] for d in found)})
-        want.append((i, len(w), len(places), min(places)[0] if places else None, max(places)[0] if places else None, ",".join(base), ",".join(labels)))
-    same([(r.row.doc_id, *tuple(r)[1:7]) for r in got], want)
+        text, kept = b" ".join(w).decode("utf-8", "replace"), []
+        every = [(m.start(), m.end(), priority, label, weight) for pattern, label, priority, weight in license_scan.rules() for m in pattern.finditer(text)]
+        for d in sorted(every, key=lambda d: (d[2], d[0] - d[1], d[0])):
+            if not any(k[0] <= d[0] and d[1] <= k[1] for k in kept):
+                kept.append(d)
+        labels = sorted({*base, *(d[3] for d in kept)})
+        score = max([0.6 * bool(base), *(d[4] for d in kept)])
+        spans = [(d[0], d[1], d[3]) for d in sorted(kept)]
+        want.append((i, len(w), len(places), min(places)[0] if places else None, max(places)[0] if places else None, ",".join(base), ",".join(labels), score, spans))
+    same([(r.row.doc_id, *tuple(r)[1:8], [tuple(x) for x in r.spans]) for r in got], want)
     assert all(0 <= r.score <= 1 for r in got)
 
 
