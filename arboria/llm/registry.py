@@ -15,6 +15,8 @@ _MODULES = {
     "op8_token_store": "token_store",
     "op9_mixing": "mixing",
     "op10_quality_rules": "quality",
+    "op12_bpe_automaton": "bpe",
+    "op13_yinyang": "yinyang",
 }
 
 
