@@ -15,6 +15,7 @@ _MODULES = {
     "op8_token_store": "token_store",
     "op9_mixing": "mixing",
     "op10_quality_rules": "quality",
+    "op11_prefix_trie": "prefix_trie",
     "op12_bpe_automaton": "bpe",
     "op13_yinyang": "yinyang",
 }
