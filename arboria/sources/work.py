@@ -16,7 +16,9 @@ def keeper(folder: str):
     def keep(df: DataFrame, name: str) -> DataFrame:
         path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
         df.write.parquet(path)
-        return df.sparkSession.read.schema(df.schema).parquet(path)
+        out = df.sparkSession.read.schema(df.schema).parquet(path)
+        out._kept = path
+        return out
 
     return keep
 
@@ -32,6 +34,24 @@ def shared(spark: SparkSession):
     return keeper(folder)
 
 
+def forget(kept: DataFrame) -> None:
+    """Deletes a kept table that nothing reads any more."""
+    path = kept.sparkSession._jvm.org.apache.hadoop.fs.Path(kept._kept)
+    path.getFileSystem(kept.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def summed_before(rows: DataFrame, name: str, weight: str, *order) -> DataFrame:
+    """rows with the sum of `weight` over all rows before them in a total order: tasks add up ranges of it, the driver gets a sum a task."""
+    dealt = shared(rows.sparkSession)(rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "dealt")
+    before, offsets = 0, []
+    for r in sorted(dealt.groupBy("_p").agg(F.sum(weight)).collect(), key=lambda r: r[0]):
+        offsets.append((r[0], before))
+        before += r[1]
+    offsets = rows.sparkSession.createDataFrame(offsets, "_p int, _before long")
+    here = F.sum(weight).over(Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    return dealt.join(F.broadcast(offsets), "_p").withColumn(name, F.coalesce(here, F.lit(0)) + F.col("_before")).drop("_p", "_before")
+
+
 def numbered(rows: DataFrame, name: str, *order) -> DataFrame:
     """rows with their number (from 1) in an order: tasks count ranges of it, and the driver gets a count a task."""
     dealt = shared(rows.sparkSession)(rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "dealt")
