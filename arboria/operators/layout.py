@@ -60,20 +60,22 @@ def inserted(rings: DataFrame, wanted: DataFrame, group: str, angle: str = "angl
     below a whole turn by the number of siblings, which bounds how far a gap need be cut up: a ring has no more than twice
     as many candidates as siblings in the end, and no node waits for another.
     """
-    whole, turn = Window.partitionBy(group), F.lit(2 * math.pi)
-    w = whole.orderBy(angle)
-    real = rings.where(F.col(angle).isNotNull()).join(wanted.where("k > 0"), group)
-    gap = F.when(F.lead(angle).over(w).isNotNull(), F.lead(angle).over(w) - F.col(angle)).otherwise(F.min(angle).over(whole) + turn - F.col(angle))
-    gaps = real.select(group, "k", F.col(angle).alias("a"), gap.alias("g"), F.count("*").over(whole).alias("n"), F.lit(0).alias("before"))
-    bare = wanted.where("k > 0").join(rings.where(F.col(angle).isNotNull()).select(group).distinct(), group, "left_anti")
-    top = bare.select(group, F.lit(1).alias("nth"), F.lit(-math.pi / 2).alias("theta"))
-    gaps = gaps.unionByName(bare.where("k > 1").select(group, (F.col("k") - 1).alias("k"), F.lit(-math.pi / 2).alias("a"), turn.alias("g"), F.lit(1).cast("long").alias("n"), F.lit(1).alias("before")))
+    whole, turn = Window.partitionBy("ring"), F.lit(2 * math.pi)
+    w = whole.orderBy("a")
+    there = rings.select(F.col(group).alias("ring"), F.col(angle).alias("a")).where("a is not null")
+    asked = wanted.select(F.col(group).alias("ring"), "k").where("k > 0")
+    real = there.join(asked, "ring")
+    gap = F.coalesce(F.lead("a").over(w), F.min("a").over(whole) + turn) - F.col("a")
+    gaps = real.select("ring", "k", "a", gap.alias("g"), F.count("*").over(whole).alias("n"), F.lit(0).alias("before"))
+    bare = asked.join(there.select("ring").distinct(), "ring", "left_anti")
+    top = bare.select("ring", F.lit(1).alias("nth"), F.lit(-math.pi / 2).alias("theta"))
+    gaps = gaps.unionByName(bare.where("k > 1").select("ring", (F.col("k") - 1).alias("k"), F.lit(-math.pi / 2).alias("a"), turn.alias("g"), F.lit(1).cast("long").alias("n"), F.lit(1).alias("before")))
     least = turn / (F.col("n") + F.col("k")) * (1 - 1e-9)
     levels = F.when(F.col("g") >= least, F.floor(F.log2(F.col("g") / least)).cast("int")).otherwise(-1)
     cut = gaps.where(F.col("g") >= least).withColumn("level", F.explode(F.sequence(F.lit(0), levels)))
     cut = cut.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("shiftleft(1L, level)") - 1))).withColumn("length", F.col("g") / F.expr("shiftleft(1L, level)"))
     wrapped = lambda x: F.pmod(x + math.pi, turn) - math.pi
     starts = F.col("a") + F.col("part") * F.col("length")
-    first = Window.partitionBy(group).orderBy(F.col("length").desc(), wrapped(starts))
+    first = whole.orderBy(F.col("length").desc(), wrapped(starts))
     nth = cut.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= F.col("k"))
-    return nth.select(group, (F.col("_n") + F.col("before")).alias("nth"), wrapped(F.col("a") + (F.col("part") + 0.5) * F.col("length")).alias("theta")).unionByName(top)
+    return nth.select(F.col("ring").alias(group), (F.col("_n") + F.col("before")).alias("nth"), wrapped(F.col("a") + (F.col("part") + 0.5) * F.col("length")).alias("theta")).unionByName(top.withColumnRenamed("ring", group))

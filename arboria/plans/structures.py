@@ -6,6 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import layout, spans, trees
+from ..sources import work
+from ..streaming import debounce
 from .queries import _PI, _t, query
 
 _LINES_SQL = "l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), x AS (SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS no FROM l)"
@@ -81,3 +83,15 @@ def ring_inserts(spark, d):
     rings = e.select("label", F.atan2(F.element_at("embedding", 2).cast("double"), F.element_at("embedding", 1).cast("double")).alias("angle"))
     wanted = e.select("label").distinct().withColumn("k", F.col("label") + 25)
     return layout.inserted(rings, wanted, "label").select("label", F.col("nth").cast("int").alias("nth"), F.round("theta", 6).alias("theta"))
+
+
+@query("""WITH e AS (SELECT DISTINCT user_id, ts FROM events WHERE user_id IS NOT NULL), n AS (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS nx FROM e)
+SELECT user_id, ts FROM n WHERE (nx IS NULL OR epoch_us(nx) - epoch_us(ts) >= 3600000000::BIGINT) AND epoch_us(ts) // 1000 + 3600000 <= (SELECT epoch_us(max(ts)) // 1000 FROM events)""")
+def debounce_stream(spark, d):
+    """The ends of bursts of each user's events, by a stream over the table with keyed state and timers, run to the table's end."""
+    schema = _t(spark, d, "events").schema
+    events = spark.readStream.schema(schema).parquet(f"{d}/event[s].parquet")  # a pattern, as the stream takes no single file
+    folder = work.new_folder(spark, "debounced")
+    run = debounce.settled(events, "user_id", "ts", 3600).writeStream.format("parquet").option("path", folder).option("checkpointLocation", f"{folder}-state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema("user_id long, ts timestamp").parquet(folder)

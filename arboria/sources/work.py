@@ -23,15 +23,25 @@ def keeper(folder: str):
     return keep
 
 
-def shared(spark: SparkSession):
-    """A keeper in the folder of spark.checkpoint.dir; only a single-machine session may do without that."""
+def _folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; only a single-machine session may do without that."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("spark.checkpoint.dir is not set: name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="arboria-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    return keeper(folder)
+    return folder.rstrip("/")
+
+
+def shared(spark: SparkSession):
+    """A keeper in the folder that driver and executors share."""
+    return keeper(_folder(spark))
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """The name of a new folder that driver and executors share."""
+    return f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def forget(kept: DataFrame) -> None:

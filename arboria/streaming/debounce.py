@@ -34,17 +34,17 @@ class _Quiet(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.last = handle, handle.getValueState("last", "at long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         seen = [int(pdf[self.at].max()) for pdf in rows if len(pdf)]
         if self.last.exists():
             seen.append(self.last.get()[0])
         self.last.update((max(seen),))
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
-        self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + self.millis)
+        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.millis)
         return iter(())
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.last.exists():
             at = self.last.get()[0]
             self.last.clear()
@@ -72,10 +72,10 @@ class _Settled(StatefulProcessor):
         self.handle, self.pending = handle, handle.getListState("pending", "at long")
 
     def _ends(self, ats: list[int]) -> list[int]:
-        return [a for a, b in zip(ats, [*ats[1:], None], strict=True) if b is None or b - a >= 1000 * self.millis]
+        return [a for a, b in zip(ats, [*ats[1:], None], strict=False) if b is None or b - a >= 1000 * self.millis]
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        new = sorted({int(x) for pdf in rows for x in pdf["_us"]})
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = sorted({int(x) for pdf in rows for x in pdf["at_us"]})
         known = [r[0] for r in self.pending.get()] if self.pending.exists() else []
         ats = sorted({*known, *new})
         self.pending.put([(a,) for a in ats])
@@ -83,8 +83,8 @@ class _Settled(StatefulProcessor):
             self.handle.registerTimer(a // 1000 + self.millis)
         return iter(())
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
-        now = timers.getCurrentWatermarkInMs()
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
         ats = [r[0] for r in self.pending.get()] if self.pending.exists() else []
         done = [a for a in self._ends(ats) if a // 1000 + self.millis <= now]
         left = [a for a in ats if a // 1000 + self.millis > now]
@@ -93,7 +93,7 @@ class _Settled(StatefulProcessor):
         else:
             self.pending.clear()
         if done:
-            yield pd.DataFrame({self.key: [key[0]] * len(done), "_us": done})
+            yield pd.DataFrame({self.key: [key[0]] * len(done), "at_us": done})
 
     def close(self) -> None:
         pass
@@ -102,7 +102,7 @@ class _Settled(StatefulProcessor):
 def settled(events: DataFrame, key: str, at: str, seconds: float, delay: str = "0 seconds") -> DataFrame:
     """key, at: changes that no other of the key follows within `seconds`, once the watermark (the latest time less `delay`) has passed that."""
     keyed_state(events.sparkSession)
-    rows = events.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, delay).select(key, at, F.unix_micros(at).alias("_us"))
-    schema = StructType([rows.schema[key], rows.schema["_us"]])
+    rows = events.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, delay).select(key, at, F.unix_micros(at).alias("at_us"))
+    schema = StructType([rows.schema[key], rows.schema["at_us"]])
     out = rows.groupBy(key).transformWithStateInPandas(_Settled(key, int(seconds * 1000)), schema, "Append", "EventTime")
-    return out.select(key, F.timestamp_micros("_us").alias(at))
+    return out.select(key, F.timestamp_micros("at_us").alias(at))

@@ -3,14 +3,13 @@
 Spark's file source does not report a file again that has changed, so changes come from a Python data source.  It
 compares listings: a file is reported when it is new, gone, or has another modification time than at the last look, even
 an older one.  The first look is at the call, so nothing is ingested at the start.  A restarted stream, which has no last
-look, reports what was modified since its offset; the next ingest finds what is gone.  With a quiet time, a file is
-reported only once it has stayed as it is for that long, so a burst of writes is one change.  Each micro-batch's paths
-are ingested: only these files are read and parsed.
+look, reports what was modified since its offset; the next ingest finds what is gone.  With a quiet time, a path goes into
+keyed state with a timer (see debounce) and is ingested only once it has stayed as it is for that long, so a burst of
+writes is one change, over a restart too.  Each micro-batch's paths are ingested: only these files are read and parsed.
 """
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
 from ..sources import scan
+from . import debounce
 
 TEMPORARY = ("~", ".tmp", ".swp", ".part")
 
@@ -27,8 +27,8 @@ def latest(files) -> int:
 
 
 class _Reader(SimpleDataSourceStreamReader):
-    def __init__(self, root: str, suffixes: tuple[str, ...], since: str | None, quiet: float):
-        self.root, self.suffixes, self.since, self.quiet = root, suffixes, since, int(quiet * 1e9)
+    def __init__(self, root: str, suffixes: tuple[str, ...], since: str | None):
+        self.root, self.suffixes, self.since = root, suffixes, since
         self.known: dict[str, int] | None = None
 
     def _now(self) -> dict[str, int]:
@@ -41,8 +41,7 @@ class _Reader(SimpleDataSourceStreamReader):
         now = self._now()
         if self.known is None:
             self.known = {rel: at for rel, at in now.items() if at <= start["at"]}
-        ready = time.time_ns() - self.quiet
-        changed = [(rel, at) for rel, at in now.items() if self.known.get(rel) != at and at <= ready]
+        changed = [(rel, at) for rel, at in now.items() if self.known.get(rel) != at]
         gone = [rel for rel in self.known if rel not in now]
         for rel in gone:
             del self.known[rel]
@@ -55,7 +54,7 @@ class _Reader(SimpleDataSourceStreamReader):
 
 
 class FileChanges(DataSource):
-    """Format "file_changes": rel, mtime (ns) of files new, modified or gone since the last batch.  Options: path, suffixes, since (ns), quiet (s)."""
+    """Format "file_changes": rel, mtime (ns) of files new, modified or gone since the last batch.  Options: path, suffixes, since (ns)."""
 
     @classmethod
     def name(cls) -> str:
@@ -65,14 +64,15 @@ class FileChanges(DataSource):
         return "rel string, mtime long"
 
     def simpleStreamReader(self, schema) -> _Reader:
-        return _Reader(self.options["path"], tuple(self.options.get("suffixes", ".py").split(",")), self.options.get("since"), float(self.options.get("quiet", "0")))
+        return _Reader(self.options["path"], tuple(self.options.get("suffixes", ".py").split(",")), self.options.get("since"))
 
 
 def changes(spark: SparkSession, root: str, suffixes: tuple[str, ...] = (".py",), quiet: float = 0.0) -> DataFrame:
-    """Changes from now on: what the tree holds at this call is the baseline."""
+    """Changes from now on: what the tree holds at this call is the baseline.  quiet: seconds without a further change of a path."""
     spark.dataSource.register(FileChanges)
     since = latest([(rel, at) for rel, _, at in scan.listed(root, suffixes)])
-    return spark.readStream.format("file_changes").option("path", root).option("suffixes", ",".join(suffixes)).option("since", str(since or 1)).option("quiet", str(quiet)).load()
+    rows = spark.readStream.format("file_changes").option("path", root).option("suffixes", ",".join(suffixes)).option("since", str(since or 1)).load()
+    return debounce.quieted(rows, quiet) if quiet > 0 else rows
 
 
 def debounced(events: DataFrame, key: str, at: str, seconds: float) -> DataFrame:
