@@ -1,5 +1,5 @@
 """Debouncing as keyed state of a stream, with timers: what is pending lies in the checkpoint, so a restart loses nothing and
-repeats nothing.
+repeats nothing.  Keys, null among them, are of a type that text tells apart.
 
 quieted()   by processing time, for watching files: a path is passed on once nothing has come for it for so long
 settled()   by event time, for logs: the last of each burst is passed on once the watermark says that no other can follow
@@ -15,7 +15,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
 
 _PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -25,17 +24,24 @@ def keyed_state(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", _PROVIDER)
 
 
+def _keyed(rows: DataFrame, key: str):
+    """A key as text that is never null (whole numbers beside a null key would reach pandas as floats), and the way back."""
+    kind = rows.schema[key].dataType
+    own = F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("")).alias("key_text")
+    return own, F.when(F.col("key_text") != "", F.substring("key_text", 2, 1 << 30).cast(kind)).alias(key)
+
+
 class _Quiet(StatefulProcessor):
     """A key's latest change, and one timer, put off by each further change."""
 
-    def __init__(self, key: str, at: str, millis: int):
-        self.key, self.at, self.millis = key, at, millis
+    def __init__(self, millis: int):
+        self.millis = millis
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.last = handle, handle.getValueState("last", "at long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        seen = [int(pdf[self.at].max()) for pdf in rows if len(pdf)]
+        seen = [int(pdf["at_last"].max()) for pdf in rows if len(pdf)]
         if self.last.exists():
             seen.append(self.last.get()[0])
         self.last.update((max(seen),))
@@ -48,7 +54,7 @@ class _Quiet(StatefulProcessor):
         if self.last.exists():
             at = self.last.get()[0]
             self.last.clear()
-            yield pd.DataFrame({self.key: [key[0]], self.at: [at]})
+            yield pd.DataFrame({"key_text": [key[0]], "at_last": [at]})
 
     def close(self) -> None:
         pass
@@ -57,16 +63,17 @@ class _Quiet(StatefulProcessor):
 def quieted(changes: DataFrame, seconds: float, key: str = "rel", at: str = "mtime") -> DataFrame:
     """key, at: each key's latest change, once `seconds` of processing time have passed without another."""
     keyed_state(changes.sparkSession)
-    rows = changes.select(key, F.col(at).cast("long").alias(at))
-    schema = StructType([rows.schema[key], rows.schema[at]])
-    return rows.groupBy(key).transformWithStateInPandas(_Quiet(key, at, int(seconds * 1000)), schema, "Append", "ProcessingTime")
+    own, back = _keyed(changes, key)
+    rows = changes.select(own, F.col(at).cast("long").alias("at_last"))
+    out = rows.groupBy("key_text").transformWithStateInPandas(_Quiet(int(seconds * 1000)), "key_text string, at_last long", "Append", "ProcessingTime")
+    return out.select(back, F.col("at_last").alias(at))
 
 
 class _Settled(StatefulProcessor):
     """A key's changes that the watermark has not settled yet; a timer for each end of a burst as known so far."""
 
-    def __init__(self, key: str, millis: int):
-        self.key, self.millis = key, millis
+    def __init__(self, millis: int):
+        self.millis = millis
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.pending = handle, handle.getListState("pending", "at long")
@@ -93,7 +100,7 @@ class _Settled(StatefulProcessor):
         else:
             self.pending.clear()
         if done:
-            yield pd.DataFrame({self.key: [key[0]] * len(done), "at_us": done})
+            yield pd.DataFrame({"key_text": [key[0]] * len(done), "at_us": done})
 
     def close(self) -> None:
         pass
@@ -102,7 +109,7 @@ class _Settled(StatefulProcessor):
 def settled(events: DataFrame, key: str, at: str, seconds: float, delay: str = "0 seconds") -> DataFrame:
     """key, at: changes that no other of the key follows within `seconds`, once the watermark (the latest time less `delay`) has passed that."""
     keyed_state(events.sparkSession)
-    rows = events.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, delay).select(key, at, F.unix_micros(at).alias("at_us"))
-    schema = StructType([rows.schema[key], rows.schema["at_us"]])
-    out = rows.groupBy(key).transformWithStateInPandas(_Settled(key, int(seconds * 1000)), schema, "Append", "EventTime")
-    return out.select(key, F.timestamp_micros("at_us").alias(at))
+    own, back = _keyed(events, key)
+    rows = events.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, delay).select(own, at, F.unix_micros(at).alias("at_us"))
+    out = rows.groupBy("key_text").transformWithStateInPandas(_Settled(int(seconds * 1000)), "key_text string, at_us long", "Append", "EventTime")
+    return out.select(back, F.timestamp_micros("at_us").alias(at))
