@@ -20,13 +20,15 @@ def lexical_score(query: Column, words: Column, title: Column, summary: Column,
         F.lower(F.concat_ws(" ", title, F.coalesce(summary, none), F.left(F.coalesce(detail, none), F.lit(1200)), node_type, path_)).alias("h"),
     )
 
-    def score(f: Column) -> Column:
-        points = lambda where, n, t: F.when(F.contains(f[where], t), n).otherwise(0)
-        by_term = F.aggregate(words, F.lit(0), lambda acc, t: acc + points("t", 10, t) + points("p", 6, t) + points("h", 2, t))
-        return by_term + points("t", 20, F.lower(query)) + points("p", 12, F.lower(query))
-
     kind = F.when(node_type == "symbol", 3).when(node_type == "file", 2).otherwise(0)
-    return F.element_at(F.transform(F.array(fields), score), 1) + kind
+    return F.element_at(F.transform(F.array(fields), lambda f: field_points(words, F.lower(query), f["t"], f["p"], f["h"])), 1) + kind
+
+
+def field_points(words: Column, low: Column, title: Column, path: Column, text: Column) -> Column:
+    """Points of a lower-cased query and its terms in lower-cased fields."""
+    points = lambda where, n, t: F.when(F.contains(where, t), n).otherwise(0)
+    by_term = F.aggregate(words, F.lit(0), lambda acc, t: acc + points(title, 10, t) + points(path, 6, t) + points(text, 2, t))
+    return by_term + points(title, 20, low) + points(path, 12, low)
 
 
 def search_fields(title: Column, summary: Column, detail: Column, node_type: Column, path: Column) -> list[Column]:

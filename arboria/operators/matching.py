@@ -206,3 +206,29 @@ class Nearest:
             i, j = np.nonzero((cosine >= self.best.min(axis=0) - _ROUNDING) & (cosine > -np.inf))
             for c in range(0, len(i), 8192):
                 yield a + i[c : c + 8192], j[c : c + 8192]
+
+
+class Kept:
+    """The k vectors of greatest cosine to each of n queries, of vectors that come in the order of their ids."""
+
+    def __init__(self, n: int, k: int):
+        self.cosine, self.ids = np.full((k, n), -np.inf), np.empty((k, n), object)
+
+    def add(self, ids: list, cosine: np.ndarray, own: dict) -> None:
+        """cosine: (ids, queries); own: id -> queries that leave it out."""
+        for i, x in enumerate(ids):
+            if x in own:
+                cosine[i, own[x]] = -np.inf
+        k, n = self.cosine.shape
+        every = np.concatenate([self.cosine, cosine])
+        names = np.empty(len(ids), object)
+        names[:] = ids
+        at = np.argsort(-every, axis=0, kind="stable")[:k]  # of equal ones those that came first
+        new = at >= k
+        self.ids = np.where(new, names[np.where(new, at - k, 0)], np.take_along_axis(self.ids, np.where(new, 0, at), 0))
+        self.cosine = np.take_along_axis(every, at, 0)
+
+    def rows(self) -> tuple[np.ndarray, list, np.ndarray]:
+        """Query numbers, ids and cosines of what was kept."""
+        i, j = np.nonzero(self.cosine > -np.inf)
+        return j, self.ids[i, j].tolist(), self.cosine[i, j]

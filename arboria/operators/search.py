@@ -59,9 +59,21 @@ def search(nodes: DataFrame, queries: DataFrame, limit: int = 12, semantic: bool
     the nodes gives the best score of each query, a second those nodes of each task that may be among the query's
     `limit` best; only these are shuffled.
     """
-    limit = max(1, limit)
-    asked = queries.select("query_id", "query", F.lower("query").alias("low"), T.terms("query").alias("words"), "root", S.asks_for_tests(F.col("query")).alias("asks"), *(["query_embedding"] if semantic else []))
-    fields = nodes.select("id", "title", "zoom_threshold", "index_root", *S.search_fields(F.col("title"), F.col("summary"), F.col("detail_content"), F.col("node_type"), F.col("source_path")), *(["embedding"] if semantic else []))
+    return over_fields(fields(nodes, semantic), asked(queries, semantic), max(1, limit), semantic, alpha)
+
+
+def asked(queries: DataFrame, semantic: bool = False) -> DataFrame:
+    """Queries with their terms."""
+    return queries.select("query_id", "query", F.lower("query").alias("low"), T.terms("query").alias("words"), "root", S.asks_for_tests(F.col("query")).alias("asks"), *(["query_embedding"] if semantic else []))
+
+
+def fields(nodes: DataFrame, semantic: bool = False) -> DataFrame:
+    """What a search looks at."""
+    return nodes.select("id", "title", "zoom_threshold", "index_root", *S.search_fields(F.col("title"), F.col("summary"), F.col("detail_content"), F.col("node_type"), F.col("source_path")), *(["embedding"] if semantic else []))
+
+
+def over_fields(fields: DataFrame, asked: DataFrame, limit: int, semantic: bool = False, alpha: float = 5.0) -> DataFrame:
+    """search() over fields() and asked()."""
     out = None
     for some in blocks_of(asked):
         rows = _searched(fields, some, limit, semantic, alpha)

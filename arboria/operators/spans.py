@@ -2,7 +2,7 @@
 
 Spans (definitions) are few, names are many.  Each span is cut into dyadic intervals, of which one in each hold only the
 innermost span is kept; the places where spans begin or end look their dyadic intervals up, which says what is innermost
-from each such place to the next.  Names then take the last such place before them, in one pass in the order of places.
+from each such place to the next.  The names at a place then take the last such place before it, in one pass in order.
 Spans may nest, touch, be equal or cross: the one that began last counts, of equal starts the shorter, of equal spans the
 one of greater id.
 """
@@ -47,16 +47,20 @@ def innermost(spans: DataFrame) -> DataFrame:
 
 
 def stabbed(spans: DataFrame, names: DataFrame) -> DataFrame:
-    """names (rel, at, name) that stand in a span, with `top`, the innermost one's start, id and name."""
-    marks = innermost(spans).select("rel", "at", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("name"), F.struct("top").alias("mark"))
-    rows = marks.unionByName(names.select("rel", F.col("at").cast("long").alias("at"), F.lit(1).alias("kind"), "name").withColumn("mark", F.lit(None).cast(marks.schema["mark"].dataType)))
+    """names (rel, at, names: those at that place) that stand in a span, with `top`, the innermost one's start, id and name."""
+    marks = innermost(spans).select("rel", "at", F.lit(0).alias("kind"), F.lit(None).cast("array<string>").alias("names"), F.struct("top").alias("mark"))
+    rows = marks.unionByName(names.select("rel", F.col("at").cast("long").alias("at"), F.lit(1).alias("kind"), "names").withColumn("mark", F.lit(None).cast(marks.schema["mark"].dataType)))
     upto = Window.partitionBy("rel").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     seen = rows.withColumn("mark", F.last("mark", ignorenulls=True).over(upto))
-    return seen.where("kind = 1 and mark.top is not null").select("rel", "at", "name", "mark.top")
+    return seen.where("kind = 1 and mark.top is not null").select("rel", "at", "names", "mark.top")
 
 
 def stab_references(spans: DataFrame, names: DataFrame) -> DataFrame:
-    """spans with refs: the distinct names other than its own that stand in a span and in none within it, sorted."""
-    inside = stabbed(spans, names.select("rel", "at", "name").distinct()).where("name <> top.name")
-    refs = inside.groupBy("rel", F.col("top.id").alias("id")).agg(F.array_sort(F.collect_set("name")).alias("refs"))
-    return spans.join(refs, ["rel", "id"], "left").withColumn("refs", F.coalesce("refs", F.array().cast("array<string>")))
+    """spans with refs: the distinct names other than its own that stand in a span and in none within it, sorted.
+
+    names: rel, at, and the array of names at that place; they are dealt out once, by rel, and never one by one.
+    """
+    every = stabbed(spans, names).groupBy("rel", F.col("top.id").alias("id")).agg(F.collect_list("names").alias("names"))
+    refs = every.select("rel", "id", F.array_sort(F.array_distinct(F.flatten("names"))).alias("refs"))
+    out = spans.join(refs, ["rel", "id"], "left")
+    return out.withColumn("refs", F.array_remove(F.coalesce("refs", F.array().cast("array<string>")), F.col("name")))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import layout, spans, trees
-from ..sources import work
+from ..operators import grams, ivf, layout, search, spans, trees
+from ..sources import scan, work
 from ..streaming import debounce
-from .queries import _PI, _t, query
+from .queries import _PI, _search_sql, _t, query
 
 _LINES_SQL = "l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), x AS (SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS no FROM l)"
 
@@ -23,7 +23,7 @@ def stab_references(spark, d):
     lines = _t(spark, d, "documents").select(F.col("doc_id").alias("rel"), F.posexplode(F.split("text", "\n")).alias("at", "line")).withColumn("at", F.col("at") + 1)
     size = F.length("line")
     opened = lines.where(size % 4 == 1).select("rel", F.col("at").alias("id"), F.regexp_extract("line", "[A-Za-z]+", 0).alias("name"), F.col("at").alias("start"), (F.col("at") + 1 + F.floor(size / 4) % 9).cast("int").alias("stop"))
-    names = lines.select("rel", "at", F.explode(F.regexp_extract_all("line", F.lit("[A-Za-z]+"), F.lit(0))).alias("name"))
+    names = lines.select("rel", "at", F.array_distinct(F.regexp_extract_all("line", F.lit("[A-Za-z]+"), F.lit(0))).alias("names"))
     rows = spans.stab_references(opened, names)
     return rows.select(F.col("rel").alias("doc_id"), "start", "name", F.size("refs").alias("n_refs"), F.md5(F.array_join("refs", ",").cast("binary")).alias("refs_md5"))
 
@@ -95,3 +95,35 @@ def debounce_stream(spark, d):
     run = debounce.settled(events, "user_id", "ts", 3600).writeStream.format("parquet").option("path", folder).option("checkpointLocation", f"{folder}-state").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.schema("user_id long, ts timestamp").parquet(folder)
+
+
+# ---- indexes ---------------------------------------------------------------------------------------------------
+
+
+_RARE_SQL = """SELECT item_id AS query_id, array_to_string(list_transform(list_sort(list_transform(list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}')), lambda w: struct_pack(n := -length(w), w := w)))[1:3],
+  lambda s: s.w), ' ') AS query FROM benchmark"""
+
+
+def longest_words(spark, d):
+    """Of each benchmark item the three longest words, as a query over all roots."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0)))
+    first = F.slice(F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1, 3)
+    return _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.transform(first, lambda s: s["w"]), " ").alias("query"), F.lit(None).cast("string").alias("root"))
+
+
+@query(_search_sql(_RARE_SQL, 5))
+def search_indexed(spark, d):
+    """The longest words of the benchmark's items over documents, by an index of grams."""
+    keep = work.shared(spark)
+    return grams.build(scan.documents_as_nodes(_t(spark, d, "documents")), keep).search(longest_words(spark, d), keep, limit=5)[0]
+
+
+@query()
+def vector_ivf(spark, d):
+    """The ten nearest vectors of each fiftieth, by inverted lists, with the recall of all of them against the exact ones."""
+    v = _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    q = v.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+    keep = work.shared(spark)
+    found = keep(ivf.build(v, keep).search(q, 10), "found")
+    recall = ivf.recall(found, search.vector_topk(v, q, 10))
+    return found.select("query_id", "id", "rank", F.round("cosine", 6).alias("cosine"), F.lit(round(recall, 4)).alias("recall"))

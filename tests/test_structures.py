@@ -19,7 +19,7 @@ def plain_stab(defs, names):
 
 
 def _stab(spark, defs, names):
-    out = spans.stab_references(spark.createDataFrame(defs, "rel string, id int, name string, start int, stop int"), spark.createDataFrame(names, "rel string, at int, name string"))
+    out = spans.stab_references(spark.createDataFrame(defs, "rel string, id int, name string, start int, stop int"), spark.createDataFrame([(r, a, [n, n]) for r, a, n in names], "rel string, at int, names array<string>"))
     return sorted(((r.rel, r.id), r.refs) for r in out.collect())
 
 
@@ -35,7 +35,7 @@ def test_nested_equal_touching_crossing_and_empty_spans(spark):
 
 def test_ten_thousand_names_of_a_file_make_no_pairs(spark):
     defs = [("f", i, f"d{i}", 10 * i, 10 * i + 9) for i in range(2000)]
-    names = spark.range(10_000).selectExpr("'f' AS rel", "cast(2 * id AS int) AS at", "concat('m', id % 5) AS name")
+    names = spark.range(10_000).selectExpr("'f' AS rel", "cast(2 * id AS int) AS at", "array(concat('m', id % 5)) AS names")
     out = spans.stab_references(spark.createDataFrame(defs, "rel string, id int, name string, start int, stop int"), names)
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "start <= " not in plan and "Cartesian" not in out._jdf.queryExecution().executedPlan().toString()
