@@ -33,7 +33,9 @@ from . import common as C
 
 # ---- parsing ---------------------------------------------------------------------------------------------------
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*+)>|<[!?/][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+#: A comment, which --> or --!> ends and which <!--> and <!---> are whole; a tag, whose quoted values may hold any character
+#: (a quote that no blank, slash or > follows is none: its partner is missing); a declaration.  No part is tried twice.
+_TOKEN = re.compile(r"<!--(?:-?>|(?P<open>.*?)(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"(?=[\s/>])|'[^']*+'(?=[\s/>]))?+)*+)>|<[!?/][^>]*+>", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 #: Elements whose content is no text of the page: code, and what a reader picks or fills in.
 _RAW = {"script", "style", "textarea", "template", "select", "title"}
@@ -87,17 +89,20 @@ class Page:
                 if linked[0]:
                     linked[1] += len(text.strip())
 
-        at, find = 0, _TOKEN.search
+        at, find, last = 0, _TOKEN.search, source.rfind(">") + 1  # no tag ends beyond
         while True:
-            m = find(source, at)
+            m = find(source, at, last)
             if m is None:
-                say(source[at:])
+                rest = source.find("<!--", at)  # of a comment that is never closed
+                say(source[at:] if rest < 0 else source[at:rest])
                 break
             if m.start() > at:
                 say(source[at : m.start()])
             at = m.end()
-            close, name, rest = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+            close, name, rest = m[2], m[3], m[4]
             if not name:
+                if m["open"] is not None and at == last and not source.endswith(("-->", "--!>"), 0, last):
+                    break  # a comment that is never closed
                 continue
             name = name.lower()
             if not close and (name in _RAW or name in _LITERAL):
@@ -272,6 +277,8 @@ def fit(pages: list[Page], labels: list[list[int]], rounds: int = 300, rate: flo
     return theta[:-4], theta[-4:].reshape(2, 2)
 
 
+#: Classes of paragraphs and tables in articles that only sound like boilerplate, or like nothing.
+ODD_CLASSES = ["comment-free", "lead", "note-1", "noticeable", "shared-text", "adventure", "data-table", "foot-step", "sidewise", "x1", "k-body"]
 #: Elements that say nothing of their content.
 UNUSUAL = ["details", "center", "hgroup", "x-block"]
 
@@ -363,7 +370,16 @@ def labelled(n: int, seed: int) -> list[tuple[str, list[str]]]:
         for _ in range(r.choice([0, 1, 1, 2, 3, 4, 6, 9, 14])):
             k = r.random()
             p = paragraph()
-            if k < 0.78:
+            if k < 0.03:  # tables, code, a link as a paragraph, and odd classes
+                rows = "".join(el("tr", "".join(el(r.choice(["td", "td", "th"]), words(1, 5), 1) for _ in range(3)), 1) for _ in range(r.randint(1, 5)))
+                out += el("table", rows, 1, r.choice(["", *ODD_CLASSES]))
+            elif k < 0.05:
+                out += el("pre", "\n".join(words(1, 6) for _ in range(r.randint(1, 4))), 1)
+            elif k < 0.08:
+                out += el("p", link(words(2, 7).capitalize()), 1)
+            elif k < 0.12:
+                out += el("p", p, 1, r.choice(ODD_CLASSES))
+            elif k < 0.78:
                 out += el("p", p, 1)
             elif k < 0.84:
                 out += el("div", p, 1)
@@ -403,7 +419,7 @@ def labelled(n: int, seed: int) -> list[tuple[str, list[str]]]:
 _Y = re.compile(r'<[a-z0-9-]+[^>]* data-y="([01])">')
 
 
-def training_pages(n: int = 400, seed: int = 11) -> tuple[list[Page], list[list[int]]]:
+def training_pages(n: int = 800, seed: int = 11) -> tuple[list[Page], list[list[int]]]:
     pages, labels = [], []
     for source, _ in labelled(n, seed):
         page, marks = Page(source), iter(_Y.findall(source))
@@ -413,7 +429,7 @@ def training_pages(n: int = 400, seed: int = 11) -> tuple[list[Page], list[list[
 
 
 @cache
-def trained(n: int = 400, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+def trained(n: int = 800, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
     return fit(*training_pages(n, seed))
 
 
@@ -430,7 +446,7 @@ def texts_of(sources: list[str], weights: np.ndarray, pair: np.ndarray) -> list[
     return ["\n".join(t for e, t, _ in page.blocks if p[a + e] > 0.5) for page, a in zip(pages, batch.first.tolist(), strict=False)]
 
 
-def html_extract(pages: DataFrame, labelled_pages: int = 400, seed: int = 11) -> DataFrame:
+def html_extract(pages: DataFrame, labelled_pages: int = 800, seed: int = 11) -> DataFrame:
     """page_id, url, text, n_chars of each page; the model is fitted to `labelled_pages` made pages."""
     weights, pair = trained(labelled_pages, seed)
 
