@@ -46,21 +46,26 @@ def innermost(spans: DataFrame) -> DataFrame:
     return places.join(found, ["rel", "at"], "left")
 
 
-def stabbed(spans: DataFrame, names: DataFrame) -> DataFrame:
-    """names (rel, at, names: those at that place) that stand in a span, with `top`, the innermost one's start, id and name."""
-    marks = innermost(spans).select("rel", "at", F.lit(0).alias("kind"), F.lit(None).cast("array<string>").alias("names"), F.struct("top").alias("mark"))
-    rows = marks.unionByName(names.select("rel", F.col("at").cast("long").alias("at"), F.lit(1).alias("kind"), "names").withColumn("mark", F.lit(None).cast(marks.schema["mark"].dataType)))
+def _stabbed(spans: DataFrame, names: DataFrame) -> DataFrame:
+    """names (rel, at, names: those at that place) with `top`, the innermost span there; and a row with `own` for each span."""
+    place = innermost(spans)
+    none = lambda kind: F.lit(None).cast(kind)
+    marks = place.select("rel", "at", F.lit(0).alias("kind"), none("array<string>").alias("names"), F.struct("top").alias("mark"))
+    mark, own = marks.schema["mark"].dataType, F.struct("id", "name", "start", "stop")
+    marks = marks.withColumn("own", none(spans.select(own.alias("own")).schema["own"].dataType))
+    given = names.select("rel", F.col("at").cast("long").alias("at"), F.lit(1).alias("kind"), "names", none(mark).alias("mark"), none(marks.schema["own"].dataType).alias("own"))
+    selves = spans.select("rel", F.col("start").cast("long").alias("at"), F.lit(2).alias("kind"), none("array<string>").alias("names"), none(mark).alias("mark"), own.alias("own"))
     upto = Window.partitionBy("rel").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = rows.withColumn("mark", F.last("mark", ignorenulls=True).over(upto))
-    return seen.where("kind = 1 and mark.top is not null").select("rel", "at", "names", "mark.top")
+    seen = marks.unionByName(given).unionByName(selves).withColumn("top", F.last("mark", ignorenulls=True).over(upto)["top"])
+    return seen.where("kind = 2 or kind = 1 and top is not null").select("rel", "at", "names", "top", "own")
 
 
 def stab_references(spans: DataFrame, names: DataFrame) -> DataFrame:
-    """spans with refs: the distinct names other than its own that stand in a span and in none within it, sorted.
+    """rel, id, name, start, stop of spans (ids distinct in a rel), and refs: the distinct names other than its own that
+    stand in a span and in none within it, sorted.
 
-    names: rel, at, and the array of names at that place; they are dealt out once, by rel, and never one by one.
+    names: rel, at, and the array of names at that place; all is dealt out once, by rel, and names never one by one.
     """
-    every = stabbed(spans, names).groupBy("rel", F.col("top.id").alias("id")).agg(F.collect_list("names").alias("names"))
-    refs = every.select("rel", "id", F.array_sort(F.array_distinct(F.flatten("names"))).alias("refs"))
-    out = spans.join(refs, ["rel", "id"], "left")
-    return out.withColumn("refs", F.array_remove(F.coalesce("refs", F.array().cast("array<string>")), F.col("name")))
+    rows = _stabbed(spans, names).withColumn("id", F.coalesce("own.id", "top.id"))
+    every = rows.groupBy("rel", "id").agg(F.first("own", ignorenulls=True).alias("own"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias("refs"))
+    return every.select("rel", "id", "own.name", "own.start", "own.stop", F.array_remove("refs", F.coalesce("own.name", F.lit(""))).alias("refs"))

@@ -77,14 +77,14 @@ class Engine:
         return report
 
     def _of_root(self, table: str, root: str) -> DataFrame | None:
-        rows = self.store.read(table)
+        rows = self.store.read(table, strict=True)
         return None if rows is None else rows.where(F.col("index_root") == root)
 
     def _update(self, root: str, max_files: int, max_symbols: int, facts: DataFrame, texts) -> dict:
         """Commits the graph of a root's files, of which texts() gives those that have to be parsed."""
         picked = self._kept(scan.chosen(facts, max_files), "picked")
         kept = picked.where("outcome = 'kept'")
-        old, old_files, old_symbols = self.nodes(), self._of_root("files", root), self._of_root("symbols", root)
+        old, old_files, old_symbols = self.store.read("nodes", strict=True), self._of_root("files", root), self._of_root("symbols", root)
         if old is None or old_files is None:
             same = kept.select("rel", "sha1").limit(0)
         else:
@@ -103,7 +103,7 @@ class Engine:
         g = index.built(kept, found, root, max_symbols, self._kept, cache=cache, embedder=self.embedder)
         tables = {"nodes": g.nodes, "links": g.links, "files": index.registry(facts, picked, g.nodes).withColumn("index_root", F.lit(root)), "symbols": found.withColumn("index_root", F.lit(root))}
         for name, rows in tables.items():
-            before = self.store.read(name)
+            before = self.store.read(name, strict=True)
             if before is not None:
                 tables[name] = store.other_roots(before, root).unionByName(rows, allowMissingColumns=True)
         tables["files"], tables["symbols"] = self._kept(tables["files"], "files"), self._kept(tables["symbols"], "symbols")
@@ -194,7 +194,7 @@ class Engine:
         one = self.spark.createDataFrame([(title, summary, detail)], "title string, summary string, detail_content string")
         text = F.concat_ws("\n", "title", "summary")
         one = one.withColumns({"id": T.concept_id(F.col("title"), F.col("summary")), "node_type": F.lit("concept"), "zoom_threshold": F.lit(20.0), "embedding": self.embedder(text)})
-        old = self.nodes()
+        old = self.store.read("nodes", strict=True)
         nodes = one if old is None else store.spliced(old, one, one, "id")
         concepts = self._kept(nodes.where("node_type = 'concept'"), "concepts")
         places = embed.projected(concepts.select("id", "embedding")).select("id", F.col("x").alias("px"), F.col("y").alias("py"))

@@ -7,8 +7,9 @@ a reader sees one whole version, whatever is being written, and a crash before t
 Directories that neither the current nor the last version reads are then removed.  The manifest has an entry a bucket and
 table, so the driver holds a bounded list.
 
-A file that can't be read is passed over, so a damaged bucket hides its own rows only; repair() finds such buckets, and
-the next commit writes them again.
+Queries pass over a file that can't be read, so a damaged bucket hides its own rows only.  What a commit is made of is
+read strictly: it fails rather than write the loss as the new state.  repair() finds damaged buckets; from then on commits
+go without what they held, and indexing their roots again brings it back.
 """
 
 from __future__ import annotations
@@ -55,6 +56,11 @@ def open_schema(schema) -> dict:
     return out | {"fields": sorted(out["fields"], key=lambda f: f["name"])}
 
 
+def of_bucket(buckets: dict[str, int]) -> list[str]:
+    """Directories of buckets by their versions."""
+    return [f"v={v}/bucket={b}" for b, v in buckets.items()]
+
+
 class Store:
     def __init__(self, spark: SparkSession, path: str, digits: int = 2):
         self.spark, self.path, self.digits = spark, path.rstrip("/"), digits
@@ -88,22 +94,40 @@ class Store:
 
     # ---- reading and writing
 
-    def read(self, table: str, manifest: dict | None = None) -> DataFrame | None:
-        """The table as of the (given or current) manifest."""
+    def read(self, table: str, manifest: dict | None = None, strict: bool = False) -> DataFrame | None:
+        """The table as of the (given or current) manifest.
+
+        strict: for what the next commit is made of.  A bucket that can't be read then fails, so that no commit takes a
+        loss for the new state; only buckets that repair() has found are read as far as they can be.
+        """
         from pyspark.sql.types import StructType
 
         m = manifest or self.manifest()
         if table not in m["schemas"]:
             return None
         schema = StructType.fromJson(m["schemas"][table])
-        reader = self.spark.read.schema(schema).option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
-        of_version: dict[int, list[str]] = {}
-        for b, v in sorted(m["buckets"].get(table, {}).items()):
-            of_version.setdefault(v, []).append(b)
-        # one pattern a version; buckets that are not there are left out of it
-        globs = [f"{self.path}/{table}/v={v}/bucket={{{','.join(bs)}}}" for v, bs in of_version.items()]
-        there = [g for g in globs if self._fs.globStatus(self.spark._jvm.org.apache.hadoop.fs.Path(g))]
-        return reader.parquet(*there) if there else self.spark.createDataFrame([], schema)
+        buckets = m["buckets"].get(table, {})
+        sound = set(m["fingerprints"].get(table, {})) & set(buckets) if strict else set()
+        out = None
+        for some, lenient in (({b: v for b, v in buckets.items() if b not in sound}, "true"), ({b: buckets[b] for b in sound}, "false")):
+            of_version: dict[int, list[str]] = {}
+            for b, v in sorted(some.items()):
+                of_version.setdefault(v, []).append(b)
+            # one pattern a version; buckets that are not there are left out of it
+            globs = {f"{self.path}/{table}/v={v}/bucket={{{','.join(bs)}}}": len(bs) for v, bs in of_version.items()}
+            there = {g: len(self._fs.globStatus(self.spark._jvm.org.apache.hadoop.fs.Path(g)) or []) for g in globs}
+            if lenient == "false" and self._holding(globs) != set(of_bucket(some)):
+                raise RuntimeError(f"buckets of {table} are missing: put them back, or repair() and index their roots again")
+            read = [g for g, n in there.items() if n]
+            if read:
+                rows = self.spark.read.schema(schema).option("ignoreCorruptFiles", lenient).option("ignoreMissingFiles", lenient).parquet(*read)
+                out = rows if out is None else out.unionByName(rows)
+        return self.spark.createDataFrame([], schema) if out is None else out
+
+    def _holding(self, globs) -> set[str]:
+        """The bucket directories (v=.../bucket=...) of some patterns that hold a file."""
+        files = (f for g in globs for f in self._fs.globStatus(self.spark._jvm.org.apache.hadoop.fs.Path(f"{g}/*.parquet")) or [])
+        return {"/".join(f.getPath().toString().split("/")[-3:-1]) for f in files}
 
     def commit(self, tables: dict[str, DataFrame], active_root: str | None = None, limits: dict | None = None) -> dict:
         """Writes the changed buckets of whole tables and moves the pointer; says how many buckets were written.
