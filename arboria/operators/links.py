@@ -29,7 +29,7 @@ def resolved(symbols: DataFrame) -> DataFrame:
     """
     src = symbols.where(F.col("kind").isin(*EMITTING)).withColumns({
         "rpc": X.rpc_references(F.col("snippet")), "edge": X.edge_references(F.col("snippet")), "tab": X.table_references(F.col("snippet")),
-        "lang": T.language("rel"), "own": F.when(F.col("exact") & F.col("refs").isNotNull(), F.col("refs")).otherwise(X.references(F.col("snippet"))),
+        "lang": T.language("rel"), "own": F.coalesce("refs", X.references(F.col("snippet"))),
     })
     src = src.withColumn("db", F.array_union("rpc", "tab"))
     src = src.withColumn("every", F.array_distinct(F.concat("own", F.array_sort(F.array_union("db", "edge")))))

@@ -28,14 +28,15 @@ def _dyadic(start: Column, stop: Column, levels: int) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(levels - 1)), zero, step, lambda acc: acc["out"])
 
 
-def innermost(spans: DataFrame) -> DataFrame:
+def innermost(spans: DataFrame, levels: int | None = None) -> DataFrame:
     """rel, at, top (start, id, name): what span is innermost from a place on; null: none.
 
-    spans: rel, id, name, start, stop (exclusive), numbers from 0 on; empty spans hold nothing.
+    spans: rel, id, name, start, stop (exclusive), numbers from 0 on; empty spans hold nothing.  levels: bits of the largest
+    stop and one more; looked up where not given.
     """
     real = spans.where("start < stop")
-    most = real.agg(F.max("stop")).first()[0]
-    levels = max(1, int(most or 0).bit_length() + 1)
+    if levels is None:
+        levels = max(1, int(real.agg(F.max("stop")).first()[0] or 0).bit_length() + 1)
     top = F.struct("start", (-F.col("stop")).alias("shut"), "id", "name")
     held = real.select("rel", F.explode(_dyadic(F.col("start"), F.col("stop"), levels)).alias("p"), top.alias("top"))
     held = held.groupBy("rel", "p.level", "p.no").agg(F.max("top").alias("top"))
@@ -46,9 +47,9 @@ def innermost(spans: DataFrame) -> DataFrame:
     return places.join(found, ["rel", "at"], "left")
 
 
-def _stabbed(spans: DataFrame, names: DataFrame) -> DataFrame:
+def _stabbed(spans: DataFrame, names: DataFrame, levels: int | None) -> DataFrame:
     """names (rel, at, names: those at that place) with `top`, the innermost span there; and a row with `own` for each span."""
-    place = innermost(spans)
+    place = innermost(spans, levels)
     none = lambda kind: F.lit(None).cast(kind)
     marks = place.select("rel", "at", F.lit(0).alias("kind"), none("array<string>").alias("names"), F.struct("top").alias("mark"))
     mark, own = marks.schema["mark"].dataType, F.struct("id", "name", "start", "stop")
@@ -60,12 +61,12 @@ def _stabbed(spans: DataFrame, names: DataFrame) -> DataFrame:
     return seen.where("kind = 2 or kind = 1 and top is not null").select("rel", "at", "names", "top", "own")
 
 
-def stab_references(spans: DataFrame, names: DataFrame) -> DataFrame:
+def stab_references(spans: DataFrame, names: DataFrame, levels: int | None = None) -> DataFrame:
     """rel, id, name, start, stop of spans (ids distinct in a rel), and refs: the distinct names other than its own that
     stand in a span and in none within it, sorted.
 
     names: rel, at, and the array of names at that place; all is dealt out once, by rel, and names never one by one.
     """
-    rows = _stabbed(spans, names).withColumn("id", F.coalesce("own.id", "top.id"))
+    rows = _stabbed(spans, names, levels).withColumn("id", F.coalesce("own.id", "top.id"))
     every = rows.groupBy("rel", "id").agg(F.first("own", ignorenulls=True).alias("own"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias("refs"))
     return every.select("rel", "id", "own.name", "own.start", "own.stop", F.array_remove("refs", F.coalesce("own.name", F.lit(""))).alias("refs"))
