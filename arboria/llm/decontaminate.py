@@ -3,15 +3,18 @@
 An item's windows are its runs of `window` consecutive words (an item of fewer words is one window).  For exact
 containment the necessary prefix of a window is one shingle: its rarest.
 
-1. How often each of the benchmark's shingles (three words, fewer in shorter windows) stands in all documents is
-   counted; a window with a shingle that stands nowhere stands nowhere either.
-2. Each window left is indexed under its rarest shingle.  Documents probe that index; a window that would begin
-   before or end after the document is passed over (length and positional bounds), the rest is compared by the
-   hashes of its words and then, word by word, by their bytes.  Overlapping occurrences are merged before hit words
-   are counted.
-
-The benchmark reaches the executors in blocks of at most about `block_words` words, each a pass over all
-documents; that bounds the index whatever the size of the benchmark, and nothing of it is left out.
+1. Items become rows of shingles (three words, fewer in shorter windows) and windows.  How often each shingle stands
+   in all documents is counted; a window with a shingle that stands nowhere stands nowhere either.
+2. Each window left is a row under its rarest shingle.  Documents give a row for each place of such a shingle, with
+   the words around it, and the two are joined on the shingle.  A window that would begin before or end after the
+   document is passed over (length and positional bounds), the rest is compared with those words, byte by byte.
+3. Overlapping occurrences are merged before hit words are counted, all by text: copies of a text are looked through
+   once a task, and what is found goes back to each of them by the text's digest of 128 bits.
+
+Documents are read three times (counts, places, result), whatever the size of the benchmark, and the plan is the same
+at every size.  The driver holds no items: what is broadcast besides joins that Spark sizes is a table of bits over
+shingles (Filter, 32 MB at most; a fuller one lets more rows through to the join and changes no result) and what was
+found, where that is small.
 
 Defined results: a null text has no words; items without words have no window; items of one item_id are one
 item, and null item_ids are not listed; with no benchmark nothing is hit; repeated documents give a row each.
@@ -19,15 +22,18 @@ item, and null item_ids are not listed; with no benchmark nothing is hit; repeat
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common as C
 
 SHINGLE = 3
-_FILTER = 1 << 20
+#: Rows of shingles that an item gives at a time.
+_ROWS = 1 << 13
 
 
 def _words(low: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -39,6 +45,11 @@ def _bytes_of_words(text: bytes) -> list[bytes]:
     return text.translate(C.ALNUM_TEXT).split()
 
 
+def _spaced(words: list[bytes]) -> bytes:
+    """Words with a blank before each and after the last, so that whole words are compared; no words: a blank."""
+    return b" ".join([b"", *words, b""]) if words else b" "
+
+
 def _grams(words: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all runs of k words of the buffer, over the borders of documents too."""
     n = max(0, len(words) - k + 1)
@@ -48,206 +59,197 @@ def _grams(words: np.ndarray, k: int) -> np.ndarray:
     return C.mix64(out)
 
 
-class Lookup:
-    """Places of sorted distinct 64-bit keys in arrays of hashes; a table of bits keeps most hashes out."""
-
-    def __init__(self, keys: np.ndarray):
-        self.keys, self.bits = keys, np.zeros(_FILTER, bool)
-        self.bits[(keys & np.uint64(_FILTER - 1)).astype(np.int64)] = True
-
-    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.flatnonzero(self.bits[(h & np.uint64(_FILTER - 1)).astype(np.int64)])
-        if not len(at) or not len(self.keys):
-            return at[:0], at[:0]
-        key = np.minimum(np.searchsorted(self.keys, h[at]), len(self.keys) - 1)
-        same = self.keys[key] == h[at]
-        return at[same], key[same]
-
-
-class Windows:
-    """The distinct windows of a block of items, by their number of words."""
-
-    def __init__(self, items: list[tuple[str | None, bytes]], window: int):
-        found: dict[bytes, int] = {}
-        self.items: list[set] = []
-        self.text: list[tuple[list[bytes], int]] = []  # words of an item, and where in them the window begins
-        self.words: list[np.ndarray] = []
-        for name, text in items:
-            own = _bytes_of_words(text)
-            joined = b" ".join(own)
-            words, _ = _words(np.frombuffer(joined, np.uint8), np.array([0, len(joined)]))
-            for i in range(max(1, len(own) - window + 1) if own else 0):
-                at = found.setdefault(b" ".join(own[i : i + window]), len(found))
-                if at == len(self.items):
-                    self.items.append(set())
-                    self.text.append((own, i))
-                    self.words.append(words[i : i + window])
-                self.items[at].add(name)
-        self.length = np.array([len(x) for x in self.words], np.int64)
-        self.grams = [_grams(w, min(SHINGLE, len(w))) for w in self.words]
-
-    def stands(self, win: int, words: list[bytes], at: int) -> bool:
-        """Whether the window's own words stand at a place of a list of words."""
-        own, i = self.text[win]
-        n = int(self.length[win])
-        return words[at : at + n] == own[i : i + n]
-
-    def shingles(self) -> dict[int, np.ndarray]:
-        """Sorted distinct shingles by their number of words."""
-        out = {}
-        for k in range(1, SHINGLE + 1):
-            some = [g for g, n in zip(self.grams, self.length, strict=True) if min(SHINGLE, n) == k]
-            if some:
-                out[k] = np.unique(np.concatenate(some))
-        return out
-
-    def index(self, counts: dict[int, np.ndarray]) -> Index:
-        """counts: how often each of shingles() stands in the corpus."""
-        every, post = self.shingles(), {}
-        for i, g in enumerate(self.grams):
-            k = int(min(SHINGLE, self.length[i]))
-            n = counts[k][np.searchsorted(every[k], g)]
-            if n.min() > 0:
-                at = np.lexsort((g, n))[0]
-                post.setdefault(k, []).append((int(g[at]), i, int(at)))
-        return Index(self, post)
-
-
-class Index:
-    def __init__(self, windows: Windows, post: dict[int, list]):
-        self.windows, self.by = windows, {}
-        self.padded = np.zeros((len(windows.words), max([1, *windows.length.tolist()])), np.uint64)
-        for i, w in enumerate(windows.words):
-            self.padded[i, : len(w)] = w
-        for k, rows in post.items():
-            rows.sort()
-            key = np.array([r[0] for r in rows], np.uint64)
-            distinct, first = np.unique(key, return_index=True)
-            self.by[k] = Lookup(distinct), np.append(first, len(rows)), np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
-
-    def occurrences(self, low: np.ndarray, off: np.ndarray, words: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """document, place among all words, window of each occurrence, by document and place."""
-        out = [(np.zeros(0, np.int64),) * 3]
-        for k, (lookup, first, window, shift) in self.by.items():
-            at, key = lookup.find(_grams(words, k))
-            n = first[key + 1] - first[key]
-            post = np.repeat(first[key], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            start, win = np.repeat(at, n) - shift[post], window[post]
-            doc = np.searchsorted(w, np.repeat(at, n), "right") - 1
-            length = self.windows.length[win]
-            ok = (start >= w[doc]) & (start + length <= w[doc + 1])
-            start, win, doc, length = start[ok], win[ok], doc[ok], length[ok]
-            ok = np.ones(len(start), bool)
-            for j in range(self.padded.shape[1]):
-                todo = ok & (j < length)
-                ok[todo] = words[start[todo] + j] == self.padded[win[todo], j]
-            out.append((doc[ok], start[ok], win[ok]))
-        doc, start, win = (np.concatenate(x) for x in zip(*out, strict=True))
-        order = np.lexsort((win, start, doc))
-        doc, start, win = doc[order], start[order], win[order]
-        sure, now, own = np.zeros(len(doc), bool), -1, []
-        for i, (d, a, k) in enumerate(zip(doc.tolist(), start.tolist(), win.tolist(), strict=True)):
-            if d != now:
-                now, own = d, _bytes_of_words(low[off[d] : off[d + 1]].tobytes())
-            sure[i] = self.windows.stands(k, own, a - int(w[d]))
-        return doc[sure], start[sure], win[sure]
+class Filter:
+    """Three bits of one 64-bit number for each key: what it keeps out is not a key, what it lets through may be.
+
+    There is about a number a key, from 2**10 to 2**MOST; the driver gets these, 16 bytes each.
+    """
+
+    MOST = 22
+
+    def __init__(self, keys: DataFrame, n: int):
+        size = 1 << min(self.MOST, max(10, n.bit_length()))
+        bits = " | ".join(f"shiftleft(1L, cast(shiftrightunsigned(gram, {b}) & 63 as int))" for b in (40, 46, 52))
+        rows = keys.groupBy(F.expr(f"gram & {size - 1}L").alias("at")).agg(F.bit_or(F.expr(bits)).alias("bits")).toArrow()
+        self.bits = np.zeros(size, np.uint64)
+        self.bits[rows.column("at").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+
+    def places(self, h: np.ndarray) -> np.ndarray:
+        """Where in an array of hashes those are that it lets through."""
+        found = self.bits[(h & np.uint64(len(self.bits) - 1)).astype(np.int64)]
+        at = np.flatnonzero(found)
+        found, h = found[at], h[at]
+        for b in (40, 46, 52):
+            on = (found >> ((h >> np.uint64(b)) & np.uint64(63))) & np.uint64(1) == 1
+            at, found, h = at[on], found[on], h[on]
+        return at
 
 
 def _batches(column):
     buf, off = C.flat(column)
     for a, b in C.chunks(off):
         low, o = C.lowered(buf[off[a] : off[b]]), off[a : b + 1] - off[a]
-        yield a, b, low, o, *_words(low, o)
+        yield low, o, *_words(low, o)
 
 
-def _counted(docs: DataFrame, every: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
-    """How often each shingle of a benchmark block stands in the documents; the driver gets a row a shingle at most."""
+def _within(grams: np.ndarray, k: int, w: np.ndarray, some: Filter) -> tuple[np.ndarray, np.ndarray]:
+    """Places of shingles that the filter lets through and that end in the document they begin in; those documents."""
+    at = some.places(grams)
+    doc = np.searchsorted(w, at, "right") - 1
+    inside = at + k <= w[doc + 1] if len(at) else at > 0
+    return at[inside], doc[inside]
+
+
+_SHINGLES = "item_id string, text binary, place long, n int, k int, gram long, win binary"
+
+
+def _shingles(items: DataFrame, window: int) -> DataFrame:
+    """A row for each shingle of an item, with the window that begins there, if one does; text: its digest."""
+    schema = C.StructType.fromDDL(_SHINGLES)
 
     def run(batches):
-        found = {k: (Lookup(v), np.zeros(len(v), np.int64)) for k, v in every.items()}
-        for batch in batches:
-            for *_, words, w in _batches(batch.column("text")):
-                for k, (lookup, n) in found.items():
-                    at, key = lookup.find(_grams(words, k))
-                    inside = at + k <= w[np.searchsorted(w, at, "right")] if len(at) else at > 0
-                    n += np.bincount(key[inside], minlength=len(n))
-        for k, (_, n) in found.items():
-            some = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k), pa.int32()), pa.array(some), pa.array(n[some])], ["k", "i", "n"])
-
-    out = {k: np.zeros(len(v), np.int64) for k, v in every.items()}
-    for r in docs.select(C.text_bytes()).mapInArrow(run, "k int, i long, n long").groupBy("k", "i").agg(F.sum("n").alias("n")).toLocalIterator():
-        out[r.k][r.i] = r.n
-    return out
-
-
-_FOUND = "n_words long, n_hit long, spans binary, items array<string>"
-
-
-def _found(spark: SparkSession, index: Index):
-    """A function of texts to _FOUND, of one benchmark block; spans: binary pairs of 64-bit places."""
-    shared = spark.sparkContext.broadcast(index)
-
-    def run(texts: pa.Array) -> list[pa.Array]:
-        ix, n_words = shared.value, np.zeros(len(texts), np.int64)
-        n_hit, spans, items = np.zeros(len(texts), np.int64), [b""] * len(texts), [[]] * len(texts)
-        for a, b, low, o, words, w in _batches(texts):
-            n_words[a:b] = np.diff(w)
-            doc, start, win = ix.occurrences(low, o, words, w)
-            edges = [0, *(np.flatnonzero(np.diff(doc)) + 1).tolist(), len(doc)] if len(doc) else [0]
-            for x, y in zip(edges, edges[1:], strict=False):
-                d = int(doc[x])
-                s = start[x:y] - w[d]
-                ends = np.maximum.accumulate(s + ix.windows.length[win[x:y]])
-                fresh = np.concatenate([[True], s[1:] > ends[:-1]])
-                merged = np.stack([s[fresh], ends[np.append(np.flatnonzero(fresh)[1:] - 1, len(s) - 1)]], axis=1)
-                n_hit[a + d], spans[a + d] = int((merged[:, 1] - merged[:, 0]).sum()), merged.astype("<i8").tobytes()
-                items[a + d] = sorted({i for j in np.unique(win[x:y]).tolist() for i in ix.windows.items[j] if i is not None})
-        return [pa.array(n_words), pa.array(n_hit), pa.array(spans, pa.binary()), pa.array(items, pa.list_(pa.string()))]
-
-    return C.per_text(run, _FOUND)
-
-
-def _merged(parts: list[DataFrame]) -> DataFrame:
-    """The blocks' rows of each document as one; documents equal in all carried columns and text keep their number."""
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    one = every.groupBy("row").agg(F.first("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.collect_list("spans").alias("spans"), F.count("*").alias("c"))
+        rows = []
+
+        def batch():
+            return pa.RecordBatch.from_pylist(rows, pa.schema([("item_id", pa.string()), ("text", pa.binary()), ("place", pa.int64()), ("n", pa.int32()), ("k", pa.int32()), ("gram", pa.int64()), ("win", pa.binary())]))
+
+        for b in batches:
+            for name, text in zip(b.column("item_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+                own = _bytes_of_words(text)
+                joined = b" ".join(own)
+                words, _ = _words(np.frombuffer(joined, np.uint8), np.array([0, len(joined)]))
+                n = min(window, len(own))
+                k, digest = min(SHINGLE, n), C.digest(text)
+                for i, g in enumerate(_grams(words, k).view(np.int64).tolist() if n else []):
+                    win = _spaced(own[i : i + n]) if i + n <= len(own) else None
+                    rows.append({"item_id": name, "text": digest, "place": i, "n": n, "k": k, "gram": g, "win": win})
+                    if len(rows) == _ROWS:
+                        yield batch()
+                        rows.clear()
+        yield batch()
+
+    return items.distinct().mapInArrow(run, schema)
+
+
+def _counted(docs: DataFrame, some: Filter, ks: list[int]) -> DataFrame:
+    """gram, c: how often the shingles that the filter lets through stand in the documents."""
+    shared = docs.sparkSession.sparkContext.broadcast(some)
 
     def run(batches):
         for batch in batches:
-            hits = []
-            for parts_ in batch.column("spans").to_pylist():
-                s = np.frombuffer(b"".join(parts_), "<i8").reshape(-1, 2)
-                s = s[np.argsort(s[:, 0], kind="stable")]
-                ends = np.maximum.accumulate(s[:, 1]) if len(s) else s[:, 1]
-                hits.append(int((ends - np.maximum(s[:, 0], np.concatenate([[0], ends[:-1]]))).clip(0).sum()) if len(s) else 0)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("n_words"), pa.array(hits, pa.int64()), batch.column("items"), batch.column("c")], ["row", "n_words", "n_hit", "items", "c"])
+            for _, _, words, w in _batches(batch.column("text")):
+                for k in ks:
+                    grams = _grams(words, k)
+                    at, _ = _within(grams, k, w, shared.value)
+                    key, n = np.unique(grams[at], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], ["gram", "c"])
+        C.tidy()
+
+    return docs.select(C.text_bytes()).mapInArrow(run, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c"))
+
+
+def _windows(shingles: DataFrame, counts: DataFrame, window: int) -> DataFrame:
+    """win, item_id, n, k, gram (the rarest shingle), shift (its place in the window); a row a window and item."""
+    ahead = Window.partitionBy("item_id", "text").orderBy("place").rowsBetween(0, max(0, window - SHINGLE))
+    rows = shingles.join(counts, "gram", "left").withColumn("rare", F.min(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "gram", "place")).over(ahead))
+    found = rows.where("win is not null and rare.c > 0")
+    return found.select("win", "item_id", "n", "k", "rare.gram", (F.col("rare.place") - F.col("place")).cast("int").alias("shift")).distinct()
+
 
-    out = one.mapInArrow(run, C.with_row(one, "n_words long, n_hit long, items array<string>, c long"))
-    return out.select("row", "n_words", "n_hit", "items", F.explode(F.sequence(F.lit(1), (F.col("c") / len(parts)).cast("int")))).drop("col")
+_PLACES = "text binary, gram long, lefts int, rights int, before binary, after binary, places array<long>"
+
+
+def _places(docs: DataFrame, some: Filter, most: dict[int, int]) -> DataFrame:
+    """A row for each text, shingle let through and words around it; most: the longest window by its shingle's words."""
+    shared = docs.sparkSession.sparkContext.broadcast(some)
+    names = C.StructType.fromDDL(_PLACES).names
+
+    def run(batches):
+        seen = set()  # digests of this task's texts with places: copies are looked through once
+        for batch in batches:
+            for low, o, words, w in _batches(batch.column("text")):
+                found = defaultdict(list)
+                for k in most:
+                    grams = _grams(words, k)
+                    for p, d in zip(*(x.tolist() for x in _within(grams, k, w, shared.value)), strict=True):
+                        found[d].append((p - int(w[d]), k, int(grams[p].view(np.int64))))
+                for d, at in found.items():
+                    text = low[o[d] : o[d + 1]].tobytes()
+                    own, key = text.translate(C.ALNUM_TEXT).split(), C.digest(text)
+                    if key in seen:
+                        continue
+                    seen.add(key)
+                    for a in range(0, len(at), _ROWS):
+                        rows = defaultdict(list)
+                        for p, k, g in at[a : a + _ROWS]:
+                            left, right = own[max(0, p - most[k] + k) : p], own[p : p + most[k]]
+                            rows[g, len(left), len(right), _spaced(left), b" ".join([*right, b""])].append(p)
+                        columns = [[key] * len(rows), *zip(*rows, strict=True), list(rows.values())]
+                        types = [pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+        C.tidy()
+
+    return docs.select(C.text_bytes()).mapInArrow(run, _PLACES)
+
+
+def _occurrences(places: DataFrame, windows: DataFrame) -> DataFrame:
+    """text, win, n, shift, places (of the shingle): where windows stand, by their words' bytes."""
+    left = F.expr("concat(cast(substring_index(cast(win as string), ' ', shift + 1) as binary), cast(' ' as binary))")
+    some = windows.select("win", "n", "gram", "shift", left.alias("left"))
+    some = some.withColumn("right", F.expr("substring(win, octet_length(left) + 1)"))
+    bounds = (F.col("lefts") >= F.col("shift")) & (F.col("rights") >= F.col("n") - F.col("shift"))
+    words = F.endswith("before", "left") & F.startswith("after", "right")
+    return places.join(some.distinct(), (places.gram == some.gram) & bounds & words).select("text", "win", "n", "shift", "places")
+
+
+def _found(occurrences: DataFrame, windows: DataFrame) -> DataFrame:
+    """text, n_hit, n_items, items_sha256 of the texts with occurrences."""
+    spans = occurrences.select("text", "n", "shift", F.explode("places").alias("p")).select("text", (F.col("p") - F.col("shift")).alias("a"), (F.col("p") - F.col("shift") + F.col("n")).alias("b"))
+    spans = spans.groupBy("text", "a").agg(F.max("b").alias("b"))
+    before = Window.partitionBy("text").orderBy("a").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn("fresh", F.greatest("a", F.max("b").over(before)))  # greatest() passes nulls over
+    hits = spans.groupBy("text").agg(F.sum(F.greatest(F.lit(0), F.col("b") - F.col("fresh"))).alias("n_hit"))
+    members = windows.select("win", "item_id").where(F.col("item_id").isNotNull()).distinct()
+    items = occurrences.select("text", "win").distinct().join(members, "win").groupBy("text").agg(F.collect_set("item_id").alias("items"))
+    items = items.select("text", F.size("items").cast("long").alias("n_items"), _sha(F.array_sort("items")).alias("items_sha256"))
+    return hits.join(items, "text", "left")
+
+
+def _sha(items):
+    return F.sha2(F.array_join(items, ","), 256)
+
+
+def _measured(texts: pa.Array) -> list[pa.Array]:
+    """n_words, and the digest that _places() has."""
+    n, keys = np.zeros(len(texts), np.int64), []
+    buf, off = C.flat(texts)
+    for a, b in C.chunks(off):
+        low, o = C.lowered(buf[off[a] : off[b]]), off[a : b + 1] - off[a]
+        n[a:b] = np.diff(C.spans(low, o, C.ALNUM)[2])
+        keys += [C.digest(low[x:y].tobytes()) for x, y in zip(o.tolist(), o[1:].tolist(), strict=False)]
+    return [pa.array(n), pa.array(keys, pa.binary())]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_words: int = 1_000_000, carry=("doc_id",)) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, carry=("doc_id",)) -> DataFrame:
     """row (a struct of the carried columns), n_words, n_hit, n_items, items_sha256, contaminated of each document."""
-    C.short_batches(docs.sparkSession)
-    row = F.struct(*carry)
+    spark = docs.sparkSession
+    C.short_batches(spark)
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), C.text_bytes()).where("octet_length(text) > 0")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // (6 * block_words)))
-    if blocks > 1:  # a document's rows of all blocks are put together by what is carried and its text
-        row = F.struct(row.alias("row"), F.xxhash64(C.text_bytes()).alias("h"))
-    parts = []
-    for k in range(blocks):
-        some = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else items
-        windows = Windows([(r.item_id, bytes(r.text)) for r in some.toLocalIterator()], window)
-        found = _found(docs.sparkSession, windows.index(_counted(docs, windows.shingles())))
-        parts.append(docs.select(row.alias("row"), found(C.text_bytes()).alias("found")).select("row", "found.*"))
-    out = parts[0] if blocks == 1 else _merged(parts).withColumn("row", F.col("row.row"))
-    sha = F.sha2(F.array_join(F.array_sort("items"), ","), 256)
-    bad = (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
-    return out.select("row", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), sha.alias("items_sha256"), bad.alias("contaminated"))
+    shingles = C.stash(_shingles(items, window), "shingles")
+    ks = sorted(r.k for r in shingles.select("k").distinct().collect())
+    counts = _counted(docs, Filter(shingles, shingles.count()), ks)
+    windows = C.stash(_windows(shingles, counts, window), "windows")
+    most = {r.k: r.n for r in windows.groupBy("k").agg(F.max("n").alias("n")).collect()}
+    places = _places(docs, Filter(windows, windows.count()), most)
+    occurrences = C.stash(_occurrences(places, windows), "occurrences")
+    found = C.stash(_found(occurrences, windows), "found")
+    C.drop(shingles, windows, occurrences)
+    measured = C.per_text(_measured, "n_words long, text binary")
+    rows = docs.select(F.struct(*carry).alias("row"), measured(C.text_bytes()).alias("m")).select("row", "m.*")
+    out = rows.join(C.small(found, 250), "text", "left")
+    n_hit, none = F.coalesce("n_hit", F.lit(0)), _sha(F.array().cast("array<string>"))
+    bad = (n_hit > 0) & (20 * n_hit >= F.col("n_words"))
+    return out.select("row", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("items_sha256", none).alias("items_sha256"), bad.alias("contaminated"))
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -842,16 +842,38 @@ def check_contamination(rows, items, got):
     return sum(x[2] > 0 for x in want)
 
 
-@pytest.mark.parametrize("block_words", [1_000_000, 12])
-def test_contamination(spark, sf, docs, rows, table, block_words):
-    items = [(7, "the quick brown fox jumps over a lazy dog while seven wizards watch from the hill"), (7, "one two"), (70, "watch from the hill and nobody says a word about it today my friend"), (8, None), (9, "!!"), (None, "ganz normale Zeile"), (10, "w0x0 w1x1 w2x2 w3x3 w4x4 w5x5 w6x6 w7x7 w8x8 w9x9 w10x10 w11x11 w12x12 w13x13")]
-    bench = spark.createDataFrame(items, "item_id long, text string")
-    assert check_contamination(rows, items, decontaminate.decontaminate(docs, bench, block_words=block_words).collect()) >= 5
-    if block_words > 100:
-        bench = C.table(spark, sf, "benchmark")
-        check_contamination(table, [tuple(r) for r in bench.select("item_id", "text").collect()], decontaminate.decontaminate(C.table(spark, sf, "documents"), bench).collect())
-        check_contamination(rows, [], decontaminate.decontaminate(docs, bench.limit(0)).collect())
-        assert decontaminate.decontaminate(docs.limit(0), bench).collect() == []
+ITEMS = [(7, "the quick brown fox jumps over a lazy dog while seven wizards watch from the hill"), (7, "one two"), (70, "watch from the hill and nobody says a word about it today my friend"), (8, None), (9, "!!"), (None, "ganz normale Zeile"), (10, "w0x0 w1x1 w2x2 w3x3 w4x4 w5x5 w6x6 w7x7 w8x8 w9x9 w10x10 w11x11 w12x12 w13x13"), (11, "Zeile"), (12, "one two"), (13, "straße 中文")]
+
+
+def test_contamination(spark, sf, docs, rows, table):
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    assert check_contamination(rows, ITEMS, decontaminate.decontaminate(docs, bench).collect()) >= 5
+    bench = C.table(spark, sf, "benchmark")
+    check_contamination(table, [tuple(r) for r in bench.select("item_id", "text").collect()], decontaminate.decontaminate(C.table(spark, sf, "documents"), bench).collect())
+    check_contamination(rows, [], decontaminate.decontaminate(docs, bench.limit(0)).collect())
+    assert decontaminate.decontaminate(docs.limit(0), bench).collect() == []
+
+
+def test_contamination_with_maps_and_many_findings(spark, docs, rows, monkeypatch):
+    """Map columns are carried; a filter that lets much through, and findings that are not broadcast, change nothing."""
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    mapped = docs.withColumn("props", F.create_map(F.lit("a"), F.col("doc_id")))
+    monkeypatch.setattr(C, "small", lambda rows, *_: rows)
+    monkeypatch.setattr(decontaminate.Filter, "MOST", 1)
+    got = decontaminate.decontaminate(mapped, bench, carry=[F.col(f"`{c}`") for c in mapped.columns]).collect()
+    assert check_contamination(rows, ITEMS, got) >= 5 and all(r.row.props == {"a": r.row.doc_id} for r in got)
+
+
+def test_contamination_of_random_texts(spark):
+    """Few different words, so that windows, rarest shingles and occurrences overlap in all ways."""
+    import random
+
+    r = random.Random(11)
+    text = lambda most: " ".join(r.choice("abc") for _ in range(r.randint(0, most)))
+    items = [(i % 40, text(18)) for i in range(60)]
+    rows = [(i, text(60) + (" " + r.choice(items)[1]) * r.randint(0, 2)) for i in range(80)]
+    got = decontaminate.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert check_contamination(rows, items, got) >= 40
 
 
 def test_contamination_is_by_the_words_themselves(spark):
