@@ -192,10 +192,11 @@ def _block(t: pa.Table, edits: int, min_chars: int):
     return texts, n, line[fresh], key[fresh], own[fresh]
 
 
-def line_dedup(docs: DataFrame, edits: int = 2, min_chars: int = 24) -> tuple[DataFrame, DataFrame]:
+def line_dedup(docs: DataFrame, edits: int = 2, min_chars: int = 0) -> tuple[DataFrame, DataFrame]:
     """Lines (lid, d, no, ...: digest, doc_id and number of the first place) and links (a, b) between lines; both are stashes.
 
-    min_chars = 0 links lines of any length, exactly, at the price of keys of one or no code point.
+    Lines of any length link; those of less than edits + 1 code points have empty segments, and meet by length alone.  A
+    larger min_chars leaves shorter lines out.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), C.text_bytes())
     size = rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
@@ -297,7 +298,7 @@ def _judge(t: pa.Table, r: pa.Table) -> pa.Table:
     return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [*_COUNTS, "duplicates", "text"])
 
 
-def deduplicated(docs: DataFrame, edits: int = 2, min_chars: int = 24) -> DataFrame:
+def deduplicated(docs: DataFrame, edits: int = 2, min_chars: int = 0) -> DataFrame:
     """doc_id, n_lines, n_exact, n_near, n_links, n_kept, duplicates and the text of the lines kept, of each document.
 
     Links are counted at a line's first occurrence; duplicates have the numbers of lines, from 0.  Blocks of documents ask
@@ -327,12 +328,13 @@ def deduplicated(docs: DataFrame, edits: int = 2, min_chars: int = 24) -> DataFr
     asked = C.stash(dealt.groupBy("m").applyInArrow(asks, "m long, lid binary, n long"), "asked")
     often = asked.groupBy("lid").agg(F.sum("n").alias("n")).where("n > 1").select("lid")
     facts = lines.select("lid", "d", "no").join(often.union(near.select("lid")).distinct(), "lid", "left_semi").join(near, "lid", "left")
-    known = C.stash(asked.select("m", "lid").join(facts, "lid"), "known")
-    C.drop(lines, links, labels, asked)
+    facts = C.stash(facts, "facts")  # few; where they are not, a line that all blocks ask for is split by the join
+    known = C.stash(asked.select("m", "lid").join(C.small(facts, 160), "lid"), "known")
+    C.drop(lines, links, labels, asked, facts)
     return dealt.groupBy("m").cogroup(known.groupBy("m")).applyInArrow(_judge, _JUDGED)
 
 
-def duplicates(docs: DataFrame, edits: int = 2, min_chars: int = 24) -> DataFrame:
+def duplicates(docs: DataFrame, edits: int = 2, min_chars: int = 0) -> DataFrame:
     """doc_id, n_lines, n_exact, n_near, n_links, n_kept of each document."""
     return deduplicated(docs, edits, min_chars).select(*_COUNTS)
 

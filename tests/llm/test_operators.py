@@ -545,7 +545,7 @@ def check_lines(rows, got):
                 at = (low if i is None else i, no)
                 occ.append((n, at, line))
                 first[line] = min(first.get(line, at), at)
-    text = {x: x.decode() for x in first if len(x.decode()) >= 24}
+    text = {x: x.decode() for x in first}
     links, late = Counter(), set()
     for x in text:
         for y in text:
@@ -584,7 +584,7 @@ def check_kept_lines(rows, got):
             if x.strip():
                 at = (-(2**63) if i is None else i, no)
                 first[x.strip()] = min(first.get(x.strip(), at), at)
-    long = [x for x in first if len(x.decode()) >= 24]
+    long = list(first)
     near, group = defaultdict(set), {x: {x} for x in first}
     for k, x in enumerate(long):
         for y in long[:k]:
@@ -619,6 +619,19 @@ def test_lines_that_hashes_confuse_are_kept(spark):
     check_kept_lines(rows, line_dedup.deduplicated(df).collect())
 
 
+def test_short_lines_link_like_all_others(spark):
+    """Lines of one code point up, with and without characters of several bytes."""
+    import random
+
+    r = random.Random(5)
+    rows = [(i, "\n".join("".join(r.choice("abü🙂") for _ in range(r.randint(0, 12))) for _ in range(6)), "en", "s", 1) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert check_lines(rows, line_dedup.duplicates(df).collect()) > 1000
+    check_kept_lines(rows, line_dedup.deduplicated(df).collect())
+    long = line_dedup.duplicates(df, min_chars=24).agg(F.sum("n_links")).first()[0]
+    assert long == 0
+
+
 def test_lines_of_one_key_meet_part_by_part(spark, monkeypatch):
     """Many lines with equal segments: the same links, whether their rows meet in one task or in many."""
     import random
