@@ -155,7 +155,7 @@ class Lines:
 
 
 def _chunk_lines(column, doc_ids: list) -> tuple[dict[bytes, list], list[tuple]]:
-    """Distinct lines with first place and number, and for each document its lines: (place of line, number of line)."""
+    """Distinct lines with number, first place and how often they stand, and for each document its lines: (number of line, place)."""
     first: dict[bytes, list] = {}
     docs = []
     for doc, text in zip(doc_ids, column, strict=True):
@@ -165,10 +165,11 @@ def _chunk_lines(column, doc_ids: list) -> tuple[dict[bytes, list], list[tuple]]
             if line:
                 at = first.get(line)
                 if at is None:
-                    first[line] = [len(first), key, no]
+                    at = first[line] = [len(first), key, no, 0]
                 elif (key, no) < (at[1], at[2]):
                     at[1], at[2] = key, no
-                own.append((first[line][0], no))
+                at[3] += 1
+                own.append((at[0], no))
         docs.append(own)
     return first, docs
 
@@ -193,7 +194,7 @@ def _block(t: pa.Table, edits: int, min_chars: int):
 
 
 def line_dedup(docs: DataFrame, edits: int = 2, min_chars: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Lines (lid, d, no, ...: digest, doc_id and number of the first place) and links (a, b) between lines; both are stashes.
+    """Lines (lid, d, no, times, ...: digest, doc_id and number of the first place, how often it stands) and links (a, b) between lines; both are stashes.
 
     Lines of any length link; those of less than edits + 1 code points have empty segments, and meet by length alone.  A
     larger min_chars leaves shorter lines out.
@@ -209,11 +210,11 @@ def line_dedup(docs: DataFrame, edits: int = 2, min_chars: int = 0) -> tuple[Dat
             for a, b in C.chunks(off, 4 * C.CHUNK):
                 first, _ = _chunk_lines(batch.column("text").slice(a, b - a).to_pylist(), batch.column("doc_id").slice(a, b - a).to_pylist())
                 lines = list(first)
-                yield pa.RecordBatch.from_arrays([pa.array([C.digest(x) for x in lines], pa.binary()), pa.array([x[1] for x in first.values()], pa.int64()), pa.array([x[2] for x in first.values()], pa.int64()), pa.array(lines, pa.binary())], ["lid", "d", "no", "line"])
+                yield pa.RecordBatch.from_arrays([pa.array([C.digest(x) for x in lines], pa.binary()), pa.array([x[1] for x in first.values()], pa.int64()), pa.array([x[2] for x in first.values()], pa.int64()), pa.array([x[3] for x in first.values()], pa.int64()), pa.array(lines, pa.binary())], ["lid", "d", "no", "times", "line"])
 
-    each = rows.mapInArrow(split, "lid binary, d long, no long, line binary")
-    dealt = each.groupBy("lid").agg(F.min(F.struct("d", "no")).alias("at"), F.first("line").alias("line"))
-    distinct = C.stash(dealt.select("lid", "at.d", "at.no", "line", F.pmod(F.xxhash64("lid"), F.lit(blocks)).alias("m")), "distinct")
+    each = rows.mapInArrow(split, "lid binary, d long, no long, times long, line binary")
+    dealt = each.groupBy("lid").agg(F.min(F.struct("d", "no")).alias("at"), F.sum("times").alias("times"), F.first("line").alias("line"))
+    distinct = C.stash(dealt.select("lid", "at.d", "at.no", "times", "line", F.pmod(F.xxhash64("lid"), F.lit(blocks)).alias("m")), "distinct")
     dealt = distinct.repartition(blocks, "m")
 
     def asks(t: pa.Table) -> pa.Table:
@@ -231,10 +232,10 @@ def line_dedup(docs: DataFrame, edits: int = 2, min_chars: int = 0) -> tuple[Dat
         keys = [None if x == y else [{"key": k, "own": o, "parts": p} for k, o, p in zip(key[x:y].tolist(), own[x:y].tolist(), parts[x:y].tolist(), strict=True)] for x, y in zip(edges, edges[1:], strict=False)]
         kept = [x if k else None for x, k in zip(texts, keys, strict=True)]
         cells = [sketch(x) if x is not None else None for x in kept]
-        return pa.table([t.column("lid"), t.column("d"), t.column("no"), pa.array(n, pa.int64()), pa.array(cells, pa.int64()), pa.array(kept, pa.string()), pa.array(keys, pa.list_(pa.struct([("key", pa.int64()), ("own", pa.bool_()), ("parts", pa.int32())])))], ["lid", "d", "no", "n", "sketch", "text", "keys"])
+        return pa.table([t.column("lid"), t.column("d"), t.column("no"), t.column("times"), pa.array(n, pa.int64()), pa.array(cells, pa.int64()), pa.array(kept, pa.string()), pa.array(keys, pa.list_(pa.struct([("key", pa.int64()), ("own", pa.bool_()), ("parts", pa.int32())])))], ["lid", "d", "no", "times", "n", "sketch", "text", "keys"])
 
     replies = tally.answered(dealt.groupBy("m").applyInArrow(asks, tally.ASKED), tally.steps)
-    lines = dealt.groupBy("m").cogroup(replies.groupBy("m")).applyInArrow(places, "lid binary, d long, no long, n long, sketch long, text string, keys array<struct<key:long,own:boolean,parts:int>>")
+    lines = dealt.groupBy("m").cogroup(replies.groupBy("m")).applyInArrow(places, "lid binary, d long, no long, times long, n long, sketch long, text string, keys array<struct<key:long,own:boolean,parts:int>>")
     lines = C.stash(lines, "lines")
     C.drop(distinct)
 
@@ -310,14 +311,10 @@ def deduplicated(docs: DataFrame, edits: int = 2, min_chars: int = 0) -> DataFra
     dealt = rows.withColumn("m", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).repartition(blocks, "m")
 
     def asks(t: pa.Table) -> pa.Table:
-        counts: dict[bytes, int] = {}
-        for part in t.select(["doc_id", "text"]).to_batches(max_chunksize=256):
-            first, own = _chunk_lines(part.column("text").to_pylist(), part.column("doc_id").to_pylist())
-            n = np.bincount(np.array([k for x in own for k, _ in x], np.int64), minlength=len(first)).tolist()
-            for x, c in zip(first, n, strict=True):
-                lid = C.digest(x)
-                counts[lid] = counts.get(lid, 0) + c
-        return pa.table([pa.array([t.column("m")[0].as_py()] * len(counts), pa.int64()), pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["m", "lid", "n"])
+        lids: set[bytes] = set()
+        for text in t.column("text"):
+            lids.update(C.digest(x) for x in {x.strip() for x in (text.as_py() or b"").split(b"\n")} if x)
+        return pa.table([pa.array([t.column("m")[0].as_py()] * len(lids), pa.int64()), pa.array(list(lids), pa.binary())], ["m", "lid"])
 
     place = lambda c: lines.select(F.col("lid").alias(c), F.struct("d", "no").alias(f"{c}_at"))
     both = links.join(place("a"), "a").join(place("b"), "b")
@@ -325,11 +322,9 @@ def deduplicated(docs: DataFrame, edits: int = 2, min_chars: int = 0) -> DataFra
     near = end("a", "b").union(end("b", "a")).groupBy("lid").agg(F.count("*").alias("links"), F.min("before").alias("before"))
     labels = components(links)
     near = near.join(labels.select(F.col("v").alias("lid"), F.col("label").alias("class_id")), "lid")
-    asked = C.stash(dealt.groupBy("m").applyInArrow(asks, "m long, lid binary, n long"), "asked")
-    often = asked.groupBy("lid").agg(F.sum("n").alias("n")).where("n > 1").select("lid")
-    facts = lines.select("lid", "d", "no").join(often.union(near.select("lid")).distinct(), "lid", "left_semi").join(near, "lid", "left")
-    known = C.stash(asked.select("m", "lid").join(facts, "lid"), "known")
-    C.drop(lines, links, labels, asked)
+    facts = lines.select("lid", "d", "no", "times").join(near, "lid", "left").where("times > 1 or links is not null").drop("times")
+    known = C.stash(dealt.groupBy("m").applyInArrow(asks, "m long, lid binary").join(facts, "lid"), "known")
+    C.drop(lines, links, labels)
     return dealt.groupBy("m").cogroup(known.groupBy("m")).applyInArrow(_judge, _JUDGED)
 
 
