@@ -162,14 +162,14 @@ class Encoder:
         self.opens = np.zeros(max(size, end + 1), bool)
         for t, i in self.tok.get_vocab().items():
             self.opens[i] = t.startswith("Ġ") or t == "Ċ"
-        self._forget()
+        self.forget()
 
     #: Slots of the memory of units: a unit's ids stay at its hash's slot until the memory is full and begins anew.
     SLOTS = 1 << 20
     #: Eights of bytes of the units in slots, compared byte by byte; longer units are remembered by themselves.
     LANES = 3
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.lanes = np.zeros((self.LANES, self.SLOTS), np.uint64)
         self.size, self.base, self.n = np.zeros(self.SLOTS, np.uint8), np.zeros(self.SLOTS, np.int32), np.zeros(self.SLOTS, np.int32)
         self.flat, self.used = np.zeros(self.SLOTS, np.uint16 if self.width == 2 else np.uint32), 0
@@ -188,7 +188,7 @@ class Encoder:
     def _look_up(self, buf: np.ndarray, a: np.ndarray, b: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where in `flat` the ids of each unit begin, and how many; units not remembered are encoded."""
         if self.used > 8 * self.SLOTS or len(self.long) > self.SLOTS // 8:
-            self._forget()
+            self.forget()
         base, n, size = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64), b - a
         wide, data = C.eights(buf), buf.tobytes()
         some = np.flatnonzero(size <= 8 * self.LANES)
@@ -267,7 +267,7 @@ class Encoder:
 
 @lru_cache(1)
 def encoder(path: str, end: int) -> Encoder:
-    """One a worker: its memory of units serves all tasks that the worker runs."""
+    """One a worker, with the vocabulary; its memory of units goes with each task, since idle workers count against their executor."""
     return Encoder(path, end)
 
 
@@ -285,6 +285,7 @@ def encode(docs: DataFrame, vocabulary: str, end: int = 0) -> DataFrame:
                 ends = pa.py_buffer((o * enc.width).astype(np.int64).tobytes())
                 blob = pa.Array.from_buffers(pa.large_binary(), b - a, [None, ends, raw]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), blob], ["doc_id", "ids"])
+        enc.forget()
         C.tidy()
 
     C.short_batches(docs.sparkSession)

@@ -915,7 +915,7 @@ def test_units_that_hashes_confuse_have_their_own_ids(spark):
     """Words alike in a polynomial hash modulo 2^64, and units forced into one slot."""
     enc = token_store.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
     enc.SLOTS = 1
-    enc._forget()
+    enc.forget()
     texts = [b"x " + thue_morse(n, k) + b" y" for n in (16, 1024, 2048) for k in (0, 1)] + [b"a b c d", b"d c b a", b"a b"]
     for _ in range(2):
         ids, off = enc.batch(*C.flat(pa.array(texts, pa.binary())))
