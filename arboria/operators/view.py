@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -51,45 +51,60 @@ def type_rank() -> Column:
     return _by(K.TYPE_RANKS, 5)
 
 
-def with_links(top: DataFrame, nodes: DataFrame, links: DataFrame, zoom: float, keep=lambda df, name: df, camera: tuple[float, float] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Ids of the streamed nodes with neighbours pulled in by links, and those links; none below the links' zoom.
+def wormholes(views: DataFrame, links: DataFrame, neighbours: int = K.STREAM_NEIGHBOURS, most: int = K.STREAM_LINKS) -> tuple[DataFrame, DataFrame]:
+    """(view, id, since) of what is in each view at last and the links (view, from, to, place) that it takes.
 
-    Links are taken in order: one that touches what is in view brings its other end in, up to a number of neighbours, and
-    what is brought in counts as in view for later links.  So a node comes in with the first link after its neighbour
-    came in: earliest arrivals, found by rounds over the links that touch what is in view so far, until nothing changes.
-    Of a round only as many arrivals as may come in go on to the next, so a round's ends are bounded by the stream's
-    limits.  With a camera, what is in view at last is cut to the stream's limit, and links to what is left.
+    views: view, id of what is in view at first.  links: from, to, place (of any type that orders; equal links are one
+    place).  Links are taken in order: one that touches what is in view brings its other end in, up to a number of
+    neighbours, and what is brought in counts as in view for later links; a view is done with `most` links.  So a node
+    comes in with the first link after its neighbour came in (since; null: at first): earliest arrivals.  All views go on
+    together, by rounds over the links that touch what came in, until a round changes no row.  An arrival depends on
+    earlier ones alone, so of a view only as many as may come in go on to the next round.
     """
-    ids = top.select("id")
-    if zoom < K.STREAM_LINK_ZOOM:
-        return ids, links.limit(0)
-    place = F.struct("ord", "from", "to", "type", "label").alias("place")
-    real = links.where("`from` <> `to`").join(nodes.select(F.col("id").alias("from")), "from", "left_semi").join(nodes.select(F.col("id").alias("to")), "to", "left_semi")
-    real = real.select("*", place)
-    start = keep(ids.select("id", F.lit(None).cast(real.schema["place"].dataType).alias("since")), "seen")
+    keep = work.shared(views.sparkSession)
+    start = keep(views.select("view", "id").distinct().withColumn("since", F.lit(None).cast(links.schema["place"].dataType)), "in_view")
     seen, known = start, None
     while True:
         ends = []
         for a, b in (("from", "to"), ("to", "from")):
-            touch = real.join(F.broadcast(seen.withColumnRenamed("id", a)), a).where("since is null or since < place")
-            ends.append(touch.select(F.col(b).alias("id"), "place"))
-        came = ends[0].unionByName(ends[1]).join(F.broadcast(start.select("id")), "id", "left_anti").groupBy("id").agg(F.min("place").alias("since"))
-        came = came.orderBy("since", "id").limit(K.STREAM_NEIGHBOURS)
-        rows = sorted(map(tuple, came.collect()), key=lambda r: r[0])
-        if rows == known:
+            touch = links.join(seen.withColumnRenamed("id", a), a).where("since is null or since < place")
+            ends.append(touch.select("view", F.col(b).alias("id"), "place"))
+        came = ends[0].unionByName(ends[1]).join(start.select("view", "id"), ["view", "id"], "left_anti").groupBy("view", "id").agg(F.min("place").alias("since"))
+        nth = F.row_number().over(Window.partitionBy("view").orderBy("since", "id"))
+        came = keep(came.withColumn("nth", nth).where(F.col("nth") <= neighbours).drop("nth"), "came")
+        both = came.join(known, ["view", "id", "since"], "full") if known is not None else None
+        same = both is not None and came.count() == known.count() == both.count()
+        if known is not None:
+            work.forget(known)
+        known, seen = came, start.unionByName(came)
+        if same:
             break
-        known = rows
-        seen = start.unionByName(nodes.sparkSession.createDataFrame(rows, came.schema))
-    both = real
+    both = links
     for end in ("from", "to"):
-        both = both.join(F.broadcast(seen.select(F.col("id").alias(end), F.col("since").alias(f"{end}_since"))), end)
+        on = [end] if end == "from" else [end, "view"]
+        both = both.join(seen.select("view", F.col("id").alias(end), F.col("since").alias(f"{end}_since")), on)
     first = lambda end: F.col(f"{end}_since").isNull() | (F.col(f"{end}_since") < F.col("place"))
     there = lambda end: F.col(f"{end}_since").isNull() | (F.col(f"{end}_since") <= F.col("place"))
-    taken = keep(both.where((first("from") | first("to")) & there("from") & there("to")).orderBy("place").limit(K.STREAM_LINKS), "taken")
-    last = taken.agg(F.max("place").alias("last"), F.count("*").alias("n"))
-    full = F.col("n") >= K.STREAM_LINKS
-    inside = seen.crossJoin(F.broadcast(last)).where(F.col("since").isNull() | ~full | (F.col("since") <= F.col("last"))).select("id")
-    shown = taken.select(*links.columns)
+    nth = F.row_number().over(Window.partitionBy("view").orderBy("place"))
+    taken = both.where((first("from") | first("to")) & there("from") & there("to")).withColumn("nth", nth).where(F.col("nth") <= most)
+    taken = keep(taken.select("view", "from", "to", "place", "nth"), "taken")
+    last = taken.where(F.col("nth") == most).select("view", F.col("place").alias("last"))
+    inside = seen.join(last, "view", "left").where("since is null or last is null or since <= last").select("view", "id", "since")
+    return inside, taken.drop("nth")
+
+
+def with_links(top: DataFrame, nodes: DataFrame, links: DataFrame, zoom: float, keep=lambda df, name: df, camera: tuple[float, float] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Ids of the streamed nodes with neighbours pulled in by links (see wormholes), and those links; none below the links' zoom.
+
+    With a camera, what is in view at last is cut to the stream's limit, and links to what is left.
+    """
+    ids = top.select("id")
+    if zoom < K.STREAM_LINK_ZOOM:
+        return ids, links.limit(0)
+    place = F.struct("ord", "from", "to", "type", "label").alias("place")
+    real = links.where("`from` <> `to`").join(nodes.select(F.col("id").alias("from")), "from", "left_semi").join(nodes.select(F.col("id").alias("to")), "to", "left_semi")
+    inside, taken = wormholes(ids.withColumn("view", F.lit(0)), real.select("from", "to", place))
+    inside, shown = inside.select("id"), taken.select("place.*")
     if camera is not None:
         x, y = camera
         rows = _camera(nodes.join(F.broadcast(inside), "id", "left_semi"), x, y, zoom)
@@ -138,6 +153,16 @@ def status(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return a.crossJoin(b)
 
 
+def totals(rows: DataFrame, levels: list[str], sums: list[Column]) -> DataFrame:
+    """Sums of rows on every level of a tree whose levels are columns, outermost first.
+
+    level: a bit for each column that a row adds up over, the last column's being 1 (0: a leaf, all bits: everything), so
+    that a null folder stays apart from the total of all.  rows should be narrow, as each stands once a level before they
+    are added up in their tasks.
+    """
+    return rows.rollup(*levels).agg(F.grouping_id().alias("level"), *sums)
+
+
 def preorder(nodes: DataFrame) -> DataFrame:
     """Nodes in the order of a walk: parents before children, children by ordinal (path_ords, an array of them)."""
     return work.numbered(nodes, "walk", "path_ords", "id")

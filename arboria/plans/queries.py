@@ -410,7 +410,8 @@ UNION ALL SELECT 'ts' || i, 'tt' || i, 'dependency', 'h_' || i FROM n""")
 def link_resolution(spark, d):
     """References to functions, procedures, tables and edge functions, and a string literal over languages, in generated modules."""
     docs = _t(spark, d, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("i"))
-    docs = docs.withColumn("nx", F.lead("i").over(Window.orderBy("i")))
+    docs = work.numbered(docs, "n", "i")
+    docs = docs.join(docs.select((F.col("n") - 1).alias("n"), F.col("i").alias("nx")), "n", "left").drop("n")
     none = "cast(null as array<string>)"
     kinds = [
         ("py", "'a/' || i || '.py'", "function", "'f_' || i", "'c.rpc(''p_' || i || ''') c.from(''t_' || i || ''') c.functions.invoke(''fn-' || i || ''')'", "array('f_' || coalesce(nx, ''), 'unknown')", True),

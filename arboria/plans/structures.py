@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import grams, ivf, layout, search, spans, trees
+from ..operators import grams, ivf, layout, search, spans, trees, view
 from ..sources import scan, work
 from ..streaming import debounce
 from .queries import _PI, _search_sql, _t, query
@@ -97,6 +97,33 @@ def debounce_stream(spark, d):
     return spark.read.schema("user_id long, ts timestamp").parquet(folder)
 
 
+@query("""WITH RECURSIVE l AS (SELECT o_orderkey AS ord, o_custkey AS a, (o_custkey * 7 + o_orderkey % 3) % (SELECT count(*) FROM customer) + 1 AS b FROM orders),
+f AS (SELECT c_nationkey AS nation, -1::BIGINT AS ord, NULL::BIGINT AS a, NULL::BIGINT AS b, list(c_custkey) AS ids, 0 AS came, 0 AS taken FROM customer WHERE c_mktsegment = 'BUILDING' GROUP BY 1
+ UNION ALL SELECT nation, x.ord, x.a, x.b, CASE WHEN x.old THEN ids ELSE list_distinct(ids || [x.a, x.b]) END, came + CASE WHEN x.old THEN 0 ELSE 1 END, taken + 1
+ FROM (SELECT nation, any_value(ids) AS ids, any_value(came) AS came, any_value(taken) AS taken, min_by(struct_pack(ord := l.ord, a := l.a, b := l.b, old := list_contains(ids, l.a) AND list_contains(ids, l.b)), l.ord) AS x
+  FROM f JOIN l ON l.ord > f.ord AND l.a <> l.b AND (list_contains(ids, l.a) OR list_contains(ids, l.b)) AND (came < 30 OR (list_contains(ids, l.a) AND list_contains(ids, l.b))) WHERE taken < 60 GROUP BY nation))
+SELECT nation, ord, a AS "from", b AS "to" FROM f WHERE ord >= 0""")
+def wormholes(spark, d):
+    """A view a nation, of one market segment: orders in their sequence link customers, and pull up to 30 of them in by up to 60 links."""
+    customer = _t(spark, d, "customer")
+    key = F.col("o_custkey")
+    links = _t(spark, d, "orders").select(key.alias("from"), ((key * 7 + F.col("o_orderkey") % 3) % customer.count() + 1).alias("to"), F.col("o_orderkey").alias("place")).where("`from` <> `to`")
+    views = customer.where("c_mktsegment = 'BUILDING'").select(F.col("c_nationkey").alias("view"), F.col("c_custkey").alias("id"))
+    taken = view.wormholes(views, links, 30, 60)[1]
+    return taken.select(F.col("view").alias("nation"), F.col("place").alias("ord"), "from", "to")
+
+
+@query("""WITH f AS (SELECT source AS root, lang AS dir, source || '/' || lang || '/' || doc_id || '.txt' AS file, length(coalesce(text, '')) AS chars,
+  len(string_split(coalesce(text, ''), chr(10))) AS lines FROM documents)
+SELECT root, dir, file, grouping(root, dir, file)::BIGINT AS level, count(*) AS files, sum(lines)::BIGINT AS lines, sum(chars)::BIGINT AS chars, max(chars)::BIGINT AS longest FROM f GROUP BY ROLLUP (root, dir, file)""")
+def tree_totals(spark, d):
+    """Files, lines and characters of every file, folder, root and of all."""
+    docs = _t(spark, d, "documents")
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.col("source").alias("root"), F.col("lang").alias("dir"), F.concat("source", F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file"), F.size(F.split(text, "\n")).alias("lines"), F.length(text).alias("chars"))
+    return view.totals(rows, ["root", "dir", "file"], [F.count("*").alias("files"), F.sum("lines").alias("lines"), F.sum("chars").alias("chars"), F.max("chars").cast("long").alias("longest")])
+
+
 # ---- indexes ---------------------------------------------------------------------------------------------------
 
 

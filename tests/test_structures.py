@@ -4,8 +4,9 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from arboria.operators import layout, spans, trees
+from arboria.operators import layout, spans, trees, view
 
 
 def plain_stab(defs, names):
@@ -120,3 +121,42 @@ def test_several_inserts_are_single_ones(spark, k):
     for g, angles in rings.items():
         got = [r.theta for r in sorted((r for r in rows if r.g == g), key=lambda r: r.nth)]
         assert len(got) == k and got == pytest.approx(one_by_one(angles, k), abs=1e-9), g
+
+
+def link_by_link(ids, links, neighbours, most):
+    """The links that a view takes, one after another."""
+    ids, came, out = set(ids), 0, []
+    for place, a, b in sorted(links):
+        new = {a, b} - ids
+        if len(new) == 2 or (new and came >= neighbours):
+            continue
+        ids |= new
+        came += len(new)
+        out.append((place, a, b))
+        if len(out) >= most:
+            break
+    return out, ids
+
+
+@pytest.mark.parametrize("neighbours, most", [(180, 320), (3, 320), (180, 4), (0, 9)])
+def test_wormholes_are_taken_link_by_link(spark, neighbours, most):
+    rng = random.Random(neighbours + most)
+    links = [(i, *rng.sample(range(60), 2)) for i in range(150)] + [(200 + i, 100 + i, 101 + i) for i in range(9)] + [(300, 111, 112), (301, 110, 111)]
+    views = {0: [], 1: [1], 2: [2, 3, 100], 3: list(range(40)), 4: [500], 5: [112]}
+    inside, taken = view.wormholes(spark.createDataFrame([(v, i) for v, ids in views.items() for i in ids], "view int, id long"), spark.createDataFrame(links, "place long, from long, to long"), neighbours, most)
+    got, end = taken.collect(), inside.collect()
+    for v, ids in views.items():
+        want, there = link_by_link(ids, links, neighbours, most)
+        assert sorted((r.place, r["from"], r["to"]) for r in got if r.view == v) == want
+        assert {r.id for r in end if r.view == v} == there
+
+
+def test_totals_of_every_level(spark):
+    rows = [("a", "x", "f", 1), ("a", "x", "g", 2), ("a", None, "h", 4), ("b", "x", "f", 8), (None, None, None, 16)]
+    got = view.totals(spark.createDataFrame(rows, "root string, dir string, file string, n int"), ["root", "dir", "file"], [F.sum("n").alias("n")]).collect()
+    want = {}
+    for *path, n in rows:
+        for k in range(4):
+            key = (*path[:k], *[None] * (3 - k), (1 << 3 - k) - 1)
+            want[key] = want.get(key, 0) + n
+    assert {(r.root, r.dir, r.file, r.level): r.n for r in got} == want and len(got) == len(want)
