@@ -101,7 +101,8 @@ def with_links(top: DataFrame, nodes: DataFrame, links: DataFrame, zoom: float,
     ids = top.select("id")
     if zoom < K.STREAM_LINK_ZOOM:
         return ids, links.limit(0)
-    place = F.struct("ord", "from", "to", "type", "label").alias("place")
+    order = ["ord", "from", "to", "type", "label"]
+    place = F.struct(*order, *(c for c in links.columns if c not in order)).alias("place")
     real = links.where("`from` <> `to`").join(nodes.select(F.col("id").alias("from")), "from", "left_semi").join(nodes.select(F.col("id").alias("to")), "to", "left_semi")
     inside, taken = wormholes(ids.withColumn("view", F.lit(0)), real.select("from", "to", place))
     inside, shown = inside.select("id"), taken.select("place.*")
