@@ -240,7 +240,7 @@ class WordEncoder(Encoder):
         self.auto, self.end, self.width = auto, 0, auto.width
         self.pre = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
         self.split = re.compile("(" + "|".join(re.escape(s) for s in sorted(auto.special, key=len, reverse=True)) + ")") if auto.special else None
-        self._forget()
+        self.forget()
 
     def _sizes(self, text: str) -> list[int]:
         """Bytes of the pre-tokenizer's words, in order."""

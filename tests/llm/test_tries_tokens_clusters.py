@@ -258,3 +258,17 @@ def test_query_columns(spark, sf):
     assert out.agg(F.countDistinct("inertia")).first()[0] == 1
     per = out.groupBy("cluster").agg(F.sum("distance").alias("s"), F.max("cluster_inertia").alias("c")).collect()
     assert all(r.s == r.c for r in per) and sum(r.s for r in per) == out.first().inertia
+
+
+def test_automaton_encoder_begins_and_begins_anew(auto, library):
+    """The encoder is made with an empty memory of units, and gives the same ids from an empty one, a full one and one given up."""
+    enc, texts = bpe.WordEncoder(auto), ["one unit, one unit", "", "été 🙂 " * 3, "x" * 200]
+    raw = [t.encode() for t in texts]
+    buf, off = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    for again in (True, False, True):
+        ids, at = enc.documents(buf, off)
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == want
+        if again:
+            enc.forget()
+            assert enc.used == 0 and not enc.long
