@@ -125,6 +125,16 @@ def test_scores(docs, rows, no_docs):
     assert context_mixing.score_documents(no_docs, slot_bits=14).collect() == []
 
 
+def test_scores_of_words_that_share_most_of_their_hash(spark):
+    """The pairs share the first 38 bits of their hashes; each word is counted apart all the same."""
+    pairs = [("k391552", "k824541"), ("k110495", "k1491459"), ("k582518", "k1022744"), ("k578889", "k1388409")]
+    words = [w.encode() for pair in pairs for w in pair]
+    h = C.word_hashes(np.frombuffer(b"".join(words), np.uint8), np.cumsum([0, *map(len, words)])[:-1], np.cumsum([*map(len, words)]))
+    assert (h[::2] >> np.uint64(26) == h[1::2] >> np.uint64(26)).all() and len(np.unique(h)) == len(h)
+    rows = [(i, " ".join([a] * (i + 1) + [b] * (i % 2))) for i, (a, b) in enumerate(pairs)] + [(i, f"{a} {b}") for i, (a, b) in enumerate(pairs, 50)]
+    check_scores(rows, spark.createDataFrame(rows, "doc_id long, text string"))
+
+
 def test_model_beats_words_on_held_out_texts(spark, sf, table):
     got = check_scores(table, C.table(spark, sf, "documents"))
     again = context_mixing.score_documents(C.table(spark, sf, "documents").repartition(5), slot_bits=14).collect()
