@@ -9,7 +9,7 @@ ODD = [
     "Reelleè of x", "Ció of y", "éfoo of z", "fooé of z", "a_1 of b", "1a of b", "foo ( x", "foo\u000b( x", "foo \t\n\f\r( x", "class X(Base, Other):\n  pass", "class of y): ",
     "x by Yé by $a by 1b", "éextends A", " by  A", "extends\u000bB extends C extends D$é", "return of if of Range of", "", "ſtart of ſ of K of", "x by ſa by K",
     "from Que", "from Queé", "éfrom abc", "fromé abc", "from abc", "from\u000babc", "JOIN\n\tabc_d INTO only abcd", "update \"Zürich", "into only ", "from only abc", ".from('abcde') .into(\"fghij\")",
-    "from ab$c from a from data from DATA", "ſfrom abc Kfrom abc", "from ſab from Kab from abſK join $abc", "xfrom abc _from abc 1from abc $from abc", "from from abc", None,
+    "from ab$c from a from data from DATA", "ſfrom abc Kfrom abc", "from ſab from Kab from abſK join $abc", "xfrom abc _from abc 1from abc $from abc", "from from abc", "eresfrom abc askfrom abc aKfrom abc", None,
 ]
 
 
