@@ -12,10 +12,33 @@ from . import extract as X
 EMITTING = ("class", "function", "block")
 
 
-def first_targets(both: DataFrame) -> DataFrame:
-    """Of a reference's (node_id, ref) targets one: another file's (to_rel, rel) before the own file's, then by to_ord, to."""
-    first = Window.partitionBy("node_id", "ref").orderBy(F.col("to_rel") == F.col("rel"), "to_ord", "to")
-    return both.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+def first_targets(refs: DataFrame, targets: DataFrame, scope: str | None = None, file: str = "rel", own: bool = True) -> DataFrame:
+    """refs with `to`, the target of the same name (ref) and `scope`: another file's before the own file's, then by to_ord, to.
+
+    refs: node_id, ref, and `file`, the file they stand in; targets: to (distinct in a name), ref, to_ord, and to_`file`.
+    Refs that have no target but themselves are left out, without `own` those too that have one in their own file alone.
+    A null file is one of its own.
+
+    References and targets of a name are never paired: of a name's definitions in a file the first two are kept (one may
+    be the reference's own), and of the files the first three, so what is joined and sorted grows with the rows, not
+    with their products, however many share a name.
+    """
+    keys = ["ref", *([scope] if scope else [])]
+    given = targets.select(*keys, F.col(f"to_{file}").alias("_file"), F.struct(F.col("to_ord").alias("ord"), F.col("to").alias("to")).alias("_place"))
+    places = given.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "_file").orderBy("_place"))).where("_n <= 2")
+    files = places.groupBy(*keys, "_file").agg(F.array_sort(F.collect_list("_place")).alias("_here"))
+    few = files.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("_here")[0]))).where("_n <= 3")
+    rows = refs.join(few.groupBy(*keys).agg(F.collect_list(F.struct("_file", "_here")).alias("_few")), keys)
+    others = F.flatten(F.transform(F.filter("_few", lambda f: ~f["_file"].eqNullSafe(F.col(file))), lambda f: f["_here"]))
+    first = lambda these: F.get(F.array_sort(F.filter(these, lambda p: p["to"] != F.col("node_id"))), F.lit(0))
+    rows = rows.withColumn("_to", first(others)).drop("_few")
+    if own:
+        mine = files.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_file"), "_here")
+        same = F.col(file).eqNullSafe(F.col("_file"))
+        for k in keys:
+            same &= F.col(k) == F.col(f"_{k}")
+        rows = rows.join(mine, same, "left").withColumn("_to", F.coalesce("_to", first(F.col("_here")))).drop(*[f"_{k}" for k in keys], "_file", "_here")
+    return rows.where("_to is not null").withColumns({"to": F.col("_to.to"), "to_ord": F.col("_to.ord")}).drop("_to")
 
 
 def resolved(symbols: DataFrame) -> DataFrame:
@@ -37,16 +60,17 @@ def resolved(symbols: DataFrame) -> DataFrame:
 
     refs = src.select("node_id", "rel", "lang", "exact", "db", "edge", F.col("refs").isNotNull().alias("given"), F.explode("every").alias("ref"))
     refs = refs.withColumns({"is_db": F.array_contains("db", F.col("ref")), "is_edge": F.array_contains("edge", F.col("ref"))})
-    both = refs.join(targets, "ref").where(F.col("to") != F.col("node_id"))
-    outside = (F.col("is_db") & (F.col("to_lang") == "sql")) | (F.col("is_edge") & (F.col("to_lang") == "jsts") & X.is_edge_path(F.col("to_rel")))
-    both = both.where(F.when(F.col("is_db") | F.col("is_edge"), outside).otherwise(F.col("to_lang") == F.col("lang")))
-    both = first_targets(both)
+    # where a name is looked for: in its language, or in databases and edge functions, whatever the language
+    edge = (F.col("to_lang") == "jsts") & X.is_edge_path(F.col("to_rel"))
+    scopes = F.array(F.concat(F.lit("in "), "to_lang"), F.when(F.col("to_lang") == "sql", "db"), F.when(edge, "edge"), F.when((F.col("to_lang") == "sql") | edge, "both"))
+    placed = targets.withColumn("scope", F.explode(F.array_compact(scopes)))
+    scope = F.when(F.col("is_db") & F.col("is_edge"), "both").when(F.col("is_db"), "db").when(F.col("is_edge"), "edge").otherwise(F.concat(F.lit("in "), "lang"))
+    both = first_targets(refs.withColumn("scope", scope), placed, "scope")
     kind = F.when(F.col("is_db") | F.col("is_edge") | (F.col("exact") & F.col("given")), "syntax_dependency").otherwise("dependency")
     direct = both.select(F.col("node_id").alias("from"), "to", kind.alias("type"), F.col("ref").alias("label"))
 
     words = src.select("node_id", "lang", F.explode(F.array_except(X.string_tokens(F.col("snippet")), F.array_union("db", "edge"))).alias("ref"))
-    over = words.join(targets, "ref").where((F.col("to") != F.col("node_id")) & (F.col("to_lang") != F.col("lang")))
-    over = over.withColumn("n", F.row_number().over(Window.partitionBy("node_id", "ref").orderBy("to_ord", "to"))).where("n = 1")
+    over = first_targets(words, targets, file="lang", own=False)
     over = over.join(direct.select(F.col("from").alias("node_id"), "to", F.col("label").alias("ref")), ["node_id", "to", "ref"], "left_anti")
     over = over.withColumn("n", F.row_number().over(Window.partitionBy("node_id").orderBy("ref"))).where(F.col("n") <= K.BRIDGES_PER_SYMBOL)
     bridges = over.select(F.col("node_id").alias("from"), "to", F.lit("syntax_dependency").alias("type"), F.col("ref").alias("label"))
