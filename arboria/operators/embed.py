@@ -5,10 +5,12 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,12 +30,48 @@ def hash_vector(text: str, size: int = K.EMBEDDING_SIZE) -> np.ndarray:
     return out / (np.linalg.norm(out) or 1.0)
 
 
+#: Tokens of which a worker keeps what they add; then its memory begins anew.
+REMEMBERED = 1 << 16
+
+
+def hash_vectors(texts: list[str], size: int = K.EMBEDDING_SIZE, known: dict | None = None) -> np.ndarray:
+    """hash_vector() of each text: a distinct token is hashed once (known: token -> slots and signed weights), and counted.
+
+    Weights are multiples of 1/32, so sums are exact in whatever order they are made.
+    """
+    known = {} if known is None else known
+    out = np.zeros((len(texts), size))
+    for row, text in zip(out, texts, strict=True):
+        low = text.lower()
+        counts = Counter(_TOKEN.findall(low) or [low])
+        if len(known) > REMEMBERED:
+            known.clear()
+        fresh = [t for t in counts if t not in known]
+        if fresh:
+            digest = np.frombuffer(b"".join(hashlib.blake2b(t.encode(), digest_size=32).digest() for t in fresh), ">u2").astype(np.int64).reshape(len(fresh), 16)
+            weight = 1.0 + np.minimum(np.fromiter(map(len, fresh), np.int64, len(fresh)), 32) / 32.0
+            slots, signed = (digest % size).astype(np.int16 if size < 1 << 15 else np.int64), np.where((digest >> 8) & 1, weight[:, None], -weight[:, None])
+            known.update(zip(fresh, zip(slots, signed.astype(np.float32), strict=True), strict=True))
+        parts = [known[t] for t in counts]
+        times = np.fromiter(counts.values(), np.float64, len(counts))
+        slots, signed = (np.concatenate(x).reshape(len(parts), 16) for x in zip(*parts, strict=True))
+        row += np.bincount(slots.ravel(), weights=(signed * times[:, None]).ravel(), minlength=size)
+        row /= np.linalg.norm(row) or 1.0
+    return out
+
+
 def hash_embedding(text: Column | str, size: int = K.EMBEDDING_SIZE) -> Column:
-    """Arrow-batched; a blank text is embedded as 'empty concept'."""
+    """In pieces of Arrow batches; a blank text is embedded as 'empty concept'."""
 
-    @F.pandas_udf("array<double>")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: hash_vector(t if t and t.strip() else "empty concept", size))
+    @F.arrow_udf("array<double>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known: dict = {}
+        for texts in batches:
+            parts = []
+            for a in range(0, len(texts), 512):
+                some = hash_vectors([t if t and t.strip() else "empty concept" for t in texts.slice(a, 512).to_pylist()], size, known)
+                parts.append(pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * size, pa.int32()), pa.array(some.ravel())))
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.float64()))
 
     return run(T.col(text))
 

@@ -90,3 +90,27 @@ def test_no_vectors(spark):
     v = spark.createDataFrame([(1, None)], "id long, embedding array<double>")
     q = v.select(F.col("id").alias("query_id"), F.col("embedding").alias("query_embedding"))
     assert ivf.build(v, work.shared(spark)).search(q, 3).collect() == []
+
+
+def test_hash_vectors_of_many_texts_are_those_of_each():
+    """A distinct token of all texts is hashed once; a worker's memory of tokens may begin anew."""
+    import hashlib
+
+    import numpy as np
+
+    from arboria.operators import embed
+
+    texts = ["one two one", "It's été 🙂 x", "...", "a" * 50, "x " * 3000, *(f"w{i} w{i + 1} one" for i in range(200))]
+    assert np.array_equal(embed.hash_vectors(texts), np.array([embed.hash_vector(t) for t in texts]))
+    known: dict = {}
+    embed.hash_vectors(texts, known=known)
+    asked, blake2b = [], hashlib.blake2b
+    try:
+        hashlib.blake2b = lambda *a, **k: asked.append(1) or blake2b(*a, **k)
+        embed.hash_vectors(texts, known=known)
+        assert not asked
+        embed.REMEMBERED, old = 5, embed.REMEMBERED
+        assert np.array_equal(embed.hash_vectors(texts, known=known), embed.hash_vectors(texts)) and len(known) < 20
+        embed.REMEMBERED = old
+    finally:
+        hashlib.blake2b = blake2b
