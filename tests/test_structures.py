@@ -160,3 +160,26 @@ def test_totals_of_every_level(spark):
             key = (*path[:k], *[None] * (3 - k), (1 << 3 - k) - 1)
             want[key] = want.get(key, 0) + n
     assert {(r.root, r.dir, r.file, r.level): r.n for r in got} == want and len(got) == len(want)
+
+
+def test_trees_are_merged_not_broadcast(spark, monkeypatch):
+    """Nothing of a tree is broadcast, and nodes that came to their top ask for no ancestor, though most do in the first rounds."""
+    from arboria.operators import trees
+
+    plans, shared = [], trees.work.shared
+
+    def watching(session):
+        keep = shared(session)
+
+        def kept(df, name):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            return keep(df, name)
+
+        return kept
+
+    monkeypatch.setattr(trees.work, "shared", watching)
+    nodes = spark.range(300).selectExpr("id", "if(id < 200, null, id - 100) parent_id", "1L size")
+    got = {r.id: (r.top, r.depth, r.size) for r in trees.doubled(nodes, {"size": "sum"}).collect()}
+    assert got == {i: (i if i < 200 else i - 100, int(i >= 200), 2 if 100 <= i < 200 else 1) for i in range(300)}
+    assert len(plans) > 1 and not any("Broadcast" in p for p in plans)
+    assert all("isnotnull(up" in p for p in plans[1:])
