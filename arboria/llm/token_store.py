@@ -266,16 +266,21 @@ class Encoder:
 
 
 @lru_cache(1)
-def encoder(path: str, end: int) -> Encoder:
-    """One a worker, with the vocabulary; its memory of units goes with each task, since idle workers count against their executor."""
-    return Encoder(path, end)
+def id_width(path: str, end: int) -> int:
+    """Bytes of an id."""
+    return Encoder(path, end).width
 
 
-def encode(docs: DataFrame, vocabulary: str, end: int = 0) -> DataFrame:
-    """doc_id, ids (binary, little-endian, 2 or 4 bytes an id) of each document."""
+def encode(docs: DataFrame, vocabulary: str, end: int = 0, bounds: np.ndarray | None = None) -> DataFrame:
+    """doc_id, ids (binary, little-endian, 2 or 4 bytes an id) and shard (of range_bounds()) of each document.
+
+    A task has an encoder of its own, which goes with it, vocabulary and all: idle workers count against their executor,
+    and Spark takes turns with them.  The shard is told in the same pass, which so takes one worker a task and not two.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(np.zeros(0, np.int64) if bounds is None else bounds)
 
     def run(batches):
-        enc = encoder(vocabulary, end)
+        enc = Encoder(vocabulary, end)
         dtype = "<u2" if enc.width == 2 else "<u4"
         for batch in batches:
             buf, off = C.flat(batch.column(1))
@@ -284,12 +289,13 @@ def encode(docs: DataFrame, vocabulary: str, end: int = 0) -> DataFrame:
                 raw = pa.py_buffer(ids.astype(dtype).tobytes())
                 ends = pa.py_buffer((o * enc.width).astype(np.int64).tobytes())
                 blob = pa.Array.from_buffers(pa.large_binary(), b - a, [None, ends, raw]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), blob], ["doc_id", "ids"])
-        enc.forget()
+                keys = batch.column(0).slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([keys, blob, C.shards_in(keys, shared.value)], ["doc_id", "ids", "shard"])
+        del enc
         C.tidy()
 
     C.short_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), C.text_bytes()).mapInArrow(run, "doc_id long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), C.text_bytes()).mapInArrow(run, "doc_id long, ids binary, shard int")
 
 
 # ---- shard files -----------------------------------------------------------------------------------------------
@@ -298,10 +304,9 @@ def encode(docs: DataFrame, vocabulary: str, end: int = 0) -> DataFrame:
 def write_store(docs: DataFrame, folder: str, vocabulary: str, end: int = 0, shard_chars: int = 32 << 20) -> DataFrame:
     """Writes the shard files of `docs` and returns the manifest: shard, file, n_docs, n_ids, bytes."""
     spark = docs.sparkSession
-    wide = encoder(vocabulary, end).width
+    wide = id_width(vocabulary, end)
     bounds = C.range_bounds(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", F.coalesce(F.length("text"), F.lit(0)) + 1, shard_chars)
-    coded = encode(docs, vocabulary, end).withColumn("shard", C.shard_of(spark, "doc_id", bounds))
-    dealt = C.dealt_to_shards(coded, len(bounds) + 1, F.col("doc_id").asc_nulls_first(), "ids")
+    dealt = C.dealt_to_shards(encode(docs, vocabulary, end, bounds), len(bounds) + 1, F.col("doc_id").asc_nulls_first(), "ids")
 
     def run(batches):
         now, out, sizes, keys = None, None, [], []
@@ -342,7 +347,8 @@ def write_store(docs: DataFrame, folder: str, vocabulary: str, end: int = 0, sha
         cols = list(zip(*rows, strict=True)) or [[]] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["shard", "file", "n_docs", "n_ids", "bytes"])
 
-    dealt.mapInArrow(run, "shard int, file string, n_docs long, n_ids long, bytes long").write.parquet(f"{folder}/_manifest")
+    with C.freed(spark):
+        dealt.mapInArrow(run, "shard int, file string, n_docs long, n_ids long, bytes long").write.parquet(f"{folder}/_manifest")
     C.swept(folder)
     return spark.read.parquet(f"{folder}/_manifest")
 

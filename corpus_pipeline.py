@@ -72,7 +72,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = common.table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
         done = common.new_dir(spark, "stage")
-        with common.scratch(spark):
+        with common.scratch(spark), common.freed(spark):
             stage(spark, docs, sf_dir).write.parquet(done)
         if before:
             common.delete(spark, before)
