@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from arboria.llm import common as C
-from arboria.llm import token_store
+from arboria.llm import line_dedup, token_store
 
 
 def shuffled(spark) -> set:
@@ -42,3 +42,10 @@ def test_encoding_and_shards_take_one_pass(spark, sf):
     assert "ArrowEvalPython" not in coded._jdf.queryExecution().toString()
     want = {r[0]: r[1] for r in docs.select("doc_id", C.shard_of(spark, "doc_id", bounds)).collect()}
     assert {r.doc_id: r.shard for r in coded.collect()} == want and set(want.values()) == {0, 1, 2}
+
+
+def test_lines_leave_no_shuffle_files(spark, sf):
+    before = shuffled(spark)
+    lines, links = line_dedup.line_dedup(C.table(spark, sf, "documents"))
+    assert not shuffled(spark) - before
+    C.drop(lines, links)
