@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from arboria.llm import common as C
-from arboria.llm import line_dedup, token_store
+from arboria.llm import context_mixing, line_dedup, token_store
 
 
 def shuffled(spark) -> set:
@@ -49,3 +49,10 @@ def test_lines_leave_no_shuffle_files(spark, sf):
     lines, links = line_dedup.line_dedup(C.table(spark, sf, "documents"))
     assert not shuffled(spark) - before
     C.drop(lines, links)
+
+
+def test_context_mixing_leaves_no_shuffle_files(spark, sf):
+    before = shuffled(spark)
+    scores = context_mixing.score_documents(C.table(spark, sf, "documents"))  # all but the last step ran
+    assert not [f for f in shuffled(spark) - before if f.stat().st_size > 1 << 14]
+    assert scores.columns[:2] == ["doc_id", "held_out"]
