@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from ..sources import work
 from . import matching
 
 MOST_LISTS, SAMPLE = 1024, 32
@@ -65,11 +66,13 @@ class Index:
         c = self.centroids
 
         def run(vectors: pa.Array) -> pa.Array:
-            x, some = _units(vectors, c.shape[1])
             out: list[list[int]] = [[ODD]] * len(vectors)
-            near = np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :probes] if len(c) else np.zeros((len(x), 0), int)
-            for i, row in zip(some.tolist(), near.tolist(), strict=True):
-                out[i] = row
+            step = max(1, _CELLS // max(1, len(c)))
+            for a in range(0, len(vectors), step):
+                x, some = _units(vectors.slice(a, step), c.shape[1])
+                near = np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :probes] if len(c) else np.zeros((len(x), 0), int)
+                for i, row in zip(some.tolist(), near.tolist(), strict=True):
+                    out[a + i] = row
             return pa.array(out, pa.list_(pa.int32()))
 
         return F.arrow_udf(run, "array<int>")(F.col(column))
@@ -85,7 +88,7 @@ class Index:
         sizes = {r.list: r.n for r in self.table.groupBy("list").agg(F.count("*").alias("n")).collect()}
         wanted = {r.list: r.n for r in asked.groupBy("list").agg(F.count("*").alias("n")).collect()}
         cuts = [(x, -(-n // VECTORS), -(-wanted[x] // QUERIES)) for x, n in sizes.items() if x in wanted]
-        cuts = F.broadcast(queries.sparkSession.createDataFrame(cuts, "list int, vs int, qs int"))
+        cuts = F.broadcast(work.of_driver(queries.sparkSession, cuts, "list int, vs int, qs int"))
         part = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         vectors = self.table.join(cuts, "list").select("list", part("id", "vs").alias("v"), every("qs").alias("q"), "id", "embedding")
@@ -93,11 +96,11 @@ class Index:
 
         def near(left: pa.Table, right: pa.Table) -> pa.Table:
             left = left.sort_by("id")
-            ids, vs = left.column("id").to_pylist(), left.column("embedding").to_pylist()
+            ids, vs = left.column("id").to_pylist(), left.column("embedding")
             block = matching.Vectors(right.column("own").to_pylist(), right.column("query_embedding").to_pylist())
             best, step = matching.Kept(block.n, k), max(1, _CELLS // max(1, block.n))
             for a in range(0, len(ids), step):
-                best.add(ids[a : a + step], np.nan_to_num(matching.cosines(vs[a : a + step], block.vectors), nan=0.0), block.own)
+                best.add(ids[a : a + step], np.nan_to_num(matching.cosines(vs.slice(a, step).to_pylist(), block.vectors), nan=0.0), block.own)
             j, i, cosine = best.rows()
             return pa.table({"query_id": right.column("query_id").take(pa.array(j, pa.int64())), "id": pa.array(i, left.schema.field("id").type), "cosine": pa.array(cosine, pa.float64())})
 
