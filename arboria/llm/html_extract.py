@@ -190,7 +190,7 @@ def hints(attributes: str) -> int:
 # ---- the model -------------------------------------------------------------------------------------------------
 
 N_HINTS = 13
-N_FEATURES = 1 + len(_TAGS) + N_HINTS + 10
+N_FEATURES = 1 + len(_TAGS) + N_HINTS + 12
 _TAG_AT = {t: i for i, t in enumerate(_TAGS)}
 
 
@@ -235,6 +235,12 @@ class Batch:
         x[:, f + 7] = own[:, 3] > 0
         x[:, f + 8] = np.minimum(depth, 10) / 10
         x[1:, f + 9] = x[self.parent[1:], 1 + _TAG_AT["page"]] * (self.parent[1:] >= 0)
+        under = own[:, :2].copy()  # with all below: a list of links is a menu, one of sentences is not
+        for level in self.levels[:0:-1]:
+            np.add.at(under, self.parent[level], under[level])
+        lists, links = (x[:, 1 + _TAG_AT["list"]] + x[:, 1 + _TAG_AT["li"]]) > 0, under[:, 1] > 0.3 * under[:, 0]
+        x[:, f + 10] = lists & links
+        x[:, f + 11] = lists & ~links
         self.x = x
 
     def marginals(self, unary: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -388,7 +394,7 @@ def labelled(n: int, seed: int) -> list[tuple[str, list[str]]]:
             elif k < 0.91:
                 out += el(r.choice(UNUSUAL + ["noscript", "noscript"]), el("p", p, 1) if r.random() < 0.7 else p, 1)
             elif k < 0.94:
-                out += el("ul", "".join(el("li", words(2, 14), 1) for _ in range(r.randint(1, 5))), 1)
+                out += el("ul", "".join(el("li", words(2, 14) if r.random() < 0.5 else sentence(), 1) for _ in range(r.randint(1, 5))), 1)
             elif k < 0.975:
                 out += el("h2", words(1, 7), 1)
             else:

@@ -41,3 +41,12 @@ def test_two_megabytes_of_a_broken_tag_take_no_time(part, end):
     began = time.time()
     html_extract.Page(part * (2_000_000 // len(part)) + end)
     assert time.time() - began < 5
+
+
+@pytest.mark.parametrize("points", [["A point that is made here."], ["One short point.", "And another one, longer than the first."], ["Milk", "Two eggs"]])
+@pytest.mark.parametrize("before", ["", '<div class="ad">Buy this now.</div>'])
+def test_lists_of_an_article_stay_and_menus_go(points, before):
+    weights, pair = html_extract.trained()
+    items = "".join(f"<li>{x}</li>" for x in points)
+    source = page("x").replace("x<p>" + LAST + "</p>", f"{before}<ul>{items}</ul>")
+    assert html_extract.texts_of([source], weights, pair)[0].split("\n") == ["A title of words", FIRST, *points]
