@@ -7,8 +7,8 @@ line (near) stands earlier, by doc_id and line number of the first occurrence; a
 are a class, by the smallest of their digests; each duplicate comes with its class and the place it repeats (the first
 of the equal line, or of the earliest line linked to it), each document with the text of its kept lines.
 
-1. Tasks send each distinct line of a chunk once, with its first place, and add those up before the shuffle, so a
-   line that a third of all documents hold costs a row a task, and blocks of lines get it once.
+1. Tasks send each distinct line of a chunk once, with its first place, to the block of the line, which adds those up; so
+   a line that a third of all documents hold costs a row a chunk.
 2. A line of length n is cut into edits + 1 segments.  Within `edits` of another line at least one segment stands in
    that unharmed, at a place the lengths bound (multi-match-aware windows).  Blocks of lines learn through `tally`
    which of their length-and-place-aware keys any other line has; few have, and only those become join rows.
@@ -93,11 +93,14 @@ def segments(n: np.ndarray, parts: int) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def sketch(line: str) -> int:
-    """For each of 64 cells whether an odd number of the line's bigrams falls in it; an edit changes four at most."""
-    points = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    cell = C.mix64(points[:-1] * np.uint64(1 << 21) + points[1:]) >> np.uint64(58)
-    return int(np.bitwise_xor.reduce(np.uint64(1) << cell).view(np.int64)) if len(cell) else 0
+def sketches(lines: list[str]) -> np.ndarray:
+    """Of each line, for each of 64 cells whether an odd number of its bigrams falls in it; an edit changes four at most."""
+    ends = np.cumsum([len(x) for x in lines], dtype=np.int64)
+    starts = np.concatenate([[0], ends])[:-1].astype(np.int64)
+    points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    upto = np.zeros(max(1, len(points)), np.uint64)  # of the bigrams that begin before each place, across lines too
+    np.bitwise_xor.accumulate(np.uint64(1) << (C.mix64(points[:-1] * np.uint64(1 << 21) + points[1:]) >> np.uint64(58)), out=upto[1:])
+    return (upto[np.maximum(ends - 1, starts)] ^ upto[starts]).view(np.int64)
 
 
 _BASE = 0x9E3779B97F4A7C15
@@ -128,10 +131,8 @@ class Lines:
     def hash(self, start: np.ndarray, length: np.ndarray) -> np.ndarray:
         return C.mix64((self.sum[start + length] - self.sum[start]) * _powers[1][start] + length.astype(np.uint64))
 
-    def keys(self, edits: int, min_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """line, key, and whether it is one of the line's own segments (else a substring to look up)."""
-        line, key, own = [], [], []
-        some = np.flatnonzero(self.n >= min_chars)
+    def _slots(self, some: np.ndarray, edits: int, min_chars: int):
+        """Which of `some` lines have a key of each kind, these keys, and whether they are of the lines' own segments."""
         n, at = self.n[some], self.at[some]
         for less in range(edits + 1):
             target = n - less
@@ -143,13 +144,35 @@ class Lines:
                     ok = (q >= low) & (q <= high) & (target >= min_chars)
                     if ok.any():
                         h = self.hash(at[ok] + q[ok], length[ok])
-                        key.append(C.mix64(h + (target[ok].astype(np.uint64) << np.uint64(8)) + np.uint64(i + 1)))
-                        line.append(some[ok])
-                        own.append(np.full(int(ok.sum()), less == 0 and shift == 0))
+                        yield ok, C.mix64(h + (target[ok].astype(np.uint64) << np.uint64(8)) + np.uint64(i + 1)), less == 0 and shift == 0
+
+    def keys(self, edits: int, min_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """line, key, and whether it is one of the line's own segments (else a substring to look up)."""
+        some = np.flatnonzero(self.n >= min_chars)
+        line, key, own = [], [], []
+        for ok, k, mine in self._slots(some, edits, min_chars):
+            line.append(some[ok])
+            key.append(k)
+            own.append(np.full(len(k), mine))
         if not line:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
         return np.concatenate(line), np.concatenate(key), np.concatenate(own)
 
+    def distinct_keys(self, edits: int, min_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """keys() by line and key, without repetition within a line; own where one of equal keys is."""
+        some = np.flatnonzero(self.n >= min_chars)
+        slots = sorted(self._slots(some, edits, min_chars), key=lambda s: not s[2])  # own segments first; all lines have these
+        if not slots:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
+        key = np.repeat(slots[0][1][:, None], len(slots), axis=1)  # a key that a line lacks repeats its first
+        for j, (ok, k, _) in enumerate(slots):
+            key[ok, j] = k
+        order = np.argsort(key, axis=1, kind="stable")
+        key, own = np.take_along_axis(key, order, 1), np.array([s[2] for s in slots])[order]
+        fresh = np.ones(key.shape, bool)
+        fresh[:, 1:] = key[:, 1:] != key[:, :-1]
+        return np.repeat(some, fresh.sum(axis=1)), key[fresh], own[fresh]
+
 
 # ---- the operator ----------------------------------------------------------------------------------------------
 
@@ -174,6 +197,19 @@ def _chunk_lines(column, doc_ids: list) -> tuple[dict[bytes, list], list[tuple]]
     return first, docs
 
 
+def _merged(t: pa.Table) -> pa.Table:
+    """Each line of a block once, with its first place and how often it stands in all."""
+    lid = t.column("lid").combine_chunks()
+    wide = np.frombuffer(b"".join(lid.to_pylist()), ">u8").reshape(-1, 2)
+    d, no, times = (t.column(c).to_numpy() for c in ("d", "no", "times"))
+    order = np.lexsort((no, d, wide[:, 1], wide[:, 0]))
+    new = np.ones(len(order), bool)
+    new[1:] = (wide[order[1:]] != wide[order[:-1]]).any(axis=1)
+    first = order[new]
+    total = np.add.reduceat(times[order], np.flatnonzero(new))
+    return t.take(pa.array(first)).set_column(t.schema.get_field_index("times"), "times", pa.array(total, pa.int64()))
+
+
 def _block(t: pa.Table, edits: int, min_chars: int):
     """Of a block of distinct lines: texts, code points, and keys without repetition within a line."""
     texts = [x.decode("utf-8", "replace") for x in t.column("line").to_pylist()]
@@ -182,19 +218,15 @@ def _block(t: pa.Table, edits: int, min_chars: int):
         size += len(x)
         if size > C.CHUNK or b == len(texts):
             lines = Lines(texts[a:b])
-            line, key, own = lines.keys(edits, min_chars)
+            line, key, own = lines.distinct_keys(edits, min_chars)
             parts.append((line + a, key, own, lines.n))
             a, size = b, 0
     line, key, own, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((~own, key, line))
-    line, key, own = line[order], key[order], own[order]
-    fresh = np.ones(len(line), bool)
-    fresh[1:] = (line[1:] != line[:-1]) | (key[1:] != key[:-1])
-    return texts, n, line[fresh], key[fresh], own[fresh]
+    return texts, n, line, key, own
 
 
 def line_dedup(docs: DataFrame, edits: int = 2, min_chars: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Lines (lid, d, no, times, ...: digest, doc_id and number of the first place, how often it stands) and links (a, b) between lines; both are stashes.
+    """Lines (lid, d, no, times, ...: digest, doc_id and number of the first place, how often it stands) and links (a, b, their first places) between lines; both are stashes.
 
     Lines of any length link; those of less than edits + 1 code points have empty segments, and meet by length alone.  A
     larger min_chars leaves shorter lines out.
@@ -213,31 +245,35 @@ def line_dedup(docs: DataFrame, edits: int = 2, min_chars: int = 0) -> tuple[Dat
                 yield pa.RecordBatch.from_arrays([pa.array([C.digest(x) for x in lines], pa.binary()), pa.array([x[1] for x in first.values()], pa.int64()), pa.array([x[2] for x in first.values()], pa.int64()), pa.array([x[3] for x in first.values()], pa.int64()), pa.array(lines, pa.binary())], ["lid", "d", "no", "times", "line"])
 
     each = rows.mapInArrow(split, "lid binary, d long, no long, times long, line binary")
-    dealt = each.groupBy("lid").agg(F.min(F.struct("d", "no")).alias("at"), F.sum("times").alias("times"), F.first("line").alias("line"))
-    distinct = C.stash(dealt.select("lid", "at.d", "at.no", "times", "line", F.pmod(F.xxhash64("lid"), F.lit(blocks)).alias("m")), "distinct")
-    dealt = distinct.repartition(blocks, "m")
+    dealt = each.withColumn("m", F.pmod(F.xxhash64("lid"), F.lit(blocks))).repartition(blocks, "m")
 
     def asks(t: pa.Table) -> pa.Table:
-        key = _block(t, edits, min_chars)[3]
+        key = _block(_merged(t), edits, min_chars)[3]
         keys, counts = np.unique(key >> np.uint64(32 - bits), return_counts=True)
         return tally.ask(t.column("m")[0].as_py(), keys, counts, bits)
 
     def places(t: pa.Table, replies: pa.Table) -> pa.Table:
+        t = _merged(t)
         texts, n, line, key, own = _block(t, edits, min_chars)
         short = key >> np.uint64(32 - bits)
-        held = tally.unstepped(tally.in_order(replies, np.uint8))[np.searchsorted(np.unique(short), short)] if len(key) else np.zeros(0, np.int64)
+        held = tally.unstepped(np.arange(256))[tally.in_order(replies, np.uint8)][np.searchsorted(np.unique(short), short)] if len(key) else np.zeros(0, np.int64)
         many = held > 1
         line, key, own, parts = line[many], key[many].view(np.int64), own[many], -(-held[many] // MEET)
-        edges = np.searchsorted(line, np.arange(len(texts) + 1)).tolist()
-        keys = [None if x == y else [{"key": k, "own": o, "parts": p} for k, o, p in zip(key[x:y].tolist(), own[x:y].tolist(), parts[x:y].tolist(), strict=True)] for x, y in zip(edges, edges[1:], strict=False)]
-        kept = [x if k else None for x, k in zip(texts, keys, strict=True)]
-        cells = [sketch(x) if x is not None else None for x in kept]
-        return pa.table([t.column("lid"), t.column("d"), t.column("no"), t.column("times"), pa.array(n, pa.int64()), pa.array(cells, pa.int64()), pa.array(kept, pa.string()), pa.array(keys, pa.list_(pa.struct([("key", pa.int64()), ("own", pa.bool_()), ("parts", pa.int32())])))], ["lid", "d", "no", "times", "n", "sketch", "text", "keys"])
+        edges = np.searchsorted(line, np.arange(len(texts) + 1))
+        some = np.diff(edges) > 0
+        at = np.flatnonzero(some).tolist()
+        kept = np.full(len(texts), None, object)
+        kept[at] = [texts[k] for k in at]
+        cells = np.zeros(len(texts), np.int64)
+        for a, b in C.chunks(np.concatenate([[0], np.cumsum(n[at])])):  # numbers of a chunk's code points at once
+            cells[at[a:b]] = sketches([texts[k] for k in at[a:b]])
+        each = pa.StructArray.from_arrays([pa.array(key), pa.array(own), pa.array(parts.astype(np.int32))], ["key", "own", "parts"])
+        keys = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), each, mask=pa.array(~some))
+        return pa.table([t.column("lid"), t.column("d"), t.column("no"), t.column("times"), pa.array(n, pa.int64()), pa.array(cells, mask=~some), pa.array(kept, pa.string()), keys], ["lid", "d", "no", "times", "n", "sketch", "text", "keys"])
 
     replies = tally.answered(dealt.groupBy("m").applyInArrow(asks, tally.ASKED), tally.steps)
     lines = dealt.groupBy("m").cogroup(replies.groupBy("m")).applyInArrow(places, "lid binary, d long, no long, times long, n long, sketch long, text string, keys array<struct<key:long,own:boolean,parts:int>>")
     lines = C.stash(lines, "lines")
-    C.drop(distinct)
 
     keys = lines.where("keys is not null").select("lid", "n", "sketch", F.inline("keys"))
     # rows of a key that very many lines have meet part by part
@@ -247,15 +283,16 @@ def line_dedup(docs: DataFrame, edits: int = 2, min_chars: int = 0) -> tuple[Dat
     near = F.bit_count(F.col("x_s").bitwiseXOR(F.col("y_s"))) <= 4 * edits
     pairs = x.join(y, ["key", "part"]).where((F.col("x") != F.col("y")) & (F.col("y_n") - F.col("x_n")).between(0, edits) & near)
     pairs = C.stash(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
-    text = lambda c: lines.where("text is not null").select(F.col("lid").alias(c), F.col("text").alias(f"{c}_text"))
+    text = lambda c: lines.where("text is not null").select(F.col("lid").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in ("d", "no", "text")))
+    places = ["a_d", "a_no", "b_d", "b_no"]
 
     def verify(batches):
         for batch in batches:
-            ok = [within(p, q, edits) for p, q in zip(batch.column("a_text").to_pylist(), batch.column("b_text").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
+            ok = pa.array([within(p, q, edits) for p, q in zip(batch.column("a_text").to_pylist(), batch.column("b_text").to_pylist(), strict=True)], pa.bool_())
+            yield batch.select(["a", "b", *places]).filter(ok)
 
-    both = pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "a_text", "b_text")
-    links = C.stash(both.mapInArrow(verify, "a binary, b binary, ok boolean").where("ok").select("a", "b"), "links")
+    both = pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", *places, "a_text", "b_text")
+    links = C.stash(both.mapInArrow(verify, f"a binary, b binary, {', '.join(f'{c} long' for c in places)}"), "links")
     C.drop(pairs)
     return lines, links
 
@@ -311,19 +348,21 @@ def deduplicated(docs: DataFrame, edits: int = 2, min_chars: int = 0) -> DataFra
     dealt = rows.withColumn("m", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).repartition(blocks, "m")
 
     def asks(t: pa.Table) -> pa.Table:
-        lids: set[bytes] = set()
-        for text in t.column("text"):
-            lids.update(C.digest(x) for x in {x.strip() for x in (text.as_py() or b"").split(b"\n")} if x)
-        return pa.table([pa.array([t.column("m")[0].as_py()] * len(lids), pa.int64()), pa.array(list(lids), pa.binary())], ["m", "lid"])
-
-    place = lambda c: lines.select(F.col("lid").alias(c), F.struct("d", "no").alias(f"{c}_at"))
-    both = links.join(place("a"), "a").join(place("b"), "b")
-    end = lambda c, o: both.select(F.col(c).alias("lid"), F.when(F.col(f"{o}_at") < F.col(f"{c}_at"), F.col(f"{o}_at")).alias("before"))
-    near = end("a", "b").union(end("b", "a")).groupBy("lid").agg(F.count("*").alias("links"), F.min("before").alias("before"))
+        found: set[bytes] = set()
+        for part in t.select(["text"]).to_batches(max_chunksize=256):
+            for text in part.column("text").to_pylist():
+                found.update(x.strip() for x in text.split(b"\n"))
+        found.discard(b"")
+        return pa.table([pa.array([t.column("m")[0].as_py()] * len(found), pa.int64()), pa.array([C.digest(x) for x in found], pa.binary())], ["m", "lid"])
+
+    at = lambda c: F.struct(F.col(f"{c}_d").alias("d"), F.col(f"{c}_no").alias("no"))
+    end = lambda c, o: links.select(F.col(c).alias("lid"), at(c).alias("at"), F.when(at(o) < at(c), at(o)).alias("before"))
+    near = end("a", "b").union(end("b", "a")).groupBy("lid").agg(F.count("*").alias("links"), F.min("before").alias("before"), F.first("at").alias("at"))
     labels = components(links)
     near = near.join(labels.select(F.col("v").alias("lid"), F.col("label").alias("class_id")), "lid")
-    facts = lines.select("lid", "d", "no", "times").join(near, "lid", "left").where("times > 1 or links is not null").drop("times")
-    known = C.stash(dealt.groupBy("m").applyInArrow(asks, "m long, lid binary").join(facts, "lid"), "known")
+    facts = lines.where("times > 1").select("lid", F.struct("d", "no").alias("of")).join(near, "lid", "full")
+    facts = facts.withColumn("at", F.coalesce("of", "at")).select("lid", "at.d", "at.no", "links", "before", "class_id")
+    known = C.stash(dealt.groupBy("m").applyInArrow(asks, "m long, lid binary").join(facts.hint("shuffle_hash"), "lid"), "known")
     C.drop(lines, links, labels)
     return dealt.groupBy("m").cogroup(known.groupBy("m")).applyInArrow(_judge, _JUDGED)
 

@@ -56,3 +56,33 @@ def test_context_mixing_leaves_no_shuffle_files(spark, sf):
     scores = context_mixing.score_documents(C.table(spark, sf, "documents"))  # all but the last step ran
     assert not [f for f in shuffled(spark) - before if f.stat().st_size > 1 << 14]
     assert scores.columns[:2] == ["doc_id", "held_out"]
+
+
+def moved(spark):
+    """Rows that all stages so far wrote to shuffles."""
+    jvm, none = spark._jvm, spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = spark._jsc.sc().statusStore().stageList(jvm.java.util.ArrayList(), False, False, none, jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_lines_that_are_alone_are_moved_twice(spark):
+    """Once to the block of their line, once as what a block of documents asks for: not to each join of lines with links."""
+    rows = [(i, "\n".join(f"{i * 7 + k} {(i * 7 + k) * 7919 % 100003} alone {(i * 7 + k) ** 3}" for k in range(7))) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    before = moved(spark)
+    got = line_dedup.deduplicated(df)
+    assert moved(spark) - before < 3 * 7 * 600
+    assert got.agg({"n_lines": "sum"}).first()[0] == 7 * 600
+
+
+def test_sketches_and_distinct_keys_are_those_of_each_line():
+    lines = ["a", "ab", "été 🙂 x", "aaaaaaaaaaaaaaa", "the quick brown fox jumps over the lazy dog", "b" * 70]
+    assert line_dedup.sketches(lines).tolist() == [int(line_dedup.sketches([x])[0]) for x in lines] and line_dedup.sketches([]).tolist() == []
+    for least in (0, 10, 100):
+        whole = line_dedup.Lines(lines)
+        want = {}
+        for x, k, mine in zip(*(c.tolist() for c in whole.keys(2, least)), strict=True):
+            want[x, k] = want.get((x, k), False) or mine
+        got = list(zip(*(c.tolist() for c in whole.distinct_keys(2, least)), strict=True))
+        assert got == [(x, k, want[x, k]) for x, k in sorted(want)]
