@@ -114,3 +114,22 @@ def test_hash_vectors_of_many_texts_are_those_of_each():
         embed.REMEMBERED = old
     finally:
         hashlib.blake2b = blake2b
+
+
+def test_a_gram_has_a_row_a_piece_and_not_a_row_a_node(spark, nodes, monkeypatch):
+    df = nodes[0].coalesce(1)
+    index = grams.build(df, work.shared(spark))
+    want = {(place, x[i : i + n], r.id) for r in index.fields.collect() for place, x, sizes in (("text", r.h, (3,)), ("name", r.t, (2, 3)), ("name", r.p, (2, 3))) for n in sizes for i in range(len(x or "") - n + 1)}
+    assert index.postings.count() == index.counts.count() == len({(place, gram) for place, gram, _ in want})
+    assert index.counts.agg(F.sum("n")).first()[0] == len(want)
+    monkeypatch.setattr(grams, "PIECE", 300)
+    pieces = [(r.place, r.gram, x) for r in grams._postings(index.fields.coalesce(1)).collect() for x in r.ids]
+    assert len(pieces) == len(want) and set(pieces) == want
+
+
+def test_lists_of_texts_with_very_many_characters():
+    texts = [None if k % 9 == 0 else "".join(chr(0x10000 + k * 40 + j) for j in range(40)) for k in range(5000)]
+    got = [(g, r) for spelt, ends, rows in grams._lists([texts], 3) for g, a, b in zip(spelt, [0, *ends], ends, strict=False) for r in rows[a:b].tolist()]
+    want = {(x[i : i + 3], k) for k, x in enumerate(texts) if x for i in range(38)}
+    assert len(got) == len(want) and set(got) == want
+    assert list(grams._lists([["", None], ["a", ""]], 2))[0][0] == [] and [x[0] for x in grams._lists([[]], 2)] == [[]]
