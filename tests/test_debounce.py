@@ -1,10 +1,14 @@
 """Debouncing by keyed state: once a burst, over restarts, as in batch."""
 
+import random
 import time
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from arboria.plans import structures
 from arboria.streaming import debounce, watch
 
 RESTING = 10.0
@@ -88,3 +92,63 @@ def test_a_watched_file_written_twice_is_ingested_once(spark, tmp_path):
         assert [x["paths"] for x in said] == [["new.py"]]
     finally:
         q.stop()
+
+
+def _settled(spark, tmp_path, parts, seconds, **more):
+    """(k, at in microseconds) that settled() gives of parts, each a file and a micro-batch; and the stream's progress."""
+    src, out, cp = (str(tmp_path / x) for x in ("src", "out", "cp"))
+    for some in parts:
+        spark.createDataFrame(some, "k long, us long").select("k", F.timestamp_micros("us").alias("at")).coalesce(1).write.mode("append").parquet(src)
+        time.sleep(1.1)
+    rows = spark.readStream.schema("k long, at timestamp").option("maxFilesPerTrigger", 1).parquet(src)
+    q = debounce.settled(rows, "k", "at", seconds, **more).writeStream.format("parquet").option("path", out).option("checkpointLocation", cp).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return sorted((tuple(r) for r in spark.read.schema("k long, at timestamp").parquet(out).select("k", F.unix_micros("at")).collect()), key=str), q.recentProgress
+
+
+def test_ends_of_bursts_take_no_timer_each(spark, tmp_path):
+    base = 1_700_000_000_000_000
+    events = [(k, base + i * 100_000_000 + k) for k in range(20) for i in range(60)]  # every event is an end
+    got, progress = _settled(spark, tmp_path, [events], 30)
+    assert got == sorted((e for e in events if e[1] < base + 59 * 100_000_000), key=str)
+    assert 0 < sum(s["customMetrics"]["numRegisteredTimers"] for p in progress for s in p["stateOperators"]) <= 2 * 20
+
+
+@pytest.mark.parametrize("before", [0, 1])
+def test_what_the_watermark_equals_is_settled(spark, tmp_path, before):
+    base = 1_700_000_000_000_000
+    parts = [[(1, base + 999), (2, base + 30_000_000 - 1000 * before)], [(2, base + 30_000_000), (3, base + 30_000_001)]]
+    got, _ = _settled(spark, tmp_path, parts[: before + 1], 30, buckets=1)
+    assert got == [(1, base + 999)]
+
+
+def test_changes_out_of_order_settle_as_in_batch(spark, tmp_path):
+    draw, base, gap, late = random.Random(4), 1_700_000_000_000_000, 10, 60
+    events = sorted({(draw.choice([None, *range(12)]), base + draw.randrange(600_000) * 1000) for _ in range(700)}, key=lambda e: e[1] + draw.randrange(late * 1_000_000))
+    got, _ = _settled(spark, tmp_path, [events[n : n + 100] for n in range(0, len(events), 100)], gap, delay=f"{late} seconds", buckets=3)
+    until, want = max(us for _, us in events) // 1000 - late * 1000, []
+    for k in {k for k, _ in events}:
+        own = sorted(us for x, us in events if x == k)
+        want += [(k, a) for a, b in zip(own, [*own[1:], None]) if (b is None or b - a >= gap * 1_000_000) and a // 1000 + gap * 1000 <= until]
+    assert got == sorted(want, key=str) and len(want) > 100
+
+
+def test_events_without_user_or_time(spark, tmp_path):
+    base = 1_700_000_000_000_000
+    rows = [(1, base), (None, base + 1), (2, None), (1, base + 7_200_000_000), (2, base + 1_000_000), (None, base + 10_900_000_000), (None, None)]
+    events = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "event_id long, user_id long, us long").withColumn("ts", F.timestamp_micros("us")).drop("us")
+    events.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    got = sorted(tuple(r) for r in structures.debounce_stream(spark, str(tmp_path)).select("user_id", F.unix_micros("ts")).collect())
+    assert got == [(1, base), (1, base + 7_200_000_000), (2, base + 1_000_000)]
+
+
+def test_a_key_of_many_rows_is_joined_by_steps():
+    ats = np.random.default_rng(4).permutation(np.repeat(np.arange(30_000) * 40_000 // 3, 10))
+    frames = [pd.DataFrame({"key_text": "=1", "at_us": ats[n : n + 10_000]}) for n in range(0, len(ats), 10_000)]
+    taken = list(debounce._gathered(iter(frames), lambda: 25_000))
+    assert [len(x) for x in taken] == [30_000] * 10
+    spans = pd.DataFrame({"key_text": [], "first": [], "last": []}).astype({"first": "int64", "last": "int64"})
+    for new in taken:
+        spans = debounce._bursts(pd.concat([spans, pd.DataFrame({"key_text": new["key_text"], "first": new["at_us"], "last": new["at_us"]})]), 13_334)
+    every = np.unique(ats)
+    assert spans["last"].tolist() == every[np.append(np.diff(every) >= 13_334, True)].tolist()
