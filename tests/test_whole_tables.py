@@ -111,3 +111,17 @@ def test_nearest_vectors_agree_with_all_pairs(spark, monkeypatch):
     assert search.vector_topk(vectors, queries.limit(0), 4).count() == search.vector_topk(vectors.limit(0), queries, 4).count() == 0
     block = matching.Vectors(list(range(4)), [[1.0, float(i)] for i in range(4)])
     assert matching.cosines([[1.0, 0.0]], block.vectors)[0, 0] == 1.0
+
+
+def test_search_batch_reads_texts_to_their_ends(spark, tmp_path):
+    import duckdb
+
+    texts = ["needl " * 900, "x y. " * 5000 + "Needle", "Ñé needle" + " z" * 900, "", "the end " * 200 + "of a NEEDLE/2"]
+    put(spark, tmp_path, "documents", [(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    put(spark, tmp_path, "benchmark", [(1, "needle"), (2, "end of needle/2"), (3, "")], "item_id long, text string")
+    got = rows(spark, str(tmp_path), "search_batch")
+    assert [r.id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == 1][:3] == ["1", "2", "4"]
+    for t in ("documents", "benchmark"):
+        duckdb.sql(f"CREATE OR REPLACE TEMP VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = duckdb.sql(entry.oracle_sql()["search_batch"]).fetchall()
+    assert sorted(tuple(r) for r in got) == sorted(want) and len(want) == 15
