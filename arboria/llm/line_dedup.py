@@ -225,6 +225,12 @@ def _block(t: pa.Table, edits: int, min_chars: int):
     return texts, n, line, key, own
 
 
+def _size(rows: DataFrame) -> int:
+    """Bytes of texts and of what goes with each; the sum's shuffle is deleted."""
+    with C.freed(rows.sparkSession):
+        return rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
+
+
 def line_dedup(docs: DataFrame, edits: int = 2, min_chars: int = 0) -> tuple[DataFrame, DataFrame]:
     """Lines (lid, d, no, times, ...: digest, doc_id and number of the first place, how often it stands) and links (a, b, their first places) between lines; both are stashes.
 
@@ -232,7 +238,7 @@ def line_dedup(docs: DataFrame, edits: int = 2, min_chars: int = 0) -> tuple[Dat
     larger min_chars leaves shorter lines out.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), C.text_bytes())
-    size = rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
+    size = _size(rows)
     blocks = max(1, -(-size // BLOCK))
     bits = tally.bucket_bits(size // 20)
 
@@ -344,7 +350,7 @@ def deduplicated(docs: DataFrame, edits: int = 2, min_chars: int = 0) -> DataFra
     """
     lines, links = line_dedup(docs, edits, min_chars)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), C.text_bytes())
-    blocks = max(1, -(-(rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0) // BLOCK))
+    blocks = max(1, -(-_size(rows) // BLOCK))
     dealt = rows.withColumn("m", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).repartition(blocks, "m")
 
     def asks(t: pa.Table) -> pa.Table:
